@@ -2,7 +2,7 @@
 stochastic gradient descent in numpy, and calibrated rejection.
 
 A text is lower-cased; every run of letters becomes a word between blanks, and
-the 1- to 4-character pieces of such words are hashed into a table of embeddings.
+the 2- to 4-character pieces of such words are hashed into a table of embeddings.
 The mean of a text's embeddings goes through a linear softmax. As the layer is
 linear, its product with the table is taken once, and a text costs one look-up
 for each piece.
@@ -44,33 +44,30 @@ def normal(text: str) -> np.ndarray:
     return code * _is_letter()[code]
 
 
-def subwords(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of all pieces in code, and where each starts. A piece may have the
-    blank of a word's edge first or last, and none inside."""
-    n, inner = len(code), code != 0
-    hashes, at = [], []
-    h = np.zeros(n, np.uint32)
-    ok = np.ones(n, bool)
-    for k in range(1, LONGEST + 1):
-        m = n - k + 1
+def subwords(code: np.ndarray, first: int | None = None) -> np.ndarray:
+    """Bucket of each piece of 2 to LONGEST characters that starts before `first`,
+    BUCKETS where a position starts none. A piece may have the blank of a word's
+    edge first or last, and none inside."""
+    first = len(code) if first is None else first
+    inner, out = code != 0, []
+    h = code * _MIX[0]
+    ok = np.ones(len(code), bool)
+    for k in range(2, LONGEST + 1):
+        m = len(code) - k + 1
         if m <= 0:
             break
         if k > 2:
             ok = ok[:m] & inner[k - 2 : k - 2 + m]
-        h = (h[:m] ^ code[k - 1 : k - 1 + m]) * _MIX[k - 1]
-        h ^= h >> np.uint32(15)
-        use = np.flatnonzero(ok[:m] & (inner[:m] if k == 1 else inner[:m] | inner[k - 1 : k - 1 + m]))
-        hashes.append(((h[use] * _MIX[0]) >> np.uint32(16)).astype(np.int32))
-        at.append(use)
-    if not hashes:
-        return np.zeros(0, np.int32), np.zeros(0, np.int64)
-    return np.concatenate(hashes), np.concatenate(at)
+        h = (h[:m] ^ code[k - 1 :]) * _MIX[k - 1]
+        use = ok[:m] & (inner[:m] | inner[k - 1 :])
+        out.append(np.where(use, (h * _MIX[0]) >> np.uint32(16), np.uint32(BUCKETS))[:first])
+    return np.concatenate(out) if out else np.zeros(0, np.uint32)
 
 
 @dataclass
 class LanguageModel:
     labels: list[str]
-    table: np.ndarray  # (BUCKETS, labels + 1): log-odds per piece, and 1 where training has seen it
+    table: np.ndarray  # (BUCKETS + 1, labels + 2): log-odds of a piece, 1 where training has seen it, 1; the last row is 0
     bias: np.ndarray
     temperature: float = 1.0
     least_score: float = 0.0
@@ -81,12 +78,9 @@ class LanguageModel:
         code, total, n = normal(text), np.zeros(self.table.shape[1]), 0
         for a in range(0, max(1, len(code) - 1), _BLOCK):
             # pieces that start in this block; they may reach into the next
-            h, at = subwords(code[a : a + _BLOCK + LONGEST - 1])
-            h = h[at < _BLOCK]
-            if len(h):
-                total += np.bincount(h, minlength=BUCKETS) @ self.table if len(h) > 20_000 else self.table[h].sum(0)
-            n += len(h)
-        return total, n
+            h = subwords(code[a : a + _BLOCK + LONGEST - 1], _BLOCK)
+            total += np.ones(len(h), np.float32) @ self.table.take(h, 0, mode="clip")
+        return total[:-1], int(round(total[-1]))
 
     def predict(self, texts) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Label, calibrated probability and rejection of each text."""
@@ -109,7 +103,7 @@ def softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(1, keepdims=True)
 
 
-def train(rows: list[tuple[str, str]], seed: int = 7, pieces: int = 12_000, epochs: int = 2, batch: int = 128, rate: float = 8.0, error: float = 0.01) -> LanguageModel:
+def train(rows: list[tuple[str, str]], seed: int = 7, pieces: int = 8_000, epochs: int = 2, batch: int = 32, rate: float = 20.0, error: float = 0.01) -> LanguageModel:
     """Fit on windows of labelled texts; a fifth of the texts calibrates.
 
     Calibration takes the temperature with the least log loss, then the least
@@ -120,7 +114,7 @@ def train(rows: list[tuple[str, str]], seed: int = 7, pieces: int = 12_000, epoc
     rows = sorted(r for r in rows if r[0] and r[1])
     labels = sorted({lang for _, lang in rows})
     if not labels:
-        return LanguageModel([], np.zeros((BUCKETS, 1), np.float32), np.zeros(0))
+        return LanguageModel([], np.zeros((BUCKETS + 1, 2), np.float32), np.zeros(0))
     coded = [(normal(t), labels.index(lang)) for t, lang in rows]
     coded = [c for c in coded if c[0].any()]
     rng.shuffle(coded)
@@ -135,13 +129,14 @@ def train(rows: list[tuple[str, str]], seed: int = 7, pieces: int = 12_000, epoc
             code, y = group[rng.randint(len(group))]
             size = rng.randint(20, 300)
             a = rng.randint(max(1, len(code) - size))
-            h, _ = subwords(code[a : a + size])
+            h = subwords(code[a : a + size])
+            h = h[h < BUCKETS]
             if len(h):
                 out.append((h, y))
         return out
 
     e = (rng.rand(BUCKETS, DIM).astype(np.float32) - 0.5) / DIM
-    w, bias, seen = np.zeros((DIM, len(labels)), np.float32), np.zeros(len(labels), np.float32), np.zeros(BUCKETS, bool)
+    w, bias, seen = rng.normal(0, 1, (DIM, len(labels))).astype(np.float32), np.zeros(len(labels), np.float32), np.zeros(BUCKETS, bool)
     data, done = windows(fit, pieces), 0
     total = max(1, epochs * len(data))
     for _ in range(epochs):
@@ -163,11 +158,11 @@ def train(rows: list[tuple[str, str]], seed: int = 7, pieces: int = 12_000, epoc
             w -= lr * (mean.T @ g)
             bias -= lr * g.sum(0)
             seen[h] = True
-    model = LanguageModel(labels, np.c_[e @ w, seen].astype(np.float32), bias)
+    model = LanguageModel(labels, np.r_[np.c_[e @ w, seen, np.ones(BUCKETS)], np.zeros((1, len(labels) + 2))].astype(np.float32), bias)
     check = windows(held, 4_000)
     if check:
         sums = np.array([model.table[h].mean(0) for h, _ in check])
-        logits, y = sums[:, :-1] + bias, np.array([y for _, y in check])
+        logits, y = sums[:, :-2] + bias, np.array([y for _, y in check])
         loss = lambda t: -np.log(softmax(logits / t)[np.arange(len(y)), y] + 1e-12).mean()
         model.temperature = float(min(np.geomspace(0.1, 4, 40), key=loss))
         p = softmax(logits / model.temperature)
@@ -176,7 +171,7 @@ def train(rows: list[tuple[str, str]], seed: int = 7, pieces: int = 12_000, epoc
         rate_at = np.cumsum(wrong[order]) / np.arange(1, len(order) + 1)
         fine = np.flatnonzero(rate_at <= error)
         model.least_score = 0.0 if wrong.mean() <= error else float(score[order][fine[-1]]) if len(fine) else 1.0
-        model.least_known = float(np.quantile(sums[:, -1], 0.001)) * 0.9
+        model.least_known = float(np.quantile(sums[:, -2], 0.001)) * 0.9
     return model
 
 
