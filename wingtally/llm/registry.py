@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import language, quality_rules
+from . import language, licenses, mixing, quality_rules
 
-QUERIES = {f.__name__: f for f in (language.op1_language_id, quality_rules.op9_quality_rules)}
+QUERIES = {f.__name__: f for f in (language.op1_language_id, mixing.op7_source_mix, quality_rules.op9_quality_rules, licenses.op10_license_scan)}
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op7_source_mix": mixing.ORACLE, "op10_license_scan": licenses.ORACLE}
