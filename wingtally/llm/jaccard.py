@@ -16,6 +16,9 @@ distinct sets, known by a 64-bit key, and never on pairs of copies.
    least one label's group; near copies mostly have one label, so a set goes to
    few groups. Postings are shuffled packed, a binary a bucket. Labels of the
    frequent shingles come with the list, so no bucket fills up with one of them.
+   Sketches of the sets (a count for each of n / 2 cells) bound the overlaps in
+   a group; a set that cannot reach the threshold with any other there goes no
+   further, so whole sets travel for likely links alone.
 3. A group's sets are stored in a trie, frequent shingles first. Each set walks
    it with the overlap so far; a branch ends where the rest of either set cannot
    bring the overlap that any size below it needs, or where all below is already
@@ -73,10 +76,9 @@ def shingles(text: pa.Array, size: int = SIZE) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _whole(h: np.ndarray) -> np.uint64:
-    out = np.uint64(len(h))
-    for x in h:
-        out = shared.mixed(np.array([out * np.uint64(31) + x], np.uint64))[0]
-    return out
+    """Hash of a short row of words, of which each counts by its place."""
+    place = shared.mixed(np.arange(1, len(h) + 1, dtype=np.uint64))
+    return shared.mixed(shared.mixed(h ^ place).sum(keepdims=True) + place[-1:])[0]
 
 
 def keys(x: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -98,8 +100,67 @@ def _counted(tok: list, key: list, cnt: list, least: int) -> tuple[np.ndarray, n
     return t[use], k[use], c[use]
 
 
+_SET = ["doc_id", "n", "k", "sketch", "token", "low", "cnt"]
+
+
+def _sketch(x: np.ndarray) -> bytes | None:
+    """How many of the set's hashes fall into each of a power of two of cells, about two a cell; None if a byte can't hold it."""
+    if not len(x):
+        return None
+    cells = 1 << max(4, (len(x) // 2).bit_length())
+    count = np.bincount((x & np.uint64(cells - 1)).astype(np.int64), minlength=cells)
+    return count.astype(np.uint8).tobytes() if count.max() < 256 else None
+
+
+def _folded(s: np.ndarray, cells: int) -> np.ndarray:
+    return s.reshape(-1, cells).sum(0)
+
+
+def _possible(similar: int):
+    """(k, label) of the sets that by sketch may be similar to another of their group.
+
+    Sets share at most the sum over cells of the smaller count, so no linked set is left out."""
+
+    def kept(rows: list) -> list:
+        if len(rows) < 2 or rows[0][2] > 1 or any(r[4] is None for r in rows):
+            return rows if len(rows) > 1 else []
+        n = np.array([r[3] for r in rows])
+        table = {}
+        may = np.zeros(len(rows), bool)
+        order = np.argsort(n, kind="stable")
+        for place, i in enumerate(order):
+            near = order[place + 1 : np.searchsorted(n[order], n[i] * 100 // similar, "right")]
+            if may[i]:
+                near = near[~may[near]]
+            if not len(near):
+                continue
+            own = np.frombuffer(rows[i][4], np.uint8).astype(np.int32)
+            c = len(own)  # as the nearer set is no smaller, its sketch has as many cells or more
+            for j in near:
+                if (j, c) not in table:
+                    table[j, c] = _folded(np.frombuffer(rows[j][4], np.uint8).astype(np.int32), c)
+                if (100 + similar) * int(np.minimum(own, table[j, c]).sum()) >= similar * (n[i] + n[j]):
+                    may[i] = may[j] = True
+        return [r for r, ok in zip(rows, may, strict=True) if ok]
+
+    def run(batches):
+        at, rows = None, []
+        for batch in batches:
+            out = []
+            for label, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if label != at:
+                    out += kept(rows)
+                    at, rows = label, []
+                rows.append((row[0], label, *row[1:]))
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int64())], names=["k", "label"])
+        out = kept(rows)
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int64())], names=["k", "label"])
+
+    return run
+
+
 def _sets(size: int):
-    """Rows (doc_id, n, k) of documents, then rows (token, low, count) of the task's frequent shingles."""
+    """Rows (doc_id, n, k, sketch) of documents, then rows (token, low, count) of the task's frequent shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]):
         seen: set[int] = set()
@@ -111,7 +172,8 @@ def _sets(size: int):
                 x, off = shingles(part.column(1), size)
                 k, n = keys(x, off), np.diff(off)
                 none = pa.nulls(len(n), pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(k, pa.int64(), mask=n == 0), none, none, none], names=["doc_id", "n", "k", "token", "low", "cnt"])
+                sketch = pa.array([_sketch(x[a:b]) for a, b in zip(off[:-1], off[1:], strict=True)], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(k, pa.int64(), mask=n == 0), sketch, none, none, none], names=_SET)
                 new = np.array([i for i, a in enumerate(k.tolist()) if n[i] and not (a in seen or seen.add(a))], np.int64)
                 if len(new):
                     at = np.concatenate([np.arange(off[i], off[i + 1]) for i in new])
@@ -129,7 +191,7 @@ def _sets(size: int):
         t, k, c = _counted(tok, key, cnt, IN_TASK)
         if len(t):
             none = pa.nulls(len(t), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(t), kind), none, none, pa.array(t.view(np.int64)), pa.array(k), pa.array(c)], names=["doc_id", "n", "k", "token", "low", "cnt"])
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(t), kind), none, none, pa.nulls(len(t), pa.binary()), pa.array(t.view(np.int64)), pa.array(k), pa.array(c)], names=_SET)
 
     return run
 
@@ -365,19 +427,26 @@ def similar_sets(docs: DataFrame, key: str = "doc_id", text: str = "text", size:
     kind = dict(docs.dtypes)[key]
     n_tasks = shared.tasks(spark)
     d = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
-    both = shared.written(d.mapInArrow(_sets(size), f"doc_id {kind}, n long, k long, token long, low long, cnt long"), "sets")
-    sets = both.where("n is not null").select("doc_id", "n", "k")
+    both = shared.written(d.mapInArrow(_sets(size), f"doc_id {kind}, n long, k long, sketch binary, token long, low long, cnt long"), "sets")
+    sets = both.where("n is not null").select("doc_id", "n", "k", "sketch")
     often = both.where("token is not null").groupBy("token").agg(F.sum("cnt").alias("c"), F.min("low").alias("low")).where(F.col("c") >= IN_ALL).orderBy(F.desc("c"), "token").limit(FREQUENT).toPandas()
     order = spark.sparkContext.broadcast(Order(often["token"].to_numpy(np.int64).view(np.uint64), often["c"].to_numpy(np.int64), often["low"].to_numpy(np.int64)))
     packed = d.select("text").mapInArrow(_postings(order, size, similar, 4 * n_tasks), "bucket long, tokens binary, keys binary, labels binary, owners binary")
     routes = packed.repartition(n_tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(_routes, "k long, label long").distinct()
     routes = shared.written(routes, "routes")
-    groups = routes.groupBy("label").agg(F.count("*").alias("m")).where("m > 1").withColumn("chunks", F.ceil(F.col("m") / chunk)).withColumnRenamed("label", "g")
-    members = routes.join(groups, routes["label"] == groups["g"]).withColumn("chunk", F.pmod(F.xxhash64("k"), F.col("chunks"))).select("k", "label", "chunk", "chunks")
-    members = shared.written(members, "members")
+    first = shared.written(sets.where("k is not null").groupBy("k").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "first")
+
+    def grouped(routes: DataFrame) -> DataFrame:
+        """Routes to labels of two sets or more, and in how many chunks each label's sets are."""
+        groups = routes.groupBy("label").agg(F.count("*").alias("m")).where("m > 1").select(F.col("label").alias("g"), F.ceil(F.col("m") / chunk).alias("chunks"))
+        return routes.join(groups, routes["label"] == groups["g"]).withColumn("chunk", F.pmod(F.xxhash64("k"), F.col("chunks"))).select("k", "label", "chunk", "chunks")
+
+    sketched = grouped(routes)
+    small = sketched.where("chunks = 1").join(first, "k").select("label", "k", "chunks", "n", "sketch")
+    small = small.repartition(n_tasks, "label").sortWithinPartitions("label").mapInArrow(_possible(similar), "k long, label long")
+    small = small.withColumn("chunk", F.lit(0).cast("long")).withColumn("chunks", F.lit(1).cast("long"))
+    members = shared.written(small.unionByName(sketched.where("chunks > 1")), "members")
     pivots = members.where((F.col("chunks") > 1) & (F.col("k") == F.col("label"))).withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
-    first = shared.written(sets.where("k is not null").groupBy("k").agg(F.min("doc_id").alias("doc")), "first")
-
     def meet(targets: DataFrame) -> DataFrame:
         """Links found when each set goes to its targets (k, label, chunk, block, asks)."""
         to = targets.groupBy("k").agg(F.collect_set(F.struct("label", "chunk", "block", "asks")).alias("targets"))

@@ -70,7 +70,7 @@ def _packed(h: np.ndarray, c: np.ndarray, buckets: int) -> pa.RecordBatch:
     order = np.argsort(b, kind="stable")
     h, c, b = h[order], c[order], b[order]
     at = np.flatnonzero(np.r_[True, b[1:] != b[:-1]]) if len(b) else np.zeros(0, np.int64)
-    end = np.r_[at[1:], len(b)]
+    end = np.r_[at[1:], len(b)][: len(at)]
     cut = lambda x: pa.array([x[i:j].tobytes() for i, j in zip(at, end, strict=True)], pa.binary())
     return pa.RecordBatch.from_arrays([pa.array(b[at], pa.int64()), cut(h), cut(c)], names=["bucket", "tokens", "counts"])
 
@@ -119,7 +119,7 @@ def _top(most: int):
     def run(batches):
         for _, rows in _by_bucket(batches):
             h, c = np.frombuffer(rows[0][0], np.uint64), np.frombuffer(rows[0][1], np.int64)
-            best = np.lexsort((h, -c))[:most]
+            best = np.lexsort((h, -c, h != END))[:most]  # the end is always on the list
             yield pa.RecordBatch.from_arrays([pa.array(h[best].view(np.int64)), pa.array(c[best])], names=["token", "c"])
 
     return run
@@ -391,6 +391,10 @@ def _scored(sent, head, buckets: int):
                 none = pa.nulls(len(content), pa.int64())
                 blank = pa.nulls(len(content), pa.binary())
                 yield pa.RecordBatch.from_arrays([part.column(0), *map(pa.array, cols), none, blank, blank, blank], names=_NAMES)
+                _, once = np.unique(content, return_index=True)  # copies say the same
+                first = np.zeros(len(content), bool)
+                first[once] = True
+                rare &= np.repeat(first, np.diff(off))
                 owner = np.repeat(content, np.diff(off))[rare]
                 b, t = (h[rare] % np.uint64(buckets)).astype(np.int64), h[rare]
                 order = np.lexsort((owner, t, b))
@@ -444,7 +448,7 @@ def language_scores(docs: DataFrame, training: Column, key: str = "doc_id", text
     counts = learn.select("text").mapInArrow(_count(buckets), "bucket long, tokens binary, counts binary").repartition(n_tasks, "bucket").sortWithinPartitions("bucket")
     counts = shared.written(counts.mapInArrow(_whole, "bucket long, tokens binary, counts binary, types long, total long"), "counts")
     n, v = counts.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("types"), F.lit(0))).first()
-    top = counts.select("bucket", "tokens", "counts").mapInArrow(_top(2 * head_words // buckets + 1), "token long, c long").orderBy(F.desc("c"), "token").limit(head_words).toPandas()
+    top = counts.select("bucket", "tokens", "counts").mapInArrow(_top(2 * head_words // buckets + 1), "token long, c long").orderBy(F.col("token") != int(END.view(np.int64)), F.desc("c"), "token").limit(head_words).toPandas()
     token, count = top["token"].to_numpy(np.int64).view(np.uint64), top["c"].to_numpy(np.int64)
     in_net = np.flatnonzero(token != END)[: vocabulary - 2]
     ends = int(count[token == END].sum())
