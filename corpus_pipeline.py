@@ -1,13 +1,59 @@
-"""A corpus pipeline of the text operators: each stage keeps the columns of documents."""
+"""A corpus pipeline of the text operators: each stage takes documents and, but for the last, returns documents.
+
+Rows whose language is rejected go; of a group of linked documents one stays;
+documents that hold a benchmark item go; secrets are struck out of the texts;
+what is left is mixed to target weights.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from wingtally.llm import decontamination, jaccard, language, mixing, secrets
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without those whose language the calibrated model rejects."""
+    model = language.train(language.sample(docs, ~language.held_out(), language.PER_LABEL))
+    return language.identify(docs, model).where("not rejected").select(docs.columns)
+
+
+def join_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of linked ones: that with the least doc_id. Documents without words stay."""
+    found = jaccard.similar_sets(docs)
+    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept")).distinct()
+    rows = docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept"]), "left_semi")
+    return rows.dropDuplicates(["doc_id"])
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return decontamination.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def strike_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, secrets in their texts replaced by a mark."""
+    return secrets.redact(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Per document: doc_id, source, size, source_size, target and the words that the mix takes."""
+    return mixing.mix(docs)
+
+
+STAGES = [
+    ("language_id", identify_language), ("jaccard_join", join_near_copies), ("decontamination", decontaminate), ("secret_scan", strike_secrets), ("source_mix", mix_sources),
+]
+
+#: Models and edit distances have no SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir: str):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wingtally.llm.shared import written
+
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -73,9 +73,9 @@ def test_scores(spark, odd):
 
 def test_network_beats_counts_on_held_out_texts(spark):
     rows = [(i, " ".join(f"{a}{i % 2} {b}{i % 2}" for a, b in [("sun", "moon"), ("tree", "leaf"), ("cat", "dog")] * 8)) for i in range(1500)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
     out = lm.language_scores(docs, ~lm.held_out(), vocabulary=100, classes=6).where(lm.held_out()).agg(F.avg("base_score"), F.avg("score")).first()
-    assert out[1] > out[0] / 3
+    assert out[1] > out[0] * 0.7
 
 
 def test_empty_tables(spark, odd):

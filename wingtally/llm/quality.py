@@ -29,9 +29,9 @@ from pyspark.sql import functions as F
 from . import shared
 from .quality_rules import _sums, repeated_words
 
-WORDS = 1 << 16
+WORDS, FEATURES = 1 << 16, 14
 #: Labelled documents, of each label at most, that the classifier is fitted on.
-PER_LABEL = 2_000
+PER_LABEL = 1_000
 
 _CLASS = {n: np.array([f(chr(i)) if i < 128 else False for i in range(256)]) for n, f in {"upper": str.isupper, "digit": str.isdigit, "mark": lambda c: c in "#*$%&|<>@{}[]\\^~=_+/", "stop": lambda c: c in ".,;:!?"}.items()}
 
@@ -80,10 +80,17 @@ def train(rows: list[tuple[str, float]], seed: int = 3, epochs: int = 40, rate:
     if not rows or len({y for _, y in rows}) < 2:
         y = float(np.mean([y for _, y in rows])) if rows else 0.5
         bias = float(np.log((y + 1e-3) / (1 - y + 1e-3)))
-        return TextModel(np.zeros(13), np.ones(13), np.zeros(13), np.zeros(WORDS), bias)
+        return TextModel(np.zeros(FEATURES), np.ones(FEATURES), np.zeros(FEATURES), np.zeros(WORDS), bias)
     rng = np.random.RandomState(seed)
     rows = [rows[i] for i in rng.permutation(len(rows))]
-    x, h, off = features(pa.array([t for t, _ in rows], pa.string()))
+    x, h, n_words = [], [], []
+    batch = pa.RecordBatch.from_arrays([pa.array([t for t, _ in rows], pa.string())], names=["text"])
+    for part in shared.pieces(batch):  # a block at a time, for the driver's memory
+        a, b, c = features(part.column(0))
+        x.append(a)
+        h.append(b.astype(np.int32))
+        n_words.append(np.diff(c))
+    x, h, off = np.concatenate(x), np.concatenate(h), np.r_[0, np.cumsum(np.concatenate(n_words))]
     y = np.array([v for _, v in rows], float)
     held = np.arange(len(rows)) % 5 == 0
     mean, scale = x.mean(0), x.std(0) + 1e-6
