@@ -470,8 +470,9 @@ def similar_sets(docs: DataFrame, key: str = "doc_id", text: str = "text", size:
         asking = out.join(blocks, "label").withColumn("block", F.pmod(F.xxhash64(F.col("k"), F.lit(1)), "blocks")).withColumn("chunk", upto("chunks")).withColumn("asks", F.lit(True))
         asked = big.join(blocks, "label").withColumn("block", upto("blocks")).withColumn("asks", F.lit(False))
         names = ["k", "label", "chunk", "block", "asks"]
-        links = links.unionByName(meet(asking.select(names).unionByName(asked.select(names))))
-        roots = components(links, "classes")
+        more = meet(asking.select(names).unionByName(asked.select(names)))
+        if not more.isEmpty():
+            roots = components(more.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))), "classes")
     own = first.join(roots.withColumnRenamed("node", "k"), "k", "left").withColumn("root", F.coalesce("root", "k"))
     least = own.groupBy("root").agg(F.min("doc").alias("component_id"))
     named = own.join(least, "root").select(F.col("k").alias("key"), "component_id")
