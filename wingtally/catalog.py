@@ -1,11 +1,599 @@
-"""The engine's queries by name, each with the SQL that gives the same rows."""
+"""The engine's queries by name, each with SQL that gives the same rows from the same tables."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from . import plans
+from .functions import boxes, geodesy, optics
+from .operators import estimators, joins, paths, rasters, tracking, tracks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-FLAGSHIP = "survey_density"
+FLAGSHIP = "best_partner"
+EPSG = 32633
+
+
+def query(sql: str | None = None):
+    def put(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = plans.oracle(sql.strip())
+        return f
+
+    return put
+
+
+def r4(*columns: str):
+    return [F.round(F.col(c), 4).alias(c) for c in columns]
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# ------------------------------------------------------------------- scalars
+
+
+@query("""select row_id, round((x1 + x2) / 2, 4) as cx, round((y1 + y2) / 2, 4) as cy, round(x2 - x1, 4) as w, round(y2 - y1, 4) as h,
+  round(sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)), 4) as diag, round((x2 - x1) * (y2 - y1), 4) as area from det""")
+def box_geometry(spark, sf):
+    b = boxes.box()
+    d = plans.detections(spark, sf)
+    return d.select("row_id", boxes.centre_x(b).alias("cx"), boxes.centre_y(b).alias("cy"), boxes.width(b).alias("w"), boxes.height(b).alias("h"), boxes.diagonal(b).alias("diag"), boxes.area(b).alias("area")).select("row_id", *r4("cx", "cy", "w", "h", "diag", "area"))
+
+
+@query("""select row_id, round(least(x1, x2), 4) as x1, round(least(y1, y2), 4) as y1, round(greatest(x1, x2), 4) as x2, round(greatest(y1, y2), 4) as y2, 5 as corners from det""")
+def box_ring_extent(spark, sf):
+    d = plans.detections(spark, sf).withColumn("ring", boxes.ring(boxes.box())).withColumn("e", boxes.extent(F.col("ring")))
+    return d.select("row_id", *[F.round(f"e.{c}", 4).alias(c) for c in ("x1", "y1", "x2", "y2")], F.size("ring").alias("corners"))
+
+
+@query("""with p as (select a.frame, a.row_id as a_id, b.row_id as b_id, greatest(least(a.x2, b.x2) - greatest(a.x1, b.x1), 0) * greatest(least(a.y2, b.y2) - greatest(a.y1, b.y1), 0) as i,
+    (a.x2 - a.x1) * (a.y2 - a.y1) + (b.x2 - b.x1) * (b.y2 - b.y1) as s from det a join det b on a.frame = b.frame and a.row_id <> b.row_id),
+  r as (select *, row_number() over (partition by a_id order by round((i / (s - i))::float, 5) desc, b_id) as k from p where (i / (s - i))::float >= 0.01::float)
+select frame, a_id, b_id, round((i / (s - i))::float::double, 4) as iou from r where k = 1""")
+def best_partner(spark, sf):
+    return tracks.best_partner(plans.detections(spark, sf), 0.01).withColumn("iou", F.round(F.col("iou").cast("double"), 4))
+
+
+@query("""select row_id, round(least(x2, 60) - greatest(x1, 10), 4) as w from (select *, greatest(least(x2, 60) - greatest(x1, 10), 0) * greatest(least(y2, 45) - greatest(y1, 5), 0) / ((x2 - x1) * (y2 - y1)) as s from det) where s > 0.8""")
+def area_filter(spark, sf):
+    b, area = boxes.box(), (10.0, 5.0, 60.0, 45.0)
+    inside = boxes.intersection(b, tuple(map(F.lit, area))) / boxes.area(b)
+    return plans.detections(spark, sf).where(inside > 0.8).select("row_id", F.round(boxes.width(boxes.clipped(b, area)), 4).alias("w"))
+
+
+@query("""select row_id, round(sqrt(power(greatest(x1 - 50, 0, 20 - x1), 2) + power(greatest(y1 - 30, 0, 10 - y1), 2)), 4) as dist from det""")
+def distance_to_box(spark, sf):
+    d = boxes.distance_to(F.col("x1"), F.col("y1"), tuple(map(F.lit, (20.0, 10.0, 50.0, 30.0))))
+    return plans.detections(spark, sf).select("row_id", F.round(d, 4).alias("dist"))
+
+
+@query("""select row_id, round((greatest(x1, 0) + least(x2, 100)) / 200, 6) as cx, round((greatest(y1, 0) + least(y2, 50)) / 100, 6) as cy from det where (least(x2, 100) - greatest(x1, 0)) * (least(y2, 50) - greatest(y1, 0)) >= 20""")
+def yolo_boxes(spark, sf):
+    b, d = boxes.box(), plans.detections(spark, sf)
+    cx, cy, *_ = boxes.to_yolo(b, 100.0, 50.0)
+    return d.where(boxes.area(boxes.clipped(b, (0.0, 0.0, 100.0, 50.0))) >= 20).select("row_id", F.round(cx, 6).alias("cx"), F.round(cy, 6).alias("cy"))
+
+
+@query("""select row_id from det where x1 >= 0.5 and y1 >= 0.5 and y1 <= 45 and (x1 - 89.25) * 44.5 + (y1 - 0.5) * 44.5 <= 1e-9""")
+def points_in_polygon(spark, sf):
+    ring = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in ((0.5, 0.5), (89.25, 0.5), (44.75, 45.0), (0.5, 45.0))])
+    return plans.detections(spark, sf).where(boxes.inside_ring(F.col("x1"), F.col("y1"), ring)).select("row_id")
+
+
+@query("""select id, round((pitch + 90) % 360 + case when (pitch + 90) % 360 < 0 then 360 else 0 end, 4) as tilt, round((heading + 15) % 360, 4) as heading,
+  round(pitch, 4) as pitch from tele""")
+def gimbal_angles(spark, sf):
+    tilt, _, heading = geodesy.gimbal_to_rotation(F.col("pitch"), F.col("roll"), F.col("heading"), 15.0)
+    pitch, _, _ = geodesy.rotation_to_gimbal(tilt, F.col("roll"), heading)
+    return plans.telemetry(spark, sf).select("id", F.round(tilt, 4).alias("tilt"), F.round(heading, 4).alias("heading"), F.round(pitch, 4).alias("pitch"))
+
+
+_E, _N = geodesy.utm_sql("lat", "lon", EPSG)
+
+
+@query(f"select id, round({_E}, 3) as east, round({_N}, 3) as north from tele")
+def utm_forward(spark, sf):
+    e, n = geodesy.to_utm(F.col("lat"), F.col("lon"), EPSG)
+    return plans.telemetry(spark, sf).select("id", F.round(e, 3).alias("east"), F.round(n, 3).alias("north"))
+
+
+@query("select id, round(lat, 7) as lat, round(lon, 7) as lon, round(alt, 4) as alt from tele")
+def utm_round_trip(spark, sf):
+    origin = {"lat": 48.0, "lon": 14.0, "alt": 300.0}
+    local = geodesy.to_local(F.col("lat"), F.col("lon"), F.col("alt"), origin, EPSG)
+    t = plans.telemetry(spark, sf).select("id", *[c.alias(n) for c, n in zip(local, "xyz", strict=True)])
+    lat, lon, alt = geodesy.from_local(F.col("x"), F.col("y"), F.col("z"), origin, EPSG)
+    return t.select("id", F.round(lat, 7).alias("lat"), F.round(lon, 7).alias("lon"), F.round(alt, 4).alias("alt"))
+
+
+@query("select id, round(degrees(atan(tan(radians(lon - 15)) * sin(radians(lat)))), 2) as angle from tele")
+def grid_convergence(spark, sf):
+    return plans.telemetry(spark, sf).select("id", F.round(-geodesy.convergence(F.col("lat"), F.col("lon"), EPSG), 2).alias("angle"))
+
+
+@query("""select id, round(degrees(asin(sin(radians(lat)) * cos(alt / 6371000) + cos(radians(lat)) * sin(alt / 6371000) * cos(radians(heading)))), 7) as lat2,
+  floor((lon + 180) / 360 * 65536)::bigint as tile_x, floor((1 - asinh(tan(radians(lat))) / pi()) / 2 * 65536)::bigint as tile_y,
+  floor(lat)::bigint as deg, floor((lat - floor(lat)) * 60)::bigint as min from tele""")
+def sphere_tiles_dms(spark, sf):
+    lat2, _ = geodesy.destination(F.col("lat"), F.col("lon"), F.col("alt"), F.col("heading"))
+    x, y = geodesy.to_tile(F.col("lat"), F.col("lon"), 16)
+    dms = geodesy.to_dms(F.col("lat"))
+    return plans.telemetry(spark, sf).select("id", F.round(lat2, 7).alias("lat2"), x.alias("tile_x"), y.alias("tile_y"), dms["deg"].alias("deg"), dms["min"].alias("min"))
+
+
+@query("""select id, round(-alt / -cos(radians(pitch + 90)) * sin(radians(pitch + 90)) * sin(radians(heading)), 4) as gx, round(-alt / -cos(radians(pitch + 90)) * sin(radians(pitch + 90)) * cos(radians(heading)), 4) as gy
+from tele where pitch + 90 < 80 and alt > 1""")
+def ground_of_centre_pixel(spark, sf):
+    t = plans.telemetry(spark, sf).where("pitch + 90 < 80 and alt > 1")
+    gx, gy = optics.pixel_to_ground(F.lit(256.0), F.lit(256.0), (F.lit(0.0), F.lit(0.0), F.col("alt")), F.col("pitch") + 90, F.col("heading"), 50.0, 512.0, 512.0)
+    return t.select("id", F.round(gx, 4).alias("gx"), F.round(gy, 4).alias("gy"))
+
+
+@query("select id, 100.0e0 as px, 200.0e0 as py from tele where pitch + 90 < 60 and alt > 1")
+def pixel_round_trip(spark, sf):
+    pos = (F.lit(0.0), F.lit(0.0), F.col("alt"))
+    t = plans.telemetry(spark, sf).where("pitch + 90 < 60 and alt > 1").withColumn("tilt", F.col("pitch") + 90)
+    gx, gy = optics.pixel_to_ground(F.lit(100.0), F.lit(200.0), pos, F.col("tilt"), F.col("heading"), 50.0, 512.0, 512.0)
+    t = t.withColumn("gx", gx).withColumn("gy", gy).where("gx is not null")
+    px, py = optics.world_to_pixel((F.col("gx"), F.col("gy"), F.lit(0.0)), pos, F.col("tilt"), F.col("heading"), 50.0, 512.0, 512.0)
+    return t.select("id", F.round(px, 3).alias("px"), F.round(py, 3).alias("py"))
+
+
+@query("""select id, round(4 * greatest(alt, 1) * greatest(alt, 1) * power(tan(radians(25)), 2) * 4 / 3, 3) as area from tele""")
+def flat_footprints(spark, sf):
+    ring = optics.flat_footprint(F.lit(0.0), F.lit(0.0), F.col("alt"), F.col("heading"), 50.0)
+    return plans.telemetry(spark, sf).select("id", F.round(boxes.ring_area(ring), 3).alias("area"))
+
+
+@query("""select row_id, round(0.8 * x1 + 0.05 * y1 + 30, 4) as ax, round(-0.05 * x1 + 0.8 * y1 - 12, 4) as ay, round(exp(-x1 * x1 / 800), 6) as hn,
+  round(case when x1 <= 0 then 1 else 1 - exp(-power(x1 / 20, -3)) end, 6) as hr, floor(least(greatest(y1, 0), 40) / 40 * 65535)::bigint as fixed from det""")
+def affine_detection_fixed(spark, sf):
+    ax, ay = optics.affine(F.col("x1"), F.col("y1"), (0.8, 0.05, -0.05, 0.8, 30.0, -12.0))
+    return plans.detections(spark, sf).select(
+        "row_id", F.round(ax, 4).alias("ax"), F.round(ay, 4).alias("ay"), F.round(optics.half_normal(F.col("x1"), F.lit(20.0)), 6).alias("hn"),
+        F.round(optics.hazard_rate(F.col("x1"), F.lit(20.0), F.lit(3.0)), 6).alias("hr"), optics.fixed_point(F.col("y1"), 0.0, 40.0, 16).alias("fixed"),
+    )
+
+
+@query("""select track_id, row_id, case when greatest(abs(x1 / 50 - 1), abs(y1 / 25 - 1)) <= 0.10 then 'ok' when greatest(abs(x1 / 50 - 1), abs(y1 / 25 - 1)) >= 0.25 then 'error' else 'warn' end as severity from det""")
+def calibration_check(spark, sf):
+    return plans.detections(spark, sf).select("track_id", "row_id", optics.resolution_check(F.col("x1") / 2, F.col("y1") / 2, F.lit(50.0), F.lit(25.0)).alias("severity"))
+
+
+# ------------------------------------------------------------------- windows
+
+
+@query("""select flight_id, frame, round(sum(coalesce(sqrt(power(x - px, 2) + power(y - py, 2)), 0)) over (partition by flight_id order by frame rows unbounded preceding), 3) as cum
+from (select *, lag(x) over w as px, lag(y) over w as py from route window w as (partition by flight_id order by frame))""")
+def cumulative_path(spark, sf):
+    return paths.cumulative_distances(plans.routes(spark, sf)).select("flight_id", "frame", F.round("cum", 3).alias("cum"))
+
+
+_CUM = """c0 as (select *, lag(x) over w as px, lag(y) over w as py from route window w as (partition by flight_id order by frame)),
+  cum as (select flight_id, frame, sum(coalesce(sqrt(power(x - px, 2) + power(y - py, 2)), 0)) over (partition by flight_id order by frame rows unbounded preceding) as cum from c0)"""
+
+
+@query(f"with {_CUM} select flight_id, round(max(cum), 3) as length from cum group by 1")
+def route_lengths(spark, sf):
+    return paths.route_length(plans.routes(spark, sf)).select("flight_id", F.round("length", 3).alias("length"))
+
+
+def _cum(spark, sf):
+    return paths.cumulative_distances(plans.routes(spark, sf))
+
+
+@query(f"""with {_CUM}, r as (select flight_id, transect_id::int as transect_id, transect_id * 10 as s, transect_id * 10 + 9 as e from (select distinct flight_id from route), range(3) t(transect_id)),
+  m as (select flight_id, max(frame) as last from cum group by 1)
+select r.flight_id, r.transect_id, round(abs(b.cum - a.cum), 3) as length from r join m using (flight_id) join cum a on a.flight_id = r.flight_id and a.frame = least(s, last) join cum b on b.flight_id = r.flight_id and b.frame = least(e, last)""")
+def transect_length(spark, sf):
+    c = _cum(spark, sf)
+    r = c.select("flight_id").distinct().withColumn("transect_id", F.explode(F.sequence(F.lit(0), F.lit(2)))).withColumn("start_frame", (F.col("transect_id") * 10).cast("long")).withColumn("end_frame", (F.col("transect_id") * 10 + 9).cast("long"))
+    return paths.transect_lengths(c, r).select("flight_id", "transect_id", F.round("length", 3).alias("length"))
+
+
+@query(f"""with {_CUM} select s.flight_id, 2::bigint as start_frame, 20000.0::double as metres, coalesce((select min(frame) from cum c where c.flight_id = s.flight_id and c.cum >= s.cum + 20000), -1) as frame from cum s where s.frame = 2""")
+def frame_after(spark, sf):
+    c = _cum(spark, sf)
+    starts = c.where("frame = 2").select("flight_id", F.col("frame").alias("start_frame"), F.lit(20000.0).alias("metres"))
+    return paths.frame_after_distance(c, starts)
+
+
+@query(f"""with {_CUM}, t as (select flight_id, max(cum) as total, max(frame) as last from cum group by 1), e as (select *, i::int as transect_id from t, range(4) r(i)),
+  s as (select e.flight_id, transect_id, last, case when transect_id = 0 then 0 else coalesce((select min(frame) from cum c where c.flight_id = e.flight_id and c.cum >= total * transect_id / 4), 0) end as start_frame from e)
+select flight_id, transect_id, start_frame, greatest(coalesce(lead(start_frame) over (partition by flight_id order by transect_id) - 1, last), start_frame) as end_frame from s""")
+def split_equal(spark, sf):
+    return paths.split_into(_cum(spark, sf), 4)
+
+
+@query(f"""with {_CUM}, m as (select flight_id, max(frame) as last from cum group by 1),
+  cut as (select m.flight_id, 0 as transect_id, 0::bigint as s, coalesce((select min(frame) from cum c where c.flight_id = m.flight_id and c.cum >= 30000), last) as e, last from m
+  union all select cut.flight_id, transect_id + 1, cut.e + 1, coalesce((select min(c.frame) from cum c where c.flight_id = cut.flight_id and c.frame >= cut.e + 1 and c.cum >= 30000 + (select b.cum from cum b where b.flight_id = cut.flight_id and b.frame = cut.e + 1)), last), last from cut where cut.e < last)
+select flight_id, transect_id, s as start_frame, e as end_frame from cut""")
+def split_metres(spark, sf):
+    return paths.split_by_distance(_cum(spark, sf), 30000.0)
+
+
+_TR = "tr as (select track_id % 20 as flight_id, track_id, frame, row_id, x1, y1, x2, y2, confidence, class_id from (select *, row_number() over (partition by track_id, frame order by row_id) as k from det where frame % 5 = 0) where k = 1)"
+
+
+def _tracks(spark, sf):
+    d = plans.detections(spark, sf).where("frame % 5 = 0").withColumn("k", F.row_number().over(Window.partitionBy("track_id", "frame").orderBy("row_id"))).where("k = 1")
+    return d.select((F.col("track_id") % 20).alias("flight_id"), "track_id", "frame", "row_id", "x1", "y1", "x2", "y2", "confidence", "class_id")
+
+
+@query(f"""with {_TR}, n as (select *, lead(frame) over w as f2, lead(x1) over w as x12, lead(confidence) over w as c2, lead(class_id) over w as k2 from tr window w as (partition by flight_id, track_id order by frame, row_id))
+select flight_id, track_id, f as frame, round(x1 + (x12 - x1) * (f - n.frame) / (f2 - n.frame), 4) as x1, round((confidence + c2) / 2, 4) as confidence, k2 as class_id from n, lateral (select unnest(range(n.frame + 1, f2)) as f) where f2 - n.frame between 2 and 40""")
+def interpolated_tracks(spark, sf):
+    t = _tracks(spark, sf)
+    w = Window.partitionBy("flight_id", "track_id").orderBy("frame", "row_id")
+    out = paths.interpolate_tracks(t)
+    # gaps of up to 40 frames, as a survey would fill
+    gaps = t.withColumn("f2", F.lead("frame").over(w)).where((F.col("f2") - F.col("frame")).between(2, 40)).select("flight_id", "track_id", F.explode(F.sequence(F.col("frame") + 1, F.col("f2") - 1)).alias("frame"))
+    return out.where("interpolated").join(gaps, ["flight_id", "track_id", "frame"], "left_semi").select("flight_id", "track_id", "frame", *r4("x1", "confidence"), "class_id")
+
+
+@query("""with s as (select flight_id, epoch(ts) as t, alt, heading from tele), n as (select *, lead(t) over w as t2, lead(alt) over w as a2, lead(heading) over w as h2 from s window w as (partition by flight_id order by t))
+select flight_id, k as tick, round(alt + (a2 - alt) * (k * 21600.0 - t) / (t2 - t), 3) as alt from n, lateral (select unnest(range(ceil(t / 21600.0)::bigint, ceil(t2 / 21600.0)::bigint)) as k) where t2 > t""")
+def resampled(spark, sf):
+    t = plans.telemetry(spark, sf).withColumn("t", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6)
+    return paths.resample(t, 21600.0, ["alt"], ("heading",)).select("flight_id", "tick", F.round("alt", 3).alias("alt"))
+
+
+@query("""select id, round((row_number() over (partition by flight_id, d order by id) - 1) * 1.0 / count(*) over (partition by flight_id, d), 6) as share from (select *, date_trunc('day', ts) as d from tele)""")
+def spread_timestamps(spark, sf):
+    return paths.spread_seconds(plans.telemetry(spark, sf).withColumn("d", F.date_trunc("day", "ts")), second="d").select("id", F.round("share", 6).alias("share"))
+
+
+@query("""select flight_id, frame from (select *, lag(is_video) over (partition by flight_id order by frame) as p from tele) where p is null or p <> is_video""")
+def without_repeats(spark, sf):
+    return paths.without_repeats(plans.telemetry(spark, sf), "is_video").select("flight_id", "frame")
+
+
+@query("""select flight_id, frame, round((sum(z) over (w rows between 5 preceding and 5 following) + greatest(0, 5 - i) * first_value(z) over w + greatest(0, 5 - (n - 1 - i)) * last_value(z) over (w rows between unbounded preceding and unbounded following)) / 11, 4) as z_smooth
+from (select *, row_number() over (partition by flight_id order by frame) - 1 as i, count(*) over (partition by flight_id) as n from route) window w as (partition by flight_id order by frame)""")
+def smoothed_path(spark, sf):
+    return paths.moving_average(plans.routes(spark, sf), ["z"]).select("flight_id", "frame", F.round("z_smooth", 4).alias("z_smooth"))
+
+
+@query()
+def savitzky_golay(spark, sf):
+    return paths.savitzky_golay(plans.routes(spark, sf), ["z"]).select("flight_id", "frame", F.round("z_smooth", 4).alias("z_smooth"))
+
+
+@query("""select flight_id, frame, round(case when dx * dx + dy * dy < 1e-6 then 0 else (degrees(atan2(dx, dy)) + 360) % 360 end, 3) as course
+from (select flight_id, frame, coalesce(lead(x) over w - x, x - lag(x) over w, 0) as dx, coalesce(lead(y) over w - y, y - lag(y) over w, 0) as dy from route window w as (partition by flight_id order by frame))""")
+def course(spark, sf):
+    return paths.heading_from_path(plans.routes(spark, sf)).select("flight_id", "frame", F.round("course", 3).alias("course"))
+
+
+@query("""select flight_id, min(frame) as start_frame, max(frame) as end_frame, max(is_video) as is_video from (select *, frame - row_number() over (partition by flight_id, is_video order by frame) as g from tele) group by flight_id, is_video, g""")
+def video_islands(spark, sf):
+    return paths.islands(plans.telemetry(spark, sf), "is_video").groupBy("flight_id", "island").agg(F.min("frame").alias("start_frame"), F.max("frame").alias("end_frame"), F.max("is_video").alias("is_video")).drop("island")
+
+
+@query("""select flight_id, count(*) as n from (select *, frame - row_number() over (partition by flight_id order by frame) as g, min(frame) over (partition by flight_id) as f from tele where is_video = 1) where g = f - 1 group by 1""")
+def first_video_run(spark, sf):
+    return paths.first_run(plans.telemetry(spark, sf), "is_video").groupBy("flight_id").agg(F.count("*").alias("n"))
+
+
+@query("""select a.flight_id, a.frame as central, b.frame from tele a join tele b on a.flight_id = b.flight_id and abs(a.frame - b.frame) between 10 and 100 and (a.frame - b.frame) % 10 = 0 where a.frame % 25 = 0""")
+def neighbour_frames(spark, sf):
+    t = plans.telemetry(spark, sf)
+    return paths.neighbours(t).where("central % 25 = 0").select("flight_id", "central", "frame")
+
+
+@query("""select flight_id, frame from tele where frame >= 3 and (frame - 3) % 4 = 0 and (frame - 3) < 40""")
+def skip_stride_limit(spark, sf):
+    return paths.every_nth(plans.telemetry(spark, sf), 3, 4, 10).select("flight_id", "frame")
+
+
+# --------------------------------------------------------------------- joins
+
+
+@query("""with l as (select * from tele where is_video = 1), r as (select * from tele where is_video = 0),
+  p as (select l.id, r.id as near_id, epoch(l.ts) - epoch(r.ts) as d from l join r on l.flight_id = r.flight_id and abs(epoch(l.ts) - epoch(r.ts)) <= 21600),
+  b as (select *, row_number() over (partition by id order by abs(d), d desc, near_id) as k from p)
+select l.id, b.near_id, round(abs(d), 3) as near_dt from l left join b on b.id = l.id and k = 1""")
+def nearest_in_time(spark, sf):
+    t = plans.telemetry(spark, sf).withColumn("t", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).select("flight_id", "id", "t", "is_video")
+    r = t.where("is_video = 0").withColumn("row_id", F.col("id"))
+    out = joins.asof_nearest(t.where("is_video = 1"), r, "flight_id", "t", 21600.0, ["id"])
+    return out.select("id", "near_id", F.round("near_dt", 3).alias("near_dt"))
+
+
+@query("""select a.id, b.id as photo_id from (select *, row_number() over (partition by flight_id order by ts, id) as i from tele where is_video = 1) a left join (select *, row_number() over (partition by flight_id order by id) as i from tele where id % 3 = 0) b on a.flight_id = b.flight_id and a.i = b.i""")
+def positional_match(spark, sf):
+    t = plans.telemetry(spark, sf)
+    b = t.where("id % 3 = 0").select("flight_id", F.col("id").alias("photo_id"))
+    a = t.where("is_video = 1").withColumn("o", F.struct("ts", "id"))
+    return joins.positional(a, b, "flight_id", "o", "photo_id", ["photo_id"]).select("id", "photo_id")
+
+
+_RANGES = "ranges as (select flight_id, o as ord, o * 15 + flight_id % 7 as s, case when o = 3 then null else o * 15 + flight_id % 7 + 20 end as e, o * 0.5 as tx from (select distinct flight_id from tele), range(4) r(o))"
+
+
+@query(f"""with {_RANGES} select t.flight_id, t.frame, round(coalesce((select r.tx from ranges r where r.flight_id = t.flight_id and t.frame >= r.s and (r.e is null or t.frame <= r.e) order by ord limit 1), -1.0), 2) as tx from tele t""")
+def corrections_by_frame(spark, sf):
+    t = plans.telemetry(spark, sf)
+    r = t.select("flight_id").distinct().withColumn("ord", F.explode(F.sequence(F.lit(0), F.lit(3)))).withColumn("start_frame", F.col("ord") * 15 + F.col("flight_id") % 7)
+    r = r.withColumn("end_frame", F.when(F.col("ord") < 3, F.col("start_frame") + 20)).withColumn("tx", F.col("ord") * 0.5)
+    return joins.interval_first(t.select("flight_id", "frame"), r, "frame", "flight_id", ["tx"], {"tx": -1.0}).select("flight_id", "frame", F.round("tx", 2).alias("tx"))
+
+
+@query("""select a.frame, a.row_id as a_id, b.row_id as b_id from det a join det b on a.frame = b.frame and a.row_id < b.row_id and a.x1 <= b.x2 and b.x1 <= a.x2 and a.y1 <= b.y2 and b.y1 <= a.y2""")
+def overlap_pairs(spark, sf):
+    d = plans.detections(spark, sf).select("frame", F.col("row_id").alias("id"), "x1", "y1", "x2", "y2")
+    return joins.overlap_join(d, d, 10.0, "frame").where("a_id < b_id")
+
+
+_SEG = "seg as (select * from (select flight_id, row_number() over w - 1 as seg, x as ax, y as ay, lead(x) over w - x as dx, lead(y) over w - y as dy from route where frame < 12 window w as (partition by flight_id order by frame)) where dx is not null)"
+_POINTS = "pts as (select flight_id, frame as point_id, x + 37.5 as px, y - 12.25 as py, x as camera_x, y as camera_y from route where frame % 3 = 1)"
+_CLAMP = "greatest(0, least(1, case when dx * dx + dy * dy < 1e-12 then 0 else ((px - ax) * dx + (py - ay) * dy) / (dx * dx + dy * dy) end))"
+
+
+def _points_segments(spark, sf):
+    r = plans.routes(spark, sf)
+    pts = r.where("frame % 3 = 1").select("flight_id", F.col("frame").alias("point_id"), (F.col("x") + 37.5).alias("px"), (F.col("y") - 12.25).alias("py"), F.col("x").alias("camera_x"), F.col("y").alias("camera_y"))
+    return pts, joins.segments(r.where("frame < 12"))
+
+
+@query(f"""with {_SEG}, {_POINTS}, j as (select *, {_CLAMP} as t from pts join seg using (flight_id)), d as (select *, sqrt(power(px - ax - t * dx, 2) + power(py - ay - t * dy, 2)) as d from j),
+  k as (select *, row_number() over (partition by flight_id, point_id order by round(d, 9), seg) as k from d) select flight_id, point_id, seg, round(d, 4) as distance from k where k = 1""")
+def nearest_on_route(spark, sf):
+    pts, seg = _points_segments(spark, sf)
+    return joins.nearest_on_route(pts, seg).where("seg is not null").select("flight_id", "point_id", "seg", F.round("distance", 4).alias("distance"))
+
+
+@query(f"""with {_SEG}, {_POINTS}, j as (select *, {_CLAMP.replace("px", "camera_x").replace("py", "camera_y")} as t from pts join seg using (flight_id)), d as (select *, sqrt(power(camera_x - ax - t * dx, 2) + power(camera_y - ay - t * dy, 2)) as d from j),
+  k as (select *, row_number() over (partition by flight_id, point_id order by round(d, 9), seg) as k from d), u as (select *, case when dx * dx + dy * dy < 1e-12 then 0 else ((px - ax) * dx + (py - ay) * dy) / (dx * dx + dy * dy) end as f from k where k = 1)
+select flight_id, point_id, seg, round(sqrt(power(px - ax - f * dx, 2) + power(py - ay - f * dy, 2)), 3) as distance from u""")
+def perpendicular_distance(spark, sf):
+    pts, seg = _points_segments(spark, sf)
+    return joins.perpendicular(pts, seg).select("flight_id", "point_id", "seg", F.round("distance", 3).alias("distance"))
+
+
+@query(f"""with {_SEG}, {_POINTS}, j as (select flight_id, point_id, seg // 4 as transect_id, sqrt(power(px - ax - {_CLAMP} * dx, 2) + power(py - ay - {_CLAMP} * dy, 2)) as d from pts join seg using (flight_id)),
+  m as (select flight_id, point_id, transect_id, min(d) as d from j group by all), k as (select *, row_number() over (partition by flight_id, point_id order by round(d, 9), transect_id) as k from m)
+select flight_id, point_id, case when d > 500 then -1 else transect_id end as transect_id, transect_id as nearest, d > 500 as truncated from k where k = 1""")
+def transect_assignment(spark, sf):
+    pts, seg = _points_segments(spark, sf)
+    out = joins.assign_to_transects(pts, seg.withColumn("transect_id", F.floor(F.col("seg") / 4)), 500.0)
+    return out.where("nearest is not null").select("flight_id", "point_id", "transect_id", "nearest", "truncated")
+
+
+@query("""with a as (select * from tele where id % 2 = 0), b as (select * from tele where id % 2 = 1), g as (select flight_id, ts, lead(ts) over (partition by flight_id order by ts) as n from a)
+select id, 0 as filled from a union all select b.id, 1 from b join g on b.flight_id = g.flight_id and b.ts > g.ts and b.ts < g.n and epoch(g.n) - epoch(g.ts) > 43200""")
+def gap_filled_log(spark, sf):
+    t = plans.telemetry(spark, sf).withColumn("t", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).select("flight_id", "id", "t")
+    return joins.fill_gaps(t.where("id % 2 = 0"), t.where("id % 2 = 1"), 43200.0).select("id", "filled")
+
+
+# ------------------------------------------------------- tracks and aggregates
+
+
+@query(f"""with {_TR}, g as (select flight_id, track_id, class_id, avg(case when confidence >= 0.7 then confidence end) as m, count(*) filter (confidence >= 0.7) as n, min(case when confidence >= 0.7 then frame * 1000000 + row_id % 1000000 end) as f, avg(confidence) as c from tr group by all),
+  k as (select *, row_number() over (partition by flight_id, track_id order by round(m, 9) desc nulls last, f nulls last, class_id) as k from g where n > 0)
+select t.flight_id, t.track_id, k.class_id, round(coalesce(c, 0), 3) as confidence from (select distinct flight_id, track_id from tr) t left join k on k.flight_id = t.flight_id and k.track_id = t.track_id and k = 1""")
+def class_votes(spark, sf):
+    return tracks.class_vote(_tracks(spark, sf)).select("flight_id", "track_id", "class_id", F.round("confidence", 3).alias("confidence"))
+
+
+@query(f"""with {_TR}, c as (select flight_id, track_id, (x1 + x2) / 2 as cx, (y1 + y2) / 2 as cy from tr), d as (select *, sqrt(power(cx - avg(cx) over w, 2) + power(cy - avg(cy) over w, 2)) as d from c window w as (partition by flight_id, track_id))
+select flight_id, track_id, count(*) as n, count(*) filter (d > 30) as outliers, round(max(d), 4) as max_distance, round(stddev_pop(d), 4) as std_distance, (count(*) filter (d > 30) >= 20 or count(*) filter (d > 30) * 1.0 / count(*) >= 0.5) as moved from d group by 1, 2 having count(*) >= 2""")
+def track_movement(spark, sf):
+    return tracks.movement(_tracks(spark, sf), 30.0, 20, 0.5).select("flight_id", "track_id", "n", "outliers", *r4("max_distance", "std_distance"), "moved")
+
+
+def _modalities(spark, sf):
+    d = plans.detections(spark, sf).where("frame % 2 = 0").select("frame", "track_id", F.col("x1").alias("cx"), F.col("y1").alias("cy"), "confidence", "row_id")
+    return d.where("row_id % 2 = 0").withColumn("track_id", F.col("track_id") % 40), d.where("row_id % 2 = 1").withColumn("track_id", F.col("track_id") % 30)
+
+
+_MOD = "ma as (select frame, track_id % 40 as track_id, x1 as cx, y1 as cy, confidence from det where frame % 2 = 0 and row_id % 2 = 0), mb as (select frame, track_id % 30 as track_id, x1 as cx, y1 as cy, confidence from det where frame % 2 = 0 and row_id % 2 = 1)"
+_CANDS = f"{_MOD}, j as (select a.track_id as track_t, b.track_id as track_w, sqrt(power(a.cx - b.cx, 2) + power(a.cy - b.cy, 2)) as d from ma a join mb b on a.frame = b.frame), c as (select track_t, track_w, count(*) as shared, median(d) as median_dist from j group by all)"
+
+
+@query(f"""with {_CANDS} select track_t, track_w, shared, round(median_dist, 4) as median_dist, round((select avg(confidence) from ma where track_id = track_t), 4) as conf_t,
+  case when shared < 8 then 'shared' when median_dist >= 28 then 'distance' end as rejected from c""")
+def match_candidates(spark, sf):
+    a, b = _modalities(spark, sf)
+    pairs = a.select(F.col("frame").alias("frame_a"), F.col("frame").alias("frame_b")).distinct()
+    return tracks.gate(tracks.candidates(a, b, pairs)).select("track_t", "track_w", "shared", *r4("median_dist", "conf_t"), "rejected")
+
+
+@query(f"""with {_CANDS} select rejected, count(*) as n from (select case when shared < 8 then 'shared' when median_dist >= 28 then 'distance' else 'accepted' end as rejected from c) group by 1""")
+def rejection_reasons(spark, sf):
+    a, b = _modalities(spark, sf)
+    pairs = a.select(F.col("frame").alias("frame_a"), F.col("frame").alias("frame_b")).distinct()
+    return tracks.gate(tracks.candidates(a, b, pairs)).groupBy(F.coalesce("rejected", F.lit("accepted")).alias("rejected")).agg(F.count("*").alias("n"))
+
+
+@query(f"""with {_MOD}, a1 as (select frame, min(cx) as ax, min(cy) as ay from ma group by 1 having count(*) = 1), b1 as (select frame, min(cx) as bx, min(cy) as bya from mb group by 1 having count(*) = 1)
+select frame as frame_a, ax, ay, bx, bya as "by" from a1 join b1 using (frame)""")
+def seeds(spark, sf):
+    a, b = _modalities(spark, sf)
+    pairs = a.select(F.col("frame").alias("frame_a"), F.col("frame").alias("frame_b")).distinct()
+    return tracks.seed_pairs(a, b, pairs).select("frame_a", "ax", "ay", "bx", "by")
+
+
+@query(f"""with {_MOD}, a1 as (select frame, min(cx) as ax, min(cy) as ay from ma group by 1 having count(*) = 1), b1 as (select frame, min(cx) as bx, min(cy) as bya from mb group by 1 having count(*) = 1)
+select count(*) as n, sum(ax) as sx, sum(ay) as sy, sum(ax * ax) as sxx, sum(ax * ay) as sxy, sum(ay * ay) as syy, sum(bx) as bx1, sum(bx * ax) as bxx, sum(bx * ay) as bxy, sum(bya) as by1, sum(bya * ax) as byx, sum(bya * ay) as byy from a1 join b1 using (frame)""")
+def affine_normal_sums(spark, sf):
+    a, b = _modalities(spark, sf)
+    pairs = a.select(F.col("frame").alias("frame_a"), F.col("frame").alias("frame_b")).distinct()
+    return tracks.affine_sums(tracks.seed_pairs(a, b, pairs))
+
+
+@query()
+def matched_tracks(spark, sf):
+    a, b = _modalities(spark, sf)
+    pairs = a.select(F.col("frame").alias("frame_a"), F.col("frame").alias("frame_b")).distinct()
+    return tracking.match_tracks(a, b, pairs, (1.0, 0.0, 0.0, 1.0, 0.0, 0.0), shared=3)
+
+
+@query(f"""with {_TR} select count(*) as n, count(*) as distinct_rows, 0::bigint as twice_in_a_frame from tr""")
+def tracker_checks(spark, sf):
+    """Every box has one track, and no track has two boxes of a frame."""
+    t = _tracks(spark, sf)
+    out = tracking.track_boxes(t, mode="greedy", least=0.1, max_age=3)
+    twice = out.groupBy("flight_id", "frame", "track_id").agg(F.count("*").alias("k")).agg(F.sum("k").alias("n"), F.sum((F.col("k") - 1)).alias("twice_in_a_frame"))
+    return twice.join(out.agg(F.count_distinct("row_id").alias("distinct_rows")))
+
+
+@query()
+def tracker_hungarian(spark, sf):
+    return tracking.track_boxes(_tracks(spark, sf), mode="hungarian_center", least=0.1, max_age=3)
+
+
+@query()
+def simplified_routes(spark, sf):
+    return tracking.simplify(plans.routes(spark, sf), 500.0, ("flight_id",))
+
+
+@query()
+def stitched_fragments(spark, sf):
+    t = plans.detections(spark, sf).where("frame < 3000").withColumn("track_id", F.col("track_id") * 4 + F.col("class_id"))
+    return tracks.fragments(t, 4, 2, 0.1, 2.0)
+
+
+@query("""select flight_id, transect_id, count(*) as n from (select flight_id, frame // 10 as transect_id from tele) group by all""")
+def transect_counts(spark, sf):
+    t = plans.telemetry(spark, sf).withColumn("transect_id", F.floor(F.col("frame") / 10))
+    dim = t.select("flight_id", "transect_id").distinct()
+    return estimators.counts(t, dim).withColumnRenamed("count", "n")
+
+
+_STRATA = "strata as (select o_custkey % 5 as stratum, count(*) as \"count\", 10 + (o_custkey % 37) * 1.5 as area_ha from orders group by o_custkey)"
+
+
+def _strata(spark, sf):
+    return table(spark, sf, "orders").groupBy("o_custkey").agg(F.count("*").alias("count")).select((F.col("o_custkey") % 5).alias("stratum"), "count", (10 + (F.col("o_custkey") % 37) * 1.5).alias("area_ha"))
+
+
+@query(f"""with {_STRATA} select stratum, round(sum("count") / sum(area_ha) * 100, 4) as density, count(*) as n from strata group by 1""")
+def survey_density(spark, sf):
+    return estimators.naive(_strata(spark, sf)).select("stratum", F.round("density", 4).alias("density"), "n")
+
+
+@query()
+def bootstrap_density(spark, sf):
+    return estimators.bootstrap(_strata(spark, sf), 199)
+
+
+@query()
+def zero_inflated_density(spark, sf):
+    return estimators.zinb(_strata(spark, sf).where("area_ha < 20").withColumn("count", F.greatest(F.col("count") - 8, F.lit(0))))
+
+
+@query()
+def distance_sampling(spark, sf):
+    d = plans.detections(spark, sf).select((F.col("frame") % 3).alias("stratum"), F.abs(F.col("x1") + F.col("y1") - 75).alias("distance"), F.lit(1000.0).alias("effort_m"))
+    return estimators.distance_density(d)
+
+
+@query("""select frame % 3 as stratum, round(quantile_cont(abs(x1 + y1 - 75), 0.95), 4) as w, count(*) as n from det group by 1""")
+def truncation_distance(spark, sf):
+    d = plans.detections(spark, sf).select((F.col("frame") % 3).alias("stratum"), F.abs(F.col("x1") + F.col("y1") - 75).alias("distance"))
+    return d.groupBy("stratum").agg(F.round(F.percentile("distance", F.lit(0.95)), 4).alias("w"), F.count("*").alias("n"))
+
+
+@query("""select flight_id, count(*) filter (lat between 48.02 and 48.08 and lon between 14.01 and 14.06) as inside, count(*) as n, round(min(lat), 6) as min_lat, round(max(lon), 6) as max_lon from tele group by 1""")
+def coverage_check(spark, sf):
+    ok = F.col("lat").between(48.02, 48.08) & F.col("lon").between(14.01, 14.06)
+    return plans.telemetry(spark, sf).where(geodesy.valid_position(F.col("lat"), F.col("lon"))).groupBy("flight_id").agg(F.sum(ok.cast("long")).alias("inside"), F.count("*").alias("n"), F.round(F.min("lat"), 6).alias("min_lat"), F.round(F.max("lon"), 6).alias("max_lon"))
+
+
+@query("""select flight_id, count(distinct track_id) as tracks, round(avg(confidence), 4) as confidence, round(min(x1) - 10, 4) as min_x, round(max(y2) + 10, 4) as max_y from det group by 1""")
+def flight_summary(spark, sf):
+    return plans.detections(spark, sf).groupBy("flight_id").agg(F.count_distinct("track_id").alias("tracks"), F.round(F.avg("confidence"), 4).alias("confidence"), F.round(F.min("x1") - 10, 4).alias("min_x"), F.round(F.max("y2") + 10, 4).alias("max_y"))
+
+
+# ------------------------------------------------------------------- rasters
+
+
+@query("""select (49 - y1)::bigint as "row", x1::bigint as col, count(*) as n from det group by all""")
+def binned_cells(spark, sf):
+    p = plans.detections(spark, sf).select(F.col("x1").alias("x"), F.col("y1").alias("y"))
+    return rasters.binned(p, {"min_x": 0.0, "max_y": 49.999, "cell": 1.0, "width": 100, "height": 50})
+
+
+@query("""select round(count(*) * 1.0 / count(*), 2) as mass from det""")
+def kde_mass(spark, sf):
+    """The density surface holds every point: densities times cell areas add up to their number."""
+    p = plans.detections(spark, sf).select(F.col("x1").alias("x"), F.col("y1").alias("y"))
+    return rasters.density(p, 5.0, 10.0).agg(F.sum("density").alias("d")).join(p.agg(F.count("*").alias("n"))).select(F.round(F.col("d") * 25 / 10_000 / F.col("n"), 2).alias("mass"))
+
+
+@query("""with b as (select x1 + 0.25 as x1, y1 + 0.25 as y1, x1 + 0.25 + 1 + (row_id % 3) as x2, y1 + 0.25 + 1 + (row_id % 2) as y2 from det where frame % 50 = 0), o as (select min(x1) as x0, max(y2) as y0 from b)
+select r as "row", c as col, count(*) as n from b, o, range(0, 110) t(c), range(0, 60) u(r) where x0 + (c + 0.5) between x1 and x2 and y0 - (r + 0.5) between y1 and y2 group by all""")
+def coverage_cells(spark, sf):
+    b = plans.detections(spark, sf).where("frame % 50 = 0").selectExpr("x1 + 0.25 as x1", "y1 + 0.25 as y1", "x1 + 0.25 + 1 + (row_id % 3) as x2", "y1 + 0.25 + 1 + (row_id % 2) as y2")
+    ring = F.array(*[F.struct(F.col(x).alias("x"), F.col(y).alias("y")) for x, y in (("x1", "y1"), ("x2", "y1"), ("x2", "y2"), ("x1", "y2"))])
+    return rasters.coverage(b.select(ring.alias("ring")))
+
+
+_LAYERS = "layers as (select y1::bigint as \"row\", x1::bigint as col, row_id as shot, l as value, abs(x1 - 50) + row_id % 5 as distance from (select *, (row_id % 97) * 1.0 as l from det where frame % 10 = 0))"
+
+
+def _layers(spark, sf):
+    return plans.detections(spark, sf).where("frame % 10 = 0").select(F.col("y1").cast("long").alias("row"), F.col("x1").cast("long").alias("col"), F.col("row_id").alias("shot"), (F.col("row_id") % 97 * 1.0).alias("value"), (F.abs(F.col("x1") - 50) + F.col("row_id") % 5).alias("distance"))
+
+
+@query(f"""with {_LAYERS} select "row", col, round_even(avg(value), 0) as value, count(*) as layers from layers group by all""")
+def mosaic_average(spark, sf):
+    return rasters.mosaic(_layers(spark, sf))
+
+
+@query(f"""with {_LAYERS} select "row", col, arg_min(value, shot) as first_value, arg_max(value, shot) as last_value, arg_min(value, distance * 100000000 + shot) as center_value from layers group by all""")
+def mosaic_blends(spark, sf):
+    m = _layers(spark, sf)
+    one = lambda how: rasters.mosaic(m, how).select("row", "col", F.col("value").alias(f"{how}_value"))
+    return one("first").join(one("last"), ["row", "col"]).join(one("center"), ["row", "col"])
+
+
+@query(f"""with {_LAYERS}, v as (select distinct "row", col from layers) select "row", col from v a where (select count(*) from v b where abs(a."row" - b."row") + abs(a.col - b.col) = 1) = 4""")
+def eroded_mask(spark, sf):
+    return rasters.eroded(_layers(spark, sf).select("row", "col").distinct(), 1)
+
+
+@query(f"""with {_LAYERS}, v as (select distinct "row", col from layers where col > 20 and "row" > 7) select "row" - min("row") over () as "row", col - min(col) over () as col from v""")
+def cropped_cells(spark, sf):
+    return rasters.cropped(_layers(spark, sf).select("row", "col").distinct().where("col > 20 and row > 7"))
+
+
+@query("""select (r * 4 + c)::bigint as tile, (c * 300)::bigint as x, (r * 300)::bigint as y, least(428, 1000 - c * 300)::bigint as w, least(428, 700 - r * 300)::bigint as h from range(0, 3) t(r), range(0, 4) u(c)""")
+def overlapping_tiles(spark, sf):
+    return rasters.tiles(spark, 1000, 700, 428, 128)
+
+
+_HEIGHTS = "h as (select y1::bigint as \"row\", x1::bigint as col, max((row_id % 50) * 1.0) as z from det group by all)"
+
+
+def _heights(spark, sf):
+    return plans.detections(spark, sf).groupBy(F.col("y1").cast("long").alias("row"), F.col("x1").cast("long").alias("col")).agg(F.max(F.col("row_id") % 50 * 1.0).alias("z"))
+
+
+@query(f"""with {_HEIGHTS}, p as (select row_id, x1 + 0.3 as px, y1 + (row_id % 9) * 0.1 as py from det where frame % 20 = 0),
+  q as (select p.*, px - floor(px) as tx, py - floor(py) as ty, a.z as z0, b.z as z1, c.z as z2, d.z as z3 from p left join h a on a."row" = floor(py) and a.col = floor(px) left join h b on b."row" = floor(py) and b.col = floor(px) + 1 left join h c on c."row" = floor(py) + 1 and c.col = floor(px) left join h d on d."row" = floor(py) + 1 and d.col = floor(px) + 1)
+select row_id, round(case when tx + ty <= 1 then z0 + tx * (z1 - z0) + ty * (z2 - z0) else z3 + (1 - tx) * (z2 - z3) + (1 - ty) * (z1 - z3) end, 4) as z from q""")
+def sampled_heights(spark, sf):
+    p = plans.detections(spark, sf).where("frame % 20 = 0").selectExpr("row_id", "x1 + 0.3 as px", "y1 + (row_id % 9) * 0.1 as py")
+    return rasters.sampled(_heights(spark, sf), p, 1.0).select("row_id", F.round("z", 4).alias("z"))
+
+
+@query(f"""with {_HEIGHTS} select count(*) * 2 as faces, count(*) as cells from h where "row" < 49 and col < 99""")
+def terrain_mesh(spark, sf):
+    _, faces = rasters.heightfield_mesh(_heights(spark, sf), 100, 50, 1.0)
+    return faces.agg(F.count("*").alias("faces"), (F.count("*") / 2).cast("long").alias("cells"))
+
+
+@query("""select flight_id, round(count(*) * 0.25, 4) as area from (select distinct flight_id, c, r from (select flight_id, x1, y1, x2, y2 from det where frame % 100 = 0) b, range(0, 260) t(c), range(0, 160) u(r) where (c + 0.5) * 0.5 between x1 and x2 and (r + 0.5) * 0.5 between y1 and y2) group by 1""")
+def union_areas(spark, sf):
+    d = plans.detections(spark, sf).where("frame % 100 = 0").withColumn("ring", F.slice(boxes.ring(boxes.box()), 1, 4))
+    return rasters.union_area(d, "flight_id", 0.5).select("flight_id", F.round("area", 4).alias("area"))
