@@ -36,7 +36,7 @@ from . import shared
 HEAD, VOCABULARY, CLASSES, STATE = 200_000, 6_000, 80, 16
 #: Rounds of training, each over its own part of the training texts.
 ROUNDS = 2
-LANES, WINDOW = 128, 32
+LANES, WINDOW = 256, 32
 END = np.uint64(0xE17D_0000_0000_0001)
 _HELD = 4_000_000
 
@@ -284,7 +284,7 @@ def laid_out(number: np.ndarray, off: np.ndarray, many: int, end: int):
     return x, fresh, y, use, where
 
 
-def score(net: Network, number: np.ndarray, off: np.ndarray, end: int, many: int = 512, window: int = 64) -> np.ndarray:
+def score(net: Network, number: np.ndarray, off: np.ndarray, end: int, many: int = 256, window: int = 64) -> np.ndarray:
     """Natural log probability of each row."""
     x, fresh, y, use, where = laid_out(number, off, many, end)
     out, h = np.zeros(len(number)), np.zeros((x.shape[1], net.state), np.float32)
@@ -299,6 +299,13 @@ def score(net: Network, number: np.ndarray, off: np.ndarray, end: int, many: int
     return np.add.reduceat(out, off[:-1])
 
 
+def cut_up(off: np.ndarray, most: int = 1024) -> np.ndarray:
+    """Offsets of the rows' stretches of at most `most` words, for training: a lane then holds no text that outlasts all others."""
+    n = -(-np.diff(off) // most)
+    row = np.repeat(np.arange(len(n)), n)
+    return np.r_[off[row] + (np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)) * most, off[-1]]
+
+
 class Trainer:
     """Adagrad over windows of LANES lanes."""
 
@@ -345,9 +352,9 @@ def _train(sent, head):
     def run(batches):
         trainer = Trainer(sent.value)
         for batch in batches:
-            for part in shared.pieces(batch, 4 << 20):
+            for part in shared.pieces(batch, 8 << 20):
                 h, off, _ = tokens(part.column(0))
-                trainer.texts(head.value.find(h)[1], off, head.value.end)
+                trainer.texts(head.value.find(h)[1], cut_up(off), head.value.end)
         if trainer.seen:
             flat = np.concatenate([trainer.net.p[k].ravel() for k in sorted(trainer.net.p)]).astype(np.float64) * trainer.seen
             pages = [flat[a : a + 4096].tobytes() for a in range(0, len(flat), 4096)]
@@ -380,7 +387,7 @@ def _scored(sent, head, buckets: int):
     def run(batches):
         top = head.value
         for batch in batches:
-            for part in shared.pieces(batch, 8 << 20):
+            for part in shared.pieces(batch, 16 << 20):
                 h, off, content = tokens(part.column(1))
                 count, number = top.find(h)
                 logs = score(sent.value, number, off, top.end)
