@@ -1 +1,45 @@
-"""Aerial survey analytics on Spark: streaming."""
+"""Streams of telemetry and detections."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def windowed(events: DataFrame, late: str = "10 minutes", size: str = "1 hour", key: str = "event_type") -> DataFrame:
+    """Counts and sums by window; rows later than `late` behind the newest are dropped."""
+    e = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+    return e.groupBy(F.window("ts", size).alias("w"), key).agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), key, "n", "total")
+
+
+def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
+    """One row for each user's stretch of events without a pause of `gap`."""
+    e = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+    return e.groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count("*").alias("n")).select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
+
+
+def paired(thermal: DataFrame, colour: DataFrame, within: str = "100 milliseconds", late: str = "1 minute") -> DataFrame:
+    """Rows of two cameras of one flight whose clocks are at most `within` apart."""
+    a = thermal.select("flight_id", F.col("ts").cast("timestamp").alias("ts_t"), F.col("id").alias("id_t")).withWatermark("ts_t", late)
+    b = colour.select(F.col("flight_id").alias("flight_w"), F.col("ts").cast("timestamp").alias("ts_w"), F.col("id").alias("id_w")).withWatermark("ts_w", late)
+    return a.join(b, F.expr(f"flight_id = flight_w and ts_w between ts_t - interval {within} and ts_t + interval {within}")).select("flight_id", "id_t", "id_w", "ts_t", "ts_w")
+
+
+def tracked(detections: DataFrame, **how) -> DataFrame:
+    """detections of a stream with track ids. A flight's tracker is its state; frames must come in order, each whole in one batch."""
+    import pickle
+
+    import pandas as pd
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    from ..operators.assignment import Tracker
+
+    def run(key, batches, state):
+        tracker = pickle.loads(state.get[0]) if state.exists else Tracker(**how)
+        pdf = pd.concat(list(batches)).sort_values(["frame", "row_id"]).reset_index(drop=True)
+        for frame, rows in pdf.groupby("frame", sort=True):
+            ids = tracker.frame(rows[["x1", "y1", "x2", "y2"]].to_numpy(float), rows["class_id"].to_numpy(int))
+            yield pd.DataFrame({"flight_id": key[0], "frame": frame, "row_id": rows["row_id"].to_numpy(), "track_id": ids})
+        state.update((pickle.dumps(tracker),))
+
+    return detections.groupBy("flight_id").applyInPandasWithState(run, "flight_id long, frame long, row_id long, track_id long", "tracker binary", "append", GroupStateTimeout.NoTimeout)
