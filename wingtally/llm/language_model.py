@@ -41,7 +41,16 @@ END = np.uint64(0xE17D_0000_0000_0001)
 _HELD = 4_000_000
 
 
-def tokens(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def tokens(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same for the column 'text' of a batch, hashed a block at a time: what a block needs is many times its bytes."""
+    parts = [_tokens(p.column(p.schema.get_field_index("text"))) for p in shared.pieces(batch)]
+    if not parts:
+        return np.zeros(0, np.uint64), np.zeros(1, np.int64), np.zeros(0, np.int64)
+    h, off, content = zip(*parts, strict=True)
+    return np.concatenate(h), np.r_[0, np.cumsum(np.concatenate([np.diff(o) for o in off]))], np.concatenate(content)
+
+
+def _tokens(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of all rows' words, an end after each row; the rows' offsets; a hash of each text."""
     w = shared.Words(text)
     n = np.diff(w.off_w) + 1
@@ -80,7 +89,7 @@ def _count(buckets: int):
         h, c, held = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
         for batch in batches:
             for part in shared.pieces(batch):
-                x, n = np.unique(tokens(part.column(0))[0], return_counts=True)
+                x, n = np.unique(tokens(part)[0], return_counts=True)
                 h.append(x)
                 c.append(n.astype(np.int64))
                 held += len(x)
@@ -353,7 +362,7 @@ def _train(sent, head):
         trainer = Trainer(sent.value)
         for batch in batches:
             for part in shared.pieces(batch, 8 << 20):
-                h, off, _ = tokens(part.column(0))
+                h, off, _ = tokens(part)
                 trainer.texts(head.value.find(h)[1], cut_up(off), head.value.end)
         if trainer.seen:
             flat = np.concatenate([trainer.net.p[k].ravel() for k in sorted(trainer.net.p)]).astype(np.float64) * trainer.seen
@@ -388,7 +397,7 @@ def _scored(sent, head, buckets: int):
         top = head.value
         for batch in batches:
             for part in shared.pieces(batch, 16 << 20):
-                h, off, content = tokens(part.column(1))
+                h, off, content = tokens(part)
                 count, number = top.find(h)
                 logs = score(sent.value, number, off, top.end)
                 rare = (count == 0) & (h != END)
