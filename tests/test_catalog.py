@@ -13,7 +13,7 @@ SF = "/root/testdata/sf0.001"
 @pytest.fixture(scope="module")
 def con():
     c = duckdb.connect()
-    for t in ("lineitem", "orders", "events"):
+    for t in ("lineitem", "orders", "events", "pages"):
         c.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     return c
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from . import plans
 from .functions import boxes, geodesy, optics
-from .operators import estimators, joins, paths, rasters, tracking, tracks
+from .operators import clocks, estimators, joins, paths, rasters, terrain, tracking, tracks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -379,9 +379,9 @@ def gap_filled_log(spark, sf):
 
 @query(f"""with {_TR}, g as (select flight_id, track_id, class_id, avg(case when confidence >= 0.7 then confidence end) as m, count(*) filter (confidence >= 0.7) as n, min(case when confidence >= 0.7 then frame * 1000000 + row_id % 1000000 end) as f, avg(confidence) as c from tr group by all),
   k as (select *, row_number() over (partition by flight_id, track_id order by round(m, 9) desc nulls last, f nulls last, class_id) as k from g where n > 0)
-select t.flight_id, t.track_id, k.class_id, round(coalesce(c, 0), 3) as confidence from (select distinct flight_id, track_id from tr) t left join k on k.flight_id = t.flight_id and k.track_id = t.track_id and k = 1""")
+select t.flight_id, t.track_id, k.class_id, round(coalesce(c, 0) + 1e-7, 5) as confidence from (select distinct flight_id, track_id from tr) t left join k on k.flight_id = t.flight_id and k.track_id = t.track_id and k = 1""")
 def class_votes(spark, sf):
-    return tracks.class_vote(_tracks(spark, sf)).select("flight_id", "track_id", "class_id", F.round("confidence", 3).alias("confidence"))
+    return tracks.class_vote(_tracks(spark, sf)).select("flight_id", "track_id", "class_id", F.round(F.col("confidence") + 1e-7, 5).alias("confidence"))
 
 
 @query(f"""with {_TR}, c as (select flight_id, track_id, (x1 + x2) / 2 as cx, (y1 + y2) / 2 as cy from tr), d as (select *, sqrt(power(cx - avg(cx) over w, 2) + power(cy - avg(cy) over w, 2)) as d from c window w as (partition by flight_id, track_id))
@@ -597,3 +597,98 @@ def terrain_mesh(spark, sf):
 def union_areas(spark, sf):
     d = plans.detections(spark, sf).where("frame % 100 = 0").withColumn("ring", F.slice(boxes.ring(boxes.box()), 1, 4))
     return rasters.union_area(d, "flight_id", 0.5).select("flight_id", F.round("area", 4).alias("area"))
+
+
+# ------------------------------------------------------------ clocks and ground
+
+
+def _clock(spark, sf):
+    return plans.telemetry(spark, sf).withColumn("t", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6)
+
+
+@query("""with r as (select flight_id, id, epoch(ts) as t from tele), a as (select distinct flight_id, epoch(timestamp '2024-01-10 00:00:00') as asked from tele),
+  j as (select a.flight_id, id, row_number() over (partition by a.flight_id order by abs(t - asked), t, id) as k from a join r on r.flight_id = a.flight_id and abs(t - asked) <= 43200)
+select flight_id, id from j where k = 1""")
+def nearest_log_row(spark, sf):
+    t = _clock(spark, sf)
+    at = t.select("flight_id").distinct().withColumn("at", F.lit(1704844800.0))
+    return clocks.nearest_row(t.select("flight_id", "id", "t"), at, 43200.0).select("flight_id", "id")
+
+
+@query("""with r as (select flight_id, frame, epoch(ts) as t from tele) select flight_id, k::int as range_id, min(frame) as start_frame, max(frame) as end_frame from r, range(4) x(k) where t between 1704067200 + k * 604800 and 1704067200 + k * 604800 + 300000 group by 1, 2""")
+def ranges_of_times(spark, sf):
+    t = _clock(spark, sf)
+    r = t.select("flight_id").distinct().withColumn("range_id", F.explode(F.sequence(F.lit(0), F.lit(3)))).withColumn("low", 1704067200.0 + F.col("range_id") * 604800).withColumn("high", F.col("low") + 300000)
+    return clocks.index_ranges(t, r)
+
+
+@query("""with r as (select flight_id, epoch(ts) as t, alt as v, row_number() over w as i, count(*) over (partition by flight_id) as n, lead(epoch(ts)) over w as t2, lead(alt) over w as v2 from tele window w as (partition by flight_id order by ts)),
+  a as (select distinct flight_id, 1704067200 + k * 1000000.0 as asked from tele, range(4) x(k))
+select a.flight_id, asked::bigint as asked, round(v + (v2 - v) * (asked - t) / (t2 - t), 2) as alt from a join r on r.flight_id = a.flight_id and t2 is not null and (asked >= t or i = 1) and (asked < t2 or i = n - 1)""")
+def values_at_times(spark, sf):
+    t = _clock(spark, sf)
+    a = t.select("flight_id").distinct().withColumn("at", F.explode(F.array(*[F.lit(1704067200 + k * 1000000.0) for k in range(4)])))
+    return clocks.at_times(t, a, "alt").select("flight_id", F.col("at").cast("long").alias("asked"), F.round("alt", 2).alias("alt"))
+
+
+@query()
+def unique_photo_matches(spark, sf):
+    t = _clock(spark, sf)
+    return clocks.unique_matches(t.where("id % 2 = 0").select("flight_id", F.col("id").alias("photo_id"), "t"), t.where("id % 2 = 1").select("flight_id", F.col("id").alias("log_id"), "t"), 21600.0)
+
+
+@query()
+def clock_offsets(spark, sf):
+    t = _clock(spark, sf).where("flight_id < 6").withColumn("t", F.col("frame").cast("double"))
+    return clocks.clock_offset(t.withColumn("t", F.col("t") - 0.3), t)
+
+
+@query("""with f as (select flight_id % 4 as file_no, id, frame * 100 as start_ms, frame * 100 + 90 as end_ms from tele where flight_id < 4), e as (select file_no, max(end_ms) as e, count(*) as n from f group by 1),
+  b as (select file_no, coalesce(sum(e) over w, 0) as base, coalesce(sum(n) over w, 0) as first from e window w as (order by file_no rows between unbounded preceding and 1 preceding))
+select f.file_no, (first + row_number() over (partition by f.file_no order by start_ms, f.id) - 1)::bigint as id, (start_ms + base)::bigint as start_ms, (end_ms + base)::bigint as end_ms from f join b using (file_no)""")
+def merged_subtitles(spark, sf):
+    t = plans.telemetry(spark, sf).where("flight_id < 4")
+    return paths.concatenated(t.select((F.col("flight_id") % 4).alias("file_no"), "id", (F.col("frame") * 100).alias("start_ms"), (F.col("frame") * 100 + 90).alias("end_ms"))).select("file_no", "id", "start_ms", "end_ms")
+
+
+@query("""with p as (select flight_id, frame, x as east, y as north, 30 + z as up, 0.0 as tilt, 0.0 as heading from route where frame < 40), b as (select flight_id, frame, row_id, x1, y1, x2, y2 from det where frame < 40)
+select b.flight_id, b.frame, row_id, round(east + (2 * x1 / 512 - 1) * tan(radians(25)) * up, 3) as min_x, round(north + (1 - 2 * y2 / 512) * tan(radians(25)) * up, 3) as min_y from b left join p using (flight_id, frame)""")
+def boxes_on_ground(spark, sf):
+    p = plans.routes(spark, sf).where("frame < 40").selectExpr("flight_id", "frame", "x as east", "y as north", "30 + z as up", "0.0D as tilt", "0.0D as heading")
+    b = plans.detections(spark, sf).where("frame < 40")
+    return terrain.boxes_to_ground(b, p, 50.0, 512.0, 512.0).select("flight_id", "frame", "row_id", *[F.round(c, 3).alias(c) for c in ("min_x", "min_y")])
+
+
+@query("""select flight_id, frame, round(power(2 * (30 + z) * tan(radians(25)) * 511 / 512, 2), 3) as area from route where frame < 10""")
+def frame_footprints(spark, sf):
+    p = plans.routes(spark, sf).where("frame < 10").selectExpr("flight_id", "frame", "x as east", "y as north", "30 + z as up", "0.0D as tilt", "0.0D as heading")
+    return terrain.footprints(p, 50.0, 512.0, 512.0).select("flight_id", "frame", F.round(boxes.ring_area(F.col("ring")), 3).alias("area"))
+
+
+@query("select count(*) as hits from det where frame % 200 = 0")
+def terrain_hits(spark, sf):
+    """Every ray straight down over the terrain meets it."""
+    d = plans.detections(spark, sf).where("frame % 200 = 0").selectExpr("row_id", "256.0D as px", "256.0D as py", "x1 + 10 as east", "y1 + 10 as north", "100.0D as up", "0.0D as tilt", "0.0D as heading")
+    return terrain.pixels_to_terrain(d, terrain.terrain(), 2.5, 50.0, 512.0, 512.0).agg(F.count("gz").alias("hits"))
+
+
+@query("""select event_id, json_extract_string(props, '$.k')::bigint as k, round(epoch(ts), 3) as epoch from events""")
+def event_properties(spark, sf):
+    e = table(spark, sf, "events")
+    return e.select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"), F.round(F.unix_micros(F.col("ts").cast("timestamp")) / 1e6, 3).alias("epoch"))
+
+
+@query("""select page_id, regexp_extract(url, '://([^/]+)/', 1) as host, try_cast(regexp_extract(url, '.*[^0-9]([0-9]+)', 1) as bigint) as last_number from pages""")
+def page_names(spark, sf):
+    p = table(spark, sf, "pages")
+    return p.select("page_id", F.regexp_extract("url", "://([^/]+)/", 1).alias("host"), F.expr("try_cast(regexp_extract(url, '.*[^0-9]([0-9]+)', 1) as bigint)").alias("last_number"))
+
+
+@query("""select flight_id, class_id, count(*) as n, grouping(class_id) as whole from det group by rollup (flight_id, class_id)""")
+def class_rollup(spark, sf):
+    return plans.detections(spark, sf).rollup("flight_id", "class_id").agg(F.count("*").alias("n"), F.grouping("class_id").cast("long").alias("whole"))
+
+
+@query("""select flight_id, date_trunc('hour', ts)::varchar as start, count(*) as n, round(sum(alt), 3) as total from tele group by all""")
+def hourly_windows(spark, sf):
+    return plans.telemetry(spark, sf).groupBy("flight_id", F.window(F.col("ts").cast("timestamp"), "1 hour").alias("w")).agg(F.count("*").alias("n"), F.round(F.sum("alt"), 3).alias("total")).select("flight_id", F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n", "total")
