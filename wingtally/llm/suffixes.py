@@ -71,6 +71,20 @@ class Picked:
         self.rank = rank[self.at]
 
 
+#: Ranks travel as their upper 5 bytes; within a bucket that is enough to tell them apart, and a chance tie only means that a position is looked at again.
+_TOP = ~np.uint64(0xFFFFFF)
+
+
+def _packed(rank: np.ndarray) -> bytes:
+    return np.ascontiguousarray(rank.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, 3:].tobytes()
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 5, 8), np.uint8)
+    out[:, 3:] = np.frombuffer(data, np.uint8).reshape(-1, 5)
+    return out.view("<u8").ravel()
+
+
 def _dealt(key: np.ndarray, buckets: int):
     b = (key % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(b, kind="stable")
@@ -118,7 +132,8 @@ def _first_round(length: int, gram: int, buckets: int):
             rows = []
             for b, (rank, row) in out.items():
                 used, number = np.unique(np.concatenate(row), return_inverse=True)
-                rows.append((b, np.concatenate(rank).tobytes(), number.astype(np.uint32).tobytes(), np.array(owners, np.int64)[used].tobytes()))
+                small = np.uint16 if len(used) <= 1 << 16 else np.uint32
+                rows.append((b, _packed(np.concatenate(rank)), number.astype(small).tobytes(), np.array(owners, np.int64)[used].tobytes()))
             cols = list(zip(*rows, strict=True)) or [()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), *(pa.array(c, pa.binary()) for c in cols[1:])], names=["bucket", "ranks", "numbers", "owners"])
 
@@ -141,8 +156,8 @@ def _buckets(batches):
 def _not_unique(batches):
     """(owner, ranks): the ranks of each text that another text has too."""
     for rows in _buckets(batches):
-        rank = np.concatenate([np.frombuffer(r[0], np.uint64) for r in rows])
-        owner = np.concatenate([np.frombuffer(r[2], np.int64)[np.frombuffer(r[1], np.uint32)] for r in rows])
+        rank = _unpacked(b"".join(r[0] for r in rows))
+        owner = np.concatenate([np.frombuffer(r[2], np.int64)[np.frombuffer(r[1], np.uint16 if len(r[1]) * 5 == len(r[0]) * 2 else np.uint32)] for r in rows])
         order = np.argsort(rank)
         rank, owner = rank[order], owner[order]
         at = np.flatnonzero(np.r_[True, rank[1:] != rank[:-1]]) if len(rank) else np.zeros(0, np.int64)
@@ -155,10 +170,10 @@ def _not_unique(batches):
         rank, owner = rank[order], owner[order]
         cut = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]]) if len(owner) else np.zeros(0, np.int64)
         ends = np.r_[cut[1:], len(owner)][: len(cut)]
-        yield pa.RecordBatch.from_arrays([pa.array(owner[cut]), pa.array([rank[a:z].tobytes() for a, z in zip(cut, ends, strict=True)], pa.binary())], names=["owner", "ranks"])
+        yield pa.RecordBatch.from_arrays([pa.array(owner[cut]), pa.array([_packed(rank[a:z]) for a, z in zip(cut, ends, strict=True)], pa.binary())], names=["owner", "ranks"])
 
 
-_PART = ["bucket", "ranks", "ids", "starts", "lefts", "sizes", "bytes", "done_ids", "done_starts", "done_ends"]
+_PART = ["bucket", "ids", "starts", "sizes", "bytes", "done_ids", "done_starts", "done_ends"]
 
 
 def _second_round(length: int, gram: int, buckets: int):
@@ -176,7 +191,7 @@ def _second_round(length: int, gram: int, buckets: int):
                     if p.content[i] != want[i]:
                         continue
                     a, z = row_at[i], row_at[i + 1]
-                    keep = a + np.flatnonzero(np.isin(p.rank[a:z], np.frombuffer(b"".join(ranks[i]), np.uint64)))
+                    keep = a + np.flatnonzero(np.isin(p.rank[a:z] & _TOP, _unpacked(b"".join(ranks[i]))))
                     if not len(keep):
                         continue
                     low, high = p.low[keep], p.high[keep] + length
@@ -187,15 +202,13 @@ def _second_round(length: int, gram: int, buckets: int):
                     for b, j in _dealt(p.rank[keep], buckets):
                         x = out.setdefault(b, [[] for _ in _PART[1:]])
                         f, g = j[fresh[j]], j[~fresh[j]]
-                        x[0].append(p.rank[keep[f]])
-                        x[1].append(np.full(len(f), doc, np.int64))
-                        x[2].append(low[f] - base)
-                        x[3].append((p.at[keep[f]] - low[f]).astype(np.uint8))
-                        x[4].append((high[f] - low[f]).astype(np.uint8))
-                        x[5] += [p.data[s:e] for s, e in zip(low[f].tolist(), high[f].tolist(), strict=True)]
-                        x[6].append(np.full(len(g), doc, np.int64))
-                        x[7].append(low[g] - base)
-                        x[8].append(high[g] - base)
+                        x[0].append(np.full(len(f), doc, np.int64))
+                        x[1].append((low[f] - base).astype(np.uint32))
+                        x[2].append((high[f] - low[f]).astype(np.uint8))
+                        x[3] += [p.data[s:e] for s, e in zip(low[f].tolist(), high[f].tolist(), strict=True)]
+                        x[4].append(np.full(len(g), doc, np.int64))
+                        x[5].append(low[g] - base)
+                        x[6].append(high[g] - base)
             rows = [(b, *(b"".join(a.tobytes() for a in c) for c in x)) for b, x in out.items()]
             cols = list(zip(*rows, strict=True)) or [()] * len(_PART)
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), *(pa.array(c, pa.binary()) for c in cols[1:])], names=_PART)
@@ -223,9 +236,9 @@ def _marked(length: int):
 
     def run(batches):
         for rows in _buckets(batches):
-            kinds = [np.uint64, np.int64, np.int64, np.uint8, np.uint8, np.uint8, np.int64, np.int64, np.int64]
-            rank, ids, start, left, size, data, d_id, d_start, d_end = (np.frombuffer(b"".join(r[i] for r in rows), k) for i, k in enumerate(kinds))
-            size = size.astype(np.int64)
+            kinds = [np.int64, np.uint32, np.uint8, np.uint8, np.int64, np.int64, np.int64]
+            ids, start, size, data, d_id, d_start, d_end = (np.frombuffer(b"".join(r[i] for r in rows), k) for i, k in enumerate(kinds))
+            size, start = size.astype(np.int64), start.astype(np.int64)
             base = np.cumsum(size) - size
             prefix = shared.Words.prefix(_Bytes(data))
             n = size - length + 1
