@@ -21,7 +21,8 @@ def con():
 def value(v):
     if isinstance(v, bool) or v is None:
         return str(v)
-    return f"{v:.9g}" if isinstance(v, int | float | decimal.Decimal) else str(v)
+    assert not isinstance(v, decimal.Decimal)
+    return f"{v + 0:.9g}" if isinstance(v, int | float) else str(v)
 
 
 @pytest.mark.parametrize("name", sorted(catalog.QUERIES))

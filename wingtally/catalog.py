@@ -315,10 +315,10 @@ def positional_match(spark, sf):
     return joins.positional(a, b, "flight_id", "o", "photo_id", ["photo_id"]).select("id", "photo_id")
 
 
-_RANGES = "ranges as (select flight_id, o as ord, o * 15 + flight_id % 7 as s, case when o = 3 then null else o * 15 + flight_id % 7 + 20 end as e, o * 0.5 as tx from (select distinct flight_id from tele), range(4) r(o))"
+_RANGES = "ranges as (select flight_id, o as ord, o * 15 + flight_id % 7 as s, case when o = 3 then null else o * 15 + flight_id % 7 + 20 end as e, o * 0.5e0 as tx from (select distinct flight_id from tele), range(4) r(o))"
 
 
-@query(f"""with {_RANGES} select t.flight_id, t.frame, round(coalesce((select r.tx from ranges r where r.flight_id = t.flight_id and t.frame >= r.s and (r.e is null or t.frame <= r.e) order by ord limit 1), -1.0), 2) as tx from tele t""")
+@query(f"""with {_RANGES} select t.flight_id, t.frame, round(coalesce((select r.tx from ranges r where r.flight_id = t.flight_id and t.frame >= r.s and (r.e is null or t.frame <= r.e) order by ord limit 1), -1.0e0), 2) as tx from tele t""")
 def corrections_by_frame(spark, sf):
     t = plans.telemetry(spark, sf)
     r = t.select("flight_id").distinct().withColumn("ord", F.explode(F.sequence(F.lit(0), F.lit(3)))).withColumn("start_frame", F.col("ord") * 15 + F.col("flight_id") % 7)
@@ -538,11 +538,11 @@ def coverage_cells(spark, sf):
     return rasters.coverage(b.select(ring.alias("ring")))
 
 
-_LAYERS = "layers as (select y1::bigint as \"row\", x1::bigint as col, row_id as shot, l as value, abs(x1 - 50) + row_id % 5 as distance from (select *, (row_id % 97) * 1.0 as l from det where frame % 10 = 0))"
+_LAYERS = "layers as (select y1::bigint as \"row\", x1::bigint as col, row_id as shot, l as value, abs(x1 - 50) + row_id % 5 as distance from (select *, (row_id % 97) * 1.0e0 as l from det where frame % 10 = 0))"
 
 
 def _layers(spark, sf):
-    return plans.detections(spark, sf).where("frame % 10 = 0").select(F.col("y1").cast("long").alias("row"), F.col("x1").cast("long").alias("col"), F.col("row_id").alias("shot"), (F.col("row_id") % 97 * 1.0).alias("value"), (F.abs(F.col("x1") - 50) + F.col("row_id") % 5).alias("distance"))
+    return plans.detections(spark, sf).where("frame % 10 = 0").select(F.col("y1").cast("long").alias("row"), F.col("x1").cast("long").alias("col"), F.col("row_id").alias("shot"), (F.col("row_id") % 97).cast("double").alias("value"), (F.abs(F.col("x1") - 50) + F.col("row_id") % 5).alias("distance"))
 
 
 @query(f"""with {_LAYERS} select "row", col, round_even(avg(value), 0) as value, count(*) as layers from layers group by all""")
@@ -572,7 +572,7 @@ def overlapping_tiles(spark, sf):
     return rasters.tiles(spark, 1000, 700, 428, 128)
 
 
-_HEIGHTS = "h as (select y1::bigint as \"row\", x1::bigint as col, max((row_id % 50) * 1.0) as z from det group by all)"
+_HEIGHTS = "h as (select y1::bigint as \"row\", x1::bigint as col, max((row_id % 50) * 1.0e0) as z from det group by all)"
 
 
 def _heights(spark, sf):
@@ -593,7 +593,7 @@ def terrain_mesh(spark, sf):
     return faces.agg(F.count("*").alias("faces"), (F.count("*") / 2).cast("long").alias("cells"))
 
 
-@query("""select flight_id, round(count(*) * 0.25, 4) as area from (select distinct flight_id, c, r from (select flight_id, x1, y1, x2, y2 from det where frame % 100 = 0) b, range(0, 260) t(c), range(0, 160) u(r) where (c + 0.5) * 0.5 between x1 and x2 and (r + 0.5) * 0.5 between y1 and y2) group by 1""")
+@query("""select flight_id, round(count(*) * 0.25e0, 4) as area from (select distinct flight_id, c, r from (select flight_id, x1, y1, x2, y2 from det where frame % 100 = 0) b, range(0, 260) t(c), range(0, 160) u(r) where (c + 0.5) * 0.5 between x1 and x2 and (r + 0.5) * 0.5 between y1 and y2) group by 1""")
 def union_areas(spark, sf):
     d = plans.detections(spark, sf).where("frame % 100 = 0").withColumn("ring", F.slice(boxes.ring(boxes.box()), 1, 4))
     return rasters.union_area(d, "flight_id", 0.5).select("flight_id", F.round("area", 4).alias("area"))
