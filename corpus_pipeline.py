@@ -20,11 +20,13 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def join_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked ones: that with the least doc_id. Documents without words stay."""
+    """One document of each group of linked ones: that with the least doc_id. Documents without words stay.
+
+    Equal rows become one. Different texts of one doc_id, or without a doc_id, stay where nothing with a smaller doc_id links to them."""
     found = jaccard.similar_sets(docs)
     kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept")).distinct()
     rows = docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept"]), "left_semi")
-    return rows.dropDuplicates(["doc_id"])
+    return rows.withColumn("_text", F.xxhash64("text")).dropDuplicates(["doc_id", "_text"]).select(docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

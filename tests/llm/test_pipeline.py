@@ -41,3 +41,10 @@ def test_pipeline_on_odd_rows(spark, odd):
         assert at.columns == odd.columns, name
     empty = odd.limit(0)
     assert all(stage(spark, empty, sf).count() == 0 for _, stage in corpus_pipeline.STAGES)
+
+
+def test_one_of_each_group_stays(spark):
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = [(5, a), (5, a), (5, b), (None, "x y z"), (None, "u v w"), (9, a + " end"), (None, b + " end")]
+    out = corpus_pipeline.join_near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    assert sorted((r.doc_id or 0, r.text) for r in out.collect()) == sorted([(5, a), (5, b), (0, "x y z"), (0, "u v w")])
