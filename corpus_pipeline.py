@@ -24,9 +24,10 @@ def join_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     Equal rows become one. Different texts of one doc_id, or without a doc_id, stay where nothing with a smaller doc_id links to them."""
     found = jaccard.similar_sets(docs)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept")).distinct()
-    rows = docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept"]), "left_semi")
-    return rows.withColumn("_text", F.xxhash64("text")).dropDuplicates(["doc_id", "_text"]).select(docs.columns)
+    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept"), "text_hash").distinct()
+    rows = docs.withColumn("_text", F.xxhash64("text"))
+    rows = rows.join(kept, rows["doc_id"].eqNullSafe(kept["kept"]) & (rows["_text"] == kept["text_hash"]), "left_semi")
+    return rows.dropDuplicates(["doc_id", "_text"]).select(docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

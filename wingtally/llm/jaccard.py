@@ -100,7 +100,7 @@ def _counted(tok: list, key: list, cnt: list, least: int) -> tuple[np.ndarray, n
     return t[use], k[use], c[use]
 
 
-_SET = ["doc_id", "n", "k", "sketch", "token", "low", "cnt"]
+_SET = ["doc_id", "text_hash", "n", "k", "sketch", "token", "low", "cnt"]
 
 
 def _sketch(x: np.ndarray) -> bytes | None:
@@ -160,7 +160,7 @@ def _possible(similar: int):
 
 
 def _sets(size: int):
-    """Rows (doc_id, n, k, sketch) of documents, then rows (token, low, count) of the task's frequent shingles."""
+    """Rows (doc_id, text_hash, n, k, sketch) of documents, then rows (token, low, count) of the task's frequent shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]):
         seen: set[int] = set()
@@ -173,7 +173,7 @@ def _sets(size: int):
                 k, n = keys(x, off), np.diff(off)
                 none = pa.nulls(len(n), pa.int64())
                 sketch = pa.array([_sketch(x[a:b]) for a, b in zip(off[:-1], off[1:], strict=True)], pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(k, pa.int64(), mask=n == 0), sketch, none, none, none], names=_SET)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(n, pa.int64()), pa.array(k, pa.int64(), mask=n == 0), sketch, none, none, none], names=_SET)
                 new = np.array([i for i, a in enumerate(k.tolist()) if n[i] and not (a in seen or seen.add(a))], np.int64)
                 if len(new):
                     at = np.concatenate([np.arange(off[i], off[i + 1]) for i in new])
@@ -191,7 +191,7 @@ def _sets(size: int):
         t, k, c = _counted(tok, key, cnt, IN_TASK)
         if len(t):
             none = pa.nulls(len(t), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(t), kind), none, none, pa.nulls(len(t), pa.binary()), pa.array(t.view(np.int64)), pa.array(k), pa.array(c)], names=_SET)
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(t), kind), none, none, none, pa.nulls(len(t), pa.binary()), pa.array(t.view(np.int64)), pa.array(k), pa.array(c)], names=_SET)
 
     return run
 
@@ -422,13 +422,13 @@ def _linked(similar: int):
 
 
 def similar_sets(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SIZE, similar: int = 75, chunk: int = CHUNK) -> DataFrame:
-    """Per row of docs: doc_id, n_shingles, k (the set's key) and component_id."""
+    """Per row of docs: doc_id, text_hash (xxhash64 of the text), n_shingles, k (the set's key) and component_id."""
     spark = docs.sparkSession
     kind = dict(docs.dtypes)[key]
     n_tasks = shared.tasks(spark)
     d = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
-    both = shared.written(d.mapInArrow(_sets(size), f"doc_id {kind}, n long, k long, sketch binary, token long, low long, cnt long"), "sets")
-    sets = both.where("n is not null").select("doc_id", "n", "k", "sketch")
+    both = shared.written(d.withColumn("text_hash", F.xxhash64("text")).mapInArrow(_sets(size), f"doc_id {kind}, text_hash long, n long, k long, sketch binary, token long, low long, cnt long"), "sets")
+    sets = both.where("n is not null").select("doc_id", "text_hash", "n", "k", "sketch")
     often = both.where("token is not null").groupBy("token").agg(F.sum("cnt").alias("c"), F.min("low").alias("low")).where(F.col("c") >= IN_ALL).orderBy(F.desc("c"), "token").limit(FREQUENT).toPandas()
     order = spark.sparkContext.broadcast(Order(often["token"].to_numpy(np.int64).view(np.uint64), often["c"].to_numpy(np.int64), often["low"].to_numpy(np.int64)))
     packed = d.select("text").mapInArrow(_postings(order, size, similar, 4 * n_tasks), "bucket long, tokens binary, keys binary, labels binary, owners binary")
@@ -477,7 +477,7 @@ def similar_sets(docs: DataFrame, key: str = "doc_id", text: str = "text", size:
     least = own.groupBy("root").agg(F.min("doc").alias("component_id"))
     named = own.join(least, "root").select(F.col("k").alias("key"), "component_id")
     out = sets.join(named, sets["k"] == named["key"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), "k", F.when(F.col("k").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return out.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), "k", F.when(F.col("k").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def op4_jaccard_join(spark, sf_dir: str) -> DataFrame:
