@@ -162,6 +162,16 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-x))
 
 
+def _exps(x: np.ndarray, safe: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray | float]:
+    """Exponentials in place of x, their sums by row, and what was taken off before: the row's maximum, unless x is safe from overflow."""
+    most = 0.0
+    if not safe:
+        most = x.max(1)
+        x -= most[:, None]
+    np.exp(x, out=x)
+    return x, x @ np.ones(x.shape[1], x.dtype), most
+
+
 class Network:
     """Gated recurrent network over word numbers, with its output softmax factored into classes.
 
@@ -203,36 +213,48 @@ class Network:
         return out, h, past
 
     def logs(self, h: np.ndarray, y: np.ndarray, back: bool = False):
-        """Natural log probability of each word y after the states h; with back also the gradients of its negative sum."""
+        """Natural log probability of each word y after the states h; with back also the gradients of its negative sum.
+
+        Rows are put in order of their class once; a class is then one stretch."""
         p = self.p
+        c = self.of[y]
+        order = np.argsort(c, kind="stable")
+        h, y, c = h[order], y[order], c[order]
+        rows = np.arange(len(y))
+        # states lie within -1 and 1, so the weights bound what they add up to
+        safe = max(float((np.abs(p["cw"]).sum(0) + np.abs(p["cb"])).max()), float((np.abs(p["ww"]).sum(1) + np.abs(p["wb"])).max())) < 80
         logits = h @ p["cw"] + p["cb"]
-        logits -= logits.max(1, keepdims=True)
-        e = np.exp(logits)
-        total = e.sum(1, keepdims=True)
-        c, rows = self.of[y], np.arange(len(y))
-        out = logits[rows, c] - np.log(total[:, 0])
+        own = logits[rows, c]
+        e, total, shift = _exps(logits, safe)
+        out = own - shift - np.log(total)
         grad: dict[str, np.ndarray] = {}
         if back:
-            g = e / total
-            g[rows, c] -= 1
-            grad = {"cw": h.T @ g, "cb": g.sum(0), "ww": np.zeros_like(p["ww"]), "wb": np.zeros_like(p["wb"])}
-            dh = g @ p["cw"].T
-        order = np.argsort(c, kind="stable")
-        bounds = np.searchsorted(c[order], np.arange(len(self.cut)))
+            e *= (1 / total)[:, None]
+            e[rows, c] -= 1
+            grad = {"cw": h.T @ e, "cb": e.sum(0), "ww": np.zeros_like(p["ww"]), "wb": np.zeros_like(p["wb"])}
+            dh = e @ p["cw"].T
+        bounds = np.searchsorted(c, np.arange(len(self.cut)))
         for k in np.flatnonzero(np.diff(bounds)):
-            i = order[bounds[k] : bounds[k + 1]]
-            a, b = self.cut[k], self.cut[k + 1]
+            i, (a, b) = slice(bounds[k], bounds[k + 1]), self.cut[k : k + 2]
+            if b - a == 1:
+                continue  # the class's one word
             s = h[i] @ p["ww"][a:b].T + p["wb"][a:b]
-            s -= s.max(1, keepdims=True)
-            e = np.exp(s)
-            total, j = e.sum(1, keepdims=True), (np.arange(len(i)), y[i] - a)
-            out[i] += s[j] - np.log(total[:, 0])
+            j = (rows[: len(s)], y[i] - a)
+            own = s[j]
+            e, total, shift = _exps(s, safe)
+            out[i] += own - shift - np.log(total)
             if back:
-                e /= total
+                e *= (1 / total)[:, None]
                 e[j] -= 1
                 grad["ww"][a:b], grad["wb"][a:b] = e.T @ h[i], e.sum(0)
                 dh[i] += e @ p["ww"][a:b]
-        return (out, grad, dh) if back else out
+        result = np.empty_like(out)
+        result[order] = out
+        if not back:
+            return result
+        dback = np.empty_like(dh)
+        dback[order] = dh
+        return result, grad, dback
 
     def step(self, ids, fresh, y, use, h):
         """Log loss and gradients of one window, cut off at its start."""
@@ -244,6 +266,7 @@ class Network:
         dout[flat] = dflat
         dout = dout.reshape(out.shape)
         dx, du, dh = np.empty((*ids.shape, 3 * d), np.float32), np.zeros_like(u), np.zeros_like(h)
+        any_fresh = fresh.any(1)
         for t in range(len(ids) - 1, -1, -1):
             before, z, r, n, a = past[t]
             dh = dh + dout[t]
@@ -253,7 +276,9 @@ class Network:
             inner = gates.copy()
             inner[:, 2 * d :] *= r
             du += before.T @ inner
-            dh = np.where(fresh[t][:, None], np.float32(0), dh * z + inner @ u.T)
+            dh = dh * z + inner @ u.T
+            if any_fresh[t]:
+                dh[fresh[t]] = 0
         dx = dx.reshape(-1, 3 * d)
         order = np.argsort(ids.ravel(), kind="stable")
         at = np.flatnonzero(np.r_[True, np.diff(ids.ravel()[order]) != 0])
