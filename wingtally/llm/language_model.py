@@ -41,22 +41,24 @@ END = np.uint64(0xE17D_0000_0000_0001)
 _HELD = 4_000_000
 
 
-def tokens(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def tokens(batch: pa.RecordBatch, texts: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The same for the column 'text' of a batch, hashed a block at a time: what a block needs is many times its bytes."""
-    parts = [_tokens(p.column(p.schema.get_field_index("text"))) for p in shared.pieces(batch)]
+    parts = [_tokens(p.column(p.schema.get_field_index("text")), texts) for p in shared.pieces(batch)]
     if not parts:
         return np.zeros(0, np.uint64), np.zeros(1, np.int64), np.zeros(0, np.int64)
     h, off, content = zip(*parts, strict=True)
     return np.concatenate(h), np.r_[0, np.cumsum(np.concatenate([np.diff(o) for o in off]))], np.concatenate(content)
 
 
-def _tokens(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of all rows' words, an end after each row; the rows' offsets; a hash of each text."""
+def _tokens(text: pa.Array, texts: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of all rows' words, an end after each row; the rows' offsets; a hash of each text, where texts asks for it (else nothing)."""
     w = shared.Words(text)
     n = np.diff(w.off_w) + 1
     off = np.r_[0, np.cumsum(n)]
     out = np.full(off[-1], END, np.uint64)
     out[np.arange(len(w.start)) + w.doc] = w.hashes()
+    if not texts:
+        return out, off, np.zeros(0, np.int64)
     raw = shared.Words.prefix(_Raw(*shared.offsets(text)))
     content = shared.spans_hash(raw, w.off[:-1], w.off[1:]) + shared.mixed(np.diff(w.off).astype(np.uint64))
     return out, off, content.view(np.int64)
@@ -422,7 +424,7 @@ def _scored(sent, head, buckets: int):
         top = head.value
         for batch in batches:
             for part in shared.pieces(batch, 16 << 20):
-                h, off, content = tokens(part)
+                h, off, content = tokens(part, texts=True)
                 count, number = top.find(h)
                 logs = score(sent.value, number, off, top.end)
                 rare = (count == 0) & (h != END)
