@@ -31,7 +31,7 @@ from .quality_rules import _sums, repeated_words
 
 WORDS, FEATURES = 1 << 16, 14
 #: Labelled documents, of each label at most, that the classifier is fitted on.
-PER_LABEL = 1_000
+PER_LABEL = 2_000
 
 _CLASS = {n: np.array([f(chr(i)) if i < 128 else False for i in range(256)]) for n, f in {"upper": str.isupper, "digit": str.isdigit, "mark": lambda c: c in "#*$%&|<>@{}[]\\^~=_+/", "stop": lambda c: c in ".,;:!?"}.items()}
 
