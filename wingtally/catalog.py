@@ -17,11 +17,23 @@ FLAGSHIP = "best_partner"
 EPSG = 32633
 
 
-def query(sql: str | None = None):
+def query(sql: str | None = None, *cuts: str, whole_sql: bool = True):
+    """Registers f, with its SQL if there is any. f takes the cuts, conditions that keep part of the rows; NAME_whole, registered beside it, is f over all rows.
+
+    whole_sql: whether NAME_whole gets the same SQL without its cuts."""
+
     def put(f):
-        QUERIES[f.__name__] = f
+        QUERIES[f.__name__] = (lambda spark, sf: f(spark, sf, *cuts)) if cuts else f
         if sql:
             ORACLES[f.__name__] = plans.oracle(sql.strip())
+        if cuts:
+            name, rest = f"{f.__name__}_whole", sql
+            QUERIES[name] = lambda spark, sf: f(spark, sf, *["true"] * len(cuts))
+            for c in cuts:
+                assert c in sql, (f.__name__, c)
+                rest = rest.replace(c, "true")
+            if whole_sql:
+                ORACLES[name] = plans.oracle(rest.strip())
         return f
 
     return put
@@ -222,15 +234,15 @@ def split_metres(spark, sf):
 _TR = "tr as (select track_id % 20 as flight_id, track_id, frame, row_id, x1, y1, x2, y2, confidence, class_id from (select *, row_number() over (partition by track_id, frame order by row_id) as k from det where frame % 5 = 0) where k = 1)"
 
 
-def _tracks(spark, sf):
-    d = plans.detections(spark, sf).where("frame % 5 = 0").withColumn("k", F.row_number().over(Window.partitionBy("track_id", "frame").orderBy("row_id"))).where("k = 1")
+def _tracks(spark, sf, cut="true"):
+    d = plans.detections(spark, sf).where(cut).withColumn("k", F.row_number().over(Window.partitionBy("track_id", "frame").orderBy("row_id"))).where("k = 1")
     return d.select((F.col("track_id") % 20).alias("flight_id"), "track_id", "frame", "row_id", "x1", "y1", "x2", "y2", "confidence", "class_id")
 
 
 @query(f"""with {_TR}, n as (select *, lead(frame) over w as f2, lead(x1) over w as x12, lead(confidence) over w as c2, lead(class_id) over w as k2 from tr window w as (partition by flight_id, track_id order by frame, row_id))
-select flight_id, track_id, f as frame, round(x1 + (x12 - x1) * (f - n.frame) / (f2 - n.frame), 4) as x1, round((confidence + c2) / 2, 4) as confidence, k2 as class_id from n, lateral (select unnest(range(n.frame + 1, f2)) as f) where f2 - n.frame between 2 and 40""")
-def interpolated_tracks(spark, sf):
-    t = _tracks(spark, sf)
+select flight_id, track_id, f as frame, round(x1 + (x12 - x1) * (f - n.frame) / (f2 - n.frame), 4) as x1, round((confidence + c2) / 2, 4) as confidence, k2 as class_id from n, lateral (select unnest(range(n.frame + 1, f2)) as f) where f2 - n.frame between 2 and 40""", "frame % 5 = 0", whole_sql=False)
+def interpolated_tracks(spark, sf, cut):
+    t = _tracks(spark, sf, cut)
     w = Window.partitionBy("flight_id", "track_id").orderBy("frame", "row_id")
     out = paths.interpolate_tracks(t)
     # gaps of up to 40 frames, as a survey would fill
@@ -379,19 +391,19 @@ def gap_filled_log(spark, sf):
 
 @query(f"""with {_TR}, g as (select flight_id, track_id, class_id, avg(case when confidence >= 0.7 then confidence end) as m, count(*) filter (confidence >= 0.7) as n, min(case when confidence >= 0.7 then frame * 1000000 + row_id % 1000000 end) as f, avg(confidence) as c from tr group by all),
   k as (select *, row_number() over (partition by flight_id, track_id order by round(m, 9) desc nulls last, f nulls last, class_id) as k from g where n > 0)
-select t.flight_id, t.track_id, k.class_id, round(coalesce(c, 0) + 1e-7, 5) as confidence from (select distinct flight_id, track_id from tr) t left join k on k.flight_id = t.flight_id and k.track_id = t.track_id and k = 1""")
-def class_votes(spark, sf):
-    return tracks.class_vote(_tracks(spark, sf)).select("flight_id", "track_id", "class_id", F.round(F.col("confidence") + 1e-7, 5).alias("confidence"))
+select t.flight_id, t.track_id, k.class_id, round(coalesce(c, 0) + 1e-7, 5) as confidence from (select distinct flight_id, track_id from tr) t left join k on k.flight_id = t.flight_id and k.track_id = t.track_id and k = 1""", "frame % 5 = 0")
+def class_votes(spark, sf, cut):
+    return tracks.class_vote(_tracks(spark, sf, cut)).select("flight_id", "track_id", "class_id", F.round(F.col("confidence") + 1e-7, 5).alias("confidence"))
 
 
 @query(f"""with {_TR}, c as (select flight_id, track_id, (x1 + x2) / 2 as cx, (y1 + y2) / 2 as cy from tr), d as (select *, sqrt(power(cx - avg(cx) over w, 2) + power(cy - avg(cy) over w, 2)) as d from c window w as (partition by flight_id, track_id))
-select flight_id, track_id, count(*) as n, count(*) filter (d > 30) as outliers, round(max(d), 4) as max_distance, round(stddev_pop(d), 4) as std_distance, (count(*) filter (d > 30) >= 20 or count(*) filter (d > 30) * 1.0 / count(*) >= 0.5) as moved from d group by 1, 2 having count(*) >= 2""")
-def track_movement(spark, sf):
-    return tracks.movement(_tracks(spark, sf), 30.0, 20, 0.5).select("flight_id", "track_id", "n", "outliers", *r4("max_distance", "std_distance"), "moved")
+select flight_id, track_id, count(*) as n, count(*) filter (d > 30) as outliers, round(max(d), 4) as max_distance, round(stddev_pop(d), 4) as std_distance, (count(*) filter (d > 30) >= 20 or count(*) filter (d > 30) * 1.0 / count(*) >= 0.5) as moved from d group by 1, 2 having count(*) >= 2""", "frame % 5 = 0")
+def track_movement(spark, sf, cut):
+    return tracks.movement(_tracks(spark, sf, cut), 30.0, 20, 0.5).select("flight_id", "track_id", "n", "outliers", *r4("max_distance", "std_distance"), "moved")
 
 
-def _modalities(spark, sf):
-    d = plans.detections(spark, sf).where("frame % 2 = 0").select("frame", "track_id", F.col("x1").alias("cx"), F.col("y1").alias("cy"), "confidence", "row_id")
+def _modalities(spark, sf, cut="true"):
+    d = plans.detections(spark, sf).where(cut).select("frame", "track_id", F.col("x1").alias("cx"), F.col("y1").alias("cy"), "confidence", "row_id")
     return d.where("row_id % 2 = 0").withColumn("track_id", F.col("track_id") % 40), d.where("row_id % 2 = 1").withColumn("track_id", F.col("track_id") % 30)
 
 
@@ -400,32 +412,32 @@ _CANDS = f"{_MOD}, j as (select a.track_id as track_t, b.track_id as track_w, sq
 
 
 @query(f"""with {_CANDS} select track_t, track_w, shared, round(median_dist, 4) as median_dist, round((select avg(confidence) from ma where track_id = track_t), 4) as conf_t,
-  case when shared < 8 then 'shared' when median_dist >= 28 then 'distance' end as rejected from c""")
-def match_candidates(spark, sf):
-    a, b = _modalities(spark, sf)
+  case when shared < 8 then 'shared' when median_dist >= 28 then 'distance' end as rejected from c""", "frame % 2 = 0")
+def match_candidates(spark, sf, cut):
+    a, b = _modalities(spark, sf, cut)
     pairs = a.select(F.col("frame").alias("frame_a"), F.col("frame").alias("frame_b")).distinct()
     return tracks.gate(tracks.candidates(a, b, pairs)).select("track_t", "track_w", "shared", *r4("median_dist", "conf_t"), "rejected")
 
 
-@query(f"""with {_CANDS} select rejected, count(*) as n from (select case when shared < 8 then 'shared' when median_dist >= 28 then 'distance' else 'accepted' end as rejected from c) group by 1""")
-def rejection_reasons(spark, sf):
-    a, b = _modalities(spark, sf)
+@query(f"""with {_CANDS} select rejected, count(*) as n from (select case when shared < 8 then 'shared' when median_dist >= 28 then 'distance' else 'accepted' end as rejected from c) group by 1""", "frame % 2 = 0")
+def rejection_reasons(spark, sf, cut):
+    a, b = _modalities(spark, sf, cut)
     pairs = a.select(F.col("frame").alias("frame_a"), F.col("frame").alias("frame_b")).distinct()
     return tracks.gate(tracks.candidates(a, b, pairs)).groupBy(F.coalesce("rejected", F.lit("accepted")).alias("rejected")).agg(F.count("*").alias("n"))
 
 
 @query(f"""with {_MOD}, a1 as (select frame, min(cx) as ax, min(cy) as ay from ma group by 1 having count(*) = 1), b1 as (select frame, min(cx) as bx, min(cy) as bya from mb group by 1 having count(*) = 1)
-select frame as frame_a, ax, ay, bx, bya as "by" from a1 join b1 using (frame)""")
-def seeds(spark, sf):
-    a, b = _modalities(spark, sf)
+select frame as frame_a, ax, ay, bx, bya as "by" from a1 join b1 using (frame)""", "frame % 2 = 0")
+def seeds(spark, sf, cut):
+    a, b = _modalities(spark, sf, cut)
     pairs = a.select(F.col("frame").alias("frame_a"), F.col("frame").alias("frame_b")).distinct()
     return tracks.seed_pairs(a, b, pairs).select("frame_a", "ax", "ay", "bx", "by")
 
 
 @query(f"""with {_MOD}, a1 as (select frame, min(cx) as ax, min(cy) as ay from ma group by 1 having count(*) = 1), b1 as (select frame, min(cx) as bx, min(cy) as bya from mb group by 1 having count(*) = 1)
-select count(*) as n, sum(ax) as sx, sum(ay) as sy, sum(ax * ax) as sxx, sum(ax * ay) as sxy, sum(ay * ay) as syy, sum(bx) as bx1, sum(bx * ax) as bxx, sum(bx * ay) as bxy, sum(bya) as by1, sum(bya * ax) as byx, sum(bya * ay) as byy from a1 join b1 using (frame)""")
-def affine_normal_sums(spark, sf):
-    a, b = _modalities(spark, sf)
+select count(*) as n, sum(ax) as sx, sum(ay) as sy, sum(ax * ax) as sxx, sum(ax * ay) as sxy, sum(ay * ay) as syy, sum(bx) as bx1, sum(bx * ax) as bxx, sum(bx * ay) as bxy, sum(bya) as by1, sum(bya * ax) as byx, sum(bya * ay) as byy from a1 join b1 using (frame)""", "frame % 2 = 0")
+def affine_normal_sums(spark, sf, cut):
+    a, b = _modalities(spark, sf, cut)
     pairs = a.select(F.col("frame").alias("frame_a"), F.col("frame").alias("frame_b")).distinct()
     return tracks.affine_sums(tracks.seed_pairs(a, b, pairs))
 
@@ -437,10 +449,10 @@ def matched_tracks(spark, sf):
     return tracking.match_tracks(a, b, pairs, (1.0, 0.0, 0.0, 1.0, 0.0, 0.0), shared=3)
 
 
-@query(f"""with {_TR} select count(*) as n, count(*) as distinct_rows, 0::bigint as twice_in_a_frame from tr""")
-def tracker_checks(spark, sf):
+@query(f"""with {_TR} select count(*) as n, count(*) as distinct_rows, 0::bigint as twice_in_a_frame from tr""", "frame % 5 = 0")
+def tracker_checks(spark, sf, cut):
     """Every box has one track, and no track has two boxes of a frame."""
-    t = _tracks(spark, sf)
+    t = _tracks(spark, sf, cut)
     out = tracking.track_boxes(t, mode="greedy", least=0.1, max_age=3)
     twice = out.groupBy("flight_id", "frame", "track_id").agg(F.count("*").alias("k")).agg(F.sum("k").alias("n"), F.sum((F.col("k") - 1)).alias("twice_in_a_frame"))
     return twice.join(out.agg(F.count_distinct("row_id").alias("distinct_rows")))
@@ -531,9 +543,9 @@ def kde_mass(spark, sf):
 
 
 @query("""with b as (select x1 + 0.25 as x1, y1 + 0.25 as y1, x1 + 0.25 + 1 + (row_id % 3) as x2, y1 + 0.25 + 1 + (row_id % 2) as y2 from det where frame % 50 = 0), o as (select min(x1) as x0, max(y2) as y0 from b)
-select r as "row", c as col, count(*) as n from b, o, range(0, 110) t(c), range(0, 60) u(r) where x0 + (c + 0.5) between x1 and x2 and y0 - (r + 0.5) between y1 and y2 group by all""")
-def coverage_cells(spark, sf):
-    b = plans.detections(spark, sf).where("frame % 50 = 0").selectExpr("x1 + 0.25 as x1", "y1 + 0.25 as y1", "x1 + 0.25 + 1 + (row_id % 3) as x2", "y1 + 0.25 + 1 + (row_id % 2) as y2")
+select r as "row", c as col, count(*) as n from b, o, range(0, 110) t(c), range(0, 60) u(r) where x0 + (c + 0.5) between x1 and x2 and y0 - (r + 0.5) between y1 and y2 group by all""", "frame % 50 = 0")
+def coverage_cells(spark, sf, cut):
+    b = plans.detections(spark, sf).where(cut).selectExpr("x1 + 0.25 as x1", "y1 + 0.25 as y1", "x1 + 0.25 + 1 + (row_id % 3) as x2", "y1 + 0.25 + 1 + (row_id % 2) as y2")
     ring = F.array(*[F.struct(F.col(x).alias("x"), F.col(y).alias("y")) for x, y in (("x1", "y1"), ("x2", "y1"), ("x2", "y2"), ("x1", "y2"))])
     return rasters.coverage(b.select(ring.alias("ring")))
 
@@ -541,30 +553,30 @@ def coverage_cells(spark, sf):
 _LAYERS = "layers as (select y1::bigint as \"row\", x1::bigint as col, row_id as shot, l as value, abs(x1 - 50) + row_id % 5 as distance from (select *, (row_id % 97) * 1.0e0 as l from det where frame % 10 = 0))"
 
 
-def _layers(spark, sf):
-    return plans.detections(spark, sf).where("frame % 10 = 0").select(F.col("y1").cast("long").alias("row"), F.col("x1").cast("long").alias("col"), F.col("row_id").alias("shot"), (F.col("row_id") % 97).cast("double").alias("value"), (F.abs(F.col("x1") - 50) + F.col("row_id") % 5).alias("distance"))
+def _layers(spark, sf, cut):
+    return plans.detections(spark, sf).where(cut).select(F.col("y1").cast("long").alias("row"), F.col("x1").cast("long").alias("col"), F.col("row_id").alias("shot"), (F.col("row_id") % 97).cast("double").alias("value"), (F.abs(F.col("x1") - 50) + F.col("row_id") % 5).alias("distance"))
 
 
-@query(f"""with {_LAYERS} select "row", col, round_even(avg(value), 0) as value, count(*) as layers from layers group by all""")
-def mosaic_average(spark, sf):
-    return rasters.mosaic(_layers(spark, sf))
+@query(f"""with {_LAYERS} select "row", col, round_even(avg(value), 0) as value, count(*) as layers from layers group by all""", "frame % 10 = 0")
+def mosaic_average(spark, sf, cut):
+    return rasters.mosaic(_layers(spark, sf, cut))
 
 
-@query(f"""with {_LAYERS} select "row", col, arg_min(value, shot) as first_value, arg_max(value, shot) as last_value, arg_min(value, distance * 100000000 + shot) as center_value from layers group by all""")
-def mosaic_blends(spark, sf):
-    m = _layers(spark, sf)
+@query(f"""with {_LAYERS} select "row", col, arg_min(value, shot) as first_value, arg_max(value, shot) as last_value, arg_min(value, distance * 100000000 + shot) as center_value from layers group by all""", "frame % 10 = 0")
+def mosaic_blends(spark, sf, cut):
+    m = _layers(spark, sf, cut)
     one = lambda how: rasters.mosaic(m, how).select("row", "col", F.col("value").alias(f"{how}_value"))
     return one("first").join(one("last"), ["row", "col"]).join(one("center"), ["row", "col"])
 
 
-@query(f"""with {_LAYERS}, v as (select distinct "row", col from layers) select "row", col from v a where (select count(*) from v b where abs(a."row" - b."row") + abs(a.col - b.col) = 1) = 4""")
-def eroded_mask(spark, sf):
-    return rasters.eroded(_layers(spark, sf).select("row", "col").distinct(), 1)
+@query(f"""with {_LAYERS}, v as (select distinct "row", col from layers) select "row", col from v a where (select count(*) from v b where abs(a."row" - b."row") + abs(a.col - b.col) = 1) = 4""", "frame % 10 = 0")
+def eroded_mask(spark, sf, cut):
+    return rasters.eroded(_layers(spark, sf, cut).select("row", "col").distinct(), 1)
 
 
-@query(f"""with {_LAYERS}, v as (select distinct "row", col from layers where col > 20 and "row" > 7) select "row" - min("row") over () as "row", col - min(col) over () as col from v""")
-def cropped_cells(spark, sf):
-    return rasters.cropped(_layers(spark, sf).select("row", "col").distinct().where("col > 20 and row > 7"))
+@query(f"""with {_LAYERS}, v as (select distinct "row", col from layers where col > 20 and "row" > 7) select "row" - min("row") over () as "row", col - min(col) over () as col from v""", "frame % 10 = 0")
+def cropped_cells(spark, sf, cut):
+    return rasters.cropped(_layers(spark, sf, cut).select("row", "col").distinct().where("col > 20 and row > 7"))
 
 
 @query("""select (r * 4 + c)::bigint as tile, (c * 300)::bigint as x, (r * 300)::bigint as y, least(428, 1000 - c * 300)::bigint as w, least(428, 700 - r * 300)::bigint as h from range(0, 3) t(r), range(0, 4) u(c)""")
@@ -581,9 +593,9 @@ def _heights(spark, sf):
 
 @query(f"""with {_HEIGHTS}, p as (select row_id, x1 + 0.3 as px, y1 + (row_id % 9) * 0.1 as py from det where frame % 20 = 0),
   q as (select p.*, px - floor(px) as tx, py - floor(py) as ty, a.z as z0, b.z as z1, c.z as z2, d.z as z3 from p left join h a on a."row" = floor(py) and a.col = floor(px) left join h b on b."row" = floor(py) and b.col = floor(px) + 1 left join h c on c."row" = floor(py) + 1 and c.col = floor(px) left join h d on d."row" = floor(py) + 1 and d.col = floor(px) + 1)
-select row_id, round(case when tx + ty <= 1 then z0 + tx * (z1 - z0) + ty * (z2 - z0) else z3 + (1 - tx) * (z2 - z3) + (1 - ty) * (z1 - z3) end, 4) as z from q""")
-def sampled_heights(spark, sf):
-    p = plans.detections(spark, sf).where("frame % 20 = 0").selectExpr("row_id", "x1 + 0.3 as px", "y1 + (row_id % 9) * 0.1 as py")
+select row_id, round(case when tx + ty <= 1 then z0 + tx * (z1 - z0) + ty * (z2 - z0) else z3 + (1 - tx) * (z2 - z3) + (1 - ty) * (z1 - z3) end, 4) as z from q""", "frame % 20 = 0")
+def sampled_heights(spark, sf, cut):
+    p = plans.detections(spark, sf).where(cut).selectExpr("row_id", "x1 + 0.3 as px", "y1 + (row_id % 9) * 0.1 as py")
     return rasters.sampled(_heights(spark, sf), p, 1.0).select("row_id", F.round("z", 4).alias("z"))
 
 
@@ -593,9 +605,9 @@ def terrain_mesh(spark, sf):
     return faces.agg(F.count("*").alias("faces"), (F.count("*") / 2).cast("long").alias("cells"))
 
 
-@query("""select flight_id, round(count(*) * 0.25e0, 4) as area from (select distinct flight_id, c, r from (select flight_id, x1, y1, x2, y2 from det where frame % 100 = 0) b, range(0, 260) t(c), range(0, 160) u(r) where (c + 0.5) * 0.5 between x1 and x2 and (r + 0.5) * 0.5 between y1 and y2) group by 1""")
-def union_areas(spark, sf):
-    d = plans.detections(spark, sf).where("frame % 100 = 0").withColumn("ring", F.slice(boxes.ring(boxes.box()), 1, 4))
+@query("""select flight_id, round(count(*) * 0.25e0, 4) as area from (select distinct flight_id, c, r from (select flight_id, x1, y1, x2, y2 from det where frame % 100 = 0) b, range(0, 260) t(c), range(0, 160) u(r) where (c + 0.5) * 0.5 between x1 and x2 and (r + 0.5) * 0.5 between y1 and y2) group by 1""", "frame % 100 = 0")
+def union_areas(spark, sf, cut):
+    d = plans.detections(spark, sf).where(cut).withColumn("ring", F.slice(boxes.ring(boxes.box()), 1, 4))
     return rasters.union_area(d, "flight_id", 0.5).select("flight_id", F.round("area", 4).alias("area"))
 
 
@@ -665,10 +677,10 @@ def frame_footprints(spark, sf):
     return terrain.footprints(p, 50.0, 512.0, 512.0).select("flight_id", "frame", F.round(boxes.ring_area(F.col("ring")), 3).alias("area"))
 
 
-@query("select count(*) as hits from det where frame % 200 = 0")
-def terrain_hits(spark, sf):
+@query("select count(*) as hits from det where frame % 200 = 0", "frame % 200 = 0")
+def terrain_hits(spark, sf, cut):
     """Every ray straight down over the terrain meets it."""
-    d = plans.detections(spark, sf).where("frame % 200 = 0").selectExpr("row_id", "256.0D as px", "256.0D as py", "x1 + 10 as east", "y1 + 10 as north", "100.0D as up", "0.0D as tilt", "0.0D as heading")
+    d = plans.detections(spark, sf).where(cut).selectExpr("row_id", "256.0D as px", "256.0D as py", "x1 + 10 as east", "y1 + 10 as north", "100.0D as up", "0.0D as tilt", "0.0D as heading")
     return terrain.pixels_to_terrain(d, terrain.terrain(), 2.5, 50.0, 512.0, 512.0).agg(F.count("gz").alias("hits"))
 
 
