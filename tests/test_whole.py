@@ -1,13 +1,19 @@
 """Queries whose SQL keeps part of the rows stand beside the same queries over all rows; tests/test_catalog.py compares both with DuckDB."""
 
+import math
+import random
+
 import pytest
 
 from wingtally import catalog, plans
+from wingtally.operators import joins, tracks
 
 SF = "/root/testdata/sf0.001"
 PARTS = {
     "frame % 200 = 0": ["terrain_hits"], "frame % 100 = 0": ["union_areas"], "frame % 50 = 0": ["coverage_cells"], "frame % 20 = 0": ["sampled_heights"],
     "frame % 10 = 0": ["mosaic_average", "mosaic_blends", "eroded_mask", "cropped_cells"],
+    "frame < 12": ["nearest_on_route", "perpendicular_distance", "transect_assignment"], "frame % 3 = 1": ["nearest_on_route", "perpendicular_distance", "transect_assignment"],
+    "frame < 40": ["boxes_on_ground"], "frame < 10": ["frame_footprints"], "flight_id < 4": ["merged_subtitles"],
     "frame % 5 = 0": ["class_votes", "track_movement", "tracker_checks"], "frame % 2 = 0": ["match_candidates", "rejection_reasons", "seeds", "affine_normal_sums"],
 }
 
@@ -15,7 +21,10 @@ PARTS = {
 @pytest.mark.parametrize(("cut", "name"), [(c, n) for c, names in PARTS.items() for n in names])
 def test_whole_queries_leave_no_frame_out(cut, name):
     assert cut in catalog.ORACLES[name] and cut not in catalog.ORACLES[f"{name}_whole"]
-    assert catalog.ORACLES[f"{name}_whole"] == catalog.ORACLES[name].replace(cut, "true") and f"{name}_whole" in catalog.QUERIES
+    rest = catalog.ORACLES[name]
+    for c in PARTS:
+        rest = rest.replace(c, "true") if name in PARTS[c] else rest
+    assert catalog.ORACLES[f"{name}_whole"] == rest and f"{name}_whole" in catalog.QUERIES
 
 
 def test_whole_queries_see_every_box(spark):
@@ -25,3 +34,60 @@ def test_whole_queries_see_every_box(spark):
     assert catalog.QUERIES["sampled_heights_whole"](spark, SF).count() == n
     assert catalog.QUERIES["mosaic_average_whole"](spark, SF).agg({"layers": "sum"}).first()[0] == n
     assert catalog.QUERIES["tracker_hungarian"](spark, SF).count() == boxes.select("track_id", "frame").distinct().count()
+
+
+def test_whole_queries_see_every_flight(spark):
+    t, boxes = plans.telemetry(spark, SF), plans.detections(spark, SF)
+    assert catalog.QUERIES["merged_subtitles_whole"](spark, SF).count() == catalog.QUERIES["frame_footprints_whole"](spark, SF).count() == t.count()
+    assert catalog.QUERIES["boxes_on_ground_whole"](spark, SF).count() == boxes.count()
+    assert catalog.QUERIES["clock_offsets"](spark, SF).count() == t.select("flight_id").distinct().count()
+    renamed = boxes.selectExpr("flight_id", "frame", "row_id", "x1", "y1", "x2", "y2", "confidence", "class_id", "track_id * 4 + class_id as track_id")
+    assert sorted(catalog.QUERIES["stitched_fragments"](spark, SF).collect()) == sorted(tracks.fragments(renamed, 4, 2, 0.1, 2.0).collect())
+
+
+def routes(rng):
+    return {
+        "rows": [(i * 40.0 if i // 10 % 2 else 400 - i * 40.0, i // 10 * 30.0) for i in range(120)],
+        "wild": [(rng.uniform(0, 9000), rng.uniform(-4000, 2000)) for _ in range(90)],
+        "line": [(5e5 + 7.5 * i, 5.3e6) for i in range(60)], "steep": [(1e-7 * i, 11.0 * i) for i in range(60)],
+        "still": [(3.0, 4.0)] * 5, "back and forth": [(100.0 * (i % 2), 0.0) for i in range(40)], "one": [(0.0, 0.0), (10.0, 10.0)],
+    }
+
+
+def test_nearest_lines_match_all_pairs(spark):
+    rng = random.Random(4)
+    path = [(k, i, x, y) for k, r in routes(rng).items() for i, (x, y) in enumerate(r)]
+    segs = joins.segments(spark.createDataFrame(path, "flight_id string, frame long, x double, y double")).withColumn("transect_id", catalog.F.floor(catalog.F.col("seg") / 4))
+    points = []
+    for k, r in routes(random.Random(4)).items():
+        wide = max(max(abs(x - r[0][0]), abs(y - r[0][1])) for x, y in r) + 10
+        at = [(x + dx, y + dy) for x, y in rng.sample(r, min(len(r), 30)) for dx, dy in ((0.0, 0.0), (rng.gauss(0, 30), rng.gauss(0, 30)))]
+        at += [(r[0][0] + rng.uniform(-3, 3) * wide, r[0][1] + rng.uniform(-3, 3) * wide) for _ in range(20)]
+        points += [(k, i, *p) for i, p in enumerate(at)]
+    pts = spark.createDataFrame(points, "flight_id string, point_id long, px double, py double")
+    lines = {}
+    for s in segs.collect():
+        lines.setdefault(s.flight_id, []).append(s)
+
+    def away(s, x, y):
+        n = s.dx * s.dx + s.dy * s.dy
+        t = max(0.0, min(1.0, ((x - s.ax) * s.dx + (y - s.ay) * s.dy) / n if n >= 1e-12 else 0.0))
+        return math.sqrt((x - s.ax - t * s.dx) ** 2 + (y - s.ay - t * s.dy) ** 2)
+
+    got = {(r.flight_id, r.point_id): r for r in joins.nearest_on_route(pts, segs).collect()}
+    dealt = {(r.flight_id, r.point_id): r for r in joins.assign_to_transects(pts, segs, 50.0).collect()}
+    assert len(got) == len(dealt) == len(points)
+    for k, i, x, y in points:
+        far = [away(s, x, y) for s in lines[k]]
+        assert got[k, i].distance == pytest.approx(min(far), abs=1e-7) and far[got[k, i].seg] <= min(far) + 2e-9
+        assert got[k, i].seg <= min(s.seg for s in lines[k] if far[s.seg] < min(far) + 1e-10)
+        assert dealt[k, i].distance == pytest.approx(min(far), abs=1e-7) and dealt[k, i].truncated == (dealt[k, i].distance > 50)
+
+
+def test_nearest_lines_meet_few_pairs(spark):
+    path = [("a", i, (i % 50) * 20.0 if i // 50 % 2 else 980 - (i % 50) * 20.0, i // 50 * 30.0) for i in range(3000)]
+    segs = joins.segments(spark.createDataFrame(path, "flight_id string, frame long, x double, y double"))
+    pts = spark.createDataFrame([(k, i, x + 9, y - 7) for k, i, x, y in path], "flight_id string, point_id long, px double, py double")
+    assert joins.near_segments(pts, segs, "flight_id", "px", "py", "point_id").count() < 3000 * 60
+    plan = joins.nearest_on_route(pts, segs)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "CartesianProduct" not in plan

@@ -349,32 +349,32 @@ _POINTS = "pts as (select flight_id, frame as point_id, x + 37.5 as px, y - 12.2
 _CLAMP = "greatest(0, least(1, case when dx * dx + dy * dy < 1e-12 then 0 else ((px - ax) * dx + (py - ay) * dy) / (dx * dx + dy * dy) end))"
 
 
-def _points_segments(spark, sf):
+def _points_segments(spark, sf, part, which):
     r = plans.routes(spark, sf)
-    pts = r.where("frame % 3 = 1").select("flight_id", F.col("frame").alias("point_id"), (F.col("x") + 37.5).alias("px"), (F.col("y") - 12.25).alias("py"), F.col("x").alias("camera_x"), F.col("y").alias("camera_y"))
-    return pts, joins.segments(r.where("frame < 12"))
+    pts = r.where(which).select("flight_id", F.col("frame").alias("point_id"), (F.col("x") + 37.5).alias("px"), (F.col("y") - 12.25).alias("py"), F.col("x").alias("camera_x"), F.col("y").alias("camera_y"))
+    return pts, joins.segments(r.where(part))
 
 
 @query(f"""with {_SEG}, {_POINTS}, j as (select *, {_CLAMP} as t from pts join seg using (flight_id)), d as (select *, sqrt(power(px - ax - t * dx, 2) + power(py - ay - t * dy, 2)) as d from j),
-  k as (select *, row_number() over (partition by flight_id, point_id order by round(d, 9), seg) as k from d) select flight_id, point_id, seg, round(d, 4) as distance from k where k = 1""")
-def nearest_on_route(spark, sf):
-    pts, seg = _points_segments(spark, sf)
+  k as (select *, row_number() over (partition by flight_id, point_id order by round(d, 9), seg) as k from d) select flight_id, point_id, seg, round(d, 4) as distance from k where k = 1""", "frame < 12", "frame % 3 = 1")
+def nearest_on_route(spark, sf, part, which):
+    pts, seg = _points_segments(spark, sf, part, which)
     return joins.nearest_on_route(pts, seg).where("seg is not null").select("flight_id", "point_id", "seg", F.round("distance", 4).alias("distance"))
 
 
 @query(f"""with {_SEG}, {_POINTS}, j as (select *, {_CLAMP.replace("px", "camera_x").replace("py", "camera_y")} as t from pts join seg using (flight_id)), d as (select *, sqrt(power(camera_x - ax - t * dx, 2) + power(camera_y - ay - t * dy, 2)) as d from j),
   k as (select *, row_number() over (partition by flight_id, point_id order by round(d, 9), seg) as k from d), u as (select *, case when dx * dx + dy * dy < 1e-12 then 0 else ((px - ax) * dx + (py - ay) * dy) / (dx * dx + dy * dy) end as f from k where k = 1)
-select flight_id, point_id, seg, round(sqrt(power(px - ax - f * dx, 2) + power(py - ay - f * dy, 2)), 3) as distance from u""")
-def perpendicular_distance(spark, sf):
-    pts, seg = _points_segments(spark, sf)
+select flight_id, point_id, seg, round(sqrt(power(px - ax - f * dx, 2) + power(py - ay - f * dy, 2)), 3) as distance from u""", "frame < 12", "frame % 3 = 1")
+def perpendicular_distance(spark, sf, part, which):
+    pts, seg = _points_segments(spark, sf, part, which)
     return joins.perpendicular(pts, seg).select("flight_id", "point_id", "seg", F.round("distance", 3).alias("distance"))
 
 
 @query(f"""with {_SEG}, {_POINTS}, j as (select flight_id, point_id, seg // 4 as transect_id, sqrt(power(px - ax - {_CLAMP} * dx, 2) + power(py - ay - {_CLAMP} * dy, 2)) as d from pts join seg using (flight_id)),
   m as (select flight_id, point_id, transect_id, min(d) as d from j group by all), k as (select *, row_number() over (partition by flight_id, point_id order by round(d, 9), transect_id) as k from m)
-select flight_id, point_id, case when d > 500 then -1 else transect_id end as transect_id, transect_id as nearest, d > 500 as truncated from k where k = 1""")
-def transect_assignment(spark, sf):
-    pts, seg = _points_segments(spark, sf)
+select flight_id, point_id, case when d > 500 then -1 else transect_id end as transect_id, transect_id as nearest, d > 500 as truncated from k where k = 1""", "frame < 12", "frame % 3 = 1")
+def transect_assignment(spark, sf, part, which):
+    pts, seg = _points_segments(spark, sf, part, which)
     out = joins.assign_to_transects(pts, seg.withColumn("transect_id", F.floor(F.col("seg") / 4)), 500.0)
     return out.where("nearest is not null").select("flight_id", "point_id", "transect_id", "nearest", "truncated")
 
@@ -470,7 +470,7 @@ def simplified_routes(spark, sf):
 
 @query()
 def stitched_fragments(spark, sf):
-    t = plans.detections(spark, sf).where("frame < 3000").withColumn("track_id", F.col("track_id") * 4 + F.col("class_id"))
+    t = plans.detections(spark, sf).withColumn("track_id", F.col("track_id") * 4 + F.col("class_id"))
     return tracks.fragments(t, 4, 2, 0.1, 2.0)
 
 
@@ -651,29 +651,29 @@ def unique_photo_matches(spark, sf):
 
 @query()
 def clock_offsets(spark, sf):
-    t = _clock(spark, sf).where("flight_id < 6").withColumn("t", F.col("frame").cast("double"))
+    t = _clock(spark, sf).withColumn("t", F.col("frame").cast("double"))
     return clocks.clock_offset(t.withColumn("t", F.col("t") - 0.3), t)
 
 
 @query("""with f as (select flight_id % 4 as file_no, id, frame * 100 as start_ms, frame * 100 + 90 as end_ms from tele where flight_id < 4), e as (select file_no, max(end_ms) as e, count(*) as n from f group by 1),
   b as (select file_no, coalesce(sum(e) over w, 0) as base, coalesce(sum(n) over w, 0) as first from e window w as (order by file_no rows between unbounded preceding and 1 preceding))
-select f.file_no, (first + row_number() over (partition by f.file_no order by start_ms, f.id) - 1)::bigint as id, (start_ms + base)::bigint as start_ms, (end_ms + base)::bigint as end_ms from f join b using (file_no)""")
-def merged_subtitles(spark, sf):
-    t = plans.telemetry(spark, sf).where("flight_id < 4")
+select f.file_no, (first + row_number() over (partition by f.file_no order by start_ms, f.id) - 1)::bigint as id, (start_ms + base)::bigint as start_ms, (end_ms + base)::bigint as end_ms from f join b using (file_no)""", "flight_id < 4")
+def merged_subtitles(spark, sf, cut):
+    t = plans.telemetry(spark, sf).where(cut)
     return paths.concatenated(t.select((F.col("flight_id") % 4).alias("file_no"), "id", (F.col("frame") * 100).alias("start_ms"), (F.col("frame") * 100 + 90).alias("end_ms"))).select("file_no", "id", "start_ms", "end_ms")
 
 
 @query("""with p as (select flight_id, frame, x as east, y as north, 30 + z as up, 0.0 as tilt, 0.0 as heading from route where frame < 40), b as (select flight_id, frame, row_id, x1, y1, x2, y2 from det where frame < 40)
-select b.flight_id, b.frame, row_id, round(east + (2 * x1 / 512 - 1) * tan(radians(25)) * up, 3) as min_x, round(north + (1 - 2 * y2 / 512) * tan(radians(25)) * up, 3) as min_y from b left join p using (flight_id, frame)""")
-def boxes_on_ground(spark, sf):
-    p = plans.routes(spark, sf).where("frame < 40").selectExpr("flight_id", "frame", "x as east", "y as north", "30 + z as up", "0.0D as tilt", "0.0D as heading")
-    b = plans.detections(spark, sf).where("frame < 40")
+select b.flight_id, b.frame, row_id, round(east + (2 * x1 / 512 - 1) * tan(radians(25)) * up, 3) as min_x, round(north + (1 - 2 * y2 / 512) * tan(radians(25)) * up, 3) as min_y from b left join p using (flight_id, frame)""", "frame < 40")
+def boxes_on_ground(spark, sf, cut):
+    p = plans.routes(spark, sf).where(cut).selectExpr("flight_id", "frame", "x as east", "y as north", "30 + z as up", "0.0D as tilt", "0.0D as heading")
+    b = plans.detections(spark, sf).where(cut)
     return terrain.boxes_to_ground(b, p, 50.0, 512.0, 512.0).select("flight_id", "frame", "row_id", *[F.round(c, 3).alias(c) for c in ("min_x", "min_y")])
 
 
-@query("""select flight_id, frame, round(power(2 * (30 + z) * tan(radians(25)) * 511 / 512, 2), 3) as area from route where frame < 10""")
-def frame_footprints(spark, sf):
-    p = plans.routes(spark, sf).where("frame < 10").selectExpr("flight_id", "frame", "x as east", "y as north", "30 + z as up", "0.0D as tilt", "0.0D as heading")
+@query("""select flight_id, frame, round(power(2 * (30 + z) * tan(radians(25)) * 511 / 512, 2), 3) as area from route where frame < 10""", "frame < 10")
+def frame_footprints(spark, sf, cut):
+    p = plans.routes(spark, sf).where(cut).selectExpr("flight_id", "frame", "x as east", "y as north", "30 + z as up", "0.0D as tilt", "0.0D as heading")
     return terrain.footprints(p, 50.0, 512.0, 512.0).select("flight_id", "frame", F.round(boxes.ring_area(F.col("ring")), 3).alias("area"))
 
 

@@ -77,9 +77,51 @@ def _projected(px: Column, py: Column) -> tuple[Column, Column, Column]:
     return t, c, F.sqrt(ex * ex + ey * ey)
 
 
+def near_segments(points: DataFrame, segs: DataFrame, key: str, px: str, py: str, point: str) -> DataFrame:
+    """Pairs of points and segments of their key, among them each point's nearest segment and all that tie with it, by cells of a grid.
+
+    Segments are dealt to the cells that they cross, at a cell size of their flight and at 4, 16, .. times that, until one cell holds
+    the flight. A point looks at the finest of these grids on which a cell next to it is crossed: the farthest corner of such a cell bounds
+    the distance, and the point meets the segments of the cells within that bound. A point outside the flight's extent looks from the extent's edge."""
+    lo_x, lo_y = F.least(F.col("ax"), F.col("ax") + F.col("dx")), F.least(F.col("ay"), F.col("ay") + F.col("dy"))
+    hi_x, hi_y = F.greatest(F.col("ax"), F.col("ax") + F.col("dx")), F.greatest(F.col("ay"), F.col("ay") + F.col("dy"))
+    g = segs.groupBy(key).agg(F.min(lo_x).alias("_x0"), F.min(lo_y).alias("_y0"), F.max(hi_x).alias("_x1"), F.max(hi_y).alias("_y1"), F.count("*").alias("_n"), F.avg(F.greatest(F.abs("dx"), F.abs("dy"))).alias("_m"))
+    width, height, top = F.col("_x1") - F.col("_x0"), F.col("_y1") - F.col("_y0"), F.greatest(F.abs("_x0"), F.abs("_x1"), F.abs("_y0"), F.abs("_y1"))
+    g = g.withColumn("_c", F.greatest(F.sqrt(width * height / F.col("_n")), F.col("_m") / F.sqrt("_n"), F.greatest(width, height) / F.col("_n"), top * 1e-9, F.lit(1e-6)))
+    g = g.withColumn("_w", width / F.col("_c")).withColumn("_h", height / F.col("_c"))
+    g = g.withColumn("_top", F.ceil(F.log(4.0, F.greatest("_w", "_h") + 2)).cast("int")).drop("_n", "_m", "_x1", "_y1")
+    e = 1e-5  # cells, far over what rounding moves
+    cell = lambda x: F.greatest(F.lit(0).cast("long"), F.floor(x))
+    s = segs.join(g, key).withColumn("_u", (F.col("ax") - F.col("_x0")) / F.col("_c")).withColumn("_v", (F.col("ay") - F.col("_y0")) / F.col("_c"))
+    s = s.withColumn("_du", F.col("dx") / F.col("_c")).withColumn("_dv", F.col("dy") / F.col("_c"))
+    s = s.withColumn("_i", F.explode(F.sequence(cell(F.least(F.col("_u"), F.col("_u") + F.col("_du")) - e), cell(F.greatest(F.col("_u"), F.col("_u") + F.col("_du")) + e))))
+    part = lambda x, other: F.when(F.abs("_du") < e, other).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (x - F.col("_u")) / F.nullif(F.col("_du"), F.lit(0.0)))))
+    v0, v1 = (F.col("_v") + t * F.col("_dv") for t in (part(F.col("_i") - e, 0.0), part(F.col("_i") + 1 + e, 1.0)))
+    s = s.withColumn("_v0", F.least(v0, v1)).withColumn("_v1", F.greatest(v0, v1)).withColumn("_j", F.explode(F.sequence(cell(F.col("_v0") - e), cell(F.col("_v1") + e))))
+    s = s.withColumn("_level", F.explode(F.sequence(F.lit(0), F.col("_top")))).withColumn("_size", F.pow(F.lit(4.0), F.col("_level")))
+    s = s.select(*segs.columns, "_level", F.floor(F.col("_i") / F.col("_size")).alias("_i"), F.floor(F.col("_j") / F.col("_size")).alias("_j")).distinct()
+    # the finest grid with a crossed cell next to the point, and the bound there
+    p = points.select(key, point, px, py).join(g, key).withColumn("_pu", (F.col(px) - F.col("_x0")) / F.col("_c")).withColumn("_pv", (F.col(py) - F.col("_y0")) / F.col("_c"))
+    q = p.withColumn("_level", F.explode(F.sequence(F.lit(0), F.col("_top")))).withColumn("_size", F.pow(F.lit(4.0), F.col("_level")))
+    for at, c, most in (("_i", "_pu", "_w"), ("_j", "_pv", "_h")):
+        here = F.floor(F.greatest(F.lit(0.0), F.least(F.col(most), F.col(c))) / F.col("_size"))
+        q = q.withColumn(at, F.explode(F.sequence(cell(here - 1), here + 1)))
+    far = lambda c, at: F.greatest(F.abs(F.col(c) - F.col(at) * F.col("_size")), F.abs(F.col(c) - (F.col(at) + 1) * F.col("_size")))
+    q = q.join(s.select(key, "_level", "_i", "_j").distinct(), [key, "_level", "_i", "_j"], "left_semi")
+    q = q.withColumn("_d", F.sqrt(far("_pu", "_i") * far("_pu", "_i") + far("_pv", "_j") * far("_pv", "_j")) + 1e-3)
+    q = q.groupBy(key, point).agg(F.min(F.struct("_level", "_d")).alias("_b")).select(key, point, "_b._level", "_b._d")
+    q = p.join(q, [key, point]).withColumn("_size", F.pow(F.lit(4.0), F.col("_level")))
+    for at, c, most in (("_i", "_pu", "_w"), ("_j", "_pv", "_h")):
+        last = F.least(F.col(c) + F.col("_d"), F.col(most) + 1)
+        q = q.withColumn(at, F.explode(F.sequence(cell((F.col(c) - F.col("_d")) / F.col("_size")), cell(last / F.col("_size")))))
+    gap = lambda c, at: F.greatest(F.lit(0.0), F.col(at) * F.col("_size") - F.col(c), F.col(c) - (F.col(at) + 1) * F.col("_size"))
+    q = q.where(gap("_pu", "_i") * gap("_pu", "_i") + gap("_pv", "_j") * gap("_pv", "_j") <= F.col("_d") * F.col("_d")).select(key, point, px, py, "_level", "_i", "_j")
+    return q.join(s, [key, "_level", "_i", "_j"]).drop("_level", "_i", "_j")
+
+
 def nearest_on_route(points: DataFrame, segs: DataFrame, key: str = "flight_id", px: str = "px", py: str = "py", point: str = "point_id") -> DataFrame:
-    """points with seg, foot_x, foot_y and distance of the nearest place on their flight's route; the first segment on ties. Points meet segments of their own flight alone."""
-    j = points.join(segs, key)
+    """points with seg, foot_x, foot_y and distance of the nearest place on their flight's route; the first segment on ties. Points meet segments of cells near them."""
+    j = near_segments(points, segs, key, px, py, point)
     _, c, d = _projected(F.col(px), F.col(py))
     value = F.struct(F.round(d, 9).alias("_d"), F.col("seg"), (F.col("ax") + c * F.col("dx")).alias("foot_x"), (F.col("ay") + c * F.col("dy")).alias("foot_y"), d.alias("distance"))
     best = j.groupBy(key, point).agg(F.min(value).alias("_v"))
@@ -101,7 +143,7 @@ def assign_to_transects(points: DataFrame, lines: DataFrame, truncation: float =
 
     lines: key, transect_id and segments (ax, ay, dx, dy)."""
     _, _, d = _projected(F.col("px"), F.col("py"))
-    per = points.join(lines, key).groupBy(key, point, "transect_id").agg(F.min(d).alias("_d"))
+    per = near_segments(points, lines, key, "px", "py", point).groupBy(key, point, "transect_id").agg(F.min(d).alias("_d"))
     best = per.groupBy(key, point).agg(F.min(F.struct(F.round("_d", 9).alias("r"), "transect_id", "_d")).alias("v"))
     far = F.lit(truncation > 0) & (F.col("v._d") > truncation)
     out = best.select(key, point, F.when(far, -1).otherwise(F.col("v.transect_id")).alias("transect_id"), F.col("v.transect_id").alias("nearest"), F.col("v._d").alias("distance"), far.alias("truncated"))
