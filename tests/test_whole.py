@@ -6,14 +6,14 @@ import random
 import pytest
 
 from wingtally import catalog, plans
-from wingtally.operators import joins, tracks
+from wingtally.operators import estimators, joins, tracks
 
 SF = "/root/testdata/sf0.001"
 PARTS = {
     "frame % 200 = 0": ["terrain_hits"], "frame % 100 = 0": ["union_areas"], "frame % 50 = 0": ["coverage_cells"], "frame % 20 = 0": ["sampled_heights"],
     "frame % 10 = 0": ["mosaic_average", "mosaic_blends", "eroded_mask", "cropped_cells"],
     "frame < 12": ["nearest_on_route", "perpendicular_distance", "transect_assignment"], "frame % 3 = 1": ["nearest_on_route", "perpendicular_distance", "transect_assignment"],
-    "frame < 40": ["boxes_on_ground"], "frame < 10": ["frame_footprints"], "flight_id < 4": ["merged_subtitles"],
+    "frame < 40": ["boxes_on_ground"], "frame < 10": ["frame_footprints"], "flight_id < 4": ["merged_subtitles"], "a.frame % 25 = 0": ["neighbour_frames"],
     "frame % 5 = 0": ["class_votes", "track_movement", "tracker_checks"], "frame % 2 = 0": ["match_candidates", "rejection_reasons", "seeds", "affine_normal_sums"],
 }
 
@@ -91,3 +91,25 @@ def test_nearest_lines_meet_few_pairs(spark):
     assert joins.near_segments(pts, segs, "flight_id", "px", "py", "point_id").count() < 3000 * 60
     plan = joins.nearest_on_route(pts, segs)._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "CartesianProduct" not in plan
+
+
+def test_estimates_use_all_transects_and_resamples(spark):
+    rows = catalog._strata(spark, SF)
+    assert sorted(catalog.QUERIES["bootstrap_density"](spark, SF).collect()) == sorted(estimators.bootstrap(rows, 999).collect())
+    fitted = estimators.zinb(rows.selectExpr("stratum", "greatest(count - 8, 0) as count", "area_ha"))
+    want = {r.stratum: r.density for r in fitted.collect()}
+    assert {r.stratum: r.density for r in catalog.QUERIES["zero_inflated_density"](spark, SF).collect()} == pytest.approx(want, rel=1e-4)
+
+
+def test_every_gap_is_filled(spark):
+    kept = {}
+    for r in catalog._tracks(spark, SF).collect():
+        kept.setdefault((r.flight_id, r.track_id), {})[r.frame] = r
+    want = {}
+    for key, at in kept.items():
+        frames = sorted(at)
+        for a, b in zip(frames, frames[1:], strict=False):
+            for f in range(a + 1, b):
+                want[(*key, f)] = at[a].x1 + (at[b].x1 - at[a].x1) * (f - a) / (b - a)
+    got = {(r.flight_id, r.track_id, r.frame): r.x1 for r in catalog.QUERIES["interpolated_tracks_whole"](spark, SF).collect()}
+    assert set(got) == set(want) and max(abs(got[k] - want[k]) for k in got) < 1e-4

@@ -240,14 +240,15 @@ def _tracks(spark, sf, cut="true"):
 
 
 @query(f"""with {_TR}, n as (select *, lead(frame) over w as f2, lead(x1) over w as x12, lead(confidence) over w as c2, lead(class_id) over w as k2 from tr window w as (partition by flight_id, track_id order by frame, row_id))
-select flight_id, track_id, f as frame, round(x1 + (x12 - x1) * (f - n.frame) / (f2 - n.frame), 4) as x1, round((confidence + c2) / 2, 4) as confidence, k2 as class_id from n, lateral (select unnest(range(n.frame + 1, f2)) as f) where f2 - n.frame between 2 and 40""", "frame % 5 = 0", whole_sql=False)
-def interpolated_tracks(spark, sf, cut):
+select flight_id, track_id, f as frame, round(x1 + (x12 - x1) * (f - n.frame) / (f2 - n.frame), 4) as x1, round((confidence + c2) / 2, 4) as confidence, k2 as class_id from n, lateral (select unnest(range(n.frame + 1, f2)) as f) where f2 - n.frame between 2 and 40""", "frame % 5 = 0", "f2 - n.frame between 2 and 40", whole_sql=False)
+def interpolated_tracks(spark, sf, cut, gap):
     t = _tracks(spark, sf, cut)
     w = Window.partitionBy("flight_id", "track_id").orderBy("frame", "row_id")
-    out = paths.interpolate_tracks(t)
-    # gaps of up to 40 frames, as a survey would fill
-    gaps = t.withColumn("f2", F.lead("frame").over(w)).where((F.col("f2") - F.col("frame")).between(2, 40)).select("flight_id", "track_id", F.explode(F.sequence(F.col("frame") + 1, F.col("f2") - 1)).alias("frame"))
-    return out.where("interpolated").join(gaps, ["flight_id", "track_id", "frame"], "left_semi").select("flight_id", "track_id", "frame", *r4("x1", "confidence"), "class_id")
+    out = paths.interpolate_tracks(t).where("interpolated")
+    if gap != "true":  # gaps of up to 40 frames, as a survey would fill
+        gaps = t.withColumn("f2", F.lead("frame").over(w)).where(gap.replace("n.", "")).select("flight_id", "track_id", F.explode(F.sequence(F.col("frame") + 1, F.col("f2") - 1)).alias("frame"))
+        out = out.join(gaps, ["flight_id", "track_id", "frame"], "left_semi")
+    return out.select("flight_id", "track_id", "frame", *r4("x1", "confidence"), "class_id")
 
 
 @query("""with s as (select flight_id, epoch(ts) as t, alt, heading from tele), n as (select *, lead(t) over w as t2, lead(alt) over w as a2, lead(heading) over w as h2 from s window w as (partition by flight_id order by t))
@@ -294,10 +295,10 @@ def first_video_run(spark, sf):
     return paths.first_run(plans.telemetry(spark, sf), "is_video").groupBy("flight_id").agg(F.count("*").alias("n"))
 
 
-@query("""select a.flight_id, a.frame as central, b.frame from tele a join tele b on a.flight_id = b.flight_id and abs(a.frame - b.frame) between 10 and 100 and (a.frame - b.frame) % 10 = 0 where a.frame % 25 = 0""")
-def neighbour_frames(spark, sf):
+@query("""select a.flight_id, a.frame as central, b.frame from tele a join tele b on a.flight_id = b.flight_id and abs(a.frame - b.frame) between 10 and 100 and (a.frame - b.frame) % 10 = 0 where a.frame % 25 = 0""", "a.frame % 25 = 0")
+def neighbour_frames(spark, sf, cut):
     t = plans.telemetry(spark, sf)
-    return paths.neighbours(t).where("central % 25 = 0").select("flight_id", "central", "frame")
+    return paths.neighbours(t).where(cut.replace("a.frame", "central")).select("flight_id", "central", "frame")
 
 
 @query("""select flight_id, frame from tele where frame >= 3 and (frame - 3) % 4 = 0 and (frame - 3) < 40""")
@@ -495,12 +496,12 @@ def survey_density(spark, sf):
 
 @query()
 def bootstrap_density(spark, sf):
-    return estimators.bootstrap(_strata(spark, sf), 199)
+    return estimators.bootstrap(_strata(spark, sf))
 
 
 @query()
 def zero_inflated_density(spark, sf):
-    return estimators.zinb(_strata(spark, sf).where("area_ha < 20").withColumn("count", F.greatest(F.col("count") - 8, F.lit(0))))
+    return estimators.zinb(_strata(spark, sf).withColumn("count", F.greatest(F.col("count") - 8, F.lit(0))))
 
 
 @query()
