@@ -51,6 +51,18 @@ def test_shared_lines_go(spark):
     assert out[100].removed_words == 0
 
 
+def test_copies_count_as_documents(spark):
+    page = "the same page stands here once again\n" + "w x y z " * 6
+    rows = [(i, page, "h") for i in range(30)] + [(100 + i, f"own words of text {i} " + "v " * 20, "h") for i in range(30)]
+    rows += [(200, f"one document\n{i} " + "u " * 20, "h") for i in range(30)] + [(None, "no name at all\n" + "t " * 20, "h")] * 30
+    out = quality_rules.line_rules(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert len(out) == len(rows)
+    for r in out:
+        copy = r.doc_id is not None and r.doc_id < 30
+        assert r.removed_lines == ([0, 1] if copy else []) and r.removed_words == (r.n_words if copy else 0)
+        assert not (copy and r.kept)
+
+
 def test_rules_on_odd_rows(spark, odd):
     got = quality_rules.line_rules(odd).collect()
     assert len(got) == odd.count()

@@ -3,13 +3,14 @@ documents that this depletes are rejected, beside rules on each text alone.
 
 One pass of a byte kernel gives each document's counts and, for each of its
 lines, a hash of the normalised line (lower case, one blank between words). The
-rest is relational: distinct texts for each (host, line) are counted with
+rest is relational: documents for each (host, line) are counted with
 partial aggregation, so that a line found in a third of all rows is summed
 before it is shuffled, and only lines above their limit come back.
 
 Defined cases: a null text counts as empty; a null host is a host of its own.
-Exact copies of a text count once for its lines. Repeated rows get the same
-answer each. Columns of the input other than the named ones are not returned.
+Rows of one doc_id count once for a line; exact copies under other doc_ids count
+each. Without a doc_id, each text counts once. Repeated rows get the same answer
+each. Columns of the input other than the named ones are not returned.
 An empty table gives an empty result.
 """
 
@@ -106,8 +107,8 @@ def _measured(batches):
 def line_rules(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", least: int = 20, share: float = 0.02, depleted: float = 0.5, with_text: bool = False) -> DataFrame:
     """Per row of docs: doc_id, the counts, removed_lines, removed_words, base_failed and kept.
 
-    A line of a host is removed where over max(least, share * the host's distinct
-    texts) distinct texts have it. kept is false where base_failed is true or
+    A line of a host is removed where over max(least, share * the host's documents)
+    of the host's documents have it. kept is false where base_failed is true or
     where over the share `depleted` of the words went with removed lines.
     with_text adds the text without the removed lines.
     """
@@ -117,9 +118,10 @@ def line_rules(docs: DataFrame, key: str = "doc_id", text: str = "text", host: s
     found = rows.mapInArrow(_measured, f"doc_id {kind}, host string, content long, {', '.join(f'{c} long' for c in _COUNTS)}, line_no array<long>, line_hash array<long>, line_words array<long>")
     found = shared.written(found, "lines")
     lines = found.select("doc_id", "host", "content", F.explode(F.arrays_zip("line_no", "line_hash", "line_words")).alias("l")).select("doc_id", "host", "content", "l.*")
-    often = lines.groupBy("host", "line_hash", "content").agg(F.lit(1).alias("one")).groupBy("host", "line_hash").agg(F.count("*").alias("n_texts")).where(F.col("n_texts") > least)
-    hosts = found.groupBy("host", "content").agg(F.lit(1).alias("one")).groupBy("host").agg(F.count("*").alias("host_texts"))
-    often = often.join(hosts, often["host"].eqNullSafe(hosts["host"])).where(F.col("n_texts") > F.col("host_texts") * share).select(often["host"].alias("h"), F.col("line_hash").alias("lh"))
+    document = ["doc_id", F.when(F.col("doc_id").isNull(), F.col("content")).alias("unnamed")]
+    often = lines.groupBy("host", "line_hash", *document).agg(F.lit(1).alias("one")).groupBy("host", "line_hash").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") > least)
+    hosts = found.groupBy("host", *document).agg(F.lit(1).alias("one")).groupBy("host").agg(F.count("*").alias("host_docs"))
+    often = often.join(hosts, often["host"].eqNullSafe(hosts["host"])).where(F.col("n_docs") > F.col("host_docs") * share).select(often["host"].alias("h"), F.col("line_hash").alias("lh"))
     # equal rows fold into one, and so count once for what they lose
     gone = lines.join(often, lines["host"].eqNullSafe(often["h"]) & (lines["line_hash"] == often["lh"]), "left_semi")
     gone = gone.groupBy("doc_id", "host", "content", "line_no").agg(F.first("line_words").alias("line_words"))
