@@ -136,6 +136,18 @@ def test_licenses(spark, odd):
     assert licenses.scan(odd).count() == odd.count() and licenses.scan(odd.limit(0)).count() == 0
 
 
+def test_entire_licenses(spark):
+    wrap = lambda t: re.sub(r"[ \n]+", lambda m: "\n\n" if "\n\n" in m[0] else "\n" if m.start() % 3 == 0 else " ", t)
+    texts = {k: t for k, t in {**licenses.TEXTS, **licenses.MORE_TEXTS}.items() if k in licenses.TITLES}
+    rows = [(k, f"{title}\n\nCopyright (c) 2021 Some One\n{said}\n{wrap(t)}\n") for k, t in texts.items() for title in ["", *licenses.TITLES[k]] for said in ("", "All rights reserved.\n")]
+    rows += list(licenses.LONG_TEXTS.items())
+    rows += [("Apache-2.0", licenses.LONG_TEXTS["Apache-2.0"].replace("[yyyy] [name of copyright owner]", "2020 Some One")), ("GPL-3.0", licenses.LONG_TEXTS["GPL-3.0"].split("How to Apply These")[0])]
+    assert {k for k, _ in rows} >= {"Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "GPL-2.0", "GPL-3.0", "LGPL-3.0", "MPL-2.0", "CC0-1.0", "Unlicense", "MIT"}
+    rows += [("none", licenses.LONG_TEXTS["GPL-2.0"] + " and more"), ("none", licenses.MORE_TEXTS["BSD-2-Clause"][:-40])]
+    got = licenses.scan(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    assert [r.license_id or "none" for r in got] == [r.doc_id for r in got] and len(got) == len(rows)
+
+
 def test_quality(spark, odd):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     model = quality.train(quality.sample(docs, labels.where("doc_id % 3 > 0"), 200))

@@ -15,6 +15,9 @@ not returned.
 
 from __future__ import annotations
 
+import re
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,6 +71,60 @@ Permission is granted to anyone to use this software for any purpose, including
     "All-Rights-Reserved": "All rights reserved.",
 }
 
+# Whole texts beside those that the SQL lists; the long ones are files.
+_BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+
+"""
+_NO_NAMES = """3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.
+
+"""
+_AS_IS = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+MORE_TEXTS = {
+    "BSD-2-Clause": _BSD + _AS_IS,
+    "BSD-3-Clause": _BSD + _NO_NAMES + _AS_IS,
+    "Unlicense": """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.
+
+In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.
+
+For more information, please refer to <https://unlicense.org>""",
+}
+LONG_TEXTS = {f.stem: f.read_text() for f in sorted((Path(__file__).parent / "license_texts").glob("*.txt"))}
+
+# Title lines of texts that do not hold their title.
+TITLES = {
+    "MIT": ["MIT License", "The MIT License", "The MIT License (MIT)"], "ISC": ["ISC License", "The ISC License", "ISC License (ISC)"],
+    "0BSD": ["BSD Zero Clause License", "Zero-Clause BSD", "BSD Zero Clause License (0BSD)"], "Zlib": ["zlib License", "The zlib License", "The zlib/libpng License"],
+    "BSD-2-Clause": ["BSD 2-Clause License", "The BSD 2-Clause License", "The 2-Clause BSD License", 'BSD 2-Clause "Simplified" License'],
+    "BSD-3-Clause": ["BSD 3-Clause License", "The BSD 3-Clause License", "The 3-Clause BSD License", 'BSD 3-Clause "New" or "Revised" License'],
+    "Unlicense": ["The Unlicense", "Unlicense"],
+}
+
+
+def whole_texts() -> list[tuple[str, str]]:
+    """(license_id, text) of each known entire text: with and without title, appendix, 'All rights reserved.' and lines left open for a holder."""
+    out = [("All-Rights-Reserved", TEXTS["All-Rights-Reserved"])]
+    for k, t in [*TEXTS.items(), *MORE_TEXTS.items()]:
+        for title in ["", *TITLES.get(k, [])]:
+            out += [(k, f"{title}\n{said}\n{t}") for said in ("", "All rights reserved.")] if k in TITLES else []
+        if k == "Unlicense":  # the older address
+            out += [(k, f"{title}\n{t.replace('https://unlicense.org', 'http://unlicense.org/')}") for title in ["", *TITLES[k]]]
+    for k, t in LONG_TEXTS.items():
+        paragraphs = re.split(r"\n[ \t]*\n", t.strip("\n"))
+        for n in range(3 if k == "CC0-1.0" else 2):  # paragraphs that are the title
+            rest = "\n\n".join(paragraphs[n:])
+            short = re.split(r"(?m)^[ \t]*(?:APPENDIX: )?How to apply (?:these terms|the apache license)", rest, flags=re.I)[0]
+            out += [(k, x) for x in dict.fromkeys((rest, re.sub(r"(?m)^[ \t]*Copyright \[yyyy\].*$", "", rest), short, re.sub(r"END OF TERMS AND CONDITIONS\s*$", "", short)))]
+    return out
+
+
 
 def canonical(rows: DataFrame, text: str, form: str = "form") -> DataFrame:
     """rows with the canonical form, its lines kept, for the text; what states a copyright holder goes with its line."""
@@ -87,25 +144,34 @@ def digest(form: Column) -> Column:
     return F.when(flat != "", F.md5(flat.cast("binary")))
 
 
+def whole_digest(form: Column) -> Column:
+    """Digest of a form as if it were one line: spellings that a line end parts are made one too."""
+    parted = {a: b for a, b in SPELLINGS.items() if " " in a}
+    flat = F.trim(F.regexp_replace(form, r"[ \n]+", " "))
+    for a, b in parted.items():
+        flat = F.regexp_replace(flat, rf"\b{a}\b", b)
+    gap = r"(?: |[ \n]*\n[ \n]*)"
+    return F.when(form.contains("\n") & form.rlike(rf"\b(?:{'|'.join(a.replace(' ', gap) for a in parted)})\b"), F.md5(flat.cast("binary"))).otherwise(digest(form))
+
+
 def known(spark: SparkSession) -> DataFrame:
     """digest, license_id and whole (a text, not a notice): one row a digest, of a list of fixed length."""
-    rows = [(k, v, True) for k, v in TEXTS.items()] + [(k, n.format(name), False) for k, names in NAMES.items() for name in names for n in NOTICES]
+    rows = [(k, v, True) for k, v in whole_texts()] + [(k, n.format(name), False) for k, names in NAMES.items() for name in names for n in NOTICES]
     table = spark.range(1).select(F.inline(F.array(*[F.struct(F.lit(k).alias("license_id"), F.lit(t).alias("text"), F.lit(w).alias("whole")) for k, t, w in rows])))
-    out = canonical(table, "text").select("license_id", "whole", digest(F.col("form")).alias("digest"))
+    out = canonical(table, "text").select("license_id", "whole", whole_digest(F.col("form")).alias("digest"))
     return out.groupBy("digest").agg(F.min("license_id").alias("license_id"), F.max("whole").alias("whole"))
 
 
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row of docs: key, digest of the entire text, license_id that it is, and notices: the licenses that a line of it is a text or notice of, sorted."""
     spark = docs.sparkSession
-    table = known(spark)
-    pairs = sorted((r.digest, r.license_id) for r in table.collect())  # as long as the lists above
+    pairs = sorted((r.digest, r.license_id) for r in known(spark).where("digest is not null").collect())  # as long as the lists above
     lookup = F.map_from_arrays(F.lit([d for d, _ in pairs]), F.lit([x for _, x in pairs]))
     rows = canonical(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")), "text")
     lines = F.transform(F.filter(F.split("form", "\n"), lambda x: F.length(F.trim(x)) > 0), lambda x: F.try_element_at(lookup, F.md5(F.trim(x).cast("binary"))))
-    rows = rows.select("doc_id", digest(F.col("form")).alias("digest"), F.array_sort(F.array_distinct(F.filter(lines, lambda x: x.isNotNull()))).alias("notices"))
-    whole = table.where("digest is not null").withColumnRenamed("digest", "k").select("k", "license_id")
-    return rows.join(F.broadcast(whole), rows["digest"] == whole["k"], "left").select(F.col("doc_id").alias(key), "digest", "license_id", "notices")
+    rows = rows.select("doc_id", digest(F.col("form")).alias("digest"), whole_digest(F.col("form")).alias("_whole"), F.array_sort(F.array_distinct(F.filter(lines, lambda x: x.isNotNull()))).alias("notices"))
+    whole = spark.range(1).select(F.inline(F.array(*[F.struct(F.lit(d).alias("k"), F.lit(x).alias("license_id")) for d, x in pairs])))
+    return rows.join(F.broadcast(whole), rows["_whole"] == whole["k"], "left").select(F.col("doc_id").alias(key), "digest", "license_id", "notices")
 
 
 def op10_license_scan(spark, sf_dir: str) -> DataFrame:
