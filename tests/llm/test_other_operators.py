@@ -31,6 +31,18 @@ def test_secret_structures():
     assert secrets.spans(f"{base64.b64encode(broken).decode()} eyJhbGciOiI.eyJ4.x".encode()) == []
 
 
+def test_wrapped_and_encrypted_keys():
+    body = base64.encodebytes(KEY).decode()
+    pem = "-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0123456789ABCDEF0123456789ABCDEF\n\n" + body + "-----END RSA PRIVATE KEY-----"
+    mixed = KEY.hex()[:-60] + KEY.hex()[-60:].upper()
+    find = lambda t: {(k, t[a:b]) for a, b, k in secrets.spans(t.encode()) if k in ("pem", "der")}
+    assert find(f"a {pem} b") == {("pem", pem)} and find(f"a {mixed} b") == {("der", mixed)}
+    assert find(f"key: {body}next line") == {("der", body.rstrip("\n"))}
+    wrapped = body.replace("\n", "\r\n").rstrip("\r\n")
+    assert find(f"key: {wrapped}\r\nwords") == {("der", wrapped)}
+    assert find("key: " + body.replace("\n", "\n\n")) == set() and find("-----BEGIN RSA PRIVATE KEY-----\na: b\n\n-----END RSA PRIVATE KEY-----") == set()
+
+
 def test_base_spans_match_plain_patterns():
     rng = random.Random(5)
     bits = ["password", "PassWD", "secret", "ToKen", "api_key", "apikey", '"', "'", " ", "=", ":", "abcdef012345", "AKIA", "ABCDEFGH12345678", "ſecret", "é", "\n", "0123456789abcdef", "x", "/+_.-", "K"]

@@ -33,8 +33,10 @@ _ASSIGN = re.compile(rb"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x
 _KEYWORDS = (b"passw", b"secret", b"token", b"api")
 _ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 _HEX = re.compile(rb"[0-9a-f]{16,}")
-_PEM = re.compile(rb"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----([A-Za-z0-9+/=\s]+)-----END \1-----")
+_PEM = re.compile(rb"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----(?:[ \t]*\r?\n)?((?:[A-Za-z][A-Za-z0-9-]*:[^\n]*\n(?:[ \t][^\n]*\n)*)*)([A-Za-z0-9+/=\s]+)-----END \1-----")
 _RUN64 = re.compile(rb"[A-Za-z0-9+/_-]{40,}={0,2}")
+_WRAPPED64 = re.compile(rb"[A-Za-z0-9+/_-]{40,}(?:\r?\n[A-Za-z0-9+/_-]+)+={0,2}")
+_MIXED_HEX_KEY = re.compile(rb"30[0-9a-fA-F]{40,}")
 _HEX_KEY = re.compile(rb"(?:30[0-9a-f]{40,}|30[0-9A-F]{40,})")
 _JWT = re.compile(rb"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
 
@@ -93,6 +95,24 @@ def decoded(run: bytes) -> bytes | None:
         return None
 
 
+def wrapped_key(run: bytes) -> int:
+    """How many bytes of a base64 run over several lines are a DER key by the length that its first bytes state; 0 if none."""
+    head = decoded(run[:8]) or b""
+    if len(head) < 6 or head[0] != 0x30:
+        return 0
+    n = head[1] & 0x7F if head[1] & 0x80 else 0
+    if n > 4:
+        return 0
+    size = 2 + n + (int.from_bytes(head[2 : 2 + n], "big") if n else head[1])
+    left, at = -(-size * 4 // 3), 0
+    while at < len(run) and left:
+        left -= run[at] not in b"\r\n"
+        at += 1
+    if left or run[at : at + 1] not in (b"", b"=", b"\r", b"\n") or not is_private_key(decoded(run[:at]) or b""):
+        return 0
+    return at + len(run[at:]) - len(run[at:].lstrip(b"="))
+
+
 def is_signed_token(run: bytes) -> bool:
     try:
         head, body = (json.loads(decoded(x) or b"") for x in run.split(b".")[:2])
@@ -113,18 +133,23 @@ def spans(data: bytes) -> list[tuple[int, int, str]]:
     if b"\1" * 16 in hexed:
         out += [(*m.span(), "hex") for m in _HEX.finditer(data)]
         if b"\1" * 42 in hexed:
-            for m in _HEX_KEY.finditer(data):
+            found = set()
+            for m in (*_HEX_KEY.finditer(data), *_MIXED_HEX_KEY.finditer(data)):
                 run = m[0][: len(m[0]) // 2 * 2]
                 if is_private_key(bytes.fromhex(run.decode())):
-                    out.append((m.start(), m.start() + len(run), "der"))
+                    found.add((m.start(), m.start() + len(run), "der"))
+            out += found
     blocks = []
     if b"-----BEGIN" in data:
-        blocks = [m for m in _PEM.finditer(data) if (b"ENCRYPTED" in m[1] or b"DEK-Info" in m[0] or is_private_key(decoded(m[2]) or b"")) and decoded(m[2])]
+        blocks = [m for m in _PEM.finditer(data) if (b"ENCRYPTED" in m[1] or b"DEK-Info" in m[0] or is_private_key(decoded(m[3]) or b"")) and decoded(m[3])]
         out += [(*m.span(), "pem") for m in blocks]
     if b"\1" * 40 in data.translate(_IS_64):
         for m in _RUN64.finditer(data):
             if not any(b.start() <= m.start() < b.end() for b in blocks) and is_private_key(decoded(m[0]) or b""):
                 out.append((*m.span(), "der"))
+        for m in _WRAPPED64.finditer(data):
+            if not any(b.start() <= m.start() < b.end() for b in blocks) and (n := wrapped_key(m[0])):
+                out.append((m.start(), m.start() + n, "der"))
     if b"eyJ" in data:
         out += [(*m.span(), "jwt") for m in _JWT.finditer(data) if is_signed_token(m[0])]
     return sorted(out, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
