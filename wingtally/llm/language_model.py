@@ -37,36 +37,28 @@ HEAD, VOCABULARY, CLASSES, STATE = 200_000, 6_000, 80, 16
 #: Rounds of training, each over its own part of the training texts.
 ROUNDS = 2
 LANES, WINDOW = 128, 32
+#: Words that are dealt to the lanes at once in training.
+AT_ONCE = 4_000_000
 END = np.uint64(0xE17D_0000_0000_0001)
 _HELD = 4_000_000
 
 
-def tokens(batch: pa.RecordBatch, texts: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The same for the column 'text' of a batch, hashed a block at a time: what a block needs is many times its bytes."""
-    parts = [_tokens(p.column(p.schema.get_field_index("text")), texts) for p in shared.pieces(batch)]
+def tokens(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of each row's 'text', an end after each row, and the rows' offsets; hashed a block at a time, as a block needs many times its bytes."""
+    parts = [_tokens(p.column(p.schema.get_field_index("text"))) for p in shared.pieces(batch)]
     if not parts:
-        return np.zeros(0, np.uint64), np.zeros(1, np.int64), np.zeros(0, np.int64)
-    h, off, content = zip(*parts, strict=True)
-    return np.concatenate(h), np.r_[0, np.cumsum(np.concatenate([np.diff(o) for o in off]))], np.concatenate(content)
+        return np.zeros(0, np.uint64), np.zeros(1, np.int64)
+    h, off = zip(*parts, strict=True)
+    return np.concatenate(h), np.r_[0, np.cumsum(np.concatenate([np.diff(o) for o in off]))]
 
 
-def _tokens(text: pa.Array, texts: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of all rows' words, an end after each row; the rows' offsets; a hash of each text, where texts asks for it (else nothing)."""
+def _tokens(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     w = shared.Words(text)
     n = np.diff(w.off_w) + 1
     off = np.r_[0, np.cumsum(n)]
     out = np.full(off[-1], END, np.uint64)
     out[np.arange(len(w.start)) + w.doc] = w.hashes()
-    if not texts:
-        return out, off, np.zeros(0, np.int64)
-    raw = shared.Words.prefix(_Raw(*shared.offsets(text)))
-    content = shared.spans_hash(raw, w.off[:-1], w.off[1:]) + shared.mixed(np.diff(w.off).astype(np.uint64))
-    return out, off, content.view(np.int64)
-
-
-class _Raw:
-    def __init__(self, off, data):
-        self.off, self.data = off, data
+    return out, off
 
 
 def _summed(h: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -160,18 +152,10 @@ class Head:
         return np.where(hit, self.count[at], 0), number
 
 
-def sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
-
-
-def _exps(x: np.ndarray, safe: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray | float]:
-    """Exponentials in place of x, their sums by row, and what was taken off before: the row's maximum, unless x is safe from overflow."""
-    most = 0.0
-    if not safe:
-        most = x.max(1)
-        x -= most[:, None]
-    np.exp(x, out=x)
-    return x, x @ np.ones(x.shape[1], x.dtype), most
+def _sum_by(key: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The values of a sorted key, and the sums of their rows."""
+    at = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+    return key[at], np.add.reduceat(rows, at, axis=0) if len(at) else rows[:0]
 
 
 class Network:
@@ -196,96 +180,147 @@ class Network:
         self.state = d
 
     def forward(self, ids: np.ndarray, fresh: np.ndarray, h: np.ndarray, keep: bool = False):
-        """States after each of ids (steps, lanes), from h, which a fresh step sets to 0 before it reads."""
-        d, u = self.state, self.p["u"]
-        x = self.p["x"][ids] + self.p["b"]
-        out, past = np.empty((*ids.shape, d), np.float32), []
-        any_fresh = fresh.any(1)
-        for t in range(len(ids)):
-            if any_fresh[t]:
-                h = np.where(fresh[t][:, None], np.float32(0), h)
-            a = h @ u
-            g = sigmoid(x[t, :, : 2 * d] + a[:, : 2 * d])
-            z, r = g[:, :d], g[:, d:]
-            n = np.tanh(x[t, :, 2 * d :] + r * a[:, 2 * d :])
-            if keep:
-                past.append((h, z, r, n, a[:, 2 * d :]))
-            h = n + z * (h - n)
-            out[t] = h
-        return out, h, past
+        """States after each of ids (steps, lanes), from h, which a fresh step sets to 0 before it reads.
+
+        Signs are turned in the weights, so that both gates are 1 / (1 + exp(a)) and the news is 2 / (1 + exp(a)) - 1; with keep also (before, gates, news, r's term) of all steps."""
+        d = self.state
+        sign = np.r_[np.full(2 * d, -1), np.full(d, -2)].astype(np.float32)
+        u = self.p["u"] * sign
+        x = self.p["x"][ids]
+        x += self.p["b"]
+        x *= sign
+        out = np.empty((*ids.shape, d), np.float32)
+        steps = len(ids) if keep else 1
+        before, gates, news, inner = (np.empty((steps, ids.shape[1], k), np.float32) for k in (d, 2 * d, d, 3 * d))
+        any_fresh = fresh.any(1).tolist()
+        with np.errstate(over="ignore"):  # 1 / (1 + inf) is the limit
+            for t in range(len(ids)):
+                k = t if keep else 0
+                a, g, n = inner[k], gates[k], news[k]
+                if any_fresh[t]:
+                    h = np.where(fresh[t][:, None], np.float32(0), h)
+                if keep:
+                    before[t] = h
+                np.matmul(h, u, out=a)
+                np.add(x[t, :, : 2 * d], a[:, : 2 * d], out=g)
+                np.exp(g, out=g)
+                g += 1
+                np.reciprocal(g, out=g)
+                np.multiply(g[:, d:], a[:, 2 * d :], out=n)
+                n += x[t, :, 2 * d :]
+                np.exp(n, out=n)
+                n += 1
+                np.divide(2, n, out=n)
+                n -= 1
+                h = np.subtract(h, n, out=out[t])
+                h *= g[:, :d]
+                h += n
+        return out, h, (before, gates, news, inner[:, :, 2 * d :] * np.float32(-0.5))
 
     def logs(self, h: np.ndarray, y: np.ndarray, back: bool = False):
         """Natural log probability of each word y after the states h; with back also the gradients of its negative sum.
 
-        Rows are put in order of their class once; a class is then one stretch."""
-        p = self.p
+        Rows are put in order of their word once; a class, and a word, is then one stretch. A state gets a last 1 for the
+        bias; gradients are those of all exponentials, scaled on the side of the few columns, less those of the words themselves."""
+        p, d = self.p, self.state
+        order = np.argsort(y, kind="stable")
+        y = y[order]
         c = self.of[y]
-        order = np.argsort(c, kind="stable")
-        h, y, c = h[order], y[order], c[order]
-        rows = np.arange(len(y))
+        h1 = np.ones((len(y), d + 1), np.float32)
+        h1[:, :d] = h[order]
+        cw, ww = np.concatenate([p["cw"], p["cb"][None]]), np.concatenate([p["ww"], p["wb"][:, None]], 1)
         # states lie within -1 and 1, so the weights bound what they add up to
-        safe = max(float((np.abs(p["cw"]).sum(0) + np.abs(p["cb"])).max()), float((np.abs(p["ww"]).sum(1) + np.abs(p["wb"])).max())) < 80
-        logits = h @ p["cw"] + p["cb"]
-        own = logits[rows, c]
-        e, total, shift = _exps(logits, safe)
-        out = own - shift - np.log(total)
+        safe = max(float(np.abs(cw).sum(0).max()), float(np.abs(ww).sum(1).max())) < 80
+        own_c, own_w = np.ascontiguousarray(cw.T)[c], ww[y]
+        e = h1 @ cw
+        shift = np.zeros(len(y), np.float32) if safe else e.max(1)
+        if not safe:
+            e -= shift[:, None]
+        np.exp(e, out=e)
+        total = e @ np.ones(e.shape[1], np.float32)
+        out = np.einsum("ij,ij->i", h1, own_c) - shift - np.log(total)
         grad: dict[str, np.ndarray] = {}
         if back:
-            e *= (1 / total)[:, None]
-            e[rows, c] -= 1
-            grad = {"cw": h.T @ e, "cb": e.sum(0), "ww": np.zeros_like(p["ww"]), "wb": np.zeros_like(p["wb"])}
-            dh = e @ p["cw"].T
+            inv = (1 / total)[:, None]
+            gc = (h1 * inv).T @ e
+            dh = (e @ cw[:d].T) * inv
+            dh -= own_c[:, :d]
+            gw = np.zeros_like(ww)
+        # the words of each class: a stretch of rows times a stretch of words, all in one buffer
+        size = np.diff(self.cut)
+        n = np.where(size > 1, size, 0)[c]
+        begin = np.cumsum(n) - n
+        many = n > 0
+        buffer = np.empty(int(n.sum()), np.float32)
         bounds = np.searchsorted(c, np.arange(len(self.cut)))
-        for k in np.flatnonzero(np.diff(bounds)):
-            i, (a, b) = slice(bounds[k], bounds[k + 1]), self.cut[k : k + 2]
-            if b - a == 1:
-                continue  # the class's one word
-            s = h[i] @ p["ww"][a:b].T + p["wb"][a:b]
-            j = (rows[: len(s)], y[i] - a)
-            own = s[j]
-            e, total, shift = _exps(s, safe)
-            out[i] += own - shift - np.log(total)
-            if back:
-                e *= (1 / total)[:, None]
-                e[j] -= 1
-                grad["ww"][a:b], grad["wb"][a:b] = e.T @ h[i], e.sum(0)
-                dh[i] += e @ p["ww"][a:b]
+        parts = [(slice(i, j), slice(v, w), buffer[b : b + (j - i) * (w - v)].reshape(j - i, w - v)) for i, j, v, w, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), self.cut[:-1].tolist(), self.cut[1:].tolist(), np.r_[begin, 0][bounds[:-1]].tolist(), strict=True) if j > i and w > v + 1]
+        high = np.zeros(len(y), np.float32)
+        for i, j, s in parts:
+            np.matmul(h1[i], ww[j].T, out=s)
+            if not safe:
+                high[i] = s.max(1)
+                s -= high[i][:, None]
+        np.exp(buffer, out=buffer)
+        within = np.ones(len(y), np.float32)
+        within[many] = np.add.reduceat(buffer, begin[many]) if len(buffer) else 1
+        out += np.where(many, np.einsum("ij,ij->i", h1, own_w) - high - np.log(within), 0)
         result = np.empty_like(out)
         result[order] = out
         if not back:
             return result
+        inv = (1 / within)[:, None]
+        scaled, more = h1 * inv, np.zeros_like(dh)
+        for i, j, s in parts:
+            np.matmul(s.T, scaled[i], out=gw[j])
+            np.matmul(s, p["ww"][j], out=more[i])
+        more *= inv
+        dh += more
+        dh[many] -= own_w[many, :d]
+        words, sums = _sum_by(y, h1)
+        of = self.of[words]
+        classes, class_sums = _sum_by(of, sums)
+        gc[:, classes] -= class_sums.T
+        words, sums = words[size[of] > 1], sums[size[of] > 1]
+        gw[words] -= sums
+        grad = {"cw": gc[:d], "cb": gc[d], "ww": gw[:, :d], "wb": gw[:, d]}
         dback = np.empty_like(dh)
         dback[order] = dh
         return result, grad, dback
 
     def step(self, ids, fresh, y, use, h):
         """Log loss and gradients of one window, cut off at its start."""
-        d, u = self.state, self.p["u"]
-        out, last, past = self.forward(ids, fresh, h, keep=True)
+        d, ut = self.state, np.ascontiguousarray(self.p["u"].T)
+        out, last, (before, gates, news, term) = self.forward(ids, fresh, h, keep=True)
         flat = use.ravel()
         logs, grad, dflat = self.logs(out.reshape(-1, d)[flat], y.ravel()[flat], back=True)
         dout = np.zeros((ids.size, d), np.float32)
         dout[flat] = dflat
         dout = dout.reshape(out.shape)
-        dx, du, dh = np.empty((*ids.shape, 3 * d), np.float32), np.zeros_like(u), np.zeros_like(h)
+        z, r = gates[:, :, :d], gates[:, :, d:]
+        # what the error of a state is multiplied by, for all steps at once
+        by_z, by_n = (before - news) * z * (1 - z), (1 - z) * (1 - news * news)
+        by_r = term * r * (1 - r)
+        dx, inner, dh = np.empty((*ids.shape, 3 * d), np.float32), np.empty((*ids.shape, 3 * d), np.float32), np.zeros_like(h)
+        back = np.empty_like(h)
         any_fresh = fresh.any(1)
         for t in range(len(ids) - 1, -1, -1):
-            before, z, r, n, a = past[t]
-            dh = dh + dout[t]
-            dn = dh * (1 - z) * (1 - n * n)
-            gates = dx[t]
-            gates[:, :d], gates[:, d : 2 * d], gates[:, 2 * d :] = dh * (before - n) * z * (1 - z), dn * a * r * (1 - r), dn
-            inner = gates.copy()
-            inner[:, 2 * d :] *= r
-            du += before.T @ inner
-            dh = dh * z + inner @ u.T
+            g, a = dx[t], inner[t]
+            dh += dout[t]
+            np.multiply(dh, by_z[t], out=g[:, :d])
+            dn = np.multiply(dh, by_n[t], out=g[:, 2 * d :])
+            np.multiply(dn, by_r[t], out=g[:, d : 2 * d])
+            a[:, : 2 * d] = g[:, : 2 * d]
+            np.multiply(dn, r[t], out=a[:, 2 * d :])
+            np.matmul(a, ut, out=back)
+            dh *= z[t]
+            dh += back
             if any_fresh[t]:
                 dh[fresh[t]] = 0
+        grad |= {"u": before.reshape(-1, d).T @ inner.reshape(-1, 3 * d)}
         dx = dx.reshape(-1, 3 * d)
+        grad["b"] = dx.sum(0)
         order = np.argsort(ids.ravel(), kind="stable")
-        at = np.flatnonzero(np.r_[True, np.diff(ids.ravel()[order]) != 0])
-        grad |= {"u": du, "b": dx.sum(0)}
-        return logs, grad, (ids.ravel()[order][at], np.add.reduceat(dx[order], at, axis=0)), last
+        return logs, grad, _sum_by(ids.ravel()[order], dx[order]), last
 
 
 def lanes(off: np.ndarray, many: int) -> list[list[int]]:
@@ -303,13 +338,12 @@ def lanes(off: np.ndarray, many: int) -> list[list[int]]:
 
 
 def laid_out(number: np.ndarray, off: np.ndarray, many: int, end: int):
-    """(inputs, first steps, outputs, in use, place of each output in number), as steps by lanes: a text's words follow its start."""
-    dealt = lanes(off, many)
-    place = [np.concatenate([np.arange(off[r], off[r + 1]) for r in rows]) for rows in dealt]
-    steps = max(map(len, place))
-    where = np.zeros((steps, len(dealt)), np.int64)
-    use = np.zeros((steps, len(dealt)), bool)
-    for i, p in enumerate(place):
+    """(inputs, first steps, outputs, in use, place of each output in number), as steps by lanes, the longest lane first: a text's words follow its start."""
+    dealt = [np.concatenate([np.arange(off[r], off[r + 1]) for r in rows]) for rows in lanes(off, many)]
+    dealt.sort(key=len, reverse=True)
+    where = np.zeros((len(dealt[0]) if dealt else 0, len(dealt)), np.int64)
+    use = np.zeros(where.shape, bool)
+    for i, p in enumerate(dealt):
         where[: len(p), i], use[: len(p), i] = p, True
     first = np.zeros(len(number), bool)
     first[off[:-1]] = True
@@ -325,47 +359,40 @@ def score(net: Network, number: np.ndarray, off: np.ndarray, end: int, many: int
     x, fresh, y, use, where = laid_out(number, off, many, end)
     out, h = np.zeros(len(number)), np.zeros((x.shape[1], net.state), np.float32)
     for t in range(0, len(x), window):
-        live = np.flatnonzero(use[t])  # lanes only ever end
-        if len(live) < x.shape[1]:
-            x, fresh, y, use, where, h = x[:, live], fresh[:, live], y[:, live], use[:, live], where[:, live], h[live]
-        a = slice(t, t + window)
-        states, h, _ = net.forward(x[a], fresh[a], h)
+        live = int(use[t].sum())  # lanes only ever end, the last ones first
+        a = (slice(t, t + window), slice(0, live))
+        states, h, _ = net.forward(x[a], fresh[a], h[:live])
         flat = use[a].ravel()
         out[where[a].ravel()[flat]] = net.logs(states.reshape(-1, net.state)[flat], y[a].ravel()[flat])
     return np.add.reduceat(out, off[:-1])
 
 
-def cut_up(off: np.ndarray, most: int = 1024) -> np.ndarray:
-    """Offsets of the rows' stretches of at most `most` words, for training: a lane then holds no text that outlasts all others."""
-    n = -(-np.diff(off) // most)
-    row = np.repeat(np.arange(len(n)), n)
-    return np.r_[off[row] + (np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)) * most, off[-1]]
-
-
 class Trainer:
-    """Adagrad over windows of LANES lanes."""
+    """Adagrad over windows of LANES lanes. A text stays in its lane to its end, and its state with it."""
 
     def __init__(self, net: Network, rate: float = 0.1):
         self.net, self.rate, self.seen = net, rate, 0
         self.sums = {k: np.full(v.shape, 1e-2, np.float32) for k, v in net.p.items()}
 
+    def _move(self, k: str, g: np.ndarray, rows=slice(None)) -> None:
+        sums = self.sums[k][rows] + g * g
+        self.sums[k][rows] = sums
+        g *= -self.rate
+        g /= np.sqrt(sums, out=sums)
+        self.net.p[k][rows] += g
+
     def texts(self, number: np.ndarray, off: np.ndarray, end: int, many: int = LANES, window: int = WINDOW) -> None:
         x, fresh, y, use, _ = laid_out(number, off, many, end)
         h = np.zeros((x.shape[1], self.net.state), np.float32)
         for t in range(0, len(x), window):
-            live = np.flatnonzero(use[t])
-            if len(live) < x.shape[1]:
-                x, fresh, y, use, h = x[:, live], fresh[:, live], y[:, live], use[:, live], h[live]
-            a = slice(t, t + window)
-            logs, grad, (rows, dx), h = self.net.step(x[a], fresh[a], y[a], use[a], h)
-            n = np.float32(max(1, len(logs)) ** 0.5)
+            live = int(use[t].sum())
+            a = (slice(t, t + window), slice(0, live))
+            logs, grad, (rows, dx), h = self.net.step(x[a], fresh[a], y[a], use[a], h[:live])
+            n = np.float32(max(1, len(logs)) ** -0.5)
             for k, g in grad.items():
-                g = g / n
-                self.sums[k] += g * g
-                self.net.p[k] -= self.rate * g / np.sqrt(self.sums[k])
-            g = np.clip(dx / n, -1, 1)
-            self.sums["x"][rows] += g * g
-            self.net.p["x"][rows] -= self.rate * g / np.sqrt(self.sums["x"][rows])
+                g *= n
+                self._move(k, g)
+            self._move("x", np.clip(dx * n, -1, 1), rows)
             self.seen += len(logs)
 
 
@@ -386,11 +413,22 @@ def _pages(batches):
 
 def _train(sent, head):
     def run(batches):
-        trainer = Trainer(sent.value)
+        trainer, number, off, held = Trainer(sent.value), [], [np.zeros(1, np.int64)], 0
+
+        def learn():
+            trainer.texts(np.concatenate(number), np.concatenate(off), head.value.end)
+
         for batch in batches:
             for part in shared.pieces(batch, 8 << 20):
-                h, off, _ = tokens(part)
-                trainer.texts(head.value.find(h)[1], cut_up(off), head.value.end)
+                h, o = tokens(part)
+                number.append(head.value.find(h)[1])
+                off.append(o[1:] + held)
+                held += len(h)
+                if held >= AT_ONCE:  # lanes last long, so that one long text does not outlast them
+                    learn()
+                    number, off, held = [], off[:1], 0
+        if held:
+            learn()
         if trainer.seen:
             flat = np.concatenate([trainer.net.p[k].ravel() for k in sorted(trainer.net.p)]).astype(np.float64) * trainer.seen
             pages = [flat[a : a + 4096].tobytes() for a in range(0, len(flat), 4096)]
@@ -424,7 +462,7 @@ def _scored(sent, head, buckets: int):
         top = head.value
         for batch in batches:
             for part in shared.pieces(batch, 16 << 20):
-                h, off, content = tokens(part, texts=True)
+                (h, off), content = tokens(part), part.column(2).to_numpy(zero_copy_only=False)
                 count, number = top.find(h)
                 logs = score(sent.value, number, off, top.end)
                 rare = (count == 0) & (h != END)
@@ -506,7 +544,7 @@ def language_scores(docs: DataFrame, training: Column, key: str = "doc_id", text
     head = Head(token[by], count[by], of[by], int(number[-1]), int(number[-2]))
     net = train(learn, head, Network(frequency[order], classes, state), rounds, "doc_id")
     sent, sent_head = spark.sparkContext.broadcast(net), spark.sparkContext.broadcast(head)
-    rows = shared.written(d.select("doc_id", "text").mapInArrow(_scored(sent, sent_head, buckets), f"doc_id {kind}, {_SCHEMA}"), "scored")
+    rows = shared.written(d.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("content")).mapInArrow(_scored(sent, sent_head, buckets), f"doc_id {kind}, {_SCHEMA}"), "scored")
     ask = rows.where("bucket is not null").select("bucket", "tokens", "counts", F.lit(1).alias("kind"), "contents")
     have = counts.select("bucket", "tokens", "counts", F.lit(0).alias("kind"), F.lit(None).cast("binary").alias("contents"))
     rare = ask.unionByName(have).repartition(n_tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(_found, "content long, rare_known long, rare_log double")

@@ -74,7 +74,7 @@ def measure(text: pa.Array) -> tuple[dict[str, np.ndarray], list[np.ndarray]]:
     k = np.searchsorted(breaks, w.start[cut])
     left = np.maximum(np.where(k > 0, breaks[np.maximum(k - 1, 0)] + 1 if len(breaks) else 0, 0), w.off[doc])
     right = np.minimum(np.where(k < len(breaks), breaks[np.minimum(k, len(breaks) - 1)] if len(breaks) else 0, len(w.data)), w.off[doc + 1])
-    raw = shared.spans_hash(w.prefix(), left, right) ^ shared.mixed(doc.astype(np.uint64) + np.uint64(1)) ^ shared.mixed((right - left).astype(np.uint64))
+    raw = shared.spans_hash(w.data, left, right) ^ shared.mixed(doc.astype(np.uint64) + np.uint64(1))
     _, once = np.unique(raw, return_index=True)
     dup = np.ones(len(raw), bool)
     dup[once] = False

@@ -6,6 +6,7 @@ at a time, so that no Python object is made for a word or a byte.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -21,11 +22,13 @@ _made: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a
-    folder of this machine if the setting is missing, as in tests."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is
+    unset, one of this machine, which will do for a session of one machine (as in tests) and no other."""
     put = spark.conf.get("spark.checkpoint.dir", None)
     if put:
         return put.rstrip("/")
+    if not re.fullmatch(r"local(\[[^,\]]*(,[^\]]*)?\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and the executors share")
     return _made.setdefault("dir", "file://" + tempfile.mkdtemp(prefix="wingtally-"))
 
 
@@ -48,7 +51,7 @@ _LOWER[65:91] += 32
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-_BASE = 0x9E3779B97F4A7C15 | 1
+#: A random odd number for each byte value.
 _BYTE = np.random.RandomState(71).randint(0, 2**63, 256, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -59,19 +62,12 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
+def _places(n: int) -> np.ndarray:
+    """A random number for each of the first n places in a word, none a power of another."""
+    return mixed(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
-_pow = {"up": _powers(_BASE, 1 << 12), "down": _powers(pow(_BASE, -1, 2**64), 1 << 12)}
-
-
-def _table(way: str, n: int) -> np.ndarray:
-    if len(_pow[way]) < n:
-        _pow[way] = _powers(_BASE if way == "up" else pow(_BASE, -1, 2**64), max(n, 2 * len(_pow[way])))
-    return _pow[way]
+_PLACE = _places(1 << 12)
 
 
 def pieces(batch: pa.RecordBatch, limit: int = CHUNK) -> Iterator[pa.RecordBatch]:
@@ -122,20 +118,44 @@ class Words:
         #: word offsets of each row: words off_w[i] to off_w[i + 1] are row i's
         self.off_w = np.searchsorted(self.start, self.off)
 
-    def prefix(self) -> np.ndarray:
-        """Sums S with hash(i, j) = (S[j] - S[i]) * base**-i."""
-        out = np.zeros(len(self.data) + 1, np.uint64)
-        np.cumsum(_BYTE[self.data] * _table("up", len(self.data))[: len(self.data)], out=out[1:])
-        return out
-
     def hashes(self) -> np.ndarray:
         """A 64-bit hash of each word."""
-        s = self.prefix()
-        return mixed((s[self.end] - s[self.start]) * _table("down", len(self.data) + 1)[self.start])
+        return spans_hash(self.data, self.start, self.end)
 
 
-def spans_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    return mixed((prefix[end] - prefix[start]) * _table("down", len(prefix))[start])
+def spans_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the bytes of each span: each byte's number times its place's, summed, with the span's length."""
+    size = end - start
+    if not len(size):
+        return np.zeros(0, np.uint64)
+    begin = np.cumsum(size) - size
+    place = np.arange(begin[-1] + size[-1]) - np.repeat(begin, size)
+    table = _PLACE if int(size.max()) <= len(_PLACE) else _places(int(size.max()))
+    sums = np.zeros(len(place) + 1, np.uint64)
+    np.cumsum(_BYTE[data[place + np.repeat(start, size)]] * table[place], out=sums[1:])
+    return mixed((sums[begin + size] - sums[begin]) ^ mixed(size.astype(np.uint64)))
+
+
+def eights(data: np.ndarray) -> np.ndarray:
+    """The 8 bytes from each place as one number; the last places are filled up with zeros."""
+    x = np.zeros(len(data) + 8, np.uint64)
+    x[: len(data)] = data
+    for k in (1, 2, 4):
+        x[:-k] |= x[k:] << np.uint64(8 * k)
+    return x[: len(data)]
+
+
+def grams(wide: np.ndarray, at: np.ndarray | slice, size: int) -> np.ndarray:
+    """A 64-bit hash of the `size` bytes (8 or more) from each place; wide is mixed(eights(data)), which does not depend on what is hashed later."""
+    steps = [*range(0, size - 7, 8)] + [size - 8] * (size % 8 > 0)
+    if isinstance(at, slice):
+        parts = (wide[at.start + k : at.stop + k] for k in steps)
+    else:
+        parts = (wide[at + k] for k in steps)
+    out = None
+    for part, weight in zip(parts, _ORDER, strict=False):
+        out = part * weight if out is None else out + part * weight
+    return mixed(out)
 
 
 _ORDER = [np.uint64(2 * int(x) + 1) for x in np.random.RandomState(5).randint(0, 2**62, 64)]
