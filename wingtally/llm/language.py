@@ -7,16 +7,23 @@ The mean of a text's embeddings goes through a linear softmax. As the layer is
 linear, its product with the table is taken once, and a text costs one look-up
 for each piece.
 
+Calibration bears labels that are partly wrong. The share of wrong labels shows
+in the texts that the model is surest of; a text is rejected where the error
+beyond that share, smoothed over texts of like score, is above a bound. Labels
+that support no such bound reject nothing by score, with a warning.
+
 Defined cases: a null text, an empty one or one without any letter gets `und`,
 score 0, rejected. An empty table gives an empty result; a model that has seen
-no labelled row predicts `und` for all. Repeated rows get the same answer each.
-Other columns pass through untouched; a clash with the result's names raises.
+no labelled row predicts `und` for all. Of languages with the same score the
+first by name is taken. Repeated rows get the same answer each. Other columns
+pass through untouched; columns that bear the names of the result are replaced.
 Very long texts are read whole, a block at a time.
 """
 
 from __future__ import annotations
 
 import sys
+import warnings
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,6 +34,8 @@ from pyspark.sql import functions as F
 from . import shared
 
 BUCKETS, DIM, LONGEST = 1 << 16, 12, 4
+#: Production settings: labels, and texts of each, at most, that the classifier is fitted on.
+LABELS, PER_LABEL = 400, 500
 _BLOCK = 1 << 18
 _MIX = [np.uint32(x) for x in (2654435761, 2246822519, 3266489917, 668265263)]
 _letters: list[np.ndarray] = []
@@ -73,28 +82,29 @@ class LanguageModel:
     least_score: float = 0.0
     least_known: float = 0.0
 
-    def sums(self, text: str) -> tuple[np.ndarray, int]:
-        """Sum of the table's rows over all pieces of the text, and their number."""
-        code, total, n = normal(text), np.zeros(self.table.shape[1]), 0
+    def sums(self, code: np.ndarray) -> np.ndarray:
+        """Sum of the table's rows over all pieces of a normal text; the last is their number."""
+        total = np.zeros(self.table.shape[1])
         for a in range(0, max(1, len(code) - 1), _BLOCK):
             # pieces that start in this block; they may reach into the next
             h = subwords(code[a : a + _BLOCK + LONGEST - 1], _BLOCK)
             total += np.ones(len(h), np.float32) @ self.table.take(h, 0, mode="clip")
-        return total[:-1], int(round(total[-1]))
+        return total
 
     def predict(self, texts) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Label, calibrated probability and rejection of each text."""
         names, scores, rejected = [], np.zeros(len(texts)), np.ones(len(texts), bool)
         for i, text in enumerate(texts):
-            total, n = self.sums(text) if text and self.labels else (None, 0)
+            total = self.sums(normal(text)) if text and self.labels else np.zeros(1)
+            n = round(total[-1])
             if not n:
                 names.append("und")
                 continue
-            p = softmax(((total[:-1] / n + self.bias) / self.temperature)[None])[0]
+            p = softmax(((total[:-2] / n + self.bias) / self.temperature)[None])[0]
             best = int(p.argmax())
             names.append(self.labels[best])
             scores[i] = p[best]
-            rejected[i] = p[best] < self.least_score or total[-1] / n < self.least_known
+            rejected[i] = p[best] < self.least_score or total[-2] / n < self.least_known
         return names, scores, rejected
 
 
@@ -103,12 +113,39 @@ def softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(1, keepdims=True)
 
 
+def threshold(score: np.ndarray, right: np.ndarray, error: float, least: int = 20) -> float:
+    """The least score at which texts are accepted: 0 if all are.
+
+    The labels' own error is that of the surer half. From the surest text on, the
+    error beyond it, over the last `least` texts or a twentieth of all and with
+    one more wrong text than seen by chance (two standard deviations), may be up
+    to one half in such a stretch, and `error` in all texts that are accepted.
+    """
+    n = len(score)
+    if n < 2 * least:
+        return 0.0
+    order = np.argsort(-score, kind="stable")
+    wrong = (~right[order]).astype(float)
+    own = wrong[: n // 2].mean()
+    spare = lambda k: 2 * np.sqrt((own * (1 - own) + 0.25 / k) / k)
+    k = np.arange(1, n + 1)
+    total = np.cumsum(wrong)
+    size = np.minimum(k, max(least, n // 20))
+    near = (total - np.r_[np.zeros(1), total][k - size]) / size
+    ok = (total / k - own <= error + spare(k)) & (near - own <= 0.5 * (1 - own) + spare(size))
+    last = int(np.flatnonzero(ok)[-1]) if ok.any() else -1
+    if last < n // 2:
+        warnings.warn("the labels support no least score: none is rejected by score", stacklevel=2)
+        return 0.0
+    return 0.0 if last == n - 1 else float(score[order[last]])
+
+
 def train(rows: list[tuple[str, str]], seed: int = 7, pieces: int = 8_000, epochs: int = 2, batch: int = 32, rate: float = 20.0, error: float = 0.01) -> LanguageModel:
-    """Fit on windows of labelled texts; a fifth of the texts calibrates.
+    """Fit on `pieces` windows of labelled texts; a fifth of the texts calibrates.
 
-    Calibration takes the temperature with the least log loss, then the least
-    score at which the accepted windows are wrong in at most `error` of cases,
-    and as the least share of known pieces one that all but 1 in 1,000 reach.
+    Calibration takes the temperature with the least log loss on windows, then
+    the threshold of score over the calibrating texts, each read whole, and as
+    the least share of known pieces one that all but 1 in 1,000 windows reach.
     """
     rng = np.random.RandomState(seed)
     rows = sorted(r for r in rows if r[0] and r[1])
@@ -165,52 +202,51 @@ def train(rows: list[tuple[str, str]], seed: int = 7, pieces: int = 8_000, epoch
         logits, y = sums[:, :-2] + bias, np.array([y for _, y in check])
         loss = lambda t: -np.log(softmax(logits / t)[np.arange(len(y)), y] + 1e-12).mean()
         model.temperature = float(min(np.geomspace(0.1, 4, 40), key=loss))
-        p = softmax(logits / model.temperature)
-        score, wrong = p.max(1), p.argmax(1) != y
-        order = np.argsort(-score)
-        rate_at = np.cumsum(wrong[order]) / np.arange(1, len(order) + 1)
-        fine = np.flatnonzero(rate_at <= error)
-        model.least_score = 0.0 if wrong.mean() <= error else float(score[order][fine[-1]]) if len(fine) else 1.0
+        whole = np.array([model.sums(code) for code, _ in held])
+        p = softmax((whole[:, :-2] / np.maximum(whole[:, -1:], 1) + bias) / model.temperature)
+        model.least_score = threshold(p.max(1), p.argmax(1) == np.array([y for _, y in held]), error)
         model.least_known = float(np.quantile(sums[:, -2], 0.001)) * 0.9
     return model
 
 
-def sample(docs: DataFrame, where: Column, per_label: int, text: str = "text", label: str = "lang", key: str = "doc_id") -> list[tuple[str, str]]:
-    """At most per_label labelled rows of each label, picked by a hash of the key.
+def sample(docs: DataFrame, where: Column, per_label: int, text: str = "text", label: str = "lang", key: str = "doc_id", labels: int = LABELS) -> list[tuple[str, str]]:
+    """At most per_label labelled texts of each of the `labels` most frequent labels, picked by a hash of key and text; equal rows are one.
 
-    The rank keeps per_label rows a label in each task before it shuffles, so a
-    label with a third of all rows is no hot group.
+    Counts by label, summed in each task, say below which hash a label's rows may
+    be picked; so few more than those picked are shuffled, however many there are.
     """
-    picked = docs.where(F.col(label).isNotNull() & F.col(key).isNotNull() & where).select(F.col(label).alias("_label"), F.col(key).alias("_key"))
-    by = Window.partitionBy("_label").orderBy(F.xxhash64(F.col("_key").cast("string")), "_key")
-    picked = picked.withColumn("_rank", F.row_number().over(by)).where(F.col("_rank") <= per_label).select("_key").distinct()
-    rows = docs.join(F.broadcast(picked), docs[key] == picked["_key"], "left_semi").where(F.col(label).isNotNull() & F.col(text).isNotNull() & where)
-    return [(r[0], r[1]) for r in rows.select(text, label).toLocalIterator()]
-
-
-def identify(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:
-    """docs with lang_pred, score and rejected."""
-    clash = {"lang_pred", "score", "rejected"} & set(docs.columns)
-    if clash:
-        raise ValueError(f"columns already there: {sorted(clash)}")
+    spark = docs.sparkSession
+    rows = docs.where(F.col(label).isNotNull() & F.col(key).isNotNull() & F.col(text).isNotNull() & where).select(F.col(label).cast("string").alias("label"), F.col(key).alias("key"), F.col(text).alias("text"))
+    counts = rows.groupBy("label").count().orderBy(F.desc("count"), "label").limit(labels).collect()
+    if not counts:
+        return []
+    share = spark.createDataFrame([(r.label, min(1.0, 4 * (per_label + 25) / r["count"])) for r in counts], "label string, share double")
+    rows = rows.withColumn("hash", F.xxhash64(F.col("key").cast("string"), "text")).join(F.broadcast(share), "label")
+    rows = rows.where((F.col("hash") / 2.0**64 + 0.5) < F.col("share")).groupBy("label", "hash").agg(F.min("text").alias("text"))
+    by = Window.partitionBy("label").orderBy("hash")
+    picked = rows.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= per_label)
+    return [(r[0], r[1]) for r in picked.select("text", "label").toLocalIterator()]
+
+
+def identify(docs: DataFrame, model: LanguageModel, text: str = "text", names: tuple[str, str, str] = ("lang_pred", "score", "rejected")) -> DataFrame:
+    """docs with the language, its score and whether it is rejected, under the given names."""
     shared_model = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS rows: of one size for any input
+    at = docs.columns.index(text)
+    kept = [i for i, c in enumerate(docs.columns) if c.lower() not in {n.lower() for n in names}]
 
     def run(batches):
         m = shared_model.value
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
-            names, scores, rejected = m.predict(texts)
+            found, scores, rejected = m.predict(batch.column(at).to_pylist())
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_())],
-                names=[*batch.schema.names, "lang_pred", "score", "rejected"],
+                [*(batch.column(i) for i in kept), pa.array(found, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_())],
+                names=[*(batch.schema.names[i] for i in kept), *names],
             )
 
-    schema = docs.limit(0).withColumn("lang_pred", F.lit("")).withColumn("score", F.lit(0.0)).withColumn("rejected", F.lit(True)).schema
-    return docs.mapInArrow(run, schema)
-
-
-#: Production settings: rows of each label at most that the classifier is fitted on.
-PER_LABEL = 500
+    schema = docs.limit(0).select([docs.columns[i] for i in kept])
+    for name, value in zip(names, ("", 0.0, True), strict=True):
+        schema = schema.withColumn(name, F.lit(value))
+    return docs.mapInArrow(run, schema.schema)
 
 
 def held_out() -> Column:
