@@ -13,10 +13,18 @@ from pyspark.sql import functions as F
 from wingtally.llm import decontamination, jaccard, language, mixing, secrets
 
 
+def _free(docs: DataFrame, name: str) -> str:
+    """A name that no column of docs has."""
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name = f"_{name}"
+    return name
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without those whose language the calibrated model rejects."""
     model = language.train(language.sample(docs, ~language.held_out(), language.PER_LABEL))
-    return language.identify(docs, model).where("not rejected").select(docs.columns)
+    names = tuple(_free(docs, n) for n in ("language", "score", "rejected"))
+    return language.identify(docs, model, names=names).where(~F.col(names[2])).select(docs.columns)
 
 
 def join_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,9 +33,10 @@ def join_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     Equal rows become one. Different texts of one doc_id, or without a doc_id, stay where nothing with a smaller doc_id links to them."""
     found = jaccard.similar_sets(docs)
     kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept"), "text_hash").distinct()
-    rows = docs.withColumn("_text", F.xxhash64("text"))
-    rows = rows.join(kept, rows["doc_id"].eqNullSafe(kept["kept"]) & (rows["_text"] == kept["text_hash"]), "left_semi")
-    return rows.dropDuplicates(["doc_id", "_text"]).select(docs.columns)
+    text = _free(docs, "text_hash_")
+    rows = docs.withColumn(text, F.xxhash64("text"))
+    rows = rows.join(kept, rows["doc_id"].eqNullSafe(kept["kept"]) & (rows[text] == kept["text_hash"]), "left_semi")
+    return rows.dropDuplicates(["doc_id", text]).select(docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
