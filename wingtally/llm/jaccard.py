@@ -19,8 +19,9 @@ distinct sets, known by a 64-bit key, and never on pairs of copies.
    Sketches of the sets (a count for each of n / 2 cells) bound the overlaps in
    a group; a set that cannot reach the threshold with any other there goes no
    further, so whole sets travel for likely links alone.
-3. A group's sets are stored in a trie, frequent shingles first. Each set walks
-   it with the overlap so far; a branch ends where the rest of either set cannot
+3. A group's sets are stored in a trie, each in the global order read from its
+   end, frequent shingles first, so that sets share beginnings. Each set walks it
+   with the overlap so far; a branch ends where the rest of either set cannot
    bring the overlap that any size below it needs, or where all below is already
    connected to it. Only links that join two components are reported.
 4. Groups over CHUNK sets are split by hash into chunks; the label's own set is
@@ -28,9 +29,10 @@ distinct sets, known by a 64-bit key, and never on pairs of copies.
    Sets of the group outside that component then meet every chunk, in blocks.
 5. Links become components (see components.py).
 
-Shingles and keys are 64-bit hashes, taken as the shingles themselves.
+Shingles and keys are 64-bit hashes, taken as the shingles themselves: over
+10 billion distinct sets, some three pairs of keys may be expected to clash.
 
-Defined cases: a text without words, or null, has the empty set, links with
+Defined cases: ties, and columns of any other name in the input, have no say. A text without words, or null, has the empty set, links with
 nothing and is its own component. Rows of one doc_id are one vertex only if
 their sets are equal; otherwise each has its component. A null doc_id takes part
 and never names a component (unless all of its component are null). An empty
@@ -125,7 +127,7 @@ def _possible(similar: int):
         if len(rows) < 2 or rows[0][2] > 1 or any(r[4] is None for r in rows):
             return rows if len(rows) > 1 else []
         n = np.array([r[3] for r in rows])
-        table = {}
+        table, held = {}, 0
         may = np.zeros(len(rows), bool)
         order = np.argsort(n, kind="stable")
         for place, i in enumerate(order):
@@ -138,6 +140,9 @@ def _possible(similar: int):
             c = len(own)  # as the nearer set is no smaller, its sketch has as many cells or more
             for j in near:
                 if (j, c) not in table:
+                    held += c
+                    if held > _HELD:  # of long texts, few sketches at a time
+                        table, held = {}, c
                     table[j, c] = _folded(np.frombuffer(rows[j][4], np.uint8).astype(np.int32), c)
                 if (100 + similar) * int(np.minimum(own, table[j, c]).sum()) >= similar * (n[i] + n[j]):
                     may[i] = may[j] = True
@@ -350,11 +355,11 @@ class Trie:
                 yield from range(low, high)
 
 
-def joined(sets: list[np.ndarray], asks: list[int] | None, similar: int) -> list[tuple[int, int]]:
+def joined(sets: list[np.ndarray], asks: list[int] | None, similar: int, order: Order) -> list[tuple[int, int]]:
     """Links among the sets, enough of them for their components; asks: the rows that look for links (all if None)."""
-    ids, inverse, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    ids, inverse = np.unique(np.concatenate(sets), return_inverse=True)
     rank = np.empty(len(ids), np.int64)
-    rank[np.argsort(-count, kind="stable")] = np.arange(len(ids))
+    rank[np.lexsort((ids, order.find(ids)[0]))[::-1]] = np.arange(len(ids))
     cut = np.cumsum([len(s) for s in sets])[:-1]
     sets = [np.sort(x) for x in np.split(rank[inverse], cut)]
     trie, mask = Trie(sets), np.zeros(len(ids), bool)
@@ -377,16 +382,17 @@ def joined(sets: list[np.ndarray], asks: list[int] | None, similar: int) -> list
     return links
 
 
-def _ordered(order, size: int):
-    """(label, chunk, block, asks, k, tokens) for each set's targets; only the text whose set has the wanted key counts."""
+def _sent(size: int):
+    """(label, chunk, block, asks, k, tokens) for each set's targets, once a task for repeated rows; only a text whose set has the wanted key counts."""
 
     def run(batches):
+        done: set[int] = set()
         for batch in batches:
             for part in shared.pieces(batch):
                 x, off = shingles(part.column(1), size)
                 k = keys(x, off)
                 want, targets = part.column(0).to_pylist(), part.column(2).to_pylist()
-                rows = [(t["label"], t["chunk"], t["block"], t["asks"], want[i], x[off[i] : off[i + 1]].tobytes()) for i in range(len(want)) if want[i] == k[i] for t in targets[i]]
+                rows = [(t["label"], t["chunk"], t["block"], t["asks"], want[i], x[off[i] : off[i + 1]].tobytes()) for i in range(len(want)) if want[i] == k[i] and not (want[i] in done or done.add(want[i])) for t in targets[i]]
                 kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.binary()]
                 cols = list(zip(*rows, strict=True)) or [()] * 6
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["label", "chunk", "block", "asks", "k", "tokens"])
@@ -394,7 +400,7 @@ def _ordered(order, size: int):
     return run
 
 
-def _linked(similar: int):
+def _linked(similar: int, order):
     """Links (a, b) of each group; the rows of a group come together."""
 
     def links(rows: dict):
@@ -402,7 +408,7 @@ def _linked(similar: int):
         if len(ks) < 2:
             return [], []
         asks = [i for i, k in enumerate(ks) if rows[k][0]]
-        found = joined([np.frombuffer(rows[k][1], np.uint64) for k in ks], None if len(asks) == len(ks) else asks, similar)
+        found = joined([np.frombuffer(rows[k][1], np.uint64) for k in ks], None if len(asks) == len(ks) else asks, similar, order.value)
         return [ks[i] for i, _ in found], [ks[j] for _, j in found]
 
     def run(batches):
@@ -426,15 +432,17 @@ def similar_sets(docs: DataFrame, key: str = "doc_id", text: str = "text", size:
     spark = docs.sparkSession
     kind = dict(docs.dtypes)[key]
     n_tasks = shared.tasks(spark)
-    d = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
-    both = shared.written(d.withColumn("text_hash", F.xxhash64("text")).mapInArrow(_sets(size), f"doc_id {kind}, text_hash long, n long, k long, sketch binary, token long, low long, cnt long"), "sets")
+    d = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("text_hash"))
+    both = shared.written(d.mapInArrow(_sets(size), f"doc_id {kind}, text_hash long, n long, k long, sketch binary, token long, low long, cnt long"), "sets")
     sets = both.where("n is not null").select("doc_id", "text_hash", "n", "k", "sketch")
     often = both.where("token is not null").groupBy("token").agg(F.sum("cnt").alias("c"), F.min("low").alias("low")).where(F.col("c") >= IN_ALL).orderBy(F.desc("c"), "token").limit(FREQUENT).toPandas()
     order = spark.sparkContext.broadcast(Order(often["token"].to_numpy(np.int64).view(np.uint64), often["c"].to_numpy(np.int64), often["low"].to_numpy(np.int64)))
     packed = d.select("text").mapInArrow(_postings(order, size, similar, 4 * n_tasks), "bucket long, tokens binary, keys binary, labels binary, owners binary")
     routes = packed.repartition(n_tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(_routes, "k long, label long").distinct()
     routes = shared.written(routes, "routes")
-    first = shared.written(sets.where("k is not null").groupBy("k").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "first")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id").alias("doc"), F.col("text_hash").alias("doc_text")))
+    first = sets.where("k is not null").groupBy("k").agg(least.alias("least"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    first = shared.written(first.select("k", "least.doc", "least.doc_text", "n", "sketch"), "first")
 
     def grouped(routes: DataFrame) -> DataFrame:
         """Routes to labels of two sets or more, and in how many chunks each label's sets are."""
@@ -450,11 +458,11 @@ def similar_sets(docs: DataFrame, key: str = "doc_id", text: str = "text", size:
     def meet(targets: DataFrame) -> DataFrame:
         """Links found when each set goes to its targets (k, label, chunk, block, asks)."""
         to = targets.groupBy("k").agg(F.collect_set(F.struct("label", "chunk", "block", "asks")).alias("targets"))
-        to = to.join(first, "k").select("k", "doc", "targets")
-        sent = d.join(to, d["doc_id"].eqNullSafe(to["doc"])).select("k", "text", "targets")
-        sent = sent.mapInArrow(_ordered(order, size), "label long, chunk long, block long, asks boolean, k long, tokens binary")
+        to = to.join(first, "k").select("k", "doc", "doc_text", "targets")
+        sent = d.join(to, d["doc_id"].eqNullSafe(to["doc"]) & (d["text_hash"] == to["doc_text"])).select("k", "text", "targets")
+        sent = sent.mapInArrow(_sent(size), "label long, chunk long, block long, asks boolean, k long, tokens binary")
         sent = sent.repartition(n_tasks, "label", "chunk", "block").sortWithinPartitions("label", "chunk", "block", "k")
-        return shared.written(sent.mapInArrow(_linked(similar), "a long, b long"), "links")
+        return shared.written(sent.mapInArrow(_linked(similar, order), "a long, b long"), "links")
 
     links = meet(members.unionByName(pivots).select("k", "label", "chunk", F.lit(0).cast("long").alias("block"), F.lit(True).alias("asks")))
     roots = components(links, "classes")
