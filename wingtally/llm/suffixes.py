@@ -12,14 +12,17 @@ text) pairs by rank, tasks sort them, and ranks that one text alone has are
 unique and drop out. Round 1 doubles the depth for what is left: each position
 brings the bytes around it, up to LENGTH on either side, the strings over it are
 ranked at LENGTH, the threshold, and the least document of each rank is found.
-Strings whose least document is smaller mark their bytes.
+Strings whose least document is smaller mark their bytes, once their bytes have
+been compared with that document's.
 
 Copies of a text are one text from the start, of the least doc_id; in a task,
 equal surroundings travel once, so a passage that a third of all documents share
-is at most one row a task. Pairs travel packed, texts are dealt out once and
-used twice.
+is at most one row a task. Pairs travel packed, texts are dealt out once, by
+doc_id and hash, and used twice.
 
-Ranks are 64-bit hashes. Defined cases: a null text has no bytes. A null doc_id
+Ranks are 64-bit hashes; a clash costs a comparison. Copies are known by a 64-bit
+hash and their size, surroundings in a task by 128 bits. Defined cases: ties and
+columns of any other name have no say; a null text has no bytes. A null doc_id
 is larger than all others. Rows with the same doc_id are one document: they never
 remove each other's bytes. Repeated rows get the same answer each. An empty table
 gives an empty result. Other columns are not returned.
@@ -31,6 +34,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,16 +50,13 @@ class Picked:
     def __init__(self, text: pa.Array, length: int = LENGTH, gram: int = GRAM):
         self.off, self.data = shared.offsets(text)
         n = len(self.data)
-        self.prefix = shared.Words.prefix(self)
-        self.size = np.diff(self.off)
-        self.content = (shared.spans_hash(self.prefix, self.off[:-1], self.off[1:]) + shared.mixed(self.size.astype(np.uint64))).view(np.int64)
         m, width = n - gram + 1, length - gram + 1
         if n < length:
             self.at = self.low = self.high = self.row = np.zeros(0, np.int64)
             self.rank = np.zeros(0, np.uint64)
             return
         at = np.arange(m)
-        rank = shared.spans_hash(self.prefix, at, at + gram)
+        rank = shared.grams(shared.mixed(shared.eights(self.data)), slice(0, m), gram)
         v = (rank & ~np.uint64(0xFFFFFFFF)) | at.astype(np.uint64)  # least hash, and the first place that has it
         have = 1
         while have < width:
@@ -95,19 +96,6 @@ def _dealt(key: np.ndarray, buckets: int):
             yield int(b[a]), order[a:z]
 
 
-def _known(batches):
-    for batch in batches:
-        for part in shared.pieces(batch):
-            off, data = shared.offsets(part.column(1))
-            content = shared.spans_hash(shared.Words.prefix(_Bytes(data)), off[:-1], off[1:]) + shared.mixed(np.diff(off).astype(np.uint64))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(content.view(np.int64))], names=["id", "content"])
-
-
-class _Bytes:
-    def __init__(self, data):
-        self.data = data
-
-
 def _first_round(length: int, gram: int, buckets: int):
     """(bucket, ranks, owner numbers, owners): each text's picked ranks, once each."""
 
@@ -116,15 +104,15 @@ def _first_round(length: int, gram: int, buckets: int):
             out: dict[int, list] = {}
             owners, seen = [], set()
             for part in shared.pieces(batch):
-                p = Picked(part.column(0), length, gram)
-                new = np.array([not (c in seen or seen.add(c)) for c in p.content.tolist()], bool)
+                p, content = Picked(part.column(0), length, gram), part.column(1).to_pylist()
+                new = np.array([not (c in seen or seen.add(c)) for c in content], bool)
                 use = new[p.row]
                 rank, row = p.rank[use], p.row[use]
                 order = np.lexsort((rank, row))
                 rank, row = rank[order], row[order]
                 once = np.r_[True, (rank[1:] != rank[:-1]) | (row[1:] != row[:-1])][: len(rank)]
                 rank, row = rank[once], row[once] + len(owners)
-                owners += p.content.tolist()
+                owners += content
                 for b, i in _dealt(rank, buckets):
                     x = out.setdefault(b, [[], []])
                     x[0].append(rank[i])
@@ -173,7 +161,7 @@ def _not_unique(batches):
         yield pa.RecordBatch.from_arrays([pa.array(owner[cut]), pa.array([_packed(rank[a:z]) for a, z in zip(cut, ends, strict=True)], pa.binary())], names=["owner", "ranks"])
 
 
-_PART = ["bucket", "ids", "starts", "sizes", "bytes", "done_ids", "done_starts", "done_ends"]
+_PART = ["bucket", "ids", "contents", "starts", "sizes", "bytes", "done_ids", "done_contents", "done_starts", "done_sizes"]
 
 
 def _second_round(length: int, gram: int, buckets: int):
@@ -184,32 +172,27 @@ def _second_round(length: int, gram: int, buckets: int):
         for batch in batches:
             out: dict[int, list] = {}
             for part in shared.pieces(batch):
-                ids, want, ranks = part.column(0).to_pylist(), part.column(2).to_pylist(), part.column(3).to_pylist()
+                ids, contents, ranks = part.column(0).to_pylist(), part.column(2).to_pylist(), part.column(3).to_pylist()
                 p = Picked(part.column(1), length, gram)
                 row_at = np.searchsorted(p.row, np.arange(len(ids) + 1))
                 for i, doc in enumerate(ids):
-                    if p.content[i] != want[i]:
-                        continue
                     a, z = row_at[i], row_at[i + 1]
                     keep = a + np.flatnonzero(np.isin(p.rank[a:z] & _TOP, _unpacked(b"".join(ranks[i]))))
                     if not len(keep):
                         continue
                     low, high = p.low[keep], p.high[keep] + length
-                    whole = shared.spans_hash(p.prefix, low, high) ^ shared.mixed((high - low).astype(np.uint64))
-                    first = np.array([seen.setdefault(h, doc) for h in whole.tolist()])
-                    fresh = first >= doc
+                    around = [p.data[x:y].tobytes() for x, y in zip(low.tolist(), high.tolist(), strict=True)]
+                    fresh = np.array([seen.setdefault(xxhash.xxh3_128_intdigest(x), doc) for x in around]) >= doc
                     base = p.off[i]
                     for b, j in _dealt(p.rank[keep], buckets):
                         x = out.setdefault(b, [[] for _ in _PART[1:]])
-                        f, g = j[fresh[j]], j[~fresh[j]]
-                        x[0].append(np.full(len(f), doc, np.int64))
-                        x[1].append((low[f] - base).astype(np.uint32))
-                        x[2].append((high[f] - low[f]).astype(np.uint8))
-                        x[3] += [p.data[s:e] for s, e in zip(low[f].tolist(), high[f].tolist(), strict=True)]
-                        x[4].append(np.full(len(g), doc, np.int64))
-                        x[5].append(low[g] - base)
-                        x[6].append(high[g] - base)
-            rows = [(b, *(b"".join(a.tobytes() for a in c) for c in x)) for b, x in out.items()]
+                        for at, k in ((0, j[fresh[j]]), (5, j[~fresh[j]])):
+                            x[at].append(np.full(len(k), doc, np.int64))
+                            x[at + 1].append(np.full(len(k), contents[i], np.int64))
+                            x[at + 2].append((low[k] - base).astype(np.uint32))
+                            x[at + 3].append((high[k] - low[k]).astype(np.uint8))
+                        x[4] += [around[k] for k in j[fresh[j]].tolist()]
+            rows = [(b, *(b"".join(c if n == 4 else [a.tobytes() for a in c]) for n, c in enumerate(x))) for b, x in out.items()]
             cols = list(zip(*rows, strict=True)) or [()] * len(_PART)
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), *(pa.array(c, pa.binary()) for c in cols[1:])], names=_PART)
 
@@ -231,33 +214,50 @@ def merged(owner: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.nd
     return owner[at], start[at], (reach - lift)[np.r_[at[1:], len(owner)] - 1]
 
 
+def least_owner(data: np.ndarray, start: np.ndarray, owner: np.ndarray, length: int) -> np.ndarray:
+    """For the string of `length` bytes at each start, the least owner of an equal one. Strings of equal hash are compared byte by byte."""
+    exact = shared.eights(data)
+    h = shared.grams(shared.mixed(exact), start, length)
+    order = np.lexsort((owner, h))
+    cut = np.flatnonzero(np.r_[True, h[order][1:] != h[order][:-1]]) if len(h) else np.zeros(0, np.int64)
+    first = np.empty(len(h), np.int64)
+    first[order] = np.repeat(order[cut], np.diff(np.r_[cut, len(h)]))
+    same = np.ones(len(h), bool)
+    for k in [*range(0, length - 7, 8), length - 8]:
+        same &= exact[start + k] == exact[start[first] + k]
+    least = owner[first]
+    if not same.all():  # a clash of hashes
+        by: dict[bytes, int] = {}
+        clash = np.flatnonzero(np.isin(h, h[~same]))
+        text = [data[s : s + length].tobytes() for s in start[clash].tolist()]
+        for x, o in zip(text, owner[clash].tolist(), strict=True):
+            by[x] = min(by.get(x, o), o)
+        least[clash] = [by[x] for x in text]
+    return least
+
+
 def _marked(length: int):
-    """(id, starts, ends): bytes of each document that a string of a smaller document covers."""
+    """(id, content, starts, ends): bytes of each text that a string of a smaller document covers."""
 
     def run(batches):
         for rows in _buckets(batches):
-            kinds = [np.int64, np.uint32, np.uint8, np.uint8, np.int64, np.int64, np.int64]
-            ids, start, size, data, d_id, d_start, d_end = (np.frombuffer(b"".join(r[i] for r in rows), k) for i, k in enumerate(kinds))
-            size, start = size.astype(np.int64), start.astype(np.int64)
-            base = np.cumsum(size) - size
-            prefix = shared.Words.prefix(_Bytes(data))
+            kinds = [np.int64, np.int64, np.uint32, np.uint8, np.uint8, np.int64, np.int64, np.uint32, np.uint8]
+            ids, content, start, size, data, d_id, d_content, d_start, d_size = (np.frombuffer(b"".join(r[i] for r in rows), k) for i, k in enumerate(kinds))
+            size, start, d_start, d_size = (x.astype(np.int64) for x in (size, start, d_start, d_size))
             n = size - length + 1
             item = np.repeat(np.arange(len(n)), n)
             inside = np.arange(len(item)) - np.repeat(np.cumsum(n) - n, n)
-            s = base[item] + inside
-            h = shared.spans_hash(prefix, s, s + length)
-            order = np.argsort(h)
-            cut = np.flatnonzero(np.r_[True, h[order][1:] != h[order][:-1]]) if len(h) else np.zeros(0, np.int64)
-            if len(cut):
-                least = np.empty(len(h), np.int64)
-                least[order] = np.repeat(np.minimum.reduceat(ids[item][order], cut), np.diff(np.r_[cut, len(h)]))
-                hit = least < ids[item]
-                d_id, d_start, d_end = np.r_[d_id, ids[item][hit]], np.r_[d_start, (start[item] + inside)[hit]], np.r_[d_end, (start[item] + inside)[hit] + length]
-            o, a, z = merged(d_id, d_start, d_end)
-            at = np.flatnonzero(np.r_[True, o[1:] != o[:-1]]) if len(o) else np.zeros(0, np.int64)
-            ends = np.r_[at[1:], len(o)][: len(at)]
-            cutting = lambda x, at=at, ends=ends: pa.array([x[i:j].tobytes() for i, j in zip(at, ends, strict=True)], pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(o[at]), cutting(a.astype(np.int64)), cutting(z.astype(np.int64))], names=["id", "starts", "ends"])
+            hit = least_owner(data, (np.cumsum(size) - size)[item] + inside, ids[item], length) < ids[item]
+            at = (start[item] + inside)[hit]
+            ids, content = np.r_[d_id, ids[item][hit]], np.r_[d_content, content[item][hit]]
+            order = np.lexsort((content, ids))
+            ids, content = ids[order], content[order]
+            new = np.flatnonzero(np.r_[True, (ids[1:] != ids[:-1]) | (content[1:] != content[:-1])]) if len(ids) else np.zeros(0, np.int64)
+            number = np.repeat(np.arange(len(new)), np.diff(np.r_[new, len(ids)]))
+            o, a, z = merged(number, np.r_[d_start, at][order], np.r_[d_start + d_size, at + length][order])
+            ends = np.searchsorted(o, np.arange(len(new) + 1))
+            cutting = lambda x, ends=ends: pa.array([x[i:j].tobytes() for i, j in zip(ends[:-1], ends[1:], strict=True)], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(ids[new]), pa.array(content[new]), cutting(a.astype(np.int64)), cutting(z.astype(np.int64))], names=["id", "content", "starts", "ends"])
 
     return run
 
@@ -268,13 +268,10 @@ def _cut_out(length: int):
     def run(batches):
         for batch in batches:
             rows = []
-            ids, want, first, starts, ends = (batch.column(i).to_pylist() for i in (0, 2, 3, 4, 5))
+            ids, first, starts, ends = (batch.column(i).to_pylist() for i in (0, 2, 3, 4))
             off, data = shared.offsets(batch.column(1))
             for i, doc in enumerate(ids):
                 own = data[off[i] : off[i + 1]]
-                content = shared.spans_hash(shared.Words.prefix(_Bytes(own)), np.array([0]), np.array([len(own)])) + shared.mixed(np.array([len(own)], np.uint64))
-                if content.view(np.int64)[0] != want[i]:
-                    continue
                 if first[i] < doc:
                     a, z = (np.array([0]), np.array([len(own)])) if len(own) >= length else (np.zeros(0, np.int64),) * 2
                 else:
@@ -301,20 +298,20 @@ def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text",
     spark = docs.sparkSession
     n_tasks = shared.tasks(spark)
     buckets = 4 * n_tasks
-    d = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(_LAST)).alias("id"), F.col(text).alias("text"))
-    known = shared.written(d.mapInArrow(_known, "id long, content long").distinct(), "texts")
-    firsts = shared.written(known.groupBy("content").agg(F.min("id").alias("first")), "firsts")
-    ranks = d.select("text").mapInArrow(_first_round(length, gram, buckets), "bucket long, ranks binary, numbers binary, owners binary")
+    d = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(_LAST)).alias("id"), F.col(text).alias("text"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("content"))
+    known = shared.written(d.select("id", "content", F.coalesce(F.octet_length("text"), F.lit(0)).alias("size")).distinct(), "texts")
+    firsts = shared.written(known.groupBy("content", "size").agg(F.min("id").alias("first")), "firsts")
+    ranks = d.select("text", "content").mapInArrow(_first_round(length, gram, buckets), "bucket long, ranks binary, numbers binary, owners binary")
     ranks = ranks.repartition(n_tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(_not_unique, "owner long, ranks binary")
-    ranks = ranks.join(firsts, F.col("owner") == F.col("content")).groupBy(F.col("first").alias("doc"), "content").agg(F.collect_list("ranks").alias("ranks"))
-    dealt = d.repartition(n_tasks, "id")  # used twice: one exchange
-    near = dealt.join(ranks.hint("shuffle_hash"), dealt["id"] == ranks["doc"]).select("id", "text", "content", "ranks").sortWithinPartitions("id")
+    ranks = ranks.join(firsts, F.col("owner") == F.col("content")).groupBy(F.col("first").alias("doc"), F.col("owner").alias("of")).agg(F.collect_list("ranks").alias("ranks"))
+    dealt = d.repartition(n_tasks, "id", "content")  # used twice: one exchange
+    near = dealt.join(ranks.hint("shuffle_hash"), (dealt["id"] == ranks["doc"]) & (dealt["content"] == ranks["of"])).select("id", "text", "content", "ranks").sortWithinPartitions("id")
     parts = near.mapInArrow(_second_round(length, gram, buckets), ", ".join(f"{c} {'long' if c == 'bucket' else 'binary'}" for c in _PART))
-    spans = parts.repartition(n_tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(_marked(length), "id long, starts binary, ends binary")
-    spans = spans.groupBy(F.col("id").alias("marked")).agg(F.collect_list("starts").alias("starts"), F.collect_list("ends").alias("ends"))
-    info = known.join(firsts, "content").select(F.col("id").alias("doc"), "content", "first")
-    info = info.join(spans, info["doc"] == spans["marked"], "left").drop("marked")
-    out = dealt.join(info.hint("shuffle_hash"), dealt["id"] == info["doc"]).select("id", "text", "content", "first", "starts", "ends")
+    spans = parts.repartition(n_tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(_marked(length), "id long, content long, starts binary, ends binary")
+    spans = spans.groupBy(F.col("id").alias("marked"), F.col("content").alias("of")).agg(F.collect_list("starts").alias("starts"), F.collect_list("ends").alias("ends"))
+    info = known.join(firsts, ["content", "size"]).groupBy(F.col("id").alias("doc"), "content").agg(F.min("first").alias("first"))
+    info = info.join(spans, (info["doc"] == spans["marked"]) & (info["content"] == spans["of"]), "left").drop("marked", "of")
+    out = dealt.join(info.hint("shuffle_hash"), (dealt["id"] == info["doc"]) & (dealt["content"] == info["content"])).select("id", "text", "first", "starts", "ends")
     return out.mapInArrow(_cut_out(length), "doc_id long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept_sha256 string")
 
 
