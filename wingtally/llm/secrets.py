@@ -1,16 +1,20 @@
 """Secret scans with structural confirmation.
 
+Each pattern reads a text once, whatever it holds: none looks at a run of
+characters again from each of its places.
+
 Patterns find assignments, access ids and hex runs. Beside these, whatever may
 be an encoded key is decoded and taken apart before it is reported: PEM blocks
 and bare base64 or hex runs must decode to a private key whose nested DER lengths
-add up to the last byte (PKCS#1, PKCS#8, SEC 1) or that opens as an OpenSSH key,
+add up to the last byte (PKCS#1, PKCS#8 plain or encrypted, SEC 1, OpenSSH),
 and signed tokens must have a base64url header that is JSON with an algorithm and
 a payload that is JSON.
 
 Scans run over whole texts as UTF-8 bytes, one Arrow batch at a time; cheap
 searches for bytes that any match must hold come first. Nothing is shuffled.
 
-Defined cases: a null text is empty and has no spans. Repeated rows get the same
+Defined cases: a null text is empty and has no spans. Spans of one start are in
+order of kind, then of end. Columns of any other name have no say. Repeated rows get the same
 answer each. An empty table gives an empty result. `scan` keeps no other columns;
 `redact` keeps all.
 """
@@ -18,6 +22,7 @@ answer each. An empty table gives an empty result. `scan` keeps no other columns
 from __future__ import annotations
 
 import base64
+import bisect
 import binascii
 import json
 import re
@@ -33,12 +38,13 @@ _ASSIGN = re.compile(rb"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x
 _KEYWORDS = (b"passw", b"secret", b"token", b"api")
 _ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 _HEX = re.compile(rb"[0-9a-f]{16,}")
-_PEM = re.compile(rb"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----(?:[ \t]*\r?\n)?((?:[A-Za-z][A-Za-z0-9-]*:[^\n]*\n(?:[ \t][^\n]*\n)*)*)([A-Za-z0-9+/=\s]+)-----END \1-----")
+_PEM = re.compile(rb"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----(?:[ \t]*\r?\n)?((?:[A-Za-z][A-Za-z0-9-]*+:[^\n]*+\n(?:[ \t][^\n]*+\n)*+)*+)([A-Za-z0-9+/=\s]++)-----END \1-----")
 _RUN64 = re.compile(rb"[A-Za-z0-9+/_-]{40,}={0,2}")
-_WRAPPED64 = re.compile(rb"[A-Za-z0-9+/_-]{40,}(?:\r?\n[A-Za-z0-9+/_-]+)+={0,2}")
+_WRAPPED64 = re.compile(rb"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{40,}+(?:\r?\n[A-Za-z0-9+/_-]++)++={0,2}")
+_DEK = re.compile(rb"(?m)^DEK-Info:[ \t]*[A-Z0-9-]+,[0-9A-Fa-f]+\s*$")
 _MIXED_HEX_KEY = re.compile(rb"30[0-9a-fA-F]{40,}")
 _HEX_KEY = re.compile(rb"(?:30[0-9a-f]{40,}|30[0-9A-F]{40,})")
-_JWT = re.compile(rb"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
+_TOKEN = re.compile(rb"[A-Za-z0-9_-]*+")
 
 
 def _ones(chars: bytes) -> bytes:
@@ -68,10 +74,47 @@ def tlv(data: bytes, at: int, end: int) -> list[tuple[int, int, int]] | None:
     return out
 
 
+def is_openssh_key(data: bytes) -> bool:
+    """Whether the nested lengths of an OpenSSH key add up to the last byte: cipher, derivation and its options, then public keys and one private part."""
+
+    def string(at: int) -> int:
+        return at + 4 + int.from_bytes(data[at : at + 4], "big") if at + 4 <= len(data) else len(data) + 1
+
+    at = 15
+    for _ in range(3):
+        at = string(at)
+    n = int.from_bytes(data[at : at + 4], "big")
+    if at + 4 > len(data) or not 1 <= n <= 64:
+        return False
+    at += 4
+    for _ in range(n):
+        at = string(at)
+    end = string(at)
+    plain = data[15:23] == b"\0\0\0\4none"
+    return end == len(data) and end - at >= 12 and (not plain or data[at + 4 : at + 8] == data[at + 8 : at + 12])
+
+
+def is_encrypted_key(data: bytes) -> bool:
+    """Whether data is exactly one DER sequence of an algorithm and an octet string, as an encrypted PKCS#8 key is."""
+    top = tlv(data, 0, len(data))
+    parts = tlv(data, *top[0][1:]) if top and len(top) == 1 and top[0][0] == 0x30 else None
+    if not parts or [t for t, _, _ in parts] != [0x30, 0x04]:
+        return False
+    inner = tlv(data, *parts[0][1:])
+    return bool(inner) and inner[0][0] == 0x06 and parts[1][2] - parts[1][1] >= 8
+
+
+def is_pem_key(label: bytes, headers: bytes, body: bytes) -> bool:
+    data = decoded(body) or b""
+    if label.startswith(b"ENCRYPTED"):
+        return is_encrypted_key(data)
+    return len(data) >= 16 if _DEK.search(headers) else is_private_key(data)
+
+
 def is_private_key(data: bytes) -> bool:
     """Whether data is an OpenSSH key, or exactly one DER sequence of the members of a private key."""
     if data.startswith(b"openssh-key-v1\0"):
-        return True
+        return is_openssh_key(data)
     top = tlv(data, 0, len(data))
     if not top or len(top) != 1 or top[0][0] != 0x30:
         return False
@@ -121,6 +164,22 @@ def is_signed_token(run: bytes) -> bool:
     return isinstance(head, dict) and isinstance(head.get("alg"), str) and isinstance(body, dict)
 
 
+def signed_tokens(data: bytes) -> list[tuple[int, int]]:
+    """Signed tokens: from the first eyJ of a run, two runs with a dot after each, and what run follows. Each byte is looked at a few times at most."""
+    out, at = [], data.find(b"eyJ")
+    while at >= 0:
+        end = _TOKEN.match(data, at).end()
+        if end - at > 3 and data[end : end + 1] == b".":
+            body = _TOKEN.match(data, end + 1).end()
+            if body > end + 1 and data[body : body + 1] == b".":
+                last = _TOKEN.match(data, body + 1).end()
+                if is_signed_token(data[at:last]):
+                    out.append((at, last))
+                    end = last
+        at = data.find(b"eyJ", end)
+    return out
+
+
 def spans(data: bytes) -> list[tuple[int, int, str]]:
     """(start, end, kind) in bytes, by start and then by kind as listed."""
     out = []
@@ -139,19 +198,22 @@ def spans(data: bytes) -> list[tuple[int, int, str]]:
                 if is_private_key(bytes.fromhex(run.decode())):
                     found.add((m.start(), m.start() + len(run), "der"))
             out += found
-    blocks = []
-    if b"-----BEGIN" in data:
-        blocks = [m for m in _PEM.finditer(data) if (b"ENCRYPTED" in m[1] or b"DEK-Info" in m[0] or is_private_key(decoded(m[3]) or b"")) and decoded(m[3])]
-        out += [(*m.span(), "pem") for m in blocks]
+    blocks = [m for m in _PEM.finditer(data) if is_pem_key(m[1], m[2], m[3])] if b"-----BEGIN" in data else []
+    out += [(*m.span(), "pem") for m in blocks]
     if b"\1" * 40 in data.translate(_IS_64):
+        starts = [m.start() for m in blocks]
+
+        def outside(at: int) -> bool:
+            k = bisect.bisect_right(starts, at)
+            return not k or at >= blocks[k - 1].end()
+
         for m in _RUN64.finditer(data):
-            if not any(b.start() <= m.start() < b.end() for b in blocks) and is_private_key(decoded(m[0]) or b""):
+            if outside(m.start()) and is_private_key(decoded(m[0]) or b""):
                 out.append((*m.span(), "der"))
         for m in _WRAPPED64.finditer(data):
-            if not any(b.start() <= m.start() < b.end() for b in blocks) and (n := wrapped_key(m[0])):
+            if outside(m.start()) and (n := wrapped_key(m[0])):
                 out.append((m.start(), m.start() + n, "der"))
-    if b"eyJ" in data:
-        out += [(*m.span(), "jwt") for m in _JWT.finditer(data) if is_signed_token(m[0])]
+    out += [(a, b, "jwt") for a, b in signed_tokens(data)]
     return sorted(out, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
 
 
