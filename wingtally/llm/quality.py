@@ -4,8 +4,8 @@ A logistic classifier over a document's text gives its evidence. Sites then
 lend theirs: the mean quality of each host shrinks toward the global mean, and
 that of each path toward its host's, by as many pseudo-documents as the spread
 between hosts (or between the paths of hosts) asks for, found by moments. The
-posterior log-odds of a document are those of its text plus what its path's
-posterior differs from the global prior.
+posterior log-odds of a document are those of its text plus what the posterior
+of its path without itself differs from the global prior.
 
 Site sums are partial aggregates, so a host with a third of all rows is summed
 where its rows are read. Only scores and keys are shuffled, never texts.
@@ -156,29 +156,41 @@ def pseudo_count(mean: Column, prior: Column, n: Column) -> Column:
 def classify(docs: DataFrame, labels: DataFrame, model: TextModel, key: str = "doc_id", host: str = "source", path: str = "lang", label: str = "quality", least: float = 0.5) -> DataFrame:
     """Per row of docs: key, text_quality, host_quality, path_quality, quality (the posterior) and kept (quality >= least)."""
     names = docs.select(F.col(key).alias("doc_id"), F.col(host).cast("string").alias("host"), F.col(path).cast("string").alias("path"), "text")
-    rows = shared.written(evidence(names, model, ["doc_id", "host", "path"]).withColumn("text_quality", 1 / (1 + F.exp(-F.col("text_logit")))), "evidence")
+    rows = evidence(names, model, ["doc_id", "host", "path"]).withColumn("text_quality", 1 / (1 + F.exp(-F.col("text_logit"))))
     known = labels.where(F.col(label).isNotNull()).groupBy(F.col(key).alias("k")).agg(F.avg(F.col(label).cast("double")).alias("label"))
-    sites = rows.join(known, rows["doc_id"] == known["k"], "left").withColumn("v", F.coalesce("label", "text_quality"))
-    paths = shared.written(sites.groupBy("host", "path").agg(F.sum("v").alias("s"), F.count("*").cast("double").alias("n")), "sites")
+    rows = rows.join(known, rows["doc_id"] == known["k"], "left").withColumn("v", F.coalesce("label", "text_quality")).drop("k", "label")
+    rows = shared.written(rows, "evidence")
+    paths = shared.written(rows.groupBy("host", "path").agg(F.sum("v").alias("s"), F.count("*").cast("double").alias("n")), "sites")
     whole = paths.agg((F.sum("s") / F.sum("n")).alias("prior"))
     hosts = paths.groupBy("host").agg(F.sum("s").alias("hs"), F.sum("n").alias("hn")).crossJoin(whole)  # one row on the right
     hosts = hosts.crossJoin(hosts.agg(pseudo_count(F.col("hs") / F.col("hn"), F.col("prior"), F.col("hn")).alias("kh")))
     hosts = hosts.withColumn("host_quality", (F.col("hs") + F.col("kh") * F.col("prior")) / (F.col("hn") + F.col("kh"))).select(F.col("host").alias("h"), "host_quality", "prior")
     paths = paths.join(hosts, paths["host"].eqNullSafe(hosts["h"])).drop("h")
     paths = paths.crossJoin(paths.agg(pseudo_count(F.col("s") / F.col("n"), F.col("host_quality"), F.col("n")).alias("kp")))
-    paths = paths.withColumn("path_quality", (F.col("s") + F.col("kp") * F.col("host_quality")) / (F.col("n") + F.col("kp"))).select(F.col("host").alias("h"), F.col("path").alias("p"), "host_quality", "path_quality", "prior")
+    paths = paths.withColumn("path_quality", (F.col("s") + F.col("kp") * F.col("host_quality")) / (F.col("n") + F.col("kp"))).select(F.col("host").alias("h"), F.col("path").alias("p"), "s", "n", "kp", "host_quality", "path_quality", "prior")
     out = rows.join(paths, rows["host"].eqNullSafe(paths["h"]) & rows["path"].eqNullSafe(paths["p"]), "left")
-    z = F.col("text_logit") + logit(F.col("path_quality")) - logit(F.col("prior"))
+    others = (F.col("s") - F.col("v") + F.col("kp") * F.col("host_quality")) / (F.col("n") - 1 + F.col("kp"))
+    z = F.col("text_logit") + logit(others) - logit(F.col("prior"))
     out = out.withColumn("quality", 1 / (1 + F.exp(-z)))
     return out.select(F.col("doc_id").alias(key), "text_quality", "host_quality", "path_quality", "quality", (F.col("quality") >= least).alias("kept"))
 
 
 def sample(docs: DataFrame, labels: DataFrame, per_label: int, key: str = "doc_id", label: str = "quality") -> list[tuple[str, float]]:
-    """At most per_label texts of each label, by a hash of the key."""
-    by = Window.partitionBy("y").orderBy(F.xxhash64(F.col(key).cast("string")), F.col(key))
-    picked = labels.where(F.col(label).isNotNull()).select(key, F.col(label).cast("double").alias("y")).withColumn("r", F.row_number().over(by)).where(F.col("r") <= per_label)
-    rows = docs.where(F.col("text").isNotNull()).join(F.broadcast(picked.select(key, "y")), key).select("text", "y")
-    return sorted((r[0], r[1]) for r in rows.toLocalIterator())
+    """At most per_label texts of either label (below 0.5 or not), by a hash of key and text; equal rows are one.
+
+    Counts by label, summed in each task, say below which hash a row may be picked, so few more than those picked are shuffled with their texts."""
+    spark = docs.sparkSession
+    known = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("k")).agg(F.avg(F.col(label).cast("double")).alias("y")).select("k", (F.col("y") >= 0.5).cast("double").alias("y"))
+    counts = known.groupBy("y").count().collect()
+    if not counts:
+        return []
+    share = spark.createDataFrame([(r.y, min(1.0, 4 * (per_label + 25) / r["count"])) for r in counts], "y double, share double")
+    known = known.join(F.broadcast(share), "y").where((F.xxhash64(F.col("k").cast("string")) / 2.0**64 + 0.5) < F.col("share")).select("k", "y")
+    rows = docs.where(F.col("text").isNotNull()).select(F.col(key).alias("id"), "text")
+    rows = rows.join(F.broadcast(known), rows["id"] == known["k"]).select("k", "y", "text")
+    rows = rows.groupBy("y", F.xxhash64(F.col("k").cast("string"), "text").alias("hash")).agg(F.min("text").alias("text"))
+    picked = rows.withColumn("r", F.row_number().over(Window.partitionBy("y").orderBy("hash"))).where(F.col("r") <= per_label)
+    return sorted((r[0], r[1]) for r in picked.select("text", "y").toLocalIterator())
 
 
 def op3_quality_classifier(spark, sf_dir: str) -> DataFrame:
