@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontamination, jaccard, language, language_model, licenses, mixing, quality, quality_rules, secrets, suffixes
+from . import decontamination, jaccard, language, language_model, licenses, mixing, oracles, quality, quality_rules, secrets, suffixes
 
 QUERIES = {f.__name__: f for f in (language.op1_language_id, language_model.op2_lm_scores, quality.op3_quality_classifier, jaccard.op4_jaccard_join, secrets.op5_secret_scan, decontamination.op6_decontaminate, mixing.op7_source_mix, suffixes.op8_suffix_dedup, quality_rules.op9_quality_rules, licenses.op10_license_scan)}
 
-ORACLES: dict[str, str] = {"op7_source_mix": mixing.ORACLE, "op10_license_scan": licenses.ORACLE}
+ORACLES: dict[str, str] = {
+    "op4_jaccard_join": oracles.JACCARD, "op7_source_mix": mixing.ORACLE, "op8_suffix_dedup": oracles.PASSAGES, "op9_quality_rules": oracles.LINE_RULES, "op10_license_scan": licenses.ORACLE,
+}
