@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from . import plans
 from .functions import boxes, geodesy, optics
-from .operators import clocks, estimators, joins, paths, rasters, terrain, tracking, tracks
+from .operators import clocks, estimators, georeference, joins, paths, rasters, terrain, tracking, tracks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -17,23 +17,13 @@ FLAGSHIP = "best_partner"
 EPSG = 32633
 
 
-def query(sql: str | None = None, *cuts: str, whole_sql: bool = True):
-    """Registers f, with its SQL if there is any. f takes the cuts, conditions that keep part of the rows; NAME_whole, registered beside it, is f over all rows.
-
-    whole_sql: whether NAME_whole gets the same SQL without its cuts."""
+def query(sql: str | None = None):
+    """Registers f, with its SQL if there is any."""
 
     def put(f):
-        QUERIES[f.__name__] = (lambda spark, sf: f(spark, sf, *cuts)) if cuts else f
+        QUERIES[f.__name__] = f
         if sql:
             ORACLES[f.__name__] = plans.oracle(sql.strip())
-        if cuts:
-            name, rest = f"{f.__name__}_whole", sql
-            QUERIES[name] = lambda spark, sf: f(spark, sf, *["true"] * len(cuts))
-            for c in cuts:
-                assert c in sql, (f.__name__, c)
-                rest = rest.replace(c, "true")
-            if whole_sql:
-                ORACLES[name] = plans.oracle(rest.strip())
         return f
 
     return put
@@ -75,7 +65,7 @@ def best_partner(spark, sf):
 @query("""select row_id, round(least(x2, 60) - greatest(x1, 10), 4) as w from (select *, greatest(least(x2, 60) - greatest(x1, 10), 0) * greatest(least(y2, 45) - greatest(y1, 5), 0) / ((x2 - x1) * (y2 - y1)) as s from det) where s > 0.8""")
 def area_filter(spark, sf):
     b, area = boxes.box(), (10.0, 5.0, 60.0, 45.0)
-    inside = boxes.intersection(b, tuple(map(F.lit, area))) / boxes.area(b)
+    inside = boxes.intersection(b, tuple(map(F.lit, area))) / F.nullif(boxes.area(b), F.lit(0.0))
     return plans.detections(spark, sf).where(inside > 0.8).select("row_id", F.round(boxes.width(boxes.clipped(b, area)), 4).alias("w"))
 
 
@@ -106,22 +96,26 @@ def gimbal_angles(spark, sf):
     return plans.telemetry(spark, sf).select("id", F.round(tilt, 4).alias("tilt"), F.round(heading, 4).alias("heading"), F.round(pitch, 4).alias("pitch"))
 
 
-_E, _N = geodesy.utm_sql("lat", "lon", EPSG)
+# Eccentricity, rectifying radius and series coefficients of the WGS 84 ellipsoid, for a conformal latitude by asinh.
+_UTM = """u0 as (select *, sinh(asinh(tan(radians(lat))) - 0.0818191908426215e0 * atanh(0.0818191908426215e0 * sin(radians(lat)))) as t, radians(lon - 15) as dl from tele),
+  u1 as (select *, atan2(t, cos(dl)) as xi, asinh(sin(dl) / sqrt(t * t + cos(dl) * cos(dl))) as eta from u0),
+  utm as (select *, 500000 + 0.9996e0 * 6367449.14582341532e0 * (eta + 8.3773182062446983e-4 * cos(2 * xi) * sinh(2 * eta) + 7.608527773572489e-7 * cos(4 * xi) * sinh(4 * eta) + 1.1976455032424921e-9 * cos(6 * xi) * sinh(6 * eta) + 2.42917068e-12 * cos(8 * xi) * sinh(8 * eta)) as east,
+    0.9996e0 * 6367449.14582341532e0 * (xi + 8.3773182062446983e-4 * sin(2 * xi) * cosh(2 * eta) + 7.608527773572489e-7 * sin(4 * xi) * cosh(4 * eta) + 1.1976455032424921e-9 * sin(6 * xi) * cosh(6 * eta) + 2.42917068e-12 * sin(8 * xi) * cosh(8 * eta)) as north from u1)"""
 
 
-@query(f"select id, round({_E}, 3) as east, round({_N}, 3) as north from tele")
+@query(f"with {_UTM} select id, round(east, 3) as east, round(north, 3) as north from utm")
 def utm_forward(spark, sf):
     e, n = geodesy.to_utm(F.col("lat"), F.col("lon"), EPSG)
     return plans.telemetry(spark, sf).select("id", F.round(e, 3).alias("east"), F.round(n, 3).alias("north"))
 
 
-@query("select id, round(lat, 7) as lat, round(lon, 7) as lon, round(alt, 4) as alt from tele")
+@query(f"""with {_UTM} select id, round(east - 425405.337, 2) as x, round(north - 5316784.018, 2) as y, round(lat, 7) as lat, round(lon, 7) as lon, round(alt, 4) as alt from utm""")
 def utm_round_trip(spark, sf):
-    origin = {"lat": 48.0, "lon": 14.0, "alt": 300.0}
-    local = geodesy.to_local(F.col("lat"), F.col("lon"), F.col("alt"), origin, EPSG)
-    t = plans.telemetry(spark, sf).select("id", *[c.alias(n) for c, n in zip(local, "xyz", strict=True)])
-    lat, lon, alt = geodesy.from_local(F.col("x"), F.col("y"), F.col("z"), origin, EPSG)
-    return t.select("id", F.round(lat, 7).alias("lat"), F.round(lon, 7).alias("lon"), F.round(alt, 4).alias("alt"))
+    """Positions in metres from a corner of the grid, and back."""
+    e, n = geodesy.to_utm(F.col("lat"), F.col("lon"), EPSG)
+    t = plans.telemetry(spark, sf).select("id", (e - 425405.337).alias("x"), (n - 5316784.018).alias("y"), "alt")
+    lat, lon = geodesy.from_utm(F.col("x") + 425405.337, F.col("y") + 5316784.018, EPSG)
+    return t.select("id", F.round("x", 2).alias("x"), F.round("y", 2).alias("y"), F.round(lat, 7).alias("lat"), F.round(lon, 7).alias("lon"), F.round("alt", 4).alias("alt"))
 
 
 @query("select id, round(degrees(atan(tan(radians(lon - 15)) * sin(radians(lat)))), 2) as angle from tele")
@@ -147,13 +141,29 @@ def ground_of_centre_pixel(spark, sf):
     return t.select("id", F.round(gx, 4).alias("gx"), F.round(gy, 4).alias("gy"))
 
 
-@query("select id, 100.0e0 as px, 200.0e0 as py from tele where pitch + 90 < 60 and alt > 1")
+_POSE = """b as (select *, radians(pitch + 90) as t, radians(heading) as h, tan(radians(25)) as k from tele where pitch + 90 < 60 and alt > 1),
+  pose as (select *, sin(t) * sin(h) as f0, sin(t) * cos(h) as f1, -cos(t) as f2, cos(h) as r0, -sin(h) as r1, cos(t) * sin(h) as u0, cos(t) * cos(h) as u1, sin(t) as u2 from b)"""
+
+
+@query(f"""with {_POSE}, d as (select *, (2 * 100 / 512.0e0 - 1) * k as a, (1 - 2 * 200 / 512.0e0) * k as c from pose), s as (select *, -alt / (f2 + c * u2) as s from d where f2 + c * u2 < 0)
+select id, round(s * (f0 + a * r0 + c * u0), 3) as gx, round(s * (f1 + a * r1 + c * u1), 3) as gy, 100.0e0 as px, 200.0e0 as py from s""")
 def pixel_round_trip(spark, sf):
+    """A pixel's place on flat ground, and the pixel of that place."""
     pos = (F.lit(0.0), F.lit(0.0), F.col("alt"))
     t = plans.telemetry(spark, sf).where("pitch + 90 < 60 and alt > 1").withColumn("tilt", F.col("pitch") + 90)
     gx, gy = optics.pixel_to_ground(F.lit(100.0), F.lit(200.0), pos, F.col("tilt"), F.col("heading"), 50.0, 512.0, 512.0)
     t = t.withColumn("gx", gx).withColumn("gy", gy).where("gx is not null")
     px, py = optics.world_to_pixel((F.col("gx"), F.col("gy"), F.lit(0.0)), pos, F.col("tilt"), F.col("heading"), 50.0, 512.0, 512.0)
+    return t.select("id", *[F.round(c, 3).alias(c) for c in ("gx", "gy")], F.round(px, 3).alias("px"), F.round(py, 3).alias("py"))
+
+
+@query(f"""with {_POSE}, v as (select *, id % 41 - 20 as x, id % 31 - 15 as y from pose), w as (select *, x * f0 + y * f1 - alt * f2 as depth, x * r0 + y * r1 as side, x * u0 + y * u1 - alt * u2 as up from v)
+select id, case when depth > 0 then round((side / (depth * k) + 1) * 256, 3) end as px, case when depth > 0 then round(512 - (up / (depth * k) + 1) * 256, 3) end as py from w""")
+def points_in_pictures(spark, sf):
+    """Places on the ground as pixels; null behind the camera."""
+    t = plans.telemetry(spark, sf).where("pitch + 90 < 60 and alt > 1")
+    point = ((F.col("id") % 41 - 20).cast("double"), (F.col("id") % 31 - 15).cast("double"), F.lit(0.0))
+    px, py = optics.world_to_pixel(point, (F.lit(0.0), F.lit(0.0), F.col("alt")), F.col("pitch") + 90, F.col("heading"), 50.0, 512.0, 512.0)
     return t.select("id", F.round(px, 3).alias("px"), F.round(py, 3).alias("py"))
 
 
@@ -231,31 +241,31 @@ def split_metres(spark, sf):
     return paths.split_by_distance(_cum(spark, sf), 30000.0)
 
 
-_TR = "tr as (select track_id % 20 as flight_id, track_id, frame, row_id, x1, y1, x2, y2, confidence, class_id from (select *, row_number() over (partition by track_id, frame order by row_id) as k from det where frame % 5 = 0) where k = 1)"
+_TR = "tr as (select track_id % 20 as flight_id, track_id, frame, row_id, x1, y1, x2, y2, confidence, class_id from (select *, row_number() over (partition by track_id, frame order by row_id) as k from det) where k = 1)"
 
 
-def _tracks(spark, sf, cut="true"):
-    d = plans.detections(spark, sf).where(cut).withColumn("k", F.row_number().over(Window.partitionBy("track_id", "frame").orderBy("row_id"))).where("k = 1")
+def _tracks(spark, sf):
+    d = plans.detections(spark, sf).withColumn("k", F.row_number().over(Window.partitionBy("track_id", "frame").orderBy("row_id"))).where("k = 1")
     return d.select((F.col("track_id") % 20).alias("flight_id"), "track_id", "frame", "row_id", "x1", "y1", "x2", "y2", "confidence", "class_id")
 
 
-@query(f"""with {_TR}, n as (select *, lead(frame) over w as f2, lead(x1) over w as x12, lead(confidence) over w as c2, lead(class_id) over w as k2 from tr window w as (partition by flight_id, track_id order by frame, row_id))
-select flight_id, track_id, f as frame, round(x1 + (x12 - x1) * (f - n.frame) / (f2 - n.frame), 4) as x1, round((confidence + c2) / 2, 4) as confidence, k2 as class_id from n, lateral (select unnest(range(n.frame + 1, f2)) as f) where f2 - n.frame between 2 and 40""", "frame % 5 = 0", "f2 - n.frame between 2 and 40", whole_sql=False)
-def interpolated_tracks(spark, sf, cut, gap):
-    t = _tracks(spark, sf, cut)
+# Each track's boxes in order, two frames or so apart, so that every gap is short.
+_STEPS = f"{_TR}, st as (select flight_id, track_id, 3 * row_number() over (partition by flight_id, track_id order by frame, row_id) - row_id % 3 as frame, row_id, x1, y1, x2, y2, confidence, class_id from tr)"
+
+
+@query(f"""with {_STEPS}, n as (select *, lead(frame) over w as f2, lead(x1) over w as x12, lead(confidence) over w as c2, lead(class_id) over w as k2 from st window w as (partition by flight_id, track_id order by frame, row_id))
+select flight_id, track_id, f as frame, round(x1 + (x12 - x1) * (f - n.frame) / (f2 - n.frame), 4) as x1, round((confidence + c2) / 2, 4) as confidence, k2 as class_id from n, lateral (select unnest(range(n.frame + 1, f2)) as f)""")
+def interpolated_tracks(spark, sf):
     w = Window.partitionBy("flight_id", "track_id").orderBy("frame", "row_id")
-    out = paths.interpolate_tracks(t).where("interpolated")
-    if gap != "true":  # gaps of up to 40 frames, as a survey would fill
-        gaps = t.withColumn("f2", F.lead("frame").over(w)).where(gap.replace("n.", "")).select("flight_id", "track_id", F.explode(F.sequence(F.col("frame") + 1, F.col("f2") - 1)).alias("frame"))
-        out = out.join(gaps, ["flight_id", "track_id", "frame"], "left_semi")
-    return out.select("flight_id", "track_id", "frame", *r4("x1", "confidence"), "class_id")
+    t = _tracks(spark, sf).withColumn("frame", 3 * F.row_number().over(w).cast("long") - F.col("row_id") % 3)
+    return paths.interpolate_tracks(t).where("interpolated").select("flight_id", "track_id", "frame", *r4("x1", "confidence"), "class_id")
 
 
 @query("""with s as (select flight_id, epoch(ts) as t, alt, heading from tele), n as (select *, lead(t) over w as t2, lead(alt) over w as a2, lead(heading) over w as h2 from s window w as (partition by flight_id order by t))
-select flight_id, k as tick, round(alt + (a2 - alt) * (k * 21600.0 - t) / (t2 - t), 3) as alt from n, lateral (select unnest(range(ceil(t / 21600.0)::bigint, ceil(t2 / 21600.0)::bigint)) as k) where t2 > t""")
+select flight_id, k as tick, round(alt + (a2 - alt) * (k * 21600.0 - t) / (t2 - t), 3) as alt, round(sin(radians(heading + (case when h2 - heading >= 180 then h2 - heading - 360 when h2 - heading < -180 then h2 - heading + 360 else h2 - heading end) * (k * 21600.0 - t) / (t2 - t))), 4) as heading_sin from n, lateral (select unnest(range(ceil(t / 21600.0)::bigint, ceil(t2 / 21600.0)::bigint)) as k) where t2 > t""")
 def resampled(spark, sf):
     t = plans.telemetry(spark, sf).withColumn("t", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6)
-    return paths.resample(t, 21600.0, ["alt"], ("heading",)).select("flight_id", "tick", F.round("alt", 3).alias("alt"))
+    return paths.resample(t, 21600.0, ["alt"], ("heading",)).select("flight_id", "tick", F.round("alt", 3).alias("alt"), F.round(F.sin(F.radians("heading")), 4).alias("heading_sin"))
 
 
 @query("""select id, round((row_number() over (partition by flight_id, d order by id) - 1) * 1.0 / count(*) over (partition by flight_id, d), 6) as share from (select *, date_trunc('day', ts) as d from tele)""")
@@ -295,10 +305,10 @@ def first_video_run(spark, sf):
     return paths.first_run(plans.telemetry(spark, sf), "is_video").groupBy("flight_id").agg(F.count("*").alias("n"))
 
 
-@query("""select a.flight_id, a.frame as central, b.frame from tele a join tele b on a.flight_id = b.flight_id and abs(a.frame - b.frame) between 10 and 100 and (a.frame - b.frame) % 10 = 0 where a.frame % 25 = 0""", "a.frame % 25 = 0")
-def neighbour_frames(spark, sf, cut):
+@query("""select a.flight_id, a.frame as central, b.frame from tele a join tele b on a.flight_id = b.flight_id and abs(a.frame - b.frame) between 10 and 100 and (a.frame - b.frame) % 10 = 0""")
+def neighbour_frames(spark, sf):
     t = plans.telemetry(spark, sf)
-    return paths.neighbours(t).where(cut.replace("a.frame", "central")).select("flight_id", "central", "frame")
+    return paths.neighbours(t).select("flight_id", "central", "frame")
 
 
 @query("""select flight_id, frame from tele where frame >= 3 and (frame - 3) % 4 = 0 and (frame - 3) < 40""")
@@ -345,37 +355,37 @@ def overlap_pairs(spark, sf):
     return joins.overlap_join(d, d, 10.0, "frame").where("a_id < b_id")
 
 
-_SEG = "seg as (select * from (select flight_id, row_number() over w - 1 as seg, x as ax, y as ay, lead(x) over w - x as dx, lead(y) over w - y as dy from route where frame < 12 window w as (partition by flight_id order by frame)) where dx is not null)"
-_POINTS = "pts as (select flight_id, frame as point_id, x + 37.5 as px, y - 12.25 as py, x as camera_x, y as camera_y from route where frame % 3 = 1)"
+_SEG = "seg as (select * from (select flight_id, row_number() over w - 1 as seg, x as ax, y as ay, lead(x) over w - x as dx, lead(y) over w - y as dy from route window w as (partition by flight_id order by frame)) where dx is not null)"
+_POINTS = "pts as (select flight_id, frame as point_id, x + 37.5 as px, y - 12.25 as py, x as camera_x, y as camera_y from route)"
 _CLAMP = "greatest(0, least(1, case when dx * dx + dy * dy < 1e-12 then 0 else ((px - ax) * dx + (py - ay) * dy) / (dx * dx + dy * dy) end))"
 
 
-def _points_segments(spark, sf, part, which):
+def _points_segments(spark, sf):
     r = plans.routes(spark, sf)
-    pts = r.where(which).select("flight_id", F.col("frame").alias("point_id"), (F.col("x") + 37.5).alias("px"), (F.col("y") - 12.25).alias("py"), F.col("x").alias("camera_x"), F.col("y").alias("camera_y"))
-    return pts, joins.segments(r.where(part))
+    pts = r.select("flight_id", F.col("frame").alias("point_id"), (F.col("x") + 37.5).alias("px"), (F.col("y") - 12.25).alias("py"), F.col("x").alias("camera_x"), F.col("y").alias("camera_y"))
+    return pts, joins.segments(r)
 
 
 @query(f"""with {_SEG}, {_POINTS}, j as (select *, {_CLAMP} as t from pts join seg using (flight_id)), d as (select *, sqrt(power(px - ax - t * dx, 2) + power(py - ay - t * dy, 2)) as d from j),
-  k as (select *, row_number() over (partition by flight_id, point_id order by round(d, 9), seg) as k from d) select flight_id, point_id, seg, round(d, 4) as distance from k where k = 1""", "frame < 12", "frame % 3 = 1")
-def nearest_on_route(spark, sf, part, which):
-    pts, seg = _points_segments(spark, sf, part, which)
+  k as (select *, row_number() over (partition by flight_id, point_id order by round(d, 9), seg) as k from d) select flight_id, point_id, seg, round(d, 4) as distance from k where k = 1""")
+def nearest_on_route(spark, sf):
+    pts, seg = _points_segments(spark, sf)
     return joins.nearest_on_route(pts, seg).where("seg is not null").select("flight_id", "point_id", "seg", F.round("distance", 4).alias("distance"))
 
 
 @query(f"""with {_SEG}, {_POINTS}, j as (select *, {_CLAMP.replace("px", "camera_x").replace("py", "camera_y")} as t from pts join seg using (flight_id)), d as (select *, sqrt(power(camera_x - ax - t * dx, 2) + power(camera_y - ay - t * dy, 2)) as d from j),
   k as (select *, row_number() over (partition by flight_id, point_id order by round(d, 9), seg) as k from d), u as (select *, case when dx * dx + dy * dy < 1e-12 then 0 else ((px - ax) * dx + (py - ay) * dy) / (dx * dx + dy * dy) end as f from k where k = 1)
-select flight_id, point_id, seg, round(sqrt(power(px - ax - f * dx, 2) + power(py - ay - f * dy, 2)), 3) as distance from u""", "frame < 12", "frame % 3 = 1")
-def perpendicular_distance(spark, sf, part, which):
-    pts, seg = _points_segments(spark, sf, part, which)
+select flight_id, point_id, seg, round(sqrt(power(px - ax - f * dx, 2) + power(py - ay - f * dy, 2)), 3) as distance from u""")
+def perpendicular_distance(spark, sf):
+    pts, seg = _points_segments(spark, sf)
     return joins.perpendicular(pts, seg).select("flight_id", "point_id", "seg", F.round("distance", 3).alias("distance"))
 
 
 @query(f"""with {_SEG}, {_POINTS}, j as (select flight_id, point_id, seg // 4 as transect_id, sqrt(power(px - ax - {_CLAMP} * dx, 2) + power(py - ay - {_CLAMP} * dy, 2)) as d from pts join seg using (flight_id)),
   m as (select flight_id, point_id, transect_id, min(d) as d from j group by all), k as (select *, row_number() over (partition by flight_id, point_id order by round(d, 9), transect_id) as k from m)
-select flight_id, point_id, case when d > 500 then -1 else transect_id end as transect_id, transect_id as nearest, d > 500 as truncated from k where k = 1""", "frame < 12", "frame % 3 = 1")
-def transect_assignment(spark, sf, part, which):
-    pts, seg = _points_segments(spark, sf, part, which)
+select flight_id, point_id, case when d > 500 then -1 else transect_id end as transect_id, transect_id as nearest, d > 500 as truncated from k where k = 1""")
+def transect_assignment(spark, sf):
+    pts, seg = _points_segments(spark, sf)
     out = joins.assign_to_transects(pts, seg.withColumn("transect_id", F.floor(F.col("seg") / 4)), 500.0)
     return out.where("nearest is not null").select("flight_id", "point_id", "transect_id", "nearest", "truncated")
 
@@ -392,53 +402,53 @@ def gap_filled_log(spark, sf):
 
 @query(f"""with {_TR}, g as (select flight_id, track_id, class_id, avg(case when confidence >= 0.7 then confidence end) as m, count(*) filter (confidence >= 0.7) as n, min(case when confidence >= 0.7 then frame * 1000000 + row_id % 1000000 end) as f, avg(confidence) as c from tr group by all),
   k as (select *, row_number() over (partition by flight_id, track_id order by round(m, 9) desc nulls last, f nulls last, class_id) as k from g where n > 0)
-select t.flight_id, t.track_id, k.class_id, round(coalesce(c, 0) + 1e-7, 5) as confidence from (select distinct flight_id, track_id from tr) t left join k on k.flight_id = t.flight_id and k.track_id = t.track_id and k = 1""", "frame % 5 = 0")
-def class_votes(spark, sf, cut):
-    return tracks.class_vote(_tracks(spark, sf, cut)).select("flight_id", "track_id", "class_id", F.round(F.col("confidence") + 1e-7, 5).alias("confidence"))
+select t.flight_id, t.track_id, k.class_id, round(coalesce(c, 0) + 1e-7, 5) as confidence from (select distinct flight_id, track_id from tr) t left join k on k.flight_id = t.flight_id and k.track_id = t.track_id and k = 1""")
+def class_votes(spark, sf):
+    return tracks.class_vote(_tracks(spark, sf)).select("flight_id", "track_id", "class_id", F.round(F.col("confidence") + 1e-7, 5).alias("confidence"))
 
 
 @query(f"""with {_TR}, c as (select flight_id, track_id, (x1 + x2) / 2 as cx, (y1 + y2) / 2 as cy from tr), d as (select *, sqrt(power(cx - avg(cx) over w, 2) + power(cy - avg(cy) over w, 2)) as d from c window w as (partition by flight_id, track_id))
-select flight_id, track_id, count(*) as n, count(*) filter (d > 30) as outliers, round(max(d), 4) as max_distance, round(stddev_pop(d), 4) as std_distance, (count(*) filter (d > 30) >= 20 or count(*) filter (d > 30) * 1.0 / count(*) >= 0.5) as moved from d group by 1, 2 having count(*) >= 2""", "frame % 5 = 0")
-def track_movement(spark, sf, cut):
-    return tracks.movement(_tracks(spark, sf, cut), 30.0, 20, 0.5).select("flight_id", "track_id", "n", "outliers", *r4("max_distance", "std_distance"), "moved")
+select flight_id, track_id, count(*) as n, count(*) filter (d > 30) as outliers, round(max(d), 4) as max_distance, round(stddev_pop(d), 4) as std_distance, (count(*) filter (d > 30) >= 20 or count(*) filter (d > 30) * 1.0 / count(*) >= 0.5) as moved from d group by 1, 2 having count(*) >= 2""")
+def track_movement(spark, sf):
+    return tracks.movement(_tracks(spark, sf), 30.0, 20, 0.5).select("flight_id", "track_id", "n", "outliers", *r4("max_distance", "std_distance"), "moved")
 
 
-def _modalities(spark, sf, cut="true"):
-    d = plans.detections(spark, sf).where(cut).select("frame", "track_id", F.col("x1").alias("cx"), F.col("y1").alias("cy"), "confidence", "row_id")
+def _modalities(spark, sf):
+    d = plans.detections(spark, sf).select("frame", "track_id", F.col("x1").alias("cx"), F.col("y1").alias("cy"), "confidence", "row_id")
     return d.where("row_id % 2 = 0").withColumn("track_id", F.col("track_id") % 40), d.where("row_id % 2 = 1").withColumn("track_id", F.col("track_id") % 30)
 
 
-_MOD = "ma as (select frame, track_id % 40 as track_id, x1 as cx, y1 as cy, confidence from det where frame % 2 = 0 and row_id % 2 = 0), mb as (select frame, track_id % 30 as track_id, x1 as cx, y1 as cy, confidence from det where frame % 2 = 0 and row_id % 2 = 1)"
+_MOD = "ma as (select frame, track_id % 40 as track_id, x1 as cx, y1 as cy, confidence from det where row_id % 2 = 0), mb as (select frame, track_id % 30 as track_id, x1 as cx, y1 as cy, confidence from det where row_id % 2 = 1)"
 _CANDS = f"{_MOD}, j as (select a.track_id as track_t, b.track_id as track_w, sqrt(power(a.cx - b.cx, 2) + power(a.cy - b.cy, 2)) as d from ma a join mb b on a.frame = b.frame), c as (select track_t, track_w, count(*) as shared, median(d) as median_dist from j group by all)"
 
 
 @query(f"""with {_CANDS} select track_t, track_w, shared, round(median_dist, 4) as median_dist, round((select avg(confidence) from ma where track_id = track_t), 4) as conf_t,
-  case when shared < 8 then 'shared' when median_dist >= 28 then 'distance' end as rejected from c""", "frame % 2 = 0")
-def match_candidates(spark, sf, cut):
-    a, b = _modalities(spark, sf, cut)
+  case when shared < 8 then 'shared' when median_dist >= 28 then 'distance' end as rejected from c""")
+def match_candidates(spark, sf):
+    a, b = _modalities(spark, sf)
     pairs = a.select(F.col("frame").alias("frame_a"), F.col("frame").alias("frame_b")).distinct()
     return tracks.gate(tracks.candidates(a, b, pairs)).select("track_t", "track_w", "shared", *r4("median_dist", "conf_t"), "rejected")
 
 
-@query(f"""with {_CANDS} select rejected, count(*) as n from (select case when shared < 8 then 'shared' when median_dist >= 28 then 'distance' else 'accepted' end as rejected from c) group by 1""", "frame % 2 = 0")
-def rejection_reasons(spark, sf, cut):
-    a, b = _modalities(spark, sf, cut)
+@query(f"""with {_CANDS} select rejected, count(*) as n from (select case when shared < 8 then 'shared' when median_dist >= 28 then 'distance' else 'accepted' end as rejected from c) group by 1""")
+def rejection_reasons(spark, sf):
+    a, b = _modalities(spark, sf)
     pairs = a.select(F.col("frame").alias("frame_a"), F.col("frame").alias("frame_b")).distinct()
     return tracks.gate(tracks.candidates(a, b, pairs)).groupBy(F.coalesce("rejected", F.lit("accepted")).alias("rejected")).agg(F.count("*").alias("n"))
 
 
 @query(f"""with {_MOD}, a1 as (select frame, min(cx) as ax, min(cy) as ay from ma group by 1 having count(*) = 1), b1 as (select frame, min(cx) as bx, min(cy) as bya from mb group by 1 having count(*) = 1)
-select frame as frame_a, ax, ay, bx, bya as "by" from a1 join b1 using (frame)""", "frame % 2 = 0")
-def seeds(spark, sf, cut):
-    a, b = _modalities(spark, sf, cut)
+select frame as frame_a, ax, ay, bx, bya as "by" from a1 join b1 using (frame)""")
+def seeds(spark, sf):
+    a, b = _modalities(spark, sf)
     pairs = a.select(F.col("frame").alias("frame_a"), F.col("frame").alias("frame_b")).distinct()
     return tracks.seed_pairs(a, b, pairs).select("frame_a", "ax", "ay", "bx", "by")
 
 
 @query(f"""with {_MOD}, a1 as (select frame, min(cx) as ax, min(cy) as ay from ma group by 1 having count(*) = 1), b1 as (select frame, min(cx) as bx, min(cy) as bya from mb group by 1 having count(*) = 1)
-select count(*) as n, sum(ax) as sx, sum(ay) as sy, sum(ax * ax) as sxx, sum(ax * ay) as sxy, sum(ay * ay) as syy, sum(bx) as bx1, sum(bx * ax) as bxx, sum(bx * ay) as bxy, sum(bya) as by1, sum(bya * ax) as byx, sum(bya * ay) as byy from a1 join b1 using (frame)""", "frame % 2 = 0")
-def affine_normal_sums(spark, sf, cut):
-    a, b = _modalities(spark, sf, cut)
+select count(*) as n, sum(ax) as sx, sum(ay) as sy, sum(ax * ax) as sxx, sum(ax * ay) as sxy, sum(ay * ay) as syy, sum(bx) as bx1, sum(bx * ax) as bxx, sum(bx * ay) as bxy, sum(bya) as by1, sum(bya * ax) as byx, sum(bya * ay) as byy from a1 join b1 using (frame)""")
+def affine_normal_sums(spark, sf):
+    a, b = _modalities(spark, sf)
     pairs = a.select(F.col("frame").alias("frame_a"), F.col("frame").alias("frame_b")).distinct()
     return tracks.affine_sums(tracks.seed_pairs(a, b, pairs))
 
@@ -450,13 +460,24 @@ def matched_tracks(spark, sf):
     return tracking.match_tracks(a, b, pairs, (1.0, 0.0, 0.0, 1.0, 0.0, 0.0), shared=3)
 
 
-@query(f"""with {_TR} select count(*) as n, count(*) as distinct_rows, 0::bigint as twice_in_a_frame from tr""", "frame % 5 = 0")
-def tracker_checks(spark, sf, cut):
-    """Every box has one track, and no track has two boxes of a frame."""
-    t = _tracks(spark, sf, cut)
-    out = tracking.track_boxes(t, mode="greedy", least=0.1, max_age=3)
-    twice = out.groupBy("flight_id", "frame", "track_id").agg(F.count("*").alias("k")).agg(F.sum("k").alias("n"), F.sum((F.col("k") - 1)).alias("twice_in_a_frame"))
-    return twice.join(out.agg(F.count_distinct("row_id").alias("distinct_rows")))
+# Two animals that cross nine frames, a third box at the end, and a pair of boxes of two classes.
+_SCENE = "values (1, 0, 1, 0.0, 0.0, 10.0, 10.0, 0), (1, 0, 2, 50.0, 0.0, 60.0, 10.0, 0), (1, 1, 3, 1.0, 0.0, 11.0, 10.0, 0), (1, 1, 4, 51.0, 0.0, 61.0, 10.0, 0), (1, 2, 5, 2.0, 0.0, 12.0, 10.0, 0), (1, 3, 6, 3.0, 0.0, 13.0, 10.0, 0), (1, 3, 7, 52.0, 0.0, 62.0, 10.0, 0), (1, 3, 8, 90.0, 90.0, 99.0, 99.0, 0), (2, 0, 9, 0.0, 0.0, 10.0, 10.0, 0), (2, 1, 10, 0.0, 0.0, 10.0, 10.0, 1), (2, 2, 11, 1.0, 1.0, 11.0, 11.0, 0)"
+
+
+def _scene(spark):
+    return spark.sql(f"select cast(flight_id as bigint) flight_id, cast(frame as bigint) frame, cast(row_id as bigint) row_id, cast(x1 as double) x1, cast(y1 as double) y1, cast(x2 as double) x2, cast(y2 as double) y2, cast(class_id as bigint) class_id from {_SCENE} t(flight_id, frame, row_id, x1, y1, x2, y2, class_id)")
+
+
+@query("""select * from (values (1, 1, 1, 1), (2, 2, 2, 2), (3, 1, 1, 1), (4, 2, 2, 2), (5, 1, 1, 1), (6, 1, 1, 1), (7, 2, 3, 2), (8, 3, 4, 3), (9, 1, 1, 1), (10, 2, 2, 1), (11, 1, 3, 1)) t(row_id, forever, at_once, any_class)""")
+def tracker_scene(spark, sf):
+    """Tracks of a small scene whose ids are known: with tracks that stay open, with tracks that close at once where missed, and with classes mixed."""
+    one = lambda name, **how: tracking.track_boxes(_scene(spark), mode="greedy", least=0.3, **how).select("row_id", F.col("track_id").alias(name))
+    return one("forever").join(one("at_once", max_age=0), "row_id").join(one("any_class", class_aware=False), "row_id")
+
+
+@query()
+def tracker_greedy(spark, sf):
+    return tracking.track_boxes(_tracks(spark, sf), mode="greedy", least=0.1, max_age=3)
 
 
 @query()
@@ -469,10 +490,22 @@ def simplified_routes(spark, sf):
     return tracking.simplify(plans.routes(spark, sf), 500.0, ("flight_id",))
 
 
-@query()
+@query(f"""with {_STEPS}, pc as (select flight_id, track_id * 10000 + frame // 30 * 2 + case when frame % 30 >= 24 then 1 else 0 end as track_id, frame, row_id, x1, y1, x2, y2 from st),
+  n as (select flight_id, track_id, count(distinct frame) as n, min(frame) as f1, max(frame) as f2 from pc group by all),
+  en as (select n.*, arg_min(struct_pack(x1, y1, x2, y2), pc.frame * 1000000000 + row_id) as a, arg_max(struct_pack(x1, y1, x2, y2), pc.frame * 1000000000 + row_id) as z from n join pc using (flight_id, track_id) group by all),
+  j as (select s.flight_id, s.track_id as short, l.track_id as long, l.f1 - s.f2 - 1 as gap, s.z as p, l.a as q from en s join en l on s.flight_id = l.flight_id and s.n < 4 and l.n >= 4 and l.f1 - s.f2 between 1 and 3
+    union all select s.flight_id, s.track_id, l.track_id, s.f1 - l.f2 - 1, l.z, s.a from en s join en l on s.flight_id = l.flight_id and s.n < 4 and l.n >= 4 and s.f1 - l.f2 between 1 and 3),
+  m as (select *, greatest(least(p.x2, q.x2) - greatest(p.x1, q.x1), 0) * greatest(least(p.y2, q.y2) - greatest(p.y1, q.y1), 0) as both_area, (p.x2 - p.x1) * (p.y2 - p.y1) + (q.x2 - q.x1) * (q.y2 - q.y1) as areas,
+    sqrt(power((p.x1 + p.x2 - q.x1 - q.x2) / 2, 2) + power((p.y1 + p.y2 - q.y1 - q.y2) / 2, 2)) / greatest(1e-9, (sqrt(power(p.x2 - p.x1, 2) + power(p.y2 - p.y1, 2)) + sqrt(power(q.x2 - q.x1, 2) + power(q.y2 - q.y1, 2))) / 2) as near from j),
+  i as (select *, (both_area / (areas - both_area))::float as iou from m),
+  o as (select * from i where (iou >= 0.1 or near <= 2.0) and not exists (select 1 from pc x join pc y on x.flight_id = y.flight_id and x.frame = y.frame where x.flight_id = i.flight_id and x.track_id = i.short and y.track_id = i.long)),
+  k as (select *, row_number() over (partition by flight_id, short order by round(1 - iou + near, 6), gap, long) as k from o)
+select flight_id, short, long, gap from k where k = 1""")
 def stitched_fragments(spark, sf):
-    t = plans.detections(spark, sf).withColumn("track_id", F.col("track_id") * 4 + F.col("class_id"))
-    return tracks.fragments(t, 4, 2, 0.1, 2.0)
+    w = Window.partitionBy("flight_id", "track_id").orderBy("frame", "row_id")
+    t = _tracks(spark, sf).withColumn("frame", 3 * F.row_number().over(w).cast("long") - F.col("row_id") % 3)
+    piece = F.floor(F.col("frame") / 30) * 2 + (F.col("frame") % 30 >= 24).cast("long")
+    return tracks.fragments(t.withColumn("track_id", F.col("track_id") * 10000 + piece), 4, 2, 0.1, 2.0)
 
 
 @query("""select flight_id, transect_id, count(*) as n from (select flight_id, frame // 10 as transect_id from tele) group by all""")
@@ -536,48 +569,53 @@ def binned_cells(spark, sf):
     return rasters.binned(p, {"min_x": 0.0, "max_y": 49.999, "cell": 1.0, "width": 100, "height": 50})
 
 
-@query("""select round(count(*) * 1.0 / count(*), 2) as mass from det""")
-def kde_mass(spark, sf):
-    """The density surface holds every point: densities times cell areas add up to their number."""
+_KDE = """e as (select min(x1) - 30 as x0, min(y1) - 30 as y0, greatest(1, ceil((max(x1) - min(x1) + 60) / 5))::bigint as w, greatest(1, ceil((max(y1) - min(y1) + 60) / 5))::bigint as h from det),
+  n as (select floor((y0 + 5 * h - y1) / 5)::bigint as r, floor((x1 - x0) / 5)::bigint as c, count(*) * 1.0e0 as n from det, e group by all),
+  k as (select i, exp(-0.5e0 * i * i / 4) / (select sum(exp(-0.5e0 * j * j / 4)) from range(-8, 9) t(j)) as k from range(-8, 9) t(i))"""
+
+
+@query(f"""with {_KDE} select r + a.i as "row", c + b.i as col, round(sum(n * a.k * b.k) * 400, 3) as density from n, k a, k b, e where r + a.i between 0 and h - 1 and c + b.i between 0 and w - 1 group by all""")
+def density_surface(spark, sf):
     p = plans.detections(spark, sf).select(F.col("x1").alias("x"), F.col("y1").alias("y"))
-    return rasters.density(p, 5.0, 10.0).agg(F.sum("density").alias("d")).join(p.agg(F.count("*").alias("n"))).select(F.round(F.col("d") * 25 / 10_000 / F.col("n"), 2).alias("mass"))
+    return rasters.density(p, 5.0, 10.0).select("row", "col", F.round("density", 3).alias("density"))
 
 
-@query("""with b as (select x1 + 0.25 as x1, y1 + 0.25 as y1, x1 + 0.25 + 1 + (row_id % 3) as x2, y1 + 0.25 + 1 + (row_id % 2) as y2 from det where frame % 50 = 0), o as (select min(x1) as x0, max(y2) as y0 from b)
-select r as "row", c as col, count(*) as n from b, o, range(0, 110) t(c), range(0, 60) u(r) where x0 + (c + 0.5) between x1 and x2 and y0 - (r + 0.5) between y1 and y2 group by all""", "frame % 50 = 0")
-def coverage_cells(spark, sf, cut):
-    b = plans.detections(spark, sf).where(cut).selectExpr("x1 + 0.25 as x1", "y1 + 0.25 as y1", "x1 + 0.25 + 1 + (row_id % 3) as x2", "y1 + 0.25 + 1 + (row_id % 2) as y2")
+@query("""with b as (select x1 + 0.25 as x1, y1 + 0.25 as y1, x1 + 0.25 + 1 + (row_id % 3) as x2, y1 + 0.25 + 1 + (row_id % 2) as y2 from det), o as (select min(x1) as x0, max(y2) as y0 from b),
+  k as (select *, unnest(range(floor(x1 - x0)::bigint, floor(x2 - x0)::bigint + 1)) as col from b, o), r as (select *, unnest(range(floor(y0 - y2)::bigint, floor(y0 - y1)::bigint + 1)) as "row" from k)
+select "row", col, count(*) as n from r where x0 + (col + 0.5) between x1 and x2 and y0 - ("row" + 0.5) between y1 and y2 group by all""")
+def coverage_cells(spark, sf):
+    b = plans.detections(spark, sf).selectExpr("x1 + 0.25 as x1", "y1 + 0.25 as y1", "x1 + 0.25 + 1 + (row_id % 3) as x2", "y1 + 0.25 + 1 + (row_id % 2) as y2")
     ring = F.array(*[F.struct(F.col(x).alias("x"), F.col(y).alias("y")) for x, y in (("x1", "y1"), ("x2", "y1"), ("x2", "y2"), ("x1", "y2"))])
     return rasters.coverage(b.select(ring.alias("ring")))
 
 
-_LAYERS = "layers as (select y1::bigint as \"row\", x1::bigint as col, row_id as shot, l as value, abs(x1 - 50) + row_id % 5 as distance from (select *, (row_id % 97) * 1.0e0 as l from det where frame % 10 = 0))"
+_LAYERS = "layers as (select y1::bigint as \"row\", x1::bigint as col, row_id as shot, l as value, abs(x1 - 50) + row_id % 5 as distance from (select *, (row_id % 97) * 1.0e0 as l from det))"
 
 
-def _layers(spark, sf, cut):
-    return plans.detections(spark, sf).where(cut).select(F.col("y1").cast("long").alias("row"), F.col("x1").cast("long").alias("col"), F.col("row_id").alias("shot"), (F.col("row_id") % 97).cast("double").alias("value"), (F.abs(F.col("x1") - 50) + F.col("row_id") % 5).alias("distance"))
+def _layers(spark, sf):
+    return plans.detections(spark, sf).select(F.col("y1").cast("long").alias("row"), F.col("x1").cast("long").alias("col"), F.col("row_id").alias("shot"), (F.col("row_id") % 97).cast("double").alias("value"), (F.abs(F.col("x1") - 50) + F.col("row_id") % 5).alias("distance"))
 
 
-@query(f"""with {_LAYERS} select "row", col, round_even(avg(value), 0) as value, count(*) as layers from layers group by all""", "frame % 10 = 0")
-def mosaic_average(spark, sf, cut):
-    return rasters.mosaic(_layers(spark, sf, cut))
+@query(f"""with {_LAYERS} select "row", col, round_even(avg(value), 0) as value, count(*) as layers from layers group by all""")
+def mosaic_average(spark, sf):
+    return rasters.mosaic(_layers(spark, sf))
 
 
-@query(f"""with {_LAYERS} select "row", col, arg_min(value, shot) as first_value, arg_max(value, shot) as last_value, arg_min(value, distance * 100000000 + shot) as center_value from layers group by all""", "frame % 10 = 0")
-def mosaic_blends(spark, sf, cut):
-    m = _layers(spark, sf, cut)
+@query(f"""with {_LAYERS} select "row", col, arg_min(value, shot) as first_value, arg_max(value, shot) as last_value, arg_min(value, distance * 100000000 + shot) as center_value from layers group by all""")
+def mosaic_blends(spark, sf):
+    m = _layers(spark, sf)
     one = lambda how: rasters.mosaic(m, how).select("row", "col", F.col("value").alias(f"{how}_value"))
     return one("first").join(one("last"), ["row", "col"]).join(one("center"), ["row", "col"])
 
 
-@query(f"""with {_LAYERS}, v as (select distinct "row", col from layers) select "row", col from v a where (select count(*) from v b where abs(a."row" - b."row") + abs(a.col - b.col) = 1) = 4""", "frame % 10 = 0")
-def eroded_mask(spark, sf, cut):
-    return rasters.eroded(_layers(spark, sf, cut).select("row", "col").distinct(), 1)
+@query(f"""with {_LAYERS}, v as (select distinct "row", col from layers) select "row", col from v a where (select count(*) from v b where abs(a."row" - b."row") + abs(a.col - b.col) = 1) = 4""")
+def eroded_mask(spark, sf):
+    return rasters.eroded(_layers(spark, sf).select("row", "col").distinct(), 1)
 
 
-@query(f"""with {_LAYERS}, v as (select distinct "row", col from layers where col > 20 and "row" > 7) select "row" - min("row") over () as "row", col - min(col) over () as col from v""", "frame % 10 = 0")
-def cropped_cells(spark, sf, cut):
-    return rasters.cropped(_layers(spark, sf, cut).select("row", "col").distinct().where("col > 20 and row > 7"))
+@query(f"""with {_LAYERS}, v as (select distinct "row", col from layers where col > 20 and "row" > 7) select "row" - min("row") over () as "row", col - min(col) over () as col from v""")
+def cropped_cells(spark, sf):
+    return rasters.cropped(_layers(spark, sf).select("row", "col").distinct().where("col > 20 and row > 7"))
 
 
 @query("""select (r * 4 + c)::bigint as tile, (c * 300)::bigint as x, (r * 300)::bigint as y, least(428, 1000 - c * 300)::bigint as w, least(428, 700 - r * 300)::bigint as h from range(0, 3) t(r), range(0, 4) u(c)""")
@@ -592,23 +630,28 @@ def _heights(spark, sf):
     return plans.detections(spark, sf).groupBy(F.col("y1").cast("long").alias("row"), F.col("x1").cast("long").alias("col")).agg(F.max(F.col("row_id") % 50 * 1.0).alias("z"))
 
 
-@query(f"""with {_HEIGHTS}, p as (select row_id, x1 + 0.3 as px, y1 + (row_id % 9) * 0.1 as py from det where frame % 20 = 0),
+@query(f"""with {_HEIGHTS}, p as (select row_id, x1 + 0.3 as px, y1 + (row_id % 9) * 0.1 as py from det),
   q as (select p.*, px - floor(px) as tx, py - floor(py) as ty, a.z as z0, b.z as z1, c.z as z2, d.z as z3 from p left join h a on a."row" = floor(py) and a.col = floor(px) left join h b on b."row" = floor(py) and b.col = floor(px) + 1 left join h c on c."row" = floor(py) + 1 and c.col = floor(px) left join h d on d."row" = floor(py) + 1 and d.col = floor(px) + 1)
-select row_id, round(case when tx + ty <= 1 then z0 + tx * (z1 - z0) + ty * (z2 - z0) else z3 + (1 - tx) * (z2 - z3) + (1 - ty) * (z1 - z3) end, 4) as z from q""", "frame % 20 = 0")
-def sampled_heights(spark, sf, cut):
-    p = plans.detections(spark, sf).where(cut).selectExpr("row_id", "x1 + 0.3 as px", "y1 + (row_id % 9) * 0.1 as py")
+select row_id, round(case when tx + ty <= 1 then z0 + tx * (z1 - z0) + ty * (z2 - z0) else z3 + (1 - tx) * (z2 - z3) + (1 - ty) * (z1 - z3) end, 4) as z from q""")
+def sampled_heights(spark, sf):
+    p = plans.detections(spark, sf).selectExpr("row_id", "x1 + 0.3 as px", "y1 + (row_id % 9) * 0.1 as py")
     return rasters.sampled(_heights(spark, sf), p, 1.0).select("row_id", F.round("z", 4).alias("z"))
 
 
-@query(f"""with {_HEIGHTS} select count(*) * 2 as faces, count(*) as cells from h where "row" < 49 and col < 99""")
+@query(f"""with {_HEIGHTS}, i as (select "row" * 100 + col as i from h where "row" < 49 and col < 99) select i as a, i + 100 as b, i + 1 as c from i union all select i + 1, i + 100, i + 101 from i""")
 def terrain_mesh(spark, sf):
-    _, faces = rasters.heightfield_mesh(_heights(spark, sf), 100, 50, 1.0)
-    return faces.agg(F.count("*").alias("faces"), (F.count("*") / 2).cast("long").alias("cells"))
+    return rasters.heightfield_mesh(_heights(spark, sf), 100, 50, 1.0)[1]
+
 
+@query(f"""with {_HEIGHTS} select "row" * 100 + col as v, col * 1.0e0 as x, (49 - "row") * 1.0e0 as y, z from h""")
+def terrain_vertices(spark, sf):
+    return rasters.heightfield_mesh(_heights(spark, sf), 100, 50, 1.0)[0]
 
-@query("""select flight_id, round(count(*) * 0.25e0, 4) as area from (select distinct flight_id, c, r from (select flight_id, x1, y1, x2, y2 from det where frame % 100 = 0) b, range(0, 260) t(c), range(0, 160) u(r) where (c + 0.5) * 0.5 between x1 and x2 and (r + 0.5) * 0.5 between y1 and y2) group by 1""", "frame % 100 = 0")
-def union_areas(spark, sf, cut):
-    d = plans.detections(spark, sf).where(cut).withColumn("ring", F.slice(boxes.ring(boxes.box()), 1, 4))
+
+@query("""with k as (select *, unnest(range(floor(x1 / 0.5)::bigint, floor(x2 / 0.5)::bigint + 1)) as c from det), r as (select *, unnest(range(floor(y1 / 0.5)::bigint, floor(y2 / 0.5)::bigint + 1)) as r from k)
+select flight_id, round(count(*) * 0.25e0, 4) as area from (select distinct flight_id, c, r from r where (c + 0.5) * 0.5 between x1 and x2 and (r + 0.5) * 0.5 between y1 and y2) group by 1""")
+def union_areas(spark, sf):
+    d = plans.detections(spark, sf).withColumn("ring", F.slice(boxes.ring(boxes.box()), 1, 4))
     return rasters.union_area(d, "flight_id", 0.5).select("flight_id", F.round("area", 4).alias("area"))
 
 
@@ -656,33 +699,47 @@ def clock_offsets(spark, sf):
     return clocks.clock_offset(t.withColumn("t", F.col("t") - 0.3), t)
 
 
-@query("""with f as (select flight_id % 4 as file_no, id, frame * 100 as start_ms, frame * 100 + 90 as end_ms from tele where flight_id < 4), e as (select file_no, max(end_ms) as e, count(*) as n from f group by 1),
+@query("""with f as (select flight_id % 4 as file_no, id, frame * 100 as start_ms, frame * 100 + 90 as end_ms from tele), e as (select file_no, max(end_ms) as e, count(*) as n from f group by 1),
   b as (select file_no, coalesce(sum(e) over w, 0) as base, coalesce(sum(n) over w, 0) as first from e window w as (order by file_no rows between unbounded preceding and 1 preceding))
-select f.file_no, (first + row_number() over (partition by f.file_no order by start_ms, f.id) - 1)::bigint as id, (start_ms + base)::bigint as start_ms, (end_ms + base)::bigint as end_ms from f join b using (file_no)""", "flight_id < 4")
-def merged_subtitles(spark, sf, cut):
-    t = plans.telemetry(spark, sf).where(cut)
+select f.file_no, (first + row_number() over (partition by f.file_no order by start_ms, f.id) - 1)::bigint as id, (start_ms + base)::bigint as start_ms, (end_ms + base)::bigint as end_ms from f join b using (file_no)""")
+def merged_subtitles(spark, sf):
+    t = plans.telemetry(spark, sf)
     return paths.concatenated(t.select((F.col("flight_id") % 4).alias("file_no"), "id", (F.col("frame") * 100).alias("start_ms"), (F.col("frame") * 100 + 90).alias("end_ms"))).select("file_no", "id", "start_ms", "end_ms")
 
 
-@query("""with p as (select flight_id, frame, x as east, y as north, 30 + z as up, 0.0 as tilt, 0.0 as heading from route where frame < 40), b as (select flight_id, frame, row_id, x1, y1, x2, y2 from det where frame < 40)
-select b.flight_id, b.frame, row_id, round(east + (2 * x1 / 512 - 1) * tan(radians(25)) * up, 3) as min_x, round(north + (1 - 2 * y2 / 512) * tan(radians(25)) * up, 3) as min_y from b left join p using (flight_id, frame)""", "frame < 40")
-def boxes_on_ground(spark, sf, cut):
-    p = plans.routes(spark, sf).where(cut).selectExpr("flight_id", "frame", "x as east", "y as north", "30 + z as up", "0.0D as tilt", "0.0D as heading")
-    b = plans.detections(spark, sf).where(cut)
-    return terrain.boxes_to_ground(b, p, 50.0, 512.0, 512.0).select("flight_id", "frame", "row_id", *[F.round(c, 3).alias(c) for c in ("min_x", "min_y")])
+_CAST = """p as (select flight_id, frame, x as east, y as north, 30 + z as up, radians(frame % 40) as t, radians(frame * 17 % 360) as h, tan(radians(25)) as k from route),
+  q as (select p.*, {cols}, (2 * px / 512 - 1) * k as a, (1 - 2 * py / 512) * k as c from {rows}),
+  r as (select *, sin(t) * sin(h) + a * cos(h) + c * cos(t) * sin(h) as d0, sin(t) * cos(h) - a * sin(h) + c * cos(t) * cos(h) as d1, -cos(t) + c * sin(t) as d2 from q),
+  g as (select *, case when d2 < 0 then east - up / d2 * d0 end as gx, case when d2 < 0 then north - up / d2 * d1 end as gy from r)"""
+
+
+def _tilted(spark, sf):
+    return plans.routes(spark, sf).selectExpr("flight_id", "frame", "x as east", "y as north", "30 + z as up", "cast(frame % 40 as double) as tilt", "cast(frame * 17 % 360 as double) as heading")
 
 
-@query("""select flight_id, frame, round(power(2 * (30 + z) * tan(radians(25)) * 511 / 512, 2), 3) as area from route where frame < 10""", "frame < 10")
-def frame_footprints(spark, sf, cut):
-    p = plans.routes(spark, sf).where(cut).selectExpr("flight_id", "frame", "x as east", "y as north", "30 + z as up", "0.0D as tilt", "0.0D as heading")
-    return terrain.footprints(p, 50.0, 512.0, 512.0).select("flight_id", "frame", F.round(boxes.ring_area(F.col("ring")), 3).alias("area"))
+@query(f"""with b as (select flight_id, frame, row_id, unnest([x1, x2, x2, x1]) as px, unnest([y1, y1, y2, y2]) as py from det), {_CAST.format(cols="b.row_id, b.px, b.py", rows="b left join p using (flight_id, frame)").replace("select p.*, b.row_id", "select b.flight_id, b.frame, east, north, up, t, h, k, b.row_id")}
+select flight_id, frame, row_id, round(min(gx), 3) as min_x, round(min(gy), 3) as min_y, round(max(gx), 3) as max_x, round(max(gy), 3) as max_y from g group by 1, 2, 3""")
+def boxes_on_ground(spark, sf):
+    b = plans.detections(spark, sf)
+    return terrain.boxes_to_ground(b, _tilted(spark, sf), 50.0, 512.0, 512.0).select("flight_id", "frame", "row_id", *[F.round(c, 3).alias(c) for c in ("min_x", "min_y", "max_x", "max_y")])
 
 
-@query("select count(*) as hits from det where frame % 200 = 0", "frame % 200 = 0")
-def terrain_hits(spark, sf, cut):
-    """Every ray straight down over the terrain meets it."""
-    d = plans.detections(spark, sf).where(cut).selectExpr("row_id", "256.0D as px", "256.0D as py", "x1 + 10 as east", "y1 + 10 as north", "100.0D as up", "0.0D as tilt", "0.0D as heading")
-    return terrain.pixels_to_terrain(d, terrain.terrain(), 2.5, 50.0, 512.0, 512.0).agg(F.count("gz").alias("hits"))
+@query(f"""with e as (select unnest([0, 511, 511, 0]) as px, unnest([0, 0, 511, 511]) as py, unnest([1, 2, 3, 4]) as corner), {_CAST.format(cols="px, py, corner", rows="p, e")}
+select flight_id, frame, round(max(gx) filter (corner = 1), 3) as x1, round(max(gy) filter (corner = 1), 3) as y1, round(max(gx) filter (corner = 3), 3) as x3, round(max(gy) filter (corner = 3), 3) as y3, count(gx) as corners from g group by 1, 2""")
+def frame_footprints(spark, sf):
+    ring = terrain.footprints(_tilted(spark, sf), 50.0, 512.0, 512.0).where(F.size("ring") == 4)
+    at = lambda k, c: F.round(F.col("ring")[k][c], 3)
+    return ring.select("flight_id", "frame", at(0, "x").alias("x1"), at(0, "y").alias("y1"), at(2, "x").alias("x3"), at(2, "y").alias("y3"), F.size("ring").cast("long").alias("corners"))
+
+
+@query(f"""with {_HEIGHTS}, p as (select row_id, x1 + 0.3 as px, y1 + 0.05 + (row_id % 9) * 0.1 as py from det),
+  q as (select p.*, px - floor(px) as tx, py - floor(py) as ty, a.z as z0, b.z as z1, c.z as z2, d.z as z3 from p left join h a on a."row" = floor(py) and a.col = floor(px) left join h b on b."row" = floor(py) and b.col = floor(px) + 1 left join h c on c."row" = floor(py) + 1 and c.col = floor(px) left join h d on d."row" = floor(py) + 1 and d.col = floor(px) + 1)
+select * from (select row_id, round(px, 4) as gx, round(49 - py, 4) as gy, round(case when tx + ty <= 1 then z0 + tx * (z1 - z0) + ty * (z2 - z0) else z3 + (1 - tx) * (z2 - z3) + (1 - ty) * (z1 - z3) end, 4) as gz from q) where gz is not null""")
+def terrain_hits(spark, sf):
+    """Where rays straight down meet a heightfield."""
+    d = plans.detections(spark, sf).selectExpr("row_id", "256.0D as px", "256.0D as py", "x1 + 0.3 as east", "49 - (y1 + 0.05 + (row_id % 9) * 0.1) as north", "100.0D as up", "0.0D as tilt", "0.0D as heading")
+    out = terrain.pixels_to_heights(d, _heights(spark, sf), 50, 1.0, 50.0, 512.0, 512.0)
+    return out.where("gz is not null").select("row_id", *r4("gx", "gy", "gz"))
 
 
 @query("""select event_id, json_extract_string(props, '$.k')::bigint as k, round(epoch(ts), 3) as epoch from events""")
@@ -705,3 +762,110 @@ def class_rollup(spark, sf):
 @query("""select flight_id, date_trunc('hour', ts)::varchar as start, count(*) as n, round(sum(alt), 3) as total from tele group by all""")
 def hourly_windows(spark, sf):
     return plans.telemetry(spark, sf).groupBy("flight_id", F.window(F.col("ts").cast("timestamp"), "1 hour").alias("w")).agg(F.count("*").alias("n"), F.round(F.sum("alt"), 3).alias("total")).select("flight_id", F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n", "total")
+
+
+# ------------------------------------------- unions, poses, gaps, contours
+
+
+@query("""with k as (select *, unnest(range(round(x1 * 5)::bigint, round(x2 * 5)::bigint)) as c from det), r as (select flight_id, c, unnest(range(round(y1 * 10)::bigint, round(y2 * 10)::bigint)) as r from k)
+select flight_id, round(count(*) / 50.0e0, 4) as area from (select distinct flight_id, c, r from r) group by 1""")
+def footprint_unions(spark, sf):
+    """Exact areas; the SQL counts cells of the grid that all corners lie on."""
+    d = plans.detections(spark, sf).withColumn("ring", F.slice(boxes.ring(boxes.box()), 1, 4))
+    return rasters.union_area_exact(d, "flight_id", 1.0).select("flight_id", F.round("area", 4).alias("area"))
+
+
+@query(f"""with {_UTM} select id, round(east - 425405.337, 2) as east, round(north - 5316784.018, 2) as north, round(alt - 300, 4) as up, round(pitch + 90, 4) as tilt, round(heading, 4) as heading from utm""")
+def log_poses(spark, sf):
+    lat, lon = geodesy.from_utm(F.lit(425405.337), F.lit(5316784.018), EPSG)
+    lat, lon = spark.range(1).select(lat, lon).first()
+    t = plans.telemetry(spark, sf).withColumn("gimbal_pitch", F.col("pitch")).withColumn("gimbal_heading", F.col("heading")).withColumn("compass_heading", F.lit(0.0))
+    p = georeference.pose_rows(t, {"lat": lat, "lon": lon, "alt": 300.0}, EPSG, 50.0)
+    return p.select("id", F.round("east", 2).alias("east"), F.round("north", 2).alias("north"), *r4("up", "tilt", "heading"))
+
+
+@query("""select id, floor(epoch(ts) - 5400)::bigint as utc from tele""")
+def photo_times(spark, sf):
+    t = plans.telemetry(spark, sf).withColumn("ts", F.col("ts").cast("timestamp"))
+    return t.select("id", F.floor(F.unix_micros(georeference.photo_time(F.col("ts"), F.lit(None).cast("timestamp"), 1.5)) / 1e6).cast("long").alias("utc"))
+
+
+@query("""with r as (select flight_id, frame, case when id % 3 > 0 then alt end as v from tele), k as (select *, row_number() over (partition by flight_id order by frame) as i from r where v is not null), n as (select *, count(*) over (partition by flight_id) as n, lead(frame) over (partition by flight_id order by frame) as f2, lead(v) over (partition by flight_id order by frame) as v2 from k)
+select r.flight_id, r.frame, round(coalesce(r.v, n.v + (n.v2 - n.v) * (r.frame - n.frame) / (n.f2 - n.frame)), 3) as alt from r left join n on r.v is null and r.flight_id = n.flight_id and n.f2 is not null and (r.frame > n.frame or n.i = 1) and (r.frame < n.f2 or n.i = n.n - 1)""")
+def heights_without_gaps(spark, sf):
+    t = plans.telemetry(spark, sf).select("flight_id", "frame", F.when(F.col("id") % 3 > 0, F.col("alt")).alias("alt"))
+    return georeference.filled_by_place(t, ["alt"]).select("flight_id", "frame", F.round("alt", 3).alias("alt"))
+
+
+@query("""with c as (select row_id, trunc((x1 + x2) / 2) as cx, trunc((y1 + y2) / 2) as cy, unnest([struct_pack(x := x2, y := y1, i := 0), struct_pack(x := x1, y := y1, i := 1), struct_pack(x := x1, y := y2, i := 2), struct_pack(x := x2, y := y2, i := 3)]) as p from det)
+select row_id, string_agg(p.i::varchar, '' order by round(atan2(p.y - cy, p.x - cx), 9), p.i) as corners from c group by 1""")
+def contour_order(spark, sf):
+    d = plans.detections(spark, sf)
+    at = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
+    ring = F.array(at("x2", "y1"), at("x1", "y1"), at("x1", "y2"), at("x2", "y2"))
+    name = lambda p: F.when((p["x"] == F.col("x2")) & (p["y"] == F.col("y1")), "0").when(p["y"] == F.col("y1"), "1").when(p["x"] == F.col("x1"), "2").otherwise("3")
+    return d.select("row_id", F.array_join(F.transform(georeference.clockwise(ring), name), "").alias("corners"))
+
+
+@query("""select flight_id, frame from det where class_id = 0 intersect select flight_id, frame from det where class_id = 1""")
+def frames_of_both_classes(spark, sf):
+    d = plans.detections(spark, sf)
+    return d.where("class_id = 0").select("flight_id", "frame").intersect(d.where("class_id = 1").select("flight_id", "frame"))
+
+
+@query("""select flight_id, class_id from det except all select flight_id, class_id from det where confidence >= 0.7""")
+def classes_left(spark, sf):
+    d = plans.detections(spark, sf)
+    return d.select("flight_id", "class_id").exceptAll(d.where("confidence >= 0.7").select("flight_id", "class_id"))
+
+
+@query("""select flight_id, class_id, count(*) as n, grouping(flight_id) * 2 + grouping(class_id) as level from det group by cube (flight_id, class_id)""")
+def class_cube(spark, sf):
+    return plans.detections(spark, sf).cube("flight_id", "class_id").agg(F.count("*").alias("n"), F.grouping_id().alias("level"))
+
+
+@query("""select id, ntile(4) over (partition by flight_id order by alt, id) as quarter, round(percent_rank() over (partition by flight_id order by alt), 6) as rank from tele""")
+def height_quarters(spark, sf):
+    t, w = plans.telemetry(spark, sf), Window.partitionBy("flight_id")
+    return t.select("id", F.ntile(4).over(w.orderBy("alt", "id")).alias("quarter"), F.round(F.percent_rank().over(w.orderBy("alt")), 6).alias("rank"))
+
+
+@query(f"""with {_MOD}, a1 as (select frame, min(cx) as ax, min(cy) as ay from ma group by 1 having count(*) = 1), b1 as (select frame, min(cx) as bx, min(cy) as bya from mb group by 1 having count(*) = 1)
+select round(sqrt(avg(power(0.9 * ax + 0.1 * ay + 2 - bx, 2) + power(-0.1 * ax + 0.9 * ay - 1 - bya, 2))), 6) as rmse from a1 join b1 using (frame)""")
+def map_error(spark, sf):
+    a, b = _modalities(spark, sf)
+    pairs = a.select(F.col("frame").alias("frame_a"), F.col("frame").alias("frame_b")).distinct()
+    return tracks.rmse(tracks.seed_pairs(a, b, pairs), (0.9, 0.1, -0.1, 0.9, 2.0, -1.0)).select(F.round("rmse", 6).alias("rmse"))
+
+
+@query(f"""with {_STRATA} select stratum, count(*) as n_transects, sum("count")::bigint as total_count, round(sum(area_ha)::double, 4) as total_ha, round(sum("count") / sum(area_ha) * 100, 4) as naive, round(sum("count") / sum(area_ha) * 250, 4) as animals from strata group by 1""")
+def population_naive(spark, sf):
+    p = estimators.population(_strata(spark, sf), ("naive",), 250.0)
+    return p.select("stratum", "n_transects", "total_count", F.round(F.col("total_ha").cast("double"), 4).alias("total_ha"), F.round("naive", 4).alias("naive"), F.round("naive_animals", 4).alias("animals"))
+
+
+@query("""with f as (select flight_id, frame, row_number() over (partition by flight_id order by is_video, frame) - 1 as i from tele) select flight_id, frame, i as "index" from f where i >= 2 and (i - 2) % 3 = 0 and i - 2 < 30""")
+def sampled_videos(spark, sf):
+    f = georeference.global_index(plans.telemetry(spark, sf).select("flight_id", "frame", F.col("is_video").alias("video")))
+    return georeference.sampled_index(f, 2, 3, 10).select("flight_id", "frame", F.col("index").cast("long").alias("index"))
+
+
+@query("""select frame, flight_id, count(*) as boxes, min(row_id) as first from det group by all""")
+def frames_with_boxes(spark, sf):
+    d = plans.detections(spark, sf)
+    frames = d.select("flight_id", "frame").distinct().unionByName(spark.createDataFrame([(-1, -1)], "flight_id long, frame long"))
+    out = georeference.with_boxes(frames, d.select("flight_id", "frame", "row_id", "x1"))
+    return out.select("flight_id", "frame", F.size("boxes").cast("long").alias("boxes"), F.col("boxes")[0]["row_id"].alias("first"))
+
+
+@query(f"""with {_RANGES} select t.flight_id, t.frame, round(coalesce((select r.tx from ranges r where r.flight_id = t.flight_id and t.frame > r.s and (r.e is null or t.frame < r.e) order by ord desc limit 1), -1.0e0), 2) as tx from tele t""")
+def corrections_last_inside(spark, sf):
+    t = plans.telemetry(spark, sf)
+    r = t.select("flight_id").distinct().withColumn("ord", F.explode(F.sequence(F.lit(0), F.lit(3)))).withColumn("start_frame", F.col("ord") * 15 + F.col("flight_id") % 7)
+    r = r.withColumn("end_frame", F.when(F.col("ord") < 3, F.col("start_frame") + 20)).withColumn("tx", F.col("ord") * 0.5)
+    return georeference.last_inside(t.select("flight_id", "frame"), r, ["tx"], {"tx": -1.0}).select("flight_id", "frame", F.round("tx", 2).alias("tx"))
+
+
+@query()
+def tracker_each(spark, sf):
+    return tracking.track_each(_tracks(spark, sf), least=0.3)

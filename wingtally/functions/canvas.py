@@ -48,15 +48,15 @@ def sensors(spark: SparkSession, rows: list[tuple[str, str, int, int]]) -> DataF
 
 
 def undistorted(points: np.ndarray, matrix: np.ndarray, lens: np.ndarray, new: np.ndarray | None = None, rounds: int = 20) -> np.ndarray:
-    """Pixels without the lens's distortion (k1, k2, p1, p2, k3), by fixed-point iteration, under the new matrix."""
-    k1, k2, p1, p2, k3 = (*lens, 0, 0, 0, 0, 0)[:5]
+    """Pixels without the lens's distortion (k1, k2, p1, p2, k3, k4, k5, k6), by fixed-point iteration, under the new matrix."""
+    k1, k2, p1, p2, k3, k4, k5, k6 = (*lens, *[0] * 8)[:8]
     new = matrix if new is None else new
     d = (points - matrix[:2, 2]) / matrix[[0, 1], [0, 1]]
     u = d.copy()
     for _ in range(rounds):
         x, y = u[:, 0], u[:, 1]
         r = x * x + y * y
-        radial = 1 + r * (k1 + r * (k2 + r * k3))
+        radial = (1 + r * (k1 + r * (k2 + r * k3))) / (1 + r * (k4 + r * (k5 + r * k6)))
         u = (d - np.stack([2 * p1 * x * y + p2 * (r + 2 * x * x), p1 * (r + 2 * y * y) + 2 * p2 * x * y], 1)) / radial[:, None]
     return u * new[[0, 1], [0, 1]] + new[:2, 2]
 
@@ -71,3 +71,42 @@ def undistort_boxes(boxes: DataFrame, matrix: np.ndarray, lens: np.ndarray, new:
             yield pdf.assign(x1=low[:, 0], y1=low[:, 1], x2=high[:, 0], y2=high[:, 1])
 
     return boxes.mapInPandas(run, boxes.schema)
+
+
+def _grid_extents(matrix: np.ndarray, lens: np.ndarray, size: tuple[int, int], n: int = 9) -> tuple[tuple, tuple]:
+    """(x1, y1, x2, y2) of the largest box inside the undistorted picture and of the least box around it, from n x n points."""
+    x, y = np.meshgrid(np.arange(n) * (size[0] - 1) / (n - 1), np.arange(n) * (size[1] - 1) / (n - 1))
+    p = undistorted(np.stack([x.ravel(), y.ravel()], 1), matrix, lens).reshape(n, n, 2)
+    u, v = p[:, :, 0], p[:, :, 1]
+    return (u[:, 0].max(), v[0].max(), u[:, -1].min(), v[-1].min()), (u.min(), v.min(), u.max(), v.max())
+
+
+def new_matrix(matrix: np.ndarray, lens: np.ndarray, size: tuple[int, int], new_size: tuple[int, int], alpha: float = 0.5, one_focus: bool = True) -> np.ndarray:
+    """The matrix of undistorted pictures of new_size with the principal point in the middle: between the scale that shows only
+    pixels of the source (alpha 0) and that which shows all of them (alpha 1); with one_focus both focal lengths are the larger."""
+    inner, outer = _grid_extents(matrix, lens, size)
+    cx0, cy0 = matrix[0, 2], matrix[1, 2]
+    cx, cy = (new_size[0] - 1) * 0.5, (new_size[1] - 1) * 0.5
+    ratios = lambda b: (cx / (cx0 - b[0]), cy / (cy0 - b[1]), cx / (b[2] - cx0), cy / (b[3] - cy0))
+    scale = max(ratios(inner)) * (1 - alpha) + min(ratios(outer)) * alpha
+    out = matrix.astype(float).copy()
+    out[0, 0], out[1, 1], out[0, 2], out[1, 2] = out[0, 0] * scale, out[1, 1] * scale, cx, cy
+    if one_focus:
+        out[0, 0] = out[1, 1] = max(out[0, 0], out[1, 1])
+    return out
+
+
+def fovy_of(matrix: np.ndarray, height: float) -> float:
+    """Vertical angle of view in degrees."""
+    return math.degrees(2 * math.atan(height / (2 * matrix[1, 1])))
+
+
+def undistort_points(points: DataFrame, matrix: np.ndarray, lens: np.ndarray, new: np.ndarray | None = None, x: str = "x", y: str = "y") -> DataFrame:
+    """points with x and y freed from distortion, in Arrow batches."""
+
+    def run(batches):
+        for pdf in batches:
+            p = undistorted(pdf[[x, y]].to_numpy(float), matrix, lens, new)
+            yield pdf.assign(**{x: p[:, 0], y: p[:, 1]})
+
+    return points.mapInPandas(run, points.withColumn(x, F.col(x).cast("double")).withColumn(y, F.col(y).cast("double")).schema)

@@ -113,3 +113,29 @@ class Tracker:
         self.boxes, self.classes = np.r_[self.boxes[keep], found[new]], np.r_[self.classes[keep], classes[new]]
         self.ids, self.ages = np.r_[self.ids[keep], out[new]], np.r_[self.ages[keep], np.zeros(len(new), int)]
         return out
+
+
+class Nearest:
+    """Boxes of one flight, one after the other: each goes to the open track whose last box it overlaps most (`least` or more), or, by centres, is
+    nearest to (under `reach`), or opens a track. A track is open for `offset` frames after its last box, and may take several boxes of a frame; among equal overlaps the first track wins, among equal distances the last."""
+
+    def __init__(self, centres: bool = False, least: float = 0.6, reach: float = 5.0, offset: int = 5):
+        self.centres, self.least, self.reach, self.offset = centres, least, reach, offset
+        self.boxes, self.frames = np.zeros((0, 4)), np.zeros(0, int)
+
+    def take(self, frame: int, box: np.ndarray) -> int:
+        near = np.flatnonzero(np.abs(frame - self.frames) <= self.offset)
+        best = None
+        if len(near) and self.centres:
+            mid = (self.boxes[near, :2] + self.boxes[near, 2:]) / 2 - (box[:2] + box[2:]) / 2
+            d = np.hypot(mid[:, 0], mid[:, 1])
+            best = near[len(d) - 1 - int(d[::-1].argmin())] if d.min() < self.reach else None
+        elif len(near):
+            v = iou_matrix(box[None], self.boxes[near])[0]
+            best = near[int(v.argmax())] if v.max() >= self.least and v.max() > 0 else None
+        if best is None:
+            self.boxes, self.frames = np.r_[self.boxes, box[None]], np.r_[self.frames, frame]
+            return len(self.frames)
+        if frame >= self.frames[best]:
+            self.boxes[best], self.frames[best] = box, frame
+        return int(best) + 1

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .estimators import simplex
+from .joins import asof_nearest
 
 
 def unique_matches(photos: DataFrame, log: DataFrame, most: float, key: str = "flight_id") -> DataFrame:
@@ -32,15 +33,22 @@ def unique_matches(photos: DataFrame, log: DataFrame, most: float, key: str = "f
 
 
 def nearest_row(rows: DataFrame, times: DataFrame, most: float, key: str = "flight_id") -> DataFrame:
-    """For each time (key, at), the id of the row (key, id, t) nearest to it within `most`."""
-    j = times.join(rows, key).withColumn("_d", F.abs(F.col("t") - F.col("at"))).where(F.col("_d") <= most)
-    return j.groupBy(key, "at").agg(F.min_by("id", F.struct("_d", "t", "id")).alias("id"))
+    """For each time (key, at), the id of the row (key, id, t) nearest to it within `most`; the earlier on ties, then the smaller id. One sort of both by key and time."""
+    r = rows.groupBy(key, F.col("t").alias("at")).agg(F.min("id").alias("id")).withColumn("row_id", F.col("id"))
+    return asof_nearest(times.select(key, "at"), r, key, "at", most, ["id"]).where("near_id is not null").select(key, "at", F.col("near_id").alias("id"))
 
 
-def index_ranges(rows: DataFrame, ranges: DataFrame, key: str = "flight_id") -> DataFrame:
-    """Time ranges (key, range_id, low, high) as first and last frame in them."""
-    j = ranges.join(rows.select(key, "frame", "t"), key).where(F.col("t").between(F.col("low"), F.col("high")))
-    return j.groupBy(key, "range_id").agg(F.min("frame").alias("start_frame"), F.max("frame").alias("end_frame"))
+def index_ranges(rows: DataFrame, ranges: DataFrame, key: str = "flight_id", width: float = 3600.0) -> DataFrame:
+    """Time ranges (key, range_id, low, high) as first and last frame in them.
+
+    Time is cut into cells of `width` seconds: a range takes sums of the cells that it holds whole, and meets rows in the cells of its ends alone."""
+    cell = lambda c: F.floor(F.col(c) / width)
+    r = rows.where("t is not null").select(key, "frame", "t", cell("t").alias("_c"))
+    whole = r.groupBy(key, "_c").agg(F.min("frame").alias("a"), F.max("frame").alias("z"))
+    g = ranges.where("low <= high").select(key, "range_id", "low", "high", cell("low").alias("_l"), cell("high").alias("_h"))
+    inner = g.where(F.col("_h") - F.col("_l") > 1).select(key, "range_id", F.explode(F.sequence(F.col("_l") + 1, F.col("_h") - 1)).alias("_c")).join(whole, [key, "_c"]).select(key, "range_id", "a", "z")
+    ends = g.select("*", F.explode(F.array_distinct(F.array("_l", "_h"))).alias("_c")).join(r, [key, "_c"]).where(F.col("t").between(F.col("low"), F.col("high"))).select(key, "range_id", F.col("frame").alias("a"), F.col("frame").alias("z"))
+    return inner.unionByName(ends).groupBy(key, "range_id").agg(F.min("a").alias("start_frame"), F.max("z").alias("end_frame"))
 
 
 def clock_offset(a: DataFrame, b: DataFrame, key: str = "flight_id") -> DataFrame:
@@ -66,9 +74,14 @@ def clock_offset(a: DataFrame, b: DataFrame, key: str = "flight_id") -> DataFram
 
 
 def at_times(telemetry: DataFrame, times: DataFrame, column: str, key: str = "flight_id") -> DataFrame:
-    """times (key, at) with the column's linear value there; before the first and after the last row, the end pair's line goes on."""
+    """times (key, at) with the column's linear value there; before the first and after the last row, the end pair's line goes on. One sort of both by key and time; flights of fewer than two rows give nothing."""
     w = Window.partitionBy(key).orderBy("t")
     s = telemetry.select(key, "t", F.col(column).alias("v"))
-    s = s.withColumn("t2", F.lead("t").over(w)).withColumn("v2", F.lead("v").over(w)).withColumn("_i", F.row_number().over(w)).withColumn("_n", F.count("*").over(Window.partitionBy(key))).where("t2 is not null")
-    j = times.join(s, key).where(((F.col("at") >= F.col("t")) | (F.col("_i") == 1)) & ((F.col("at") < F.col("t2")) | (F.col("_i") == F.col("_n") - 1)))
+    s = s.withColumn("t2", F.lead("t").over(w)).withColumn("v2", F.lead("v").over(w)).withColumn("t0", F.lag("t").over(w)).withColumn("v0", F.lag("v").over(w))
+    line = F.when(F.col("t2").isNotNull(), F.struct("t", "v", "t2", "v2")).when(F.col("t0").isNotNull(), F.struct(F.col("t0").alias("t"), F.col("v0").alias("v"), F.col("t").alias("t2"), F.col("v").alias("v2")))
+    s = s.select(key, F.col("t").alias("_t"), line.alias("_s"), F.lit(0).alias("_side"))
+    both = times.select(key, "at").withColumn("_t", F.col("at")).withColumn("_side", F.lit(1)).unionByName(s, allowMissingColumns=True)
+    down = Window.partitionBy(key).orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    up = Window.partitionBy(key).orderBy(F.desc("_t"), F.desc("_side")).rowsBetween(Window.unboundedPreceding, 0)
+    j = both.withColumn("_l", F.coalesce(F.last("_s", True).over(down), F.last("_s", True).over(up))).where("_side = 1 and _l is not null").select(key, "at", "_l.*")
     return j.select(key, "at", (F.col("v") + (F.col("v2") - F.col("v")) * (F.col("at") - F.col("t")) / F.nullif(F.col("t2") - F.col("t"), F.lit(0.0))).alias(column))

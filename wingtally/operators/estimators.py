@@ -179,3 +179,17 @@ def zinb(transects: DataFrame, key: str = "stratum") -> DataFrame:
         return pd.DataFrame([(pdf[key].iloc[0], total(best), se, None)], columns=cols)
 
     return transects.groupBy(key).applyInPandas(run, f"{key} {dict(transects.dtypes)[key]}, density double, se double, error string")
+
+
+def population(transects: DataFrame, methods: tuple[str, ...] = ("naive", "bootstrap", "zinb"), study_ha: float = 0.0, n_boot: int = 999, seed: int = 42, key: str = "stratum") -> DataFrame:
+    """Per stratum its transects, counts and areas, and the density of each method asked for; with a study area above 0 also the animals in it, and their interval where the method has one."""
+    out = transects.groupBy(key).agg(F.count("*").alias("n_transects"), F.sum("count").alias("total_count"), F.sum("area_ha").alias("total_ha"), F.sum((F.col("count") == 0).cast("long")).alias("n_zero"))
+    how = {"naive": lambda: naive(transects, key), "bootstrap": lambda: bootstrap(transects, n_boot, seed, key), "zinb": lambda: zinb(transects, key=key)}
+    for m in methods:
+        d = how[m]()
+        have = [c for c in ("density", "low", "high") if c in d.columns]
+        cols = [F.col(c).alias(m if c == "density" else f"{m}_{c}") for c in have]
+        if study_ha > 0:
+            cols += [(F.col(c) * study_ha / 100).alias(f"{m}_animals" + ("" if c == "density" else f"_{c}")) for c in have]
+        out = out.join(d.select(key, *cols), key, "left")
+    return out

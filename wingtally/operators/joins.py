@@ -48,8 +48,8 @@ def interval_first(rows: DataFrame, ranges: DataFrame, at: str, key: str, column
     return out.drop("_v")
 
 
-def overlap_join(a: DataFrame, b: DataFrame, cell: float, key: str | None = None) -> DataFrame:
-    """Pairs of boxes (a_id, b_id) that touch or overlap, by cells of a grid; a pair is made in the cell of its intersection's lower corner alone."""
+def overlap_join(a: DataFrame, b: DataFrame, cell: float, key: str | None = None, with_boxes: bool = False) -> DataFrame:
+    """Pairs of boxes (a_id, b_id; with_boxes also their corners) that touch or overlap, by cells of a grid; a pair is made in the cell of its intersection's lower corner alone."""
 
     def cells(d: DataFrame, p: str) -> DataFrame:
         d = d.select(*[key] * bool(key), F.col("id").alias(f"{p}_id"), *(F.col(c).alias(f"{p}_{c}") for c in ("x1", "y1", "x2", "y2")))
@@ -59,7 +59,7 @@ def overlap_join(a: DataFrame, b: DataFrame, cell: float, key: str | None = None
     both = cells(a, "a").join(cells(b, "b"), [*[key] * bool(key), "_cx", "_cy"])
     x, y = F.greatest("a_x1", "b_x1"), F.greatest("a_y1", "b_y1")
     ok = (F.col("a_x1") <= F.col("b_x2")) & (F.col("b_x1") <= F.col("a_x2")) & (F.col("a_y1") <= F.col("b_y2")) & (F.col("b_y1") <= F.col("a_y2"))
-    return both.where(ok & (F.floor(x / cell) == F.col("_cx")) & (F.floor(y / cell) == F.col("_cy"))).select(*[key] * bool(key), "a_id", "b_id")
+    return both.where(ok & (F.floor(x / cell) == F.col("_cx")) & (F.floor(y / cell) == F.col("_cy"))).select(*[key] * bool(key), "a_id", "b_id", *[f"{p}_{c}" for p in "ab" for c in ("x1", "y1", "x2", "y2")] * with_boxes)
 
 
 def segments(route: DataFrame, key: str = "flight_id") -> DataFrame:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -133,17 +135,17 @@ def heightfield_mesh(heights: DataFrame, width: int, height: int, cell: float, b
 
 
 def vertex_normals(vertices: DataFrame, faces: DataFrame) -> DataFrame:
-    """The unit mean of the normals of the faces at each vertex."""
+    """The unit mean of the normals of the faces at each vertex; faces without area have none, and a vertex of such faces alone gets 0."""
     f = faces
     for n in "abc":
         f = f.join(vertices.select(F.col("v").alias(n), F.struct("x", "y", "z").alias(f"p{n}")), n)
     u, v = ([F.col(f"p{n}.{k}") - F.col(f"pa.{k}") for k in "xyz"] for n in "bc")
     n = [u[1] * v[2] - u[2] * v[1], u[2] * v[0] - u[0] * v[2], u[0] * v[1] - u[1] * v[0]]
     size = F.sqrt(sum((k * k for k in n[1:]), n[0] * n[0]))
-    per = f.select(F.explode(F.array("a", "b", "c")).alias("v"), *[(k / size).alias(f"n{i}") for i, k in enumerate(n)])
+    per = f.select(F.explode(F.array("a", "b", "c")).alias("v"), *[(k / F.nullif(size, F.lit(0.0))).alias(f"n{i}") for i, k in enumerate(n)])
     s = per.groupBy("v").agg(*[F.sum(f"n{i}").alias(f"n{i}") for i in range(3)])
     size = F.sqrt(F.col("n0") * F.col("n0") + F.col("n1") * F.col("n1") + F.col("n2") * F.col("n2"))
-    return s.select("v", *[(F.col(f"n{i}") / size).alias(k) for i, k in enumerate(("nx", "ny", "nz"))])
+    return s.select("v", *[F.coalesce(F.col(f"n{i}") / F.nullif(size, F.lit(0.0)), F.lit(0.0)).alias(k) for i, k in enumerate(("nx", "ny", "nz"))])
 
 
 def union_area(rings: DataFrame, key: str, cell: float) -> DataFrame:
@@ -154,6 +156,63 @@ def union_area(rings: DataFrame, key: str, cell: float) -> DataFrame:
     return c.groupBy(key, "_c", "_r").agg(F.lit(1).alias("_1")).groupBy(key).agg((F.count("*") * cell * cell).alias("area"))
 
 
+def _area_between(edges: np.ndarray, owner: np.ndarray, low: float, high: float) -> float:
+    """Area between two heights of the union of rings, given by their edges (x1, y1, x2, y2).
+
+    Between two following heights of corners and crossings no edges cross, so the union's width there is linear and its middle gives the area."""
+    y1, y2 = np.minimum(edges[:, 1], edges[:, 3]), np.maximum(edges[:, 1], edges[:, 3])
+    use = (y2 > low) & (y1 < high) & (y1 < y2)
+    e, owner, y1, y2 = edges[use], owner[use], y1[use], y2[use]
+    if not len(e):
+        return 0.0
+    slope = (e[:, 2] - e[:, 0]) / (e[:, 3] - e[:, 1])
+    at = e[:, 0] - slope * e[:, 1]  # x = at + slope * y
+    heights = [y1, y2, np.array([low, high])]
+    by = np.argsort(y1)
+    for k, i in enumerate(by):  # crossings with edges that begin below this one's end
+        j = by[k + 1 : np.searchsorted(y1[by], y2[i])]
+        d = slope[i] - slope[j]
+        y = np.divide(at[j] - at[i], d, out=np.full(len(j), np.nan), where=np.abs(d) > 1e-15)
+        heights.append(y[(y > np.maximum(y1[i], y1[j])) & (y < np.minimum(y2[i], y2[j]))])
+    cuts = np.unique(np.clip(np.concatenate(heights), low, high))
+    total = 0.0
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        m = (a + b) / 2
+        live = np.flatnonzero((y1 < m) & (y2 > m))
+        if not len(live):
+            continue
+        x, o = at[live] + slope[live] * m, owner[live]
+        order = np.lexsort((x, o))
+        x, o = x[order], o[order]
+        place = np.arange(len(x)) - np.searchsorted(o, o)  # a ring's crossings pair up, from left to right
+        start, end = x[place % 2 == 0], x[place % 2 == 1]
+        if len(start) != len(end):
+            continue
+        order = np.argsort(start)
+        start, reach = start[order], np.maximum.accumulate(end[order])
+        free = np.r_[True, start[1:] > reach[:-1]]
+        last = np.r_[np.flatnonzero(free)[1:] - 1, len(start) - 1]
+        total += float((reach[last] - start[free]).sum()) * (b - a)
+    return total
+
+
+def union_area_exact(rings: DataFrame, key: str, strip: float) -> DataFrame:
+    """Exact area of the union of a key's rings (simple, of any shape; corners that are null are left out). Rings are dealt to strips of y of the given height, whose areas add up, so a key with many rings is many groups."""
+    ring = F.filter("ring", lambda p: p["x"].isNotNull() & p["y"].isNotNull())
+    e = rings.select(key, F.transform(ring, lambda p: F.struct(p["x"].cast("double").alias("x"), p["y"].cast("double").alias("y"))).alias("ring")).where(F.size("ring") > 2).withColumn("_e", boxes.extent(F.col("ring")))
+    s = e.select(key, "ring", F.explode(F.sequence(F.floor(F.col("_e.y1") / strip).cast("long"), F.floor(F.col("_e.y2") / strip).cast("long"))).alias("_s"))
+    xs, ys = F.transform("ring", lambda p: p["x"]), F.transform("ring", lambda p: p["y"])
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        parts = [np.stack([x, y, np.roll(x, -1), np.roll(y, -1)], 1) for x, y in zip(map(np.asarray, pdf["xs"]), map(np.asarray, pdf["ys"]), strict=True)]
+        i = int(pdf["_s"].iloc[0])
+        area = _area_between(np.concatenate(parts), np.repeat(np.arange(len(parts)), [len(x) for x in parts]), i * strip, (i + 1) * strip)
+        return pd.DataFrame({key: [pdf[key].iloc[0]], "a": [area]})
+
+    out = s.select(key, "_s", xs.alias("xs"), ys.alias("ys")).groupBy(key, "_s").applyInPandas(run, f"{key} {dict(rings.dtypes)[key]}, a double")
+    return out.groupBy(key).agg(F.sum("a").alias("area"))
+
+
 def ranked_top(rows: DataFrame, key: str, by: Column, n: int) -> DataFrame:
     """The first n rows of each key."""
     return rows.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(by))).where(F.col("_r") <= n).drop("_r")

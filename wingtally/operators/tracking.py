@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tracks
-from .assignment import Tracker, optimal
+from ..plans import cut
+from .assignment import Nearest, Tracker, optimal
 
 _BOX = ["x1", "y1", "x2", "y2"]
 
@@ -29,6 +30,18 @@ def track_boxes(detections: DataFrame, key: str = "flight_id", **how) -> DataFra
     return detections.select(key, "frame", "row_id", *_BOX, "class_id").groupBy(key).applyInPandas(run, f"{key} {kind[key]}, frame {kind['frame']}, row_id {kind['row_id']}, track_id long")
 
 
+def track_each(detections: DataFrame, key: str = "flight_id", **how) -> DataFrame:
+    """detections (key, frame, row_id, box) with the track_id that each box by itself gets; see Nearest for the settings. A flight is read in order in one task."""
+    kind = dict(detections.dtypes)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["frame", "row_id"]).reset_index(drop=True)
+        t = Nearest(**how)
+        return pdf[[key, "frame", "row_id"]].assign(track_id=[t.take(int(f), b) for f, b in zip(pdf["frame"], pdf[_BOX].to_numpy(float), strict=True)])
+
+    return detections.select(key, "frame", "row_id", *_BOX).groupBy(key).applyInPandas(run, f"{key} {kind[key]}, frame {kind['frame']}, row_id {kind['row_id']}, track_id long")
+
+
 def simplify(points: DataFrame, tolerance: float, keys: tuple[str, ...] = ("flight_id", "track_id")) -> DataFrame:
     """The rows (keys, frame, x, y) that Ramer, Douglas and Peucker keep of each track."""
 
@@ -71,6 +84,21 @@ def assign(cands: DataFrame, key: str = "flight_id") -> DataFrame:
     return ok.groupBy(key).applyInPandas(run, ok.limit(0).withColumn("accepted", F.lit(True)).schema)
 
 
+def candidate_groups(cands: DataFrame, rounds: int = 40) -> DataFrame:
+    """candidates with `group`: the least track_t that a chain of candidates reaches. Each round takes the least of the partners' groups; its table is cut from its lineage."""
+    t = cands.select("track_t").distinct().withColumn("group", F.col("track_t"))
+    pairs = cands.select("track_t", "track_w")
+    for _ in range(rounds):
+        of_w = pairs.join(t, "track_t").groupBy("track_w").agg(F.min("group").alias("g"))
+        new = cut(pairs.join(of_w, "track_w").groupBy("track_t").agg(F.min("g").alias("g")).join(t, "track_t").select("track_t", F.least("g", "group").alias("new"), "group"))
+        hop = new.select(F.col("track_t").alias("at"), F.col("new").alias("further"))
+        settled = new.where(F.col("new") != F.col("group")).isEmpty()
+        t = cut(new.join(hop, new["new"] == hop["at"], "left").select("track_t", F.coalesce("further", "new").alias("group")))
+        if settled:
+            return cands.join(t, "track_t")
+    raise RuntimeError(f"groups of candidates have not settled in {rounds} rounds")
+
+
 def refined_affine(a: DataFrame, b: DataFrame, pairs: DataFrame, start: tuple[float, ...], rounds: int = 5, reach: float = 100.0) -> tuple[tuple[float, ...], float]:
     """Map and its root mean square error after rounds of: nearest partner in each pair of frames under the map (both ways), then least squares over all partners.
 
@@ -95,8 +123,8 @@ def refined_affine(a: DataFrame, b: DataFrame, pairs: DataFrame, start: tuple[fl
 
 
 def match_tracks(a: DataFrame, b: DataFrame, pairs: DataFrame, start: tuple[float, ...] | None = None, shared: int = 8, distance: float = 28.0, confidence: float = 0.20) -> DataFrame:
-    """Tracks of two cameras matched one to one: a map from frames with one animal each (or a start), refined; candidates under it; gates; assignment."""
+    """Tracks of two cameras matched one to one: a map from frames with one animal each (or a start), refined; candidates under it; gates; assignment, one group of tracks that candidates connect a task."""
     seed = start or tracks.fit_affine(tracks.seed_pairs(a, b, pairs)) or (1.0, 0.0, 0.0, 1.0, 0.0, 0.0)
     best, _ = refined_affine(a, b, pairs, seed)
-    cands = tracks.gate(tracks.candidates(a, b, pairs, best), shared, distance, confidence).withColumn("flight_id", F.lit(0))
-    return assign(cands).drop("flight_id")
+    cands = tracks.gate(tracks.candidates(a, b, pairs, best), shared, distance, confidence).where("rejected is null")
+    return assign(candidate_groups(cut(cands)), "group").drop("group")

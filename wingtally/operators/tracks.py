@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import boxes
+from .joins import overlap_join
 
 
 def class_vote(tracks: DataFrame, least: float = 0.7, weighted: bool = True, keys: tuple[str, ...] = ("flight_id", "track_id")) -> DataFrame:
@@ -80,13 +81,15 @@ def fit_affine(pairs: DataFrame) -> tuple[float, ...] | None:
     return float(a), float(b), float(c), float(d), float(tx), float(ty)
 
 
-def best_partner(frames: DataFrame, least: float) -> DataFrame:
-    """Per box, the other box of its frame with the largest overlap of at least `least`, smaller row_id on ties."""
-    a = frames.select("frame", F.col("row_id").alias("a_id"), *(F.col(c).alias(f"a_{c}") for c in ("x1", "y1", "x2", "y2")))
-    b = frames.select("frame", F.col("row_id").alias("b_id"), *(F.col(c).alias(f"b_{c}") for c in ("x1", "y1", "x2", "y2")))
-    j = a.join(b, "frame").where("a_id <> b_id").withColumn("iou", boxes.iou(boxes.box("a_"), boxes.box("b_"))).where(F.col("iou") >= F.lit(least).cast("float"))
-    w = Window.partitionBy("a_id").orderBy(F.round("iou", 5).desc(), "b_id")
-    return j.withColumn("_r", F.row_number().over(w)).where("_r = 1").select("frame", "a_id", "b_id", "iou")
+def best_partner(frames: DataFrame, least: float, key: str = "frame", cell: float = 10.0) -> DataFrame:
+    """Per box, the other box of its frame with the largest overlap of at least `least` (over 0), smaller row_id on ties.
+
+    Boxes meet in cells of a grid over their frame, each pair once and for both sides; a box's best is a partial aggregate."""
+    d = frames.select(key, F.col("row_id").alias("id"), "x1", "y1", "x2", "y2")
+    j = overlap_join(d, d, cell, key, with_boxes=True).where("a_id < b_id").withColumn("iou", boxes.iou(boxes.box("a_"), boxes.box("b_"))).where(F.col("iou") >= F.lit(least).cast("float"))
+    sides = F.array(F.struct(F.col("a_id").alias("a"), F.col("b_id").alias("b")), F.struct(F.col("b_id").alias("a"), F.col("a_id").alias("b")))
+    best = F.min(F.struct((-F.round("iou", 5)).alias("k"), F.col("s.b").alias("b"), "iou"))
+    return j.select(key, F.explode(sides).alias("s"), "iou").groupBy(key, F.col("s.a").alias("a_id")).agg(best.alias("v")).select(key, "a_id", F.col("v.b").alias("b_id"), "v.iou")
 
 
 def fragments(tracks: DataFrame, min_length: int = 4, max_gap: int = 2, least: float = 0.5, ratio: float = 0.5) -> DataFrame:
@@ -107,7 +110,26 @@ def fragments(tracks: DataFrame, min_length: int = 4, max_gap: int = 2, least: f
     p, q = (tuple(F.col(f"{s}.{c}") for c in ("x1", "y1", "x2", "y2")) for s in "pq")
     j = j.withColumn("iou", boxes.iou(p, q)).withColumn("near", boxes.centre_distance(p, q) / F.greatest(F.lit(1e-9), (boxes.diagonal(p) + boxes.diagonal(q)) / 2)).where((F.col("iou") >= least) | (F.col("near") <= ratio))
     seen = tracks.select("flight_id", "frame", "track_id").distinct()
-    common = seen.withColumnRenamed("track_id", "short").join(seen.withColumnRenamed("track_id", "long"), ["flight_id", "frame"]).select("flight_id", "short", "long")
+    # frames of the few short tracks of candidates, looked up among those of their long ones
+    common = j.select("flight_id", "short", "long").distinct().join(seen.withColumnRenamed("track_id", "short"), ["flight_id", "short"])
+    common = common.join(seen.withColumnRenamed("track_id", "long"), ["flight_id", "long", "frame"], "left_semi")
     j = j.join(common, ["flight_id", "short", "long"], "left_anti")
     w = Window.partitionBy("flight_id", "short").orderBy(F.round((1 - F.col("iou")) + F.col("near"), 6), "gap", "long")
     return j.withColumn("_r", F.row_number().over(w)).where("_r = 1").select("flight_id", "short", "long", "gap")
+
+
+def rmse(pairs: DataFrame, affine: tuple[float, ...]) -> DataFrame:
+    """Root mean square distance of partners (ax, ay, bx, by) under the map; infinite without any."""
+    a, b, c, d, tx, ty = affine
+    dx, dy = F.col("ax") * a + F.col("ay") * b + tx - F.col("bx"), F.col("ax") * c + F.col("ay") * d + ty - F.col("by")
+    return pairs.agg(F.coalesce(F.sqrt(F.avg(dx * dx + dy * dy)), F.lit(float("inf"))).alias("rmse"))
+
+
+def frame_pairs(mapped: DataFrame) -> DataFrame:
+    """Rows (frame_a, frame_b) of a map of frames, those that meet no frame (null or below 0) left out."""
+    return mapped.where("frame_b >= 0").select("frame_a", "frame_b")
+
+
+def kept_boxes(tracks: DataFrame, condition) -> DataFrame:
+    """Boxes of tracks that pass a condition on columns; a track without any left is gone."""
+    return tracks.where(condition)

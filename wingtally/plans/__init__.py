@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 
 #: Boxes found in frames. The pair (l_orderkey, l_linenumber) has repeats, so row_id ranks whole rows.
@@ -40,3 +42,14 @@ def routes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def oracle(sql: str) -> str:
     """The statement with the derived tables that it names before it."""
     return f"with recursive det as ({DETECTIONS}), tele as ({TELEMETRY}), route as ({ROUTES}) {', ' + sql[5:] if sql.startswith('with ') else sql}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df without its lineage, kept in the folder that spark.checkpoint.dir names; a session of one machine without one gets a folder of its own."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and the executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="wingtally-"))
+    return df.checkpoint()

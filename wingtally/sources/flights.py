@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _XYZ = "array<double>"
@@ -140,3 +140,46 @@ def parsed_names(files: DataFrame, column: str = "file") -> DataFrame:
     name = F.regexp_extract(column, r"([^/]*)$", 1)
     digits = F.regexp_extract_all(F.regexp_replace(name, r"\.[^.]*$", ""), F.lit(r"(\d+)"), F.lit(1))
     return files.withColumn("flight_name", F.substring_index(name, "_", 1)).withColumn("frame_index", F.try_element_at(digits, F.lit(-1)).try_cast("long")).withColumn("taken_at", F.try_to_timestamp(F.nullif(F.regexp_extract(name, r"_(\d{14})_", 1), F.lit("")), F.lit("yyyyMMddHHmmss")))
+
+
+def read_calibration(spark: SparkSession, path: str) -> DataFrame:
+    """file, mtx (3 x 3) and dist (5 zeros if missing; nested or flat) of a camera's JSON."""
+    c = spark.read.schema("mtx array<array<double>>, dist string").json(path, multiLine=True).select(F.input_file_name().alias("file"), "mtx", "dist")
+    flat = F.from_json(F.concat(F.lit("["), F.regexp_replace("dist", r"[\[\]\s]", ""), F.lit("]")), "array<double>")
+    return c.select("file", "mtx", F.coalesce(flat, F.array(*[F.lit(0.0)] * 5)).alias("dist"))
+
+
+def read_perpendicular(spark: SparkSession, path: str) -> DataFrame:
+    """frame, centre (x, y, z), foot (x, y), distance and class of either layout: `perpendiculas`, or `tracks` with a last_frame."""
+    row = "frame:long,last_frame:long,detection_center:array<double>,foot_point:array<double>,distance_m:double,class_id:long"
+    d = spark.read.schema(f"perpendiculas array<struct<{row}>>, tracks array<struct<{row}>>").json(path, multiLine=True)
+    rows = F.when(F.size("perpendiculas") > 0, F.col("perpendiculas")).otherwise(F.col("tracks"))
+    r = d.select(F.input_file_name().alias("file"), F.posexplode(rows).alias("row_id", "r"))
+    at = lambda c, i: F.get(F.col(f"r.{c}"), F.lit(i))
+    return r.select(
+        "file", "row_id", F.coalesce("r.frame", "r.last_frame", F.lit(-1).cast("long")).alias("frame"), *[at("detection_center", i).alias(n) for i, n in enumerate(("x", "y", "z"))],
+        at("foot_point", 0).alias("foot_x"), at("foot_point", 1).alias("foot_y"), F.col("r.distance_m").alias("distance"), F.coalesce("r.class_id", F.lit(0).cast("long")).alias("class_id"),
+    )
+
+
+def start_and_end(log: DataFrame, key: str = "file", order: str = "row_id") -> DataFrame:
+    """Per log the time of its first and its last row; logs of fewer than two rows are left out."""
+    g = log.groupBy(key).agg(F.min_by("ts", order).alias("start"), F.max_by("ts", order).alias("end"), F.count("*").alias("_n"))
+    return g.where("_n > 1").drop("_n")
+
+
+def relative_folder(parent: str, path: Column, is_file: bool = True) -> Column:
+    """The folder of a path below the parent, '' for the parent itself; null for paths elsewhere."""
+    folder = F.regexp_replace(path, "/[^/]*$", "") if is_file else F.rtrim(path, F.lit("/"))
+    base = parent.rstrip("/")
+    return F.when(folder == base, "").when(F.startswith(folder, F.lit(base + "/")), F.substr(folder, F.lit(len(base) + 2)))
+
+
+def write_points(points: DataFrame, path: str, epsg: int, name: str = "camera_positions") -> None:
+    """A feature collection with a point for each row (x, y), in order of frame; all other columns are its properties. A flight is one line."""
+    rest = [c for c in points.columns if c not in ("flight_id", "x", "y")]
+    feature = F.struct(F.lit("Feature").alias("type"), F.struct(F.lit("Point").alias("type"), F.array("x", "y").alias("coordinates")).alias("geometry"), F.struct(*rest).alias("properties"))
+    all_of = F.transform(F.array_sort(F.collect_list(F.struct("frame", feature.alias("f")))), lambda s: s["f"])
+    crs = F.struct(F.lit("name").alias("type"), F.struct(F.lit(f"urn:ogc:def:crs:EPSG::{epsg}").alias("name")).alias("properties"))
+    out = points.groupBy("flight_id").agg(all_of.alias("features"))
+    out.select(F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), F.lit(name).alias("name"), crs.alias("crs"), "features")).alias("value")).write.text(path)
