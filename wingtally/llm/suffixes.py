@@ -17,8 +17,8 @@ been compared with that document's.
 
 Copies of a text are one text from the start, of the least doc_id; in a task,
 equal surroundings travel once, so a passage that a third of all documents share
-is at most one row a task. Pairs travel packed, texts are dealt out once, by
-doc_id and hash, and used twice.
+is at most one row a task. Pairs travel packed, surroundings compressed;
+texts are dealt out once, by doc_id and hash, and used twice.
 
 Ranks are 64-bit hashes; a clash costs a comparison. Copies are known by a 64-bit
 hash and their size, surroundings in a task by 128 bits. Defined cases: ties and
@@ -35,6 +35,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -192,7 +193,8 @@ def _second_round(length: int, gram: int, buckets: int):
                             x[at + 2].append((low[k] - base).astype(np.uint32))
                             x[at + 3].append((high[k] - low[k]).astype(np.uint8))
                         x[4] += [around[k] for k in j[fresh[j]].tolist()]
-            rows = [(b, *(b"".join(c if n == 4 else [a.tobytes() for a in c]) for n, c in enumerate(x))) for b, x in out.items()]
+            pack = zstandard.ZstdCompressor(level=1).compress
+            rows = [(b, *(pack(b"".join(c)) if n == 4 else b"".join(a.tobytes() for a in c) for n, c in enumerate(x))) for b, x in out.items()]
             cols = list(zip(*rows, strict=True)) or [()] * len(_PART)
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), *(pa.array(c, pa.binary()) for c in cols[1:])], names=_PART)
 
@@ -242,7 +244,9 @@ def _marked(length: int):
     def run(batches):
         for rows in _buckets(batches):
             kinds = [np.int64, np.int64, np.uint32, np.uint8, np.uint8, np.int64, np.int64, np.uint32, np.uint8]
-            ids, content, start, size, data, d_id, d_content, d_start, d_size = (np.frombuffer(b"".join(r[i] for r in rows), k) for i, k in enumerate(kinds))
+            unpack = zstandard.ZstdDecompressor().decompress
+            blobs = (b"".join(unpack(r[i]) if i == 4 else r[i] for r in rows) for i in range(len(kinds)))
+            ids, content, start, size, data, d_id, d_content, d_start, d_size = (np.frombuffer(x, k) for x, k in zip(blobs, kinds, strict=True))
             size, start, d_start, d_size = (x.astype(np.int64) for x in (size, start, d_start, d_size))
             n = size - length + 1
             item = np.repeat(np.arange(len(n)), n)
