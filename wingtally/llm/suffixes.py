@@ -173,26 +173,23 @@ def _second_round(length: int, gram: int, buckets: int):
         for batch in batches:
             out: dict[int, list] = {}
             for part in shared.pieces(batch):
-                ids, contents, ranks = part.column(0).to_pylist(), part.column(2).to_pylist(), part.column(3).to_pylist()
+                ids, contents, ranks = part.column(0).to_numpy(zero_copy_only=False), part.column(2).to_numpy(zero_copy_only=False), part.column(3).to_pylist()
                 p = Picked(part.column(1), length, gram)
                 row_at = np.searchsorted(p.row, np.arange(len(ids) + 1))
-                for i, doc in enumerate(ids):
-                    a, z = row_at[i], row_at[i + 1]
-                    keep = a + np.flatnonzero(np.isin(p.rank[a:z] & _TOP, _unpacked(b"".join(ranks[i]))))
-                    if not len(keep):
-                        continue
-                    low, high = p.low[keep], p.high[keep] + length
-                    around = [p.data[x:y].tobytes() for x, y in zip(low.tolist(), high.tolist(), strict=True)]
-                    fresh = np.array([seen.setdefault(xxhash.xxh3_128_intdigest(x), doc) for x in around]) >= doc
-                    base = p.off[i]
-                    for b, j in _dealt(p.rank[keep], buckets):
-                        x = out.setdefault(b, [[] for _ in _PART[1:]])
-                        for at, k in ((0, j[fresh[j]]), (5, j[~fresh[j]])):
-                            x[at].append(np.full(len(k), doc, np.int64))
-                            x[at + 1].append(np.full(len(k), contents[i], np.int64))
-                            x[at + 2].append((low[k] - base).astype(np.uint32))
-                            x[at + 3].append((high[k] - low[k]).astype(np.uint8))
-                        x[4] += [around[k] for k in j[fresh[j]].tolist()]
+                top = p.rank & _TOP
+                keep = np.concatenate([a + np.flatnonzero(np.isin(top[a:z], _unpacked(b"".join(r)))) for a, z, r in zip(row_at[:-1], row_at[1:], ranks, strict=True)])
+                low, high, row = p.low[keep], p.high[keep] + length, p.row[keep]
+                doc, content = ids[row], contents[row]
+                whole = p.data.tobytes()
+                around = [whole[x:y] for x, y in zip(low.tolist(), high.tolist(), strict=True)]
+                fresh = np.array([seen.setdefault(xxhash.xxh3_128_intdigest(x), d) for x, d in zip(around, doc.tolist(), strict=True)], np.int64) >= doc
+                start, size = (low - p.off[row]).astype(np.uint32), (high - low).astype(np.uint8)
+                for b, j in _dealt(p.rank[keep], buckets):
+                    x = out.setdefault(b, [[] for _ in _PART[1:]])
+                    for at, k in ((0, j[fresh[j]]), (5, j[~fresh[j]])):
+                        for i, column in enumerate((doc, content, start, size)):
+                            x[at + i].append(column[k])
+                    x[4] += [around[k] for k in j[fresh[j]].tolist()]
             pack = zstandard.ZstdCompressor(level=1).compress
             rows = [(b, *(pack(b"".join(c)) if n == 4 else b"".join(a.tobytes() for a in c) for n, c in enumerate(x))) for b, x in out.items()]
             cols = list(zip(*rows, strict=True)) or [()] * len(_PART)
