@@ -69,9 +69,15 @@ def schedule(sources: DataFrame, block: int) -> DataFrame:
     at = F.col("x") * F.col("all")
     out = slots.join(binned, "bin").where((at >= F.col("low")) & (at < F.col("high"))).withColumn("run", F.floor(F.col("slot") / _RUN))
     runs = out.groupBy("sid", "run").agg(F.count("*").alias("n"))
-    runs = runs.withColumn("base", F.coalesce(F.sum("n").over(Window.partitionBy("sid").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
-    out = out.withColumn("r", F.row_number().over(Window.partitionBy("sid", "run").orderBy("slot"))).join(runs, ["sid", "run"])
-    out = out.withColumn("rank", F.col("base") + F.col("r") - 1).where(F.col("rank") < F.col("need"))
+    base = runs.withColumn("base", F.coalesce(F.sum("n").over(Window.partitionBy("sid").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
+    out = out.withColumn("r", F.row_number().over(Window.partitionBy("sid", "run").orderBy("slot"))).join(base, ["sid", "run"])
+    names = ["slot", "sid", "rank", "need", "blocks", "source_size", "goal"]
+    placed = out.withColumn("rank", F.col("base") + F.col("r") - 1).where(F.col("rank") < F.col("need")).select(names)
+    # a source that has fewer slots than it needs takes the rest after the last one
+    have = runs.groupBy(F.col("sid").alias("_sid")).agg(F.sum(F.col("n")).alias("have"))
+    short = s.join(have, s["sid"] == have["_sid"], "left").withColumn("have", F.coalesce("have", F.lit(0).cast("long"))).where("have < need")
+    short = short.withColumn("rank", F.explode(F.sequence(F.col("have"), F.col("need") - 1))).withColumn("slot", F.col("rank") + (n + n // 20 + 16 * k)).select(names)
+    out = placed.unionByName(short)
     out = out.withColumn("pass_no", F.floor(F.col("rank") / F.col("blocks"))).withColumn("block", F.col("rank") % F.col("blocks"))
     start = F.col("block") * block
     length = F.least(F.lit(block), F.col("source_size") - start)
@@ -113,8 +119,8 @@ def op7_source_mix(spark, sf_dir: str) -> DataFrame:
     return mix(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-#: The same rows from whole windows, and from how far round its stream each source gets.
-ORACLE = f"""
+#: The same rows from whole windows: each source goes round its stream until it has its target.
+ORACLE = """
 with d as (select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::bigint as size, md5(coalesce(doc_id::varchar, '')) as tag from documents),
 s0 as (select source, sum(size)::bigint as source_size, row_number() over (order by source nulls last) - 1 as sid from d group by source),
 s1 as (select *, case sid % 3 when 0 then 5.0::double when 1 then 2.0::double else 1.0::double end as weight from s0),
@@ -122,13 +128,8 @@ s2 as (select *, 3.0::double * source_size / weight as ratio from s1),
 s3 as (select *, ((sum(source_size) over ())::double - 3.0::double * coalesce(sum(source_size) over (order by ratio, sid rows between unbounded preceding and 1 preceding), 0)::double)
   / sum(weight) over (order by ratio, sid rows between current row and unbounded following) as level from s2),
 s4 as (select *, least(3.0::double * source_size, coalesce((max(case when ratio >= level then level end) over ()) * weight, 3.0::double * source_size)) as target from s3),
-g as (select (select min(b) from range(1, 100000) r(b) where b::hugeint * b * b >= (select sum(size) from d)) as block),
-s5 as (select s4.*, block, floor(target)::bigint as goal, ceil(source_size::double / block)::bigint as blocks, floor(floor(target) / source_size)::bigint as passes from s4, g where floor(target) > 0),
-s6 as (select *, (passes * blocks + ceil((goal - passes * source_size)::double / block))::bigint as need from s5),
-s7 as (select *, (sum(need) over (order by sid rows unbounded preceding))::bigint as high, (sum(need) over ())::bigint as all_need, count(*) over () as k from s6),
-x as (select (i + 1) * {GOLDEN}::double - floor((i + 1) * {GOLDEN}::double) as x from range((select max(all_need + all_need // 20 + 16 * k)::bigint from s7)) t(i)),
-s8 as (select s7.*, least(need, (select count(*) from x where x.x * all_need >= high - need and x.x * all_need < high)) as got from s7),
-s9 as (select *, least(goal, (got // blocks) * source_size + least(source_size, (got % blocks) * block)) as reach from s8),
+s5 as (select s4.*, floor(target)::bigint as goal from s4 where floor(target) > 0),
+s9 as (select *, goal as reach from s5),
 p as (select d.*, sum(size) over (partition by source order by tag, doc_id, size rows unbounded preceding) - size as pos from d)
 select p.doc_id, p.size, s4.source_size, s4.target,
   coalesce((reach // s4.source_size) * p.size + greatest(0, least(pos + p.size, reach % s4.source_size) - pos), 0)::bigint as taken
