@@ -3,7 +3,7 @@
 A text is brought to a canonical form: lower case, lines that state a copyright
 left out, everything but letters and digits as one blank, spellings that license
 lists hold equal made one. The digest of the entire form is joined to those of
-known license texts, and the digest of each line's form is looked up among those
+known license texts (of ids with the same digest, the first by name), and the digest of each line's form is looked up among those
 of known texts and notices. There is no shuffle: the known digests are a list of
 fixed length in this module, so they are broadcast.
 
@@ -108,6 +108,10 @@ TITLES = {
 }
 
 
+#: Lines that state a holder: with a year anywhere, or without one where they begin with the word and the sign.
+_HOLDER = r"(?m)^(?:[^\n]*(?:copyright|\(c\)|©)[ \t]*(?:\(c\)|©)?[ \t]*[0-9]{4}|[^\p{L}\p{N}\n]*(?:copyright[ \t]*(?:\(c\)|©)|©))[^\n]*$"
+
+
 def whole_texts() -> list[tuple[str, str]]:
     """(license_id, text) of each known entire text: with and without title, appendix, 'All rights reserved.' and lines left open for a holder."""
     out = [("All-Rights-Reserved", TEXTS["All-Rights-Reserved"])]
@@ -128,10 +132,11 @@ def whole_texts() -> list[tuple[str, str]]:
 
 def canonical(rows: DataFrame, text: str, form: str = "form") -> DataFrame:
     """rows with the canonical form, its lines kept, for the text; what states a copyright holder goes with its line."""
-    out = F.lower(F.coalesce(F.col(text), F.lit("")))
-    out = F.regexp_replace(out, r"(?m)^[^\n]*(?:copyright|\(c\)|©)[ \t]*(?:\(c\)|©)?[ \t]*[0-9]{4}[^\n]*$", "")
-    out = F.regexp_replace(out, r"[^\p{L}\p{N}\n]+", " ")
-    rows = rows.withColumn(form, out).drop(*[text] * (text != form))
+    rows = rows.withColumn(form, F.lower(F.coalesce(F.col(text), F.lit("")))).drop(*[text] * (text != form))
+    low = F.col(form)
+    signed = low.contains("copyright") | low.contains("(c)") | low.contains("©")  # else no line states a holder
+    rows = rows.withColumn(form, F.when(signed, F.regexp_replace(low, _HOLDER, "")).otherwise(low))
+    rows = rows.withColumn(form, F.regexp_replace(form, r"[^\p{L}\p{N}\n]+", " "))
     out = F.col(form)
     for a, b in SPELLINGS.items():
         out = F.regexp_replace(out, rf"\b{a}\b", b)
@@ -182,7 +187,7 @@ def op10_license_scan(spark, sf_dir: str) -> DataFrame:
 def _oracle() -> str:
     def form(x: str) -> str:
         x = f"lower(coalesce({x}, ''))"
-        x = rf"regexp_replace({x}, '(?m)^[^\n]*(?:copyright|\(c\)|©)[ \t]*(?:\(c\)|©)?[ \t]*[0-9]{{4}}[^\n]*$', '', 'g')"
+        x = f"regexp_replace({x}, '{_HOLDER}', '', 'g')"
         x = rf"regexp_replace({x}, '[^\p{{L}}\p{{N}}\n]+', ' ', 'g')"
         for a, b in SPELLINGS.items():
             x = rf"regexp_replace({x}, '\b{a}\b', '{b}', 'g')"
