@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from wingtally.functions import canvas, optics
 from wingtally.operators import assignment, clocks, estimators, georeference, rasters, terrain, tracking, tracks
-from wingtally.sources import binary, flights
+from wingtally.sources import binary, flights, pictures
 from wingtally.sources import rasters as files
 
 
@@ -324,3 +324,39 @@ def test_partners_by_cells(spark):
     for a in data:
         best = min(((-round(v, 5), b[1], round(v, 4)) for b in data if b[0] == a[0] and b[1] != a[1] and (v := iou(a, b)) >= np.float32(0.05)), default=None)
         assert got.get(a[1]) == (best and best[1:])
+
+
+def test_picture_tags(spark, tmp_path):
+    plain = b"\xff\xd8\xff\xe0\x00\x04ab\xff\xda\x00\x02rest\xff\xd9"
+    rows = [("a.jpg", plain, 48.12345678, -14.5, 312.25, "M", None, "2024-05-01 10:11:12", "note é"), ("b.jpg", plain, -1.5, 0.0, 0.0, None, "Cam", None, None)]
+    d = spark.createDataFrame(rows, "file string, content binary, lat double, lon double, alt double, make string, model string, ts string, comment string").withColumn("ts", F.to_timestamp("ts"))
+    files.write_files(pictures.tagged(d), f"file://{tmp_path}/p")
+    (tmp_path / "p" / "c.jpg").write_bytes(plain)
+    got = {r.file[-5:]: r for r in pictures.read_picture_tags(spark, f"file://{tmp_path}/p").collect()}
+    a, b, c = got["a.jpg"], got["b.jpg"], got["c.jpg"]
+    assert (a.lat, a.lon, a.alt) == pytest.approx((48.12345678, -14.5, 312.25), abs=1e-7) and (a.make, a.model, str(a.ts), a.comment) == ("M", "", "2024-05-01 10:11:12", "note é")
+    assert (b.lat, b.lon, b.alt, b.model, b.ts) == (-1.5, 0.0, 0.0, "Cam", None) and (c.lat, c.alt, c.make) == (None, None, None)
+    again = pictures.with_tags((tmp_path / "p" / "a.jpg").read_bytes(), 1.0, 2.0, 3.0)
+    assert again.count(b"Exif") == 1 and again.endswith(b"rest\xff\xd9") and pictures.picture_tags(again)["lat"] == 1.0
+    assert pictures.picture_tags(b"\xff\xd8Exif\0\0II\x2a\0\xff\0\0\0")["lat"] is None
+
+
+def test_mesh_files(spark, tmp_path):
+    h = spark.createDataFrame([(r, c, float(r * c)) for r in range(4) for c in range(5)], "row long, col long, z double")
+    v, f = rasters.heightfield_mesh(h, 5, 4, 2.0)
+    flat_v, flat_f = pictures.flat_mesh(spark, "flat.glb", 10.0, 20.0, 5.0, 8.0)
+    v, f = (t.withColumn("file", F.lit("hill.glb")) for t in (v, f))
+    files.write_files(pictures.mesh_files(v.unionByName(flat_v), f.unionByName(flat_f)), f"file://{tmp_path}/m")
+    back = binary.read_mesh(spark, f"file://{tmp_path}/m").withColumn("file", F.substring_index("file", "/", -1))
+    assert {(r.x, r.y, r.z) for r in back.where("file = 'flat.glb'").collect()} == {(6.0, 16.0, 5.0), (14.0, 16.0, 5.0), (14.0, 24.0, 5.0), (6.0, 24.0, 5.0)}
+    faces = pictures.read_faces(spark, f"file://{tmp_path}/m").withColumn("file", F.substring_index("file", "/", -1))
+    assert sorted(faces.where("file = 'hill.glb'").select("a", "b", "c").collect()) == sorted(f.select("a", "b", "c").collect()) and back.where("file = 'hill.glb'").count() == 20
+
+
+def test_logs_of_subtitles(spark, tmp_path):
+    (tmp_path / "s.srt").write_text("1\n00:00:00,000 --> 00:00:00,033\nDiffTime: 33ms\n2024-01-01 10:00:00.123\n[latitude: 48.1] [longitude: 14.2] [rel_alt: 1.5 abs_alt: 300.2] [gb_yaw: 12.5 gb_pitch: -80 gb_roll: 0]\n")
+    r = georeference.log_of_subtitles(flights.read_subtitles(spark, f"file://{tmp_path}/s.srt")).first()
+    assert (r.id, r.time, r.latitude, r.altitude, r.altitude_above_sea_level, r.gimbal_pitch, r.gimbal_heading, r.pitch, r.is_video) == (0, 33, 48.1, 1.5, 300.2, -80.0, 12.5, None, 1)
+    log = spark.createDataFrame([(1, 2.0, 0.0)], "flight_id long, height_above_takeoff double, altitude double")
+    ref = spark.createDataFrame([(1, 500.0, 40.0)], "flight_id long, altitude double, height_above_takeoff double")
+    assert georeference.heights_by_reference(log, ref).first().altitude == 462.0

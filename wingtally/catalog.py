@@ -869,3 +869,35 @@ def corrections_last_inside(spark, sf):
 @query()
 def tracker_each(spark, sf):
     return tracking.track_each(_tracks(spark, sf), least=0.3)
+
+
+@query("""with o as (select flight_id, x, y, greatest(500 - x, 0, x - 4000) as dx, greatest(400 - y, 0, y - 5000) as dy from route)
+select flight_id, count(*) filter (dx = 0 and dy = 0) as inside, count(*) as total, round(max(sqrt(dx * dx + dy * dy)), 3) as farthest, round(count(*) filter (dx = 0 and dy = 0) * 100.0e0 / count(*), 4) as percent, count(*) filter (dx = 0 and dy = 0) = count(*) as valid from o group by 1""")
+def terrain_coverage(spark, sf):
+    out = georeference.coverage_report(plans.routes(spark, sf), (510.0, 410.0, 3990.0, 4990.0), 10.0)
+    return out.select("flight_id", "inside", "total", F.round("farthest", 3).alias("farthest"), F.round("percent", 4).alias("percent"), "valid")
+
+
+@query("""with t as (select r * 4 + c as tile, c * 25 as x, r * 20 as y from range(0, 3) a(r), range(0, 4) b(c)), p as (select tile, y1::bigint as "row", x1::bigint as col, max(row_id % 101 + tile * 0.5e0) as value from det join t on x1 between x and x + 29 and y1 between y and y + 24 group by all)
+select "row", col, arg_max(value, tile) as value from p group by all""")
+def tile_mosaic(spark, sf):
+    """Pictures of tiles that overlap, put together."""
+    t = spark.range(3).withColumnRenamed("id", "r").withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(3)))).select((F.col("r") * 4 + F.col("c")).alias("tile"), (F.col("c") * 25).alias("x"), (F.col("r") * 20).alias("y"))
+    d = plans.detections(spark, sf).withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(3)))).withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(2)))).where("x1 between c * 25 and c * 25 + 29 and y1 between r * 20 and r * 20 + 24")
+    cells = d.groupBy((F.col("r") * 4 + F.col("c")).alias("tile"), (F.col("y1").cast("long") - F.col("r") * 20).alias("row"), (F.col("x1").cast("long") - F.col("c") * 25).alias("col")).agg(F.max(F.col("row_id") % 101 + (F.col("r") * 4 + F.col("c")) * 0.5).alias("value"))
+    return rasters.tiled_mosaic(cells, t)
+
+
+@query("""with e as (select flight_id, max(alt) as hi from tele group by 1) select id, floor(greatest(0, least(1, (alt - 100) / (case when hi <= 100 then 1 else hi - 100 end))) * 255)::int as level, alt >= 100 as shown from tele join e using (flight_id)""")
+def thermal_levels(spark, sf):
+    t = plans.telemetry(spark, sf).select(F.col("flight_id").alias("file"), "id", F.col("alt").alias("value"))
+    return rasters.colour_levels(t, low=100.0).select("id", "level", "shown")
+
+
+@query("""with t as (select (r * 4 + c)::bigint as tile, c * 28.0e0 as x1, r * 18.0e0 as y1, c * 28.0e0 + 30 as x2, r * 18.0e0 + 20 as y2 from range(0, 3) a(r), range(0, 4) b(c))
+select tile, row_id from t join det d on t.x1 <= d.x2 and d.x1 <= t.x2 and t.y1 <= d.y2 and d.y1 <= t.y2""")
+def tiles_of_frames(spark, sf):
+    t = spark.range(12).select(F.col("id"), (F.col("id") % 4 * 28.0).alias("x1"), (F.floor(F.col("id") / 4) * 18.0).alias("y1"))
+    t = t.withColumn("x2", F.col("x1") + 30).withColumn("y2", F.col("y1") + 20)
+    d = plans.detections(spark, sf).select(F.col("row_id").alias("id"), "x1", "y1", "x2", "y2")
+    return joins.overlap_join(t, d, 10.0).select(F.col("a_id").alias("tile"), F.col("b_id").alias("row_id"))

@@ -213,6 +213,26 @@ def union_area_exact(rings: DataFrame, key: str, strip: float) -> DataFrame:
     return out.groupBy(key).agg(F.sum("a").alias("area"))
 
 
+def tiled_mosaic(cells: DataFrame, placed: DataFrame) -> DataFrame:
+    """Cells (tile, row, col, value; counted in their tile) of tiles placed at (tile, x, y) as one picture; where tiles overlap, the later tile wins."""
+    at = cells.join(placed.select("tile", "x", "y"), "tile")
+    return at.groupBy((F.col("row") + F.col("y")).alias("row"), (F.col("col") + F.col("x")).alias("col")).agg(F.max_by("value", "tile").alias("value"))
+
+
+def colour_levels(cells: DataFrame, low: float | None = None, high: float | None = None, key: str = "file") -> DataFrame:
+    """cells (key, value) with level, 0 to 255 from the low to the high bound, and shown, false beyond a bound that is given; a bound that is not given is the picture's own extreme."""
+    e = cells.groupBy(key).agg(F.min("value").alias("_lo"), F.max("value").alias("_hi"))
+    lo, hi = (F.lit(low) if low is not None else F.col("_lo")), (F.lit(high) if high is not None else F.col("_hi"))
+    hi = F.when(hi <= lo, lo + 1.0).otherwise(hi)
+    level = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("value") - lo) / (hi - lo)))
+    shown = F.lit(True)
+    if low is not None:
+        shown = shown & (F.col("value") >= low)
+    if high is not None:
+        shown = shown & (F.col("value") <= high)
+    return cells.join(e, key).withColumn("level", F.floor(level * 255).cast("int")).withColumn("shown", shown).drop("_lo", "_hi")
+
+
 def ranked_top(rows: DataFrame, key: str, by: Column, n: int) -> DataFrame:
     """The first n rows of each key."""
     return rows.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(by))).where(F.col("_r") <= n).drop("_r")
