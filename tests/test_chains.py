@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from wingtally.functions import canvas, optics
 from wingtally.operators import assignment, clocks, estimators, georeference, rasters, terrain, tracking, tracks
-from wingtally.sources import binary, flights, pictures
+from wingtally.sources import binary, flights, formats, pictures
 from wingtally.sources import rasters as files
 
 
@@ -360,3 +360,30 @@ def test_logs_of_subtitles(spark, tmp_path):
     log = spark.createDataFrame([(1, 2.0, 0.0)], "flight_id long, height_above_takeoff double, altitude double")
     ref = spark.createDataFrame([(1, 500.0, 40.0)], "flight_id long, altitude double, height_above_takeoff double")
     assert georeference.heights_by_reference(log, ref).first().altitude == 462.0
+
+
+def test_formats_by_name(spark, tmp_path):
+    (tmp_path / "t.txt").write_text("# x\n3,7,0,0,0,1,1,1,0.5,2\n1 7 0 0 0 1 1 1 0.5 2 0.25\n2,8,a,0,0,1,1,1,0.5,2\n2,8,1\n1,-1,0,0,0,1,1,1,0.5,0\n")
+    t = formats.read(spark, "geo_tracks", f"file://{tmp_path}/t.txt")
+    assert sorted((r.frame, r.track_id, r.visibility) for r in t.collect()) == [(1, -1, 1.0), (1, 7, 0.25), (3, 7, 1.0)]
+    from wingtally.sources import tracks as track_files
+
+    assert [(r.frame, r.source_id) for r in track_files.sorted_tracks(t.where("track_id > 0")).collect()] == [(1, 1), (3, 0)]
+    with pytest.raises(Exception, match="without a track"):
+        track_files.sorted_tracks(t).collect()
+    d = spark.createDataFrame([("f", 0, 1, 1.0, 2.0, 3.0, 4.0, 0.5, 0)], "file string, row_id long, frame long, x1 double, y1 double, x2 double, y2 double, confidence double, class_id long")
+    formats.write(d, "detections", f"file://{tmp_path}/d")
+    assert formats.read(spark, "detections", f"file://{tmp_path}/d").first().x2 == 3.0
+    formats.register("ones", lambda spark, path, n=1: spark.range(n))
+    assert formats.read(spark, "ones", "", n=3).count() == 3 and "ones" in formats.names()
+    for call in (lambda: formats.read(spark, "none", ""), lambda: formats.write(d, "ones", "")):
+        with pytest.raises(ValueError):
+            call()
+
+
+def test_drones(spark):
+    d = spark.createDataFrame([("DJI_M30T",), ("m3te",), ("M30",), ("Phantom",), (None,)], "n string").select(canvas.drone_of(F.col("n")).alias("d"))
+    assert [r.d for r in d.collect()] == ["M30T", "M3T", "M30T", None, None]
+    s = {(r.drone, r.camera): (r.width, r.height) for r in canvas.known_sensors(spark).collect()}
+    assert s["M30T", "thermal"] == (1280, 1024) and s["M300", "zoom"] == (None, None) and ("M2EA", "zoom") not in s
+    assert d.select(canvas.product_name(F.col("d"))).first()[0] == "DJI_M30T"

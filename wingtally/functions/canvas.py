@@ -42,6 +42,29 @@ def map_tiles(spark: SparkSession, west: float, south: float, east: float, north
     return t.select(F.format_string("N%dE%d", (F.col("r") * size).cast("long"), (F.col("c") * size).cast("long")).alias("tile"), (F.col("c") * size).alias("west"), (F.col("r") * size).alias("south"))
 
 
+# Drones by the names that logs give them, and the sizes of their cameras.
+DRONES = {"m2ea": "M2EA", "m3t": "M3T", "m3te": "M3T", "m30t": "M30T", "m30": "M30T", "m300": "M300"}
+CAMERAS = [
+    ("M2EA", "wide", 3840, 2160), ("M2EA", "thermal", 640, 512), ("M3T", "wide", 3840, 2160), ("M3T", "thermal", 640, 512), ("M3T", "zoom", None, None),
+    ("M30T", "wide", 3840, 2160), ("M30T", "thermal", 1280, 1024), ("M30T", "zoom", None, None), ("M300", "wide", None, None), ("M300", "thermal", None, None), ("M300", "zoom", None, None),
+]
+
+
+def drone_of(name: Column, maker: str = "dji") -> Column:
+    """The drone that a name stands for, in any case, with or without its maker and underscores; null for others."""
+    bare = F.replace(F.replace(F.lower(name), F.lit(maker), F.lit("")), F.lit("_"), F.lit(""))
+    return F.get(F.map_values(F.map_filter(F.create_map(*[F.lit(x) for kv in DRONES.items() for x in kv]), lambda k, v: k == bare)), F.lit(0))
+
+
+def product_name(drone: Column, maker: str = "DJI") -> Column:
+    return F.concat(F.lit(f"{maker}_"), drone)
+
+
+def known_sensors(spark: SparkSession) -> DataFrame:
+    """drone, camera, width and height of the cameras in CAMERAS; sizes that are not known are null."""
+    return sensors(spark, CAMERAS)
+
+
 def sensors(spark: SparkSession, rows: list[tuple[str, str, int, int]]) -> DataFrame:
     """A table of cameras that drones carry, with their sizes: (drone, camera, width, height)."""
     return spark.createDataFrame(rows, "drone string, camera string, width int, height int")

@@ -41,6 +41,22 @@ def read_tracks(spark: SparkSession, path: str) -> DataFrame:
     return c.select("file", "row_id", _long(0).alias("frame"), F.nullif(_long(1), F.lit(-1).cast("long")).alias("track_id"), *[_num(i).alias(n) for i, n in enumerate(("x1", "y1", "z1", "x2", "y2", "z2"), 2)], _num(8).alias("confidence"), _long(9).alias("class_id"), F.coalesce(_long(10) == 1, F.lit(False)).alias("interpolated"))
 
 
+def read_geo_tracks(spark: SparkSession, path: str) -> DataFrame:
+    """`frame track x1 y1 z1 x2 y2 z2 confidence class [visibility]`, by commas or blanks; lines of fewer cells, or with cells that hold no number, are left out."""
+    c = _cells(spark, path, r"\s*,\s*|\s+", 10)
+    names = ("x1", "y1", "z1", "x2", "y2", "z2", "confidence")
+    whole = lambda i: F.expr(f"try_cast(trim(get(cells, {i})) as long)")
+    out = c.select("file", "row_id", whole(0).alias("frame"), whole(1).alias("track_id"), *[_num(i).alias(n) for i, n in enumerate(names, 2)], whole(9).alias("class_id"), F.when(F.size("cells") > 10, _num(10)).otherwise(F.lit(1.0)).alias("visibility"))
+    return out.dropna()
+
+
+def sorted_tracks(rows: DataFrame) -> DataFrame:
+    """rows in order of frame and track with source_id, their place from 0 in each file; a row without a track raises."""
+    checked = F.when(F.col("track_id").isNull() | (F.col("track_id") < 0), F.raise_error(F.lit("rows without a track id"))).otherwise(F.col("track_id"))
+    place = F.row_number().over(Window.partitionBy("file").orderBy("row_id")) - 1
+    return rows.withColumn("source_id", place).withColumn("track_id", checked).orderBy("file", "frame", "track_id")
+
+
 def read_pixel_tracks(spark: SparkSession, path: str) -> DataFrame:
     """`frame,track,x1,y1,x2,y2,confidence,class[,interpolated]`, with or without a header."""
     c = _cells(spark, path, ",", 8)
