@@ -284,7 +284,10 @@ def smoothed_path(spark, sf):
     return paths.moving_average(plans.routes(spark, sf), ["z"]).select("flight_id", "frame", F.round("z_smooth", 4).alias("z_smooth"))
 
 
-@query()
+@query("""with r as (select flight_id, frame, z, row_number() over (partition by flight_id order by frame) - 1 as i, count(*) over (partition by flight_id) as n from route),
+  m as (select *, (least(11, case when n % 2 = 1 then n else n - 1 end) - 1) // 2 as k from r), c as (select *, greatest(k, least(n - 1 - k, i)) as c, (2 * k + 1) * 1.0e0 as s0, k * (k + 1) * (2 * k + 1) / 3.0e0 as s2, k * (k + 1) * (2 * k + 1) * (3 * k * k + 3 * k - 1) / 15.0e0 as s4 from m),
+  w as (select c.flight_id, c.frame, sum(p.z * ((s4 - s2 * power(p.i - c, 2)) / (s0 * s4 - s2 * s2) + (c.i - c) * (p.i - c) / s2 + power(c.i - c, 2) * (s0 * power(p.i - c, 2) - s2) / (s0 * s4 - s2 * s2))) as v from c join r p on p.flight_id = c.flight_id and p.i between c.c - k and c.c + k where k > 0 group by all)
+select c.flight_id, c.frame, round(coalesce(v, z), 4) as z_smooth from c left join w using (flight_id, frame)""")
 def savitzky_golay(spark, sf):
     return paths.savitzky_golay(plans.routes(spark, sf), ["z"]).select("flight_id", "frame", F.round("z_smooth", 4).alias("z_smooth"))
 
@@ -485,7 +488,14 @@ def tracker_hungarian(spark, sf):
     return tracking.track_boxes(_tracks(spark, sf), mode="hungarian_center", least=0.1, max_age=3)
 
 
-@query()
+@query("""with rec(flight_id, a, b, xa, ya, xb, yb) as (
+  select m.flight_id, a, b, p.x, p.y, q.x, q.y from (select flight_id, min(frame) as a, max(frame) as b from route group by 1) m join route p on p.flight_id = m.flight_id and p.frame = a join route q on q.flight_id = m.flight_id and q.frame = b
+  union all
+  select n.flight_id, case when side = 0 then n.a else n.k end, case when side = 0 then n.k else n.b end, case when side = 0 then n.xa else p.x end, case when side = 0 then n.ya else p.y end, case when side = 0 then p.x else n.xb end, case when side = 0 then p.y else n.yb end
+  from (select rec.*, (select arg_max(r.frame, case when xa = xb and ya = yb then sqrt(power(r.x - xa, 2) + power(r.y - ya, 2)) else abs((xb - xa) * (r.y - ya) - (yb - ya) * (r.x - xa)) / sqrt(power(xb - xa, 2) + power(yb - ya, 2)) end) from route r where r.flight_id = rec.flight_id and r.frame > rec.a and r.frame < rec.b) as k,
+    (select max(case when xa = xb and ya = yb then sqrt(power(r.x - xa, 2) + power(r.y - ya, 2)) else abs((xb - xa) * (r.y - ya) - (yb - ya) * (r.x - xa)) / sqrt(power(xb - xa, 2) + power(yb - ya, 2)) end) from route r where r.flight_id = rec.flight_id and r.frame > rec.a and r.frame < rec.b) as d from rec where rec.b > rec.a + 1) n
+  join route p on p.flight_id = n.flight_id and p.frame = n.k, (values (0), (1)) t(side) where n.d > 500)
+select distinct r.flight_id, r.frame, r.x, r.y from route r join rec on r.flight_id = rec.flight_id and r.frame in (rec.a, rec.b)""")
 def simplified_routes(spark, sf):
     return tracking.simplify(plans.routes(spark, sf), 500.0, ("flight_id",))
 
