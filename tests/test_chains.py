@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from wingtally.functions import canvas, optics
+from wingtally.functions import canvas, geodesy, optics
 from wingtally.operators import assignment, clocks, estimators, georeference, rasters, terrain, tracking, tracks
 from wingtally.sources import binary, flights, formats, pictures
 from wingtally.sources import rasters as files
@@ -387,3 +387,38 @@ def test_drones(spark):
     s = {(r.drone, r.camera): (r.width, r.height) for r in canvas.known_sensors(spark).collect()}
     assert s["M30T", "thermal"] == (1280, 1024) and s["M300", "zoom"] == (None, None) and ("M2EA", "zoom") not in s
     assert d.select(canvas.product_name(F.col("d"))).first()[0] == "DJI_M30T"
+
+
+def test_origins(spark):
+    o = geodesy.origin(48.0, 14.0, 300.0, 32633)
+    assert (o["east"], o["north"]) == pytest.approx((425405, 5316784), abs=2)
+    there = spark.range(1).select(*geodesy.to_utm(F.lit(48.0), F.lit(14.0), 32633)).first()
+    assert tuple(there) == pytest.approx((o["east"], o["north"]), abs=1e-6)
+    g = spark.createDataFrame([(48.001, 14.0, 310.0, -100.0, 0.0, 350.0)], "lat double, lon double, alt double, pitch double, roll double, yaw double")
+    r = georeference.local_poses(g, o).first()
+    assert (r.up, r.tilt, r.heading) == (10.0, 350.0, 350.0) and r.north == pytest.approx(111.15, abs=0.05)
+    assert 349 < georeference.local_poses(g, o, True).first().heading % 360 < 351 and georeference.local_poses(g, o, True).first().heading != 350.0
+
+
+def test_outlines_of_masks(spark):
+    cells = lambda f, m: [(f, int(r), int(c), 255.0 if m[r, c] else 9.0) for r in range(m.shape[0]) for c in range(m.shape[1])]
+    box = np.zeros((40, 60), bool)
+    box[5:20, 10:50] = True
+    box[30:34, 3:9] = True
+    box[8:12, 20:30] = False  # a hole has no say
+    y, x = np.mgrid[:80, :80]
+    disc = (x - 40) ** 2 + (y - 38) ** 2 <= 30**2
+    u = np.ones((20, 30), bool)
+    u[:15, 10:20] = False
+    dot = np.zeros((5, 5), bool)
+    dot[2, 3] = True
+    d = spark.createDataFrame(cells("box", box) + cells("disc", disc) + cells("u", u) + cells("none", np.zeros((3, 3), bool)) + cells("dot", dot), "file string, row long, col long, value double")
+    got = {r.file: [(p.x, p.y) for p in r.ring] for r in georeference.mask_outlines(d).collect()}
+    assert set(got) == {"box", "disc", "u", "dot"} and sorted(got["box"]) == [(10, 5), (10, 19), (49, 5), (49, 19)] and got["dot"] == [(3, 2)]
+    assert len(got["u"]) == 8 and {(9.0, 0.0), (20.0, 0.0), (29.0, 19.0)} <= set(got["u"])
+    p = np.array(got["disc"])
+    area = abs(np.dot(p[:, 0], np.roll(p[:, 1], -1)) - np.dot(p[:, 1], np.roll(p[:, 0], -1))) / 2
+    assert 6 < len(p) < 40 and area == pytest.approx(math.pi * 900, rel=0.06)
+    whole = {r.file: len(r.ring) for r in georeference.mask_outlines(d, tolerance=0.0).collect()}
+    assert whole["box"] == 2 * (40 + 15) - 4
+    assert [(p.x, p.y) for p in spark.range(1).select(georeference.frame_ring(640, 512).alias("r")).first().r][2:5] == [(640, 0), (640, 256), (640, 512)]

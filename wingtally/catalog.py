@@ -911,3 +911,22 @@ def tiles_of_frames(spark, sf):
     t = t.withColumn("x2", F.col("x1") + 30).withColumn("y2", F.col("y1") + 20)
     d = plans.detections(spark, sf).select(F.col("row_id").alias("id"), "x1", "y1", "x2", "y2")
     return joins.overlap_join(t, d, 10.0).select(F.col("a_id").alias("tile"), F.col("b_id").alias("row_id"))
+
+
+@query(f"""with {_UTM} select id, round(east - 425405.337, 2) as east, round(north - 5316784.018, 2) as north, round(alt - 300, 4) as up, round((pitch + 90 + 360) % 360, 4) as tilt, round((heading + 360) % 360, 4) as heading, round(lat, 7) as lat, round(lon, 7) as lon, round(pitch, 4) as pitch from utm""")
+def poses_there_and_back(spark, sf):
+    origin = geodesy.origin(48.0, 14.0, 300.0, EPSG) | {"east": 425405.337, "north": 5316784.018}
+    p = georeference.local_poses(plans.telemetry(spark, sf).withColumn("yaw", F.col("heading")), origin)
+    p = p.select("id", "east", "north", "up", "tilt", "roll", "heading")
+    back = georeference.geographic_poses(p, origin)
+    return back.select("id", F.round("east", 2).alias("east"), F.round("north", 2).alias("north"), *r4("up", "tilt", "heading"), F.round("lat", 7).alias("lat"), F.round("lon", 7).alias("lon"), F.round("pitch", 4).alias("pitch"))
+
+
+@query(f"""with {_STEPS}, n as (select *, lead(frame) over w as f2, lead(x1) over w as x12, lead(case when row_id % 5 = 0 then 0 else x1 * 2 end) over w as p2, case when row_id % 5 = 0 then 0 else x1 * 2 end as p1 from st window w as (partition by flight_id, track_id order by frame, row_id))
+select flight_id, track_id, frame, round(x1, 4) as x1, round(p1, 4) as px1, false as interpolated from n
+union all select flight_id, track_id, f, round(x1 + (x12 - x1) * (f - n.frame) / (f2 - n.frame), 4), round(p1 + (p2 - p1) * (f - n.frame) / (f2 - n.frame), 4), true from n, lateral (select unnest(range(n.frame + 1, f2)) as f)""")
+def tracks_with_pixels(spark, sf):
+    w = Window.partitionBy("flight_id", "track_id").orderBy("frame", "row_id")
+    t = _tracks(spark, sf).withColumn("frame", 3 * F.row_number().over(w).cast("long") - F.col("row_id") % 3).withColumn("source_id", F.col("row_id") + 1)
+    p = t.where("row_id % 5 > 0").select("flight_id", F.col("row_id").alias("place"), *[(F.col(c) * 2).alias(c) for c in ("x1", "y1", "x2", "y2")])
+    return georeference.tracks_in_both(t, p).select("flight_id", "track_id", "frame", *r4("x1", "px1"), "interpolated")

@@ -26,18 +26,6 @@ def zone(epsg: int) -> tuple[float, float]:
     return (epsg % 100) * 6 - 183.0, 0.0 if epsg < 32700 else 10_000_000.0
 
 
-def utm_sql(lat: str, lon: str, epsg: int) -> tuple[str, str]:
-    """Easting and northing as SQL that both engines run."""
-    meridian, north = zone(epsg)
-    k = repr(2 * math.sqrt(_n) / (1 + _n))
-    t = f"sinh(atanh(sin(radians({lat}))) - {k} * atanh({k} * sin(radians({lat}))))"
-    dl = f"radians({lon} - {meridian!r})"
-    xi, eta = f"atan2({t}, cos({dl}))", f"atanh(sin({dl}) / sqrt(1 + {t} * {t}))"
-    east = " + ".join([eta, *(f"{a!r} * cos({2 * j} * {xi}) * sinh({2 * j} * {eta})" for j, a in enumerate(_ALPHA, 1))])
-    up = " + ".join([xi, *(f"{a!r} * sin({2 * j} * {xi}) * cosh({2 * j} * {eta})" for j, a in enumerate(_ALPHA, 1))])
-    return f"({_E0!r} + {_K0 * _R!r} * ({east}))", f"({north!r} + {_K0 * _R!r} * ({up}))"
-
-
 def to_utm(lat: Column, lon: Column, epsg: int) -> tuple[Column, Column]:
     """Easting and northing in metres."""
     meridian, north = zone(epsg)
@@ -68,6 +56,23 @@ def from_utm(east: Column, north: Column, epsg: int) -> tuple[Column, Column]:
     return F.degrees(lat), meridian + F.degrees(F.atan2(F.sinh(e), F.cos(x)))
 
 
+def place(lat: float, lon: float, epsg: int) -> tuple[float, float]:
+    """Easting and northing of one place, on the driver."""
+    meridian, north = zone(epsg)
+    k, sine, dl = 2 * math.sqrt(_n) / (1 + _n), math.sin(math.radians(lat)), math.radians(lon - meridian)
+    t = math.sinh(math.atanh(sine) - k * math.atanh(k * sine))
+    xi, eta = math.atan2(t, math.cos(dl)), math.atanh(math.sin(dl) / math.sqrt(1 + t * t))
+    east = eta + sum(a * math.cos(2 * j * xi) * math.sinh(2 * j * eta) for j, a in enumerate(_ALPHA, 1))
+    up = xi + sum(a * math.sin(2 * j * xi) * math.cosh(2 * j * eta) for j, a in enumerate(_ALPHA, 1))
+    return _E0 + _K0 * _R * east, north + _K0 * _R * up
+
+
+def origin(lat: float, lon: float, alt: float, epsg: int) -> dict:
+    """An origin for local metres: lat, lon, alt, epsg and its easting and northing, which are worked out once."""
+    east, north = place(lat, lon, epsg)
+    return {"lat": lat, "lon": lon, "alt": alt, "epsg": epsg, "east": east, "north": north}
+
+
 def to_local(lat: Column, lon: Column, alt: Column, origin: dict, epsg: int) -> tuple[Column, Column, Column]:
     """Metres from an origin (lat, lon, alt)."""
     e, n = to_utm(lat, lon, epsg)

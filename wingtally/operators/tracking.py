@@ -42,26 +42,31 @@ def track_each(detections: DataFrame, key: str = "flight_id", **how) -> DataFram
     return detections.select(key, "frame", "row_id", *_BOX).groupBy(key).applyInPandas(run, f"{key} {kind[key]}, frame {kind['frame']}, row_id {kind['row_id']}, track_id long")
 
 
+def kept_points(p: np.ndarray, tolerance: float) -> np.ndarray:
+    """Which points of a line Ramer, Douglas and Peucker keep."""
+    keep = np.zeros(len(p), bool)
+    keep[[0, -1]] = True
+    work = [(0, len(p) - 1)]
+    while work:
+        a, b = work.pop()
+        if b - a < 2:
+            continue
+        d, q = p[b] - p[a], p[a + 1 : b] - p[a]
+        length = float(np.hypot(*d))
+        away = np.abs(d[0] * q[:, 1] - d[1] * q[:, 0]) / length if length > 0 else np.hypot(q[:, 0], q[:, 1])
+        k = int(away.argmax())
+        if away[k] > tolerance:
+            keep[a + 1 + k] = True
+            work += [(a, a + 1 + k), (a + 1 + k, b)]
+    return keep
+
+
 def simplify(points: DataFrame, tolerance: float, keys: tuple[str, ...] = ("flight_id", "track_id")) -> DataFrame:
     """The rows (keys, frame, x, y) that Ramer, Douglas and Peucker keep of each track."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("frame").reset_index(drop=True)
-        p, keep = pdf[["x", "y"]].to_numpy(float), np.zeros(len(pdf), bool)
-        keep[[0, -1]] = True
-        work = [(0, len(p) - 1)]
-        while work:
-            a, b = work.pop()
-            if b - a < 2:
-                continue
-            d, q = p[b] - p[a], p[a + 1 : b] - p[a]
-            length = float(np.hypot(*d))
-            away = np.abs(d[0] * q[:, 1] - d[1] * q[:, 0]) / length if length > 0 else np.hypot(q[:, 0], q[:, 1])
-            k = int(away.argmax())
-            if away[k] > tolerance:
-                keep[a + 1 + k] = True
-                work += [(a, a + 1 + k), (a + 1 + k, b)]
-        return pdf[keep]
+        return pdf[kept_points(pdf[["x", "y"]].to_numpy(float), tolerance)]
 
     cols = points.select(*keys, "frame", "x", "y")
     return cols.groupBy(*keys).applyInPandas(run, cols.schema)
