@@ -930,3 +930,10 @@ def tracks_with_pixels(spark, sf):
     t = _tracks(spark, sf).withColumn("frame", 3 * F.row_number().over(w).cast("long") - F.col("row_id") % 3).withColumn("source_id", F.col("row_id") + 1)
     p = t.where("row_id % 5 > 0").select("flight_id", F.col("row_id").alias("place"), *[(F.col(c) * 2).alias(c) for c in ("x1", "y1", "x2", "y2")])
     return georeference.tracks_in_both(t, p).select("flight_id", "track_id", "frame", *r4("x1", "px1"), "interpolated")
+
+
+@query("""with t as (select (r * 4 + c)::bigint as tile, c * 300 as x, r * 300 as y, least(428, 1000 - c * 300) as w, least(428, 700 - r * 300) as h from range(0, 3) t(r), range(0, 4) u(c))
+select tile, round(100 + x * 0.5e0, 4) as min_x, round(900 - (y + h) * 0.25e0, 4) as min_y, round(100 + (x + w) * 0.5e0, 4) as max_x, round(900 - y * 0.25e0, 4) as max_y from t""")
+def tile_bounds(spark, sf):
+    t = rasters.tile_extents(rasters.tiles(spark, 1000, 700, 428, 128), (100.0, 725.0, 600.0, 900.0), 1000, 700)
+    return t.select("tile", *r4("min_x", "min_y", "max_x", "max_y"))

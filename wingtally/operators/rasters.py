@@ -92,6 +92,13 @@ def tiles(spark, width: int, height: int, size: int, overlap: int = 0) -> DataFr
     return t.select((F.col("r") * math.ceil(width / step) + F.col("c")).alias("tile"), (F.col("c") * step).cast("long").alias("x"), (F.col("r") * step).alias("y"), F.least(F.lit(size), width - F.col("c") * step).cast("long").alias("w"), F.least(F.lit(size), height - F.col("r") * step).cast("long").alias("h"))
 
 
+def tile_extents(tiles: DataFrame, bounds: tuple[float, float, float, float], width: int, height: int) -> DataFrame:
+    """tiles (x, y, w, h in pixels from the upper left) with the world bounds of what each shows, of a picture of the given size over the bounds."""
+    sx, sy = (bounds[2] - bounds[0]) / width, (bounds[3] - bounds[1]) / height
+    x, y = F.col("x"), F.col("y")
+    return tiles.select("*", (bounds[0] + x * sx).alias("min_x"), (bounds[3] - (y + F.col("h")) * sy).alias("min_y"), (bounds[0] + (x + F.col("w")) * sx).alias("max_x"), (bounds[3] - y * sy).alias("max_y"))
+
+
 def eroded(cells: DataFrame, times: int = 1) -> DataFrame:
     """Valid cells (row, col) whose four neighbours are valid, again and again; what lies outside is not valid."""
     for _ in range(times):
