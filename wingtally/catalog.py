@@ -99,8 +99,8 @@ def gimbal_angles(spark, sf):
 # Eccentricity, rectifying radius and series coefficients of the WGS 84 ellipsoid, for a conformal latitude by asinh.
 _UTM = """u0 as (select *, sinh(asinh(tan(radians(lat))) - 0.0818191908426215e0 * atanh(0.0818191908426215e0 * sin(radians(lat)))) as t, radians(lon - 15) as dl from tele),
   u1 as (select *, atan2(t, cos(dl)) as xi, asinh(sin(dl) / sqrt(t * t + cos(dl) * cos(dl))) as eta from u0),
-  utm as (select *, 500000 + 0.9996e0 * 6367449.14582341532e0 * (eta + 8.3773182062446983e-4 * cos(2 * xi) * sinh(2 * eta) + 7.608527773572489e-7 * cos(4 * xi) * sinh(4 * eta) + 1.1976455032424921e-9 * cos(6 * xi) * sinh(6 * eta) + 2.42917068e-12 * cos(8 * xi) * sinh(8 * eta)) as east,
-    0.9996e0 * 6367449.14582341532e0 * (xi + 8.3773182062446983e-4 * sin(2 * xi) * cosh(2 * eta) + 7.608527773572489e-7 * sin(4 * xi) * cosh(4 * eta) + 1.1976455032424921e-9 * sin(6 * xi) * cosh(6 * eta) + 2.42917068e-12 * sin(8 * xi) * cosh(8 * eta)) as north from u1)"""
+  utm as (select *, 500000 + 0.9996e0 * 6367449.14582341532e0 * (eta + 8.3773182062446983e-4 * cos(2 * xi) * sinh(2 * eta) + 7.608527773572489e-7 * cos(4 * xi) * sinh(4 * eta) + 1.1976455032424921e-9 * cos(6 * xi) * sinh(6 * eta) + 2.42917068e-12 * cos(8 * xi) * sinh(8 * eta) + 5.7118e-15 * cos(10 * xi) * sinh(10 * eta)) as east,
+    0.9996e0 * 6367449.14582341532e0 * (xi + 8.3773182062446983e-4 * sin(2 * xi) * cosh(2 * eta) + 7.608527773572489e-7 * sin(4 * xi) * cosh(4 * eta) + 1.1976455032424921e-9 * sin(6 * xi) * cosh(6 * eta) + 2.42917068e-12 * sin(8 * xi) * cosh(8 * eta) + 5.7118e-15 * sin(10 * xi) * cosh(10 * eta)) as north from u1)"""
 
 
 @query(f"with {_UTM} select id, round(east, 3) as east, round(north, 3) as north from utm")

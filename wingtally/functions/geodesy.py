@@ -13,8 +13,11 @@ EARTH = 6371000.0
 
 _n = _F / (2 - _F)
 _R = _A / (1 + _n) * (1 + _n**2 / 4 + _n**4 / 64)
-# Coefficients of the series to the fourth order.
-_ALPHA = [_n / 2 - 2 * _n**2 / 3 + 5 * _n**3 / 16 + 41 * _n**4 / 180, 13 * _n**2 / 48 - 3 * _n**3 / 5 + 557 * _n**4 / 1440, 61 * _n**3 / 240 - 103 * _n**4 / 140, 49561 * _n**4 / 161280]
+# Coefficients of the series, forward to the fifth order and back to the fourth.
+_ALPHA = [
+    _n / 2 - 2 * _n**2 / 3 + 5 * _n**3 / 16 + 41 * _n**4 / 180 - 127 * _n**5 / 288, 13 * _n**2 / 48 - 3 * _n**3 / 5 + 557 * _n**4 / 1440 + 281 * _n**5 / 630,
+    61 * _n**3 / 240 - 103 * _n**4 / 140 + 15061 * _n**5 / 26880, 49561 * _n**4 / 161280 - 179 * _n**5 / 168, 34729 * _n**5 / 80640,
+]
 _BETA = [_n / 2 - 2 * _n**2 / 3 + 37 * _n**3 / 96 - _n**4 / 360, _n**2 / 48 + _n**3 / 15 - 437 * _n**4 / 1440, 17 * _n**3 / 480 - 37 * _n**4 / 840, 4397 * _n**4 / 161280]
 _DELTA = [2 * _n - 2 * _n**2 / 3 - 2 * _n**3 + 116 * _n**4 / 45, 7 * _n**2 / 3 - 8 * _n**3 / 5 - 227 * _n**4 / 45, 56 * _n**3 / 15 - 136 * _n**4 / 35, 4279 * _n**4 / 630]
 

@@ -60,17 +60,34 @@ def density(points: DataFrame, cell: float = 5.0, bandwidth: float = 25.0) -> Da
     return cells.select("row", "col", (F.col("v") / (grid["cell"] ** 2 / 10_000)).alias("density"))
 
 
+def _row_spans(rings: DataFrame, x0: float, y0: float, cell: float, down: bool) -> DataFrame:
+    """rings with a row for each stretch of cells of a grid's row whose centres a ring (array of points) holds: row, and its first and last column lo and hi. Rows count down or up from y0.
+
+    A ring's edges are met once a row, at the height of the row's centres, and pair up from left to right."""
+    sign = -1 if down else 1
+    e = rings.withColumn("_e", boxes.extent(F.col("ring"))).where("_e.x1 is not null")
+    near, far = ((y0 - F.col("_e.y2"), y0 - F.col("_e.y1")) if down else (F.col("_e.y1") - y0, F.col("_e.y2") - y0))
+    low, high = F.ceil(near / cell - 0.5), F.floor(far / cell - 0.5)
+    e = e.where(low <= high).withColumn("row", F.explode(F.sequence(low, high))).withColumn("_y", y0 + sign * (F.col("row") + 0.5) * cell)
+
+    def crossing(p, i):
+        q = F.get(F.col("ring"), (i + 1) % F.size("ring"))
+        at = p["x"] + (F.col("_y") - p["y"]) * (q["x"] - p["x"]) / F.nullif(q["y"] - p["y"], F.lit(0.0))
+        return F.when((p["y"] <= F.col("_y")) != (q["y"] <= F.col("_y")), at)
+
+    e = e.withColumn("_xs", F.array_sort(F.filter(F.transform("ring", crossing), lambda x: x.isNotNull())))
+    pairs = F.filter(F.transform("_xs", lambda x, i: F.when(i % 2 == 0, F.struct(x.alias("a"), F.get(F.col("_xs"), i + 1).alias("b")))), lambda p: p.isNotNull())
+    e = e.withColumn("_p", F.explode(pairs)).withColumn("lo", F.ceil((F.col("_p.a") - x0) / cell - 0.5)).withColumn("hi", F.floor((F.col("_p.b") - x0) / cell - 0.5))
+    return e.where("lo <= hi").drop("_e", "_y", "_xs", "_p")
+
+
 def coverage(footprints: DataFrame, cell: float = 1.0) -> DataFrame:
     """How many rings (ring: array of points) hold each cell's centre."""
-    e = footprints.withColumn("_e", boxes.extent(F.col("ring"))).where("_e.x1 is not null")
-    b = e.agg(F.min("_e.x1"), F.max("_e.y2")).first()
+    b = footprints.select(boxes.extent(F.col("ring")).alias("_e")).agg(F.min("_e.x1"), F.max("_e.y2")).first()
     if b[0] is None:
         return footprints.sparkSession.createDataFrame([], "row long, col long, n long")
-    x0, y0 = b
-    span = lambda lo, hi: F.sequence(F.floor(lo).cast("long"), F.floor(hi).cast("long"))
-    cells = e.withColumn("col", F.explode(span((F.col("_e.x1") - x0) / cell, (F.col("_e.x2") - x0) / cell))).withColumn("row", F.explode(span((y0 - F.col("_e.y2")) / cell, (y0 - F.col("_e.y1")) / cell)))
-    inside = boxes.inside_ring(x0 + (F.col("col") + 0.5) * cell, y0 - (F.col("row") + 0.5) * cell, F.col("ring"))
-    return cells.where(inside).groupBy("row", "col").agg(F.count("*").alias("n"))
+    cells = _row_spans(footprints, b[0], b[1], cell, True).select("row", F.explode(F.sequence("lo", "hi")).alias("col"))
+    return cells.groupBy("row", "col").agg(F.count("*").alias("n"))
 
 
 def render_size(width_m: float, height_m: float, resolution: float | None = None, fixed: int | None = None, most: int | None = None) -> tuple[int, int]:
@@ -156,11 +173,11 @@ def vertex_normals(vertices: DataFrame, faces: DataFrame) -> DataFrame:
 
 
 def union_area(rings: DataFrame, key: str, cell: float) -> DataFrame:
-    """Area of the union of a key's rings, by cells whose centre is inside: exact up to the cells that borders cut."""
-    e = rings.withColumn("_e", boxes.extent(F.col("ring"))).where("_e.x1 is not null")
-    span = lambda lo, hi: F.sequence(F.floor(F.col(lo) / cell).cast("long"), F.floor(F.col(hi) / cell).cast("long"))
-    c = e.withColumn("_c", F.explode(span("_e.x1", "_e.x2"))).withColumn("_r", F.explode(span("_e.y1", "_e.y2"))).where(boxes.inside_ring((F.col("_c") + 0.5) * cell, (F.col("_r") + 0.5) * cell, F.col("ring")))
-    return c.groupBy(key, "_c", "_r").agg(F.lit(1).alias("_1")).groupBy(key).agg((F.count("*") * cell * cell).alias("area"))
+    """Area of the union of a key's rings, by cells whose centre is inside: exact up to the cells that borders cut. Stretches of a row that overlap are joined, so no cell is a row by itself."""
+    s = _row_spans(rings, 0.0, 0.0, cell, False)
+    before = F.max("hi").over(Window.partitionBy(key, "row").orderBy("lo", "hi").rowsBetween(Window.unboundedPreceding, -1))
+    s = s.withColumn("_n", F.greatest(F.lit(0), F.col("hi") - F.greatest(F.col("lo"), F.coalesce(before + 1, F.col("lo"))) + 1))
+    return s.groupBy(key).agg((F.sum("_n") * cell * cell).alias("area"))
 
 
 def _area_between(edges: np.ndarray, owner: np.ndarray, low: float, high: float) -> float:
