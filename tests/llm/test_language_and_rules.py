@@ -84,5 +84,5 @@ def test_language(spark, odd):
     assert language.identify(odd.limit(0), model).count() == 0
     none = language.train([])
     assert {r.lang_pred for r in language.identify(odd, none).collect()} == {"und"}
-    with pytest.raises(ValueError):
-        language.identify(odd.withColumnRenamed("score_", "score"), model)
+    clash = language.identify(odd.withColumnRenamed("score_", "score"), model)  # the result's columns take the place of those of their names
+    assert clash.columns == [*odd.columns[:-1], "lang_pred", "score", "rejected"] and {round(r.score, 6) for r in clash.collect()} == {round(r.score, 6) for r in got}
