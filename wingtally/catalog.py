@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from . import plans
 from .functions import boxes, geodesy, optics
-from .operators import clocks, estimators, georeference, joins, paths, rasters, terrain, tracking, tracks
+from .operators import clocks, estimators, georeference, joins, paths, rasters, shots, terrain, tracking, tracks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -133,38 +133,47 @@ def sphere_tiles_dms(spark, sf):
     return plans.telemetry(spark, sf).select("id", F.round(lat2, 7).alias("lat2"), x.alias("tile_x"), y.alias("tile_y"), dms["deg"].alias("deg"), dms["min"].alias("min"))
 
 
-@query("""select id, round(-alt / -cos(radians(pitch + 90)) * sin(radians(pitch + 90)) * sin(radians(heading)), 4) as gx, round(-alt / -cos(radians(pitch + 90)) * sin(radians(pitch + 90)) * cos(radians(heading)), 4) as gy
-from tele where pitch + 90 < 80 and alt > 1""")
+@query("""select id, case when alt >= 0 then round(alt / cos(radians(pitch + 90)) * sin(radians(pitch + 90)) * sin(radians(heading)), 4) + 0 end as gx, case when alt >= 0 then round(alt / cos(radians(pitch + 90)) * sin(radians(pitch + 90)) * cos(radians(heading)), 4) + 0 end as gy
+from tele""")
 def ground_of_centre_pixel(spark, sf):
-    t = plans.telemetry(spark, sf).where("pitch + 90 < 80 and alt > 1")
-    gx, gy = optics.pixel_to_ground(F.lit(256.0), F.lit(256.0), (F.lit(0.0), F.lit(0.0), F.col("alt")), F.col("pitch") + 90, F.col("heading"), 50.0, 512.0, 512.0)
-    return t.select("id", F.round(gx, 4).alias("gx"), F.round(gy, 4).alias("gy"))
+    t = plans.telemetry(spark, sf)
+    gx, gy = optics.pixel_to_ground(F.lit(256.0), F.lit(256.0), (F.lit(0.0), F.lit(0.0), F.col("alt")), F.col("pitch") + 90, F.col("heading"), 50.0, 512.0, 512.0, roll=F.col("roll"))
+    return t.select("id", (F.round(gx, 4) + 0).alias("gx"), (F.round(gy, 4) + 0).alias("gy"))
 
 
-_POSE = """b as (select *, radians(pitch + 90) as t, radians(heading) as h, tan(radians(25)) as k from tele where pitch + 90 < 60 and alt > 1),
-  pose as (select *, sin(t) * sin(h) as f0, sin(t) * cos(h) as f1, -cos(t) as f2, cos(h) as r0, -sin(h) as r1, cos(t) * sin(h) as u0, cos(t) * cos(h) as u1, sin(t) as u2 from b)"""
+_POSE = """b as (select *, radians(pitch + 90) as t, radians(heading) as h, radians(roll) as w, tan(radians(25)) as k from tele),
+  pose as (select *, sin(t) * sin(h) as f0, sin(t) * cos(h) as f1, -cos(t) as f2, cos(w) * cos(h) - sin(w) * cos(t) * sin(h) as r0, -cos(w) * sin(h) - sin(w) * cos(t) * cos(h) as r1, -sin(w) * sin(t) as r2,
+    sin(w) * cos(h) + cos(w) * cos(t) * sin(h) as u0, -sin(w) * sin(h) + cos(w) * cos(t) * cos(h) as u1, cos(w) * sin(t) as u2 from b)"""
 
 
-@query(f"""with {_POSE}, d as (select *, (2 * 100 / 512.0e0 - 1) * k as a, (1 - 2 * 200 / 512.0e0) * k as c from pose), s as (select *, -alt / (f2 + c * u2) as s from d where f2 + c * u2 < 0)
-select id, round(s * (f0 + a * r0 + c * u0), 3) as gx, round(s * (f1 + a * r1 + c * u1), 3) as gy, 100.0e0 as px, 200.0e0 as py from s""")
+@query(f"""with {_POSE}, d as (select *, (2 * 100 / 512.0e0 - 1) * k as a, (1 - 2 * 200 / 512.0e0) * k as c from pose), e as (select *, f2 + a * r2 + c * u2 as dz from d), s as (select *, case when dz < 0 and alt >= 0 then -alt / dz end as s from e)
+select id, round(s * (f0 + a * r0 + c * u0), 3) as gx, round(s * (f1 + a * r1 + c * u1), 3) as gy, case when s > 0 then 100.0e0 end as px, case when s > 0 then 200.0e0 end as py from s""")
 def pixel_round_trip(spark, sf):
-    """A pixel's place on flat ground, and the pixel of that place."""
+    """A pixel's place on flat ground, and the pixel of that place; null where the ray does not go down, or from the ground itself."""
     pos = (F.lit(0.0), F.lit(0.0), F.col("alt"))
-    t = plans.telemetry(spark, sf).where("pitch + 90 < 60 and alt > 1").withColumn("tilt", F.col("pitch") + 90)
-    gx, gy = optics.pixel_to_ground(F.lit(100.0), F.lit(200.0), pos, F.col("tilt"), F.col("heading"), 50.0, 512.0, 512.0)
-    t = t.withColumn("gx", gx).withColumn("gy", gy).where("gx is not null")
-    px, py = optics.world_to_pixel((F.col("gx"), F.col("gy"), F.lit(0.0)), pos, F.col("tilt"), F.col("heading"), 50.0, 512.0, 512.0)
+    t = plans.telemetry(spark, sf).withColumn("tilt", F.col("pitch") + 90)
+    gx, gy = optics.pixel_to_ground(F.lit(100.0), F.lit(200.0), pos, F.col("tilt"), F.col("heading"), 50.0, 512.0, 512.0, roll=F.col("roll"))
+    t = t.withColumn("gx", gx).withColumn("gy", gy)
+    px, py = optics.world_to_pixel((F.col("gx"), F.col("gy"), F.lit(0.0)), pos, F.col("tilt"), F.col("heading"), 50.0, 512.0, 512.0, F.col("roll"))
     return t.select("id", *[F.round(c, 3).alias(c) for c in ("gx", "gy")], F.round(px, 3).alias("px"), F.round(py, 3).alias("py"))
 
 
-@query(f"""with {_POSE}, v as (select *, id % 41 - 20 as x, id % 31 - 15 as y from pose), w as (select *, x * f0 + y * f1 - alt * f2 as depth, x * r0 + y * r1 as side, x * u0 + y * u1 - alt * u2 as up from v)
+@query(f"""with {_POSE}, v as (select *, id % 41 - 20 as x, id % 31 - 15 as y from pose), w as (select *, x * f0 + y * f1 - alt * f2 as depth, x * r0 + y * r1 - alt * r2 as side, x * u0 + y * u1 - alt * u2 as up from v)
 select id, case when depth > 0 then round((side / (depth * k) + 1) * 256, 3) end as px, case when depth > 0 then round(512 - (up / (depth * k) + 1) * 256, 3) end as py from w""")
 def points_in_pictures(spark, sf):
-    """Places on the ground as pixels; null behind the camera."""
-    t = plans.telemetry(spark, sf).where("pitch + 90 < 60 and alt > 1")
+    """Places on the ground as pixels of cameras with tilt, heading and roll; null behind the camera."""
     point = ((F.col("id") % 41 - 20).cast("double"), (F.col("id") % 31 - 15).cast("double"), F.lit(0.0))
-    px, py = optics.world_to_pixel(point, (F.lit(0.0), F.lit(0.0), F.col("alt")), F.col("pitch") + 90, F.col("heading"), 50.0, 512.0, 512.0)
-    return t.select("id", F.round(px, 3).alias("px"), F.round(py, 3).alias("py"))
+    px, py = optics.world_to_pixel(point, (F.lit(0.0), F.lit(0.0), F.col("alt")), F.col("pitch") + 90, F.col("heading"), 50.0, 512.0, 512.0, F.col("roll"))
+    return plans.telemetry(spark, sf).select("id", F.round(px, 3).alias("px"), F.round(py, 3).alias("py"))
+
+
+@query(f"""with {_POSE} select id, round(pitch + 90, 4) as tilt, case when pitch > -90 then round(heading, 4) else round((heading + roll + 720) % 360, 4) end as heading, case when pitch > -90 then round(roll, 4) else 0 end as roll, round(r2, 6) + 0 as dip from pose""")
+def camera_angles(spark, sf):
+    """Angles of cameras from their axes: the inverse of the rotation."""
+    f, r, u = optics.basis(F.col("pitch") + 90, F.col("heading"), F.col("roll"))
+    tilt, heading, roll = optics.angles(f, r, u)
+    whole = F.pmod(F.round(heading, 4), F.lit(360.0))
+    return plans.telemetry(spark, sf).select("id", F.round(tilt, 4).alias("tilt"), whole.alias("heading"), F.round(roll, 4).alias("roll"), (F.round(r[2], 6) + 0).alias("dip"))
 
 
 @query("""select id, round(4 * greatest(alt, 1) * greatest(alt, 1) * power(tan(radians(25)), 2) * 4 / 3, 3) as area from tele""")
@@ -717,17 +726,18 @@ def merged_subtitles(spark, sf):
     return paths.concatenated(t.select((F.col("flight_id") % 4).alias("file_no"), "id", (F.col("frame") * 100).alias("start_ms"), (F.col("frame") * 100 + 90).alias("end_ms"))).select("file_no", "id", "start_ms", "end_ms")
 
 
-_CAST = """p as (select flight_id, frame, x as east, y as north, 30 + z as up, radians(frame % 40) as t, radians(frame * 17 % 360) as h, tan(radians(25)) as k from route),
-  q as (select p.*, {cols}, (2 * px / 512 - 1) * k as a, (1 - 2 * py / 512) * k as c from {rows}),
+_CAST = """p as (select flight_id, frame, (lat - 48) * 111320.0e0 as east, (lon - 14) * 74500.0e0 as north, 30 + alt as up, radians(frame % 40) as t, radians(frame * 17 % 360) as h, radians(roll) as w, tan(radians(25)) as k from tele),
+  o as (select p.*, {cols}, (2 * px / 512 - 1) * k as a0, (1 - 2 * py / 512) * k as c0 from {rows}),
+  q as (select *, a0 * cos(w) + c0 * sin(w) as a, c0 * cos(w) - a0 * sin(w) as c from o),
   r as (select *, sin(t) * sin(h) + a * cos(h) + c * cos(t) * sin(h) as d0, sin(t) * cos(h) - a * sin(h) + c * cos(t) * cos(h) as d1, -cos(t) + c * sin(t) as d2 from q),
   g as (select *, case when d2 < 0 then east - up / d2 * d0 end as gx, case when d2 < 0 then north - up / d2 * d1 end as gy from r)"""
 
 
 def _tilted(spark, sf):
-    return plans.routes(spark, sf).selectExpr("flight_id", "frame", "x as east", "y as north", "30 + z as up", "cast(frame % 40 as double) as tilt", "cast(frame * 17 % 360 as double) as heading")
+    return plans.telemetry(spark, sf).selectExpr("flight_id", "frame", "(lat - 48) * 111320.0D as east", "(lon - 14) * 74500.0D as north", "30 + alt as up", "cast(frame % 40 as double) as tilt", "cast(frame * 17 % 360 as double) as heading", "roll")
 
 
-@query(f"""with b as (select flight_id, frame, row_id, unnest([x1, x2, x2, x1]) as px, unnest([y1, y1, y2, y2]) as py from det), {_CAST.format(cols="b.row_id, b.px, b.py", rows="b left join p using (flight_id, frame)").replace("select p.*, b.row_id", "select b.flight_id, b.frame, east, north, up, t, h, k, b.row_id")}
+@query(f"""with b as (select flight_id, frame, row_id, unnest([x1, x2, x2, x1]) as px, unnest([y1, y1, y2, y2]) as py from det), {_CAST.format(cols="b.row_id, b.px, b.py", rows="b left join p using (flight_id, frame)").replace("select p.*, b.row_id", "select b.flight_id, b.frame, east, north, up, t, h, w, k, b.row_id")}
 select flight_id, frame, row_id, round(min(gx), 3) as min_x, round(min(gy), 3) as min_y, round(max(gx), 3) as max_x, round(max(gy), 3) as max_y from g group by 1, 2, 3""")
 def boxes_on_ground(spark, sf):
     b = plans.detections(spark, sf)
@@ -742,14 +752,102 @@ def frame_footprints(spark, sf):
     return ring.select("flight_id", "frame", at(0, "x").alias("x1"), at(0, "y").alias("y1"), at(2, "x").alias("x3"), at(2, "y").alias("y3"), F.size("ring").cast("long").alias("corners"))
 
 
-@query(f"""with {_HEIGHTS}, p as (select row_id, x1 + 0.3 as px, y1 + 0.05 + (row_id % 9) * 0.1 as py from det),
-  q as (select p.*, px - floor(px) as tx, py - floor(py) as ty, a.z as z0, b.z as z1, c.z as z2, d.z as z3 from p left join h a on a."row" = floor(py) and a.col = floor(px) left join h b on b."row" = floor(py) and b.col = floor(px) + 1 left join h c on c."row" = floor(py) + 1 and c.col = floor(px) left join h d on d."row" = floor(py) + 1 and d.col = floor(px) + 1)
-select * from (select row_id, round(px, 4) as gx, round(49 - py, 4) as gy, round(case when tx + ty <= 1 then z0 + tx * (z1 - z0) + ty * (z2 - z0) else z3 + (1 - tx) * (z2 - z3) + (1 - ty) * (z1 - z3) end, 4) as gz from q) where gz is not null""")
+_RAYS = """(select row_id, x1 + 0.3 as ox, 49 - (y1 + 0.05 + (row_id % 9) * 0.1) as oy, 60.0e0 as oz, radians(row_id % 25) as t, radians(row_id * 17 % 360) as h, radians(row_id % 13 - 6) as w,
+    (2 * (40 + row_id * 7 % 430) / 512.0e0 - 1) * tan(radians(25)) as a, (1 - 2 * (60 + row_id * 11 % 390) / 512.0e0) * tan(radians(25)) as c from det)"""
+
+
+@query(f"""with {_HEIGHTS}, turned as (select *, a * cos(w) + c * sin(w) as a2, c * cos(w) - a * sin(w) as c2 from {_RAYS}),
+  d as (select *, sin(t) * sin(h) + a2 * cos(h) + c2 * cos(t) * sin(h) as dx, sin(t) * cos(h) - a2 * sin(h) + c2 * cos(t) * cos(h) as dy, -cos(t) + c2 * sin(t) as dz from turned),
+  e as (select d.*, (hi - oz) / dz as s0, (lo - oz) / dz as s1 from d, (select max(z) as hi, min(z) as lo from h)),
+  x as (select *, unnest(range(floor(least(ox + s0 * dx, ox + s1 * dx))::bigint, floor(greatest(ox + s0 * dx, ox + s1 * dx))::bigint + 1)) as col from e),
+  y as (select *, unnest(range(floor(least(49 - oy - s0 * dy, 49 - oy - s1 * dy))::bigint, floor(greatest(49 - oy - s0 * dy, 49 - oy - s1 * dy))::bigint + 1)) as "row" from x),
+  q as (select y.*, unnest([{{'x': y.col, 'y': 49 - y."row", 'z': p0.z, 'e': 1, 'ez': p1.z - p0.z, 'f': -1, 'fz': p2.z - p0.z}}, {{'x': y.col + 1, 'y': 48 - y."row", 'z': p3.z, 'e': -1, 'ez': p2.z - p3.z, 'f': 1, 'fz': p1.z - p3.z}}]) as v
+    from y join h p0 on p0."row" = y."row" and p0.col = y.col join h p1 on p1."row" = y."row" and p1.col = y.col + 1 join h p2 on p2."row" = y."row" + 1 and p2.col = y.col join h p3 on p3."row" = y."row" + 1 and p3.col = y.col + 1),
+  m as (select row_id, ox, oy, oz, dx, dy, dz, v.e as ex, v.ez as ez, v.f as fy, v.fz as fz, dy * v.fz - dz * v.f as p1, -dx * v.fz as p2, dx * v.f as p3, ox - v.x as tx, oy - v.y as ty, oz - v.z as tz from q),
+  k as (select *, ex * p1 + ez * p3 as det, tx * p1 + ty * p2 + tz * p3 as u, ty * ez as q1, tz * ex - tx * ez as q2, -ty * ex as q3 from m),
+  i as (select row_id, ox, oy, oz, dx, dy, dz, u / det as u, (dx * q1 + dy * q2 + dz * q3) / det as v, (fy * q2 + fz * q3) / det as s from k where det <> 0),
+  n as (select row_id, min(s) as s, any_value(ox) as ox, any_value(oy) as oy, any_value(oz) as oz, any_value(dx) as dx, any_value(dy) as dy, any_value(dz) as dz from i where s >= 0 and u >= -1e-9 and v >= -1e-9 and u + v <= 1 + 1e-9 group by row_id)
+select d.row_id, round(n.ox + n.s * n.dx, 4) as gx, round(n.oy + n.s * n.dy, 4) as gy, round(n.oz + n.s * n.dz, 4) as gz from det d left join n using (row_id)""")
 def terrain_hits(spark, sf):
-    """Where rays straight down meet a heightfield."""
-    d = plans.detections(spark, sf).selectExpr("row_id", "256.0D as px", "256.0D as py", "x1 + 0.3 as east", "49 - (y1 + 0.05 + (row_id % 9) * 0.1) as north", "100.0D as up", "0.0D as tilt", "0.0D as heading")
-    out = terrain.pixels_to_heights(d, _heights(spark, sf), 50, 1.0, 50.0, 512.0, 512.0)
-    return out.where("gz is not null").select("row_id", *r4("gx", "gy", "gz"))
+    """Where rays of tilted and rolled cameras first meet a rugged heightfield; the SQL meets each triangle under a ray by edges and cross products."""
+    d = plans.detections(spark, sf).selectExpr(
+        "row_id", "cast(40 + row_id * 7 % 430 as double) as px", "cast(60 + row_id * 11 % 390 as double) as py", "x1 + 0.3 as east", "49 - (y1 + 0.05 + (row_id % 9) * 0.1) as north", "60.0D as up",
+        "cast(row_id % 25 as double) as tilt", "cast(row_id * 17 % 360 as double) as heading", "cast(row_id % 13 - 6 as double) as roll",
+    )
+    return terrain.pixels_to_heights(d, _heights(spark, sf), 50, 1.0, 50.0, 512.0, 512.0).select("row_id", *r4("gx", "gy", "gz"))
+
+
+_SLOPE_POSES = """p as (select distinct flight_id, frame, 20.0e0 + frame % 80 as ox, 15.0e0 + frame * 7 % 70 as oy, 40.0e0 as oz, radians(frame % 35) as t, radians(frame * 17 % 360) as h, radians(frame % 11 - 5) as w from det)"""
+_SLOPE_HITS = """k as (select *, (2 * px / 512 - 1) * tan(radians(25)) as a0, (1 - 2 * py / 512) * tan(radians(25)) as c0 from r), d as (select *, a0 * cos(w) + c0 * sin(w) as a, c0 * cos(w) - a0 * sin(w) as c from k),
+  e as (select *, sin(t) * sin(h) + a * cos(h) + c * cos(t) * sin(h) as dx, sin(t) * cos(h) - a * sin(h) + c * cos(t) * cos(h) as dy, -cos(t) + c * sin(t) as dz from d), s as (select *, (0.2e0 * ox + 0.1e0 * oy - 7 - oz) / (dz - 0.2e0 * dx - 0.1e0 * dy) as s from e),
+  g as (select *, s >= 0 and ox + s * dx between 0 and 120 and oy + s * dy between 0 and 120 as hit from s)"""
+
+
+def _slope(spark):
+    """A slope of 31 x 31 points, 4 m apart."""
+    return spark.range(961).select(F.floor(F.col("id") / 31).alias("row"), (F.col("id") % 31).alias("col")).withColumn("z", 0.8 * F.col("col") + 0.4 * (30 - F.col("row")) - 7)
+
+
+def _slope_poses(spark, sf):
+    return plans.detections(spark, sf).select("flight_id", "frame").distinct().selectExpr("flight_id", "frame", "20.0D + frame % 80 as east", "15.0D + frame * 7 % 70 as north", "40.0D as up", "cast(frame % 35 as double) as tilt", "cast(frame * 17 % 360 as double) as heading", "cast(frame % 11 - 5 as double) as roll")
+
+
+@query(f"""with {_SLOPE_POSES}, b as (select flight_id, frame, row_id, unnest([{{'i': 0, 'x': x1, 'y': y1}}, {{'i': 1, 'x': x2, 'y': y1}}, {{'i': 2, 'x': x2 * 2, 'y': y2 * 3}}, {{'i': 3, 'x': x1, 'y': y2}}]) as spot from det),
+  r as (select b.row_id, spot.i as corner, p.*, spot.x * 3 as px, spot.y * 3 as py from b join p using (flight_id, frame)), {_SLOPE_HITS}
+select row_id, corner, case when hit then round(ox + s * dx, 3) end as x, case when hit then round(oy + s * dy, 3) end as y, case when hit then round(oz + s * dz, 3) end as z from g""")
+def polygons_on_terrain(spark, sf):
+    """Corners of polygons on a slope, in order, null where their rays pass the field."""
+    at = lambda x, y: F.struct((x * 3).alias("x"), (y * 3).alias("y"))
+    x1, y1, x2, y2 = map(F.col, ("x1", "y1", "x2", "y2"))
+    d = plans.detections(spark, sf).select("flight_id", "frame", "row_id", F.array(at(x1, y1), at(x2, y1), at(x2 * 2, y2 * 3), at(x1, y2)).alias("ring"))
+    out = terrain.rings_to_heights(d, _slope_poses(spark, sf), _slope(spark), 31, 4.0, 50.0, 512.0, 512.0)
+    return out.select("row_id", F.posexplode("ground_ring").alias("corner", "p")).select("row_id", "corner", *[F.round(F.col(f"p.{c}"), 3).alias(c) for c in "xyz"])
+
+
+@query(f"""with {_SLOPE_POSES}, r as (select * from p, (select unnest([0, 1, 2, 3]) as corner, unnest([0, 511, 511, 0]) as px, unnest([0, 0, 511, 511]) as py)), {_SLOPE_HITS}
+select flight_id, frame, corner, case when hit then round(ox + s * dx, 3) end as x, case when hit then round(oy + s * dy, 3) end as y from g""")
+def footprints_on_terrain(spark, sf):
+    out = terrain.footprints_on_heights(_slope_poses(spark, sf), _slope(spark), 31, 4.0, 50.0, 512.0, 512.0)
+    return out.select("flight_id", "frame", F.posexplode("ground_ring").alias("corner", "p")).select("flight_id", "frame", "corner", *[F.round(F.col(f"p.{c}"), 3).alias(c) for c in "xy"])
+
+
+_SHOTS = """hills as (select "row", col, z * 0.1e0 as z from h), p as (select flight_id, frame, id, 3 + id * 37 % 9400 / 100.0e0 as ox, 3 + id * 53 % 4400 / 100.0e0 as oy, 15.3e0 + id % 7 as oz, radians(id % 30 + 0.37e0) as t, radians(id * 17 % 360 + 0.21e0) as h, radians(roll + 0.13e0) as w, tan(radians(15)) as k from tele),
+  b as (select *, sin(t) * sin(h) as f0, sin(t) * cos(h) as f1, -cos(t) as f2, cos(w) * cos(h) - sin(w) * cos(t) * sin(h) as r0, -cos(w) * sin(h) - sin(w) * cos(t) * cos(h) as r1, -sin(w) * sin(t) as r2,
+    sin(w) * cos(h) + cos(w) * cos(t) * sin(h) as u0, -sin(w) * sin(h) + cos(w) * cos(t) * cos(h) as u1, cos(w) * sin(t) as u2 from p),
+  n as (select *, floor(ox)::bigint + i as col, floor(49 - oy)::bigint + j as "row" from b, (select unnest(range(-6, 7)) as i), (select unnest(range(-6, 7)) as j)),
+  o as (select n.*, hills.z, n.col - ox as dx, 49 - n."row" - oy as dy, hills.z - oz as dz from n join hills on hills."row" = n."row" and hills.col = n.col),
+  seen as (select *, dx * f0 + dy * f1 + dz * f2 as d, ((dx * r0 + dy * r1 + dz * r2) / ((dx * f0 + dy * f1 + dz * f2) * k) + 1) * 8 as px, 16 - ((dx * u0 + dy * u1 + dz * u2) / ((dx * f0 + dy * f1 + dz * f2) * k) + 1) * 8 as py from o),
+  q as (select a.id, a."row", a.col, a.px as x0, a.py as y0, a.d as d0, b.px as x1, b.py as y1, b.d as d1, c.px as x2, c.py as y2, c.d as d2, e.px as x3, e.py as y3, e.d as d3 from seen a join seen b on b.id = a.id and b."row" = a."row" and b.col = a.col + 1 join seen c on c.id = a.id and c."row" = a."row" + 1 and c.col = a.col
+    join seen e on e.id = a.id and e."row" = a."row" + 1 and e.col = a.col + 1 where power(a.col + 0.5 - a.ox, 2) + power(48.5 - a."row" - a.oy, 2) <= 25),
+  tri as (select id, "row", col, unnest([{'xa': x0 - 0.5, 'ya': y0 - 0.5, 'ad': d0, 'xb': x1 - 0.5, 'yb': y1 - 0.5, 'bd': d1, 'xc': x2 - 0.5, 'yc': y2 - 0.5, 'cd': d2}, {'xa': x3 - 0.5, 'ya': y3 - 0.5, 'ad': d3, 'xb': x2 - 0.5, 'yb': y2 - 0.5, 'bd': d2, 'xc': x1 - 0.5, 'yc': y1 - 0.5, 'cd': d1}]) as s from q),
+  g as (select *, (xb - xa) * (yc - ya) - (xc - xa) * (yb - ya) as area from (select id, "row", col, unnest(s) from tri) where ad > 0 and bd > 0 and cd > 0),
+  gu as (select *, unnest(range(greatest(ceil(least(xa, xb, xc)), 0)::bigint, least(floor(greatest(xa, xb, xc)), 15)::bigint + 1)) as u from g), gv as (select *, unnest(range(greatest(ceil(least(ya, yb, yc)), 0)::bigint, least(floor(greatest(ya, yb, yc)), 15)::bigint + 1)) as v from gu),
+  inside as (select *, ((xb - u) * (yc - v) - (xc - u) * (yb - v)) / area as wa, ((xc - u) * (ya - v) - (xa - u) * (yc - v)) / area as wb, ((xa - u) * (yb - v) - (xb - u) * (ya - v)) / area as wc from gv where area <> 0),
+  surface as (select id, v, u, min(1 / (wa / ad + wb / bd + wc / cd)) as near, arg_min(("row", col), 1 / (wa / ad + wb / bd + wc / cd)) as cell from inside where wa >= 0 and wb >= 0 and wc >= 0 group by id, v, u)"""
+
+
+def _shots(spark, sf):
+    t = plans.telemetry(spark, sf).selectExpr("flight_id", "frame", "id", "3 + id * 37 % 9400 / 100.0D as east", "3 + id * 53 % 4400 / 100.0D as north", "15.3D + id % 7 as up", "id % 30 + 0.37D as tilt", "id * 17 % 360 + 0.21D as heading", "roll + 0.13D as roll")
+    hills = _heights(spark, sf).withColumn("z", F.col("z") * 0.1)
+    return t, hills, shots.surfaces(hills, t, 50, 1.0, 30.0, 16.0, 16.0, (16, 16), 5.0)
+
+
+@query(f"with {_HEIGHTS}, {_SHOTS} select id, v, u, round(near, 4) as depth from surface")
+def nearest_surfaces(spark, sf):
+    """Depth of the terrain in each cell of each shot."""
+    t, _, surface = _shots(spark, sf)
+    return surface.join(t.select("flight_id", "frame", "id"), ["flight_id", "frame"]).select("id", "v", "u", F.round("depth", 4).alias("depth"))
+
+
+@query(f"""with {_HEIGHTS}, {_SHOTS}, open as (select s.* from seen s left join surface f on f.id = s.id and f.v = floor(s.py) and f.u = floor(s.px) where s.d > 0 and s.px >= 0 and s.px < 16 and s.py >= 0 and s.py < 16 and power(s.dx, 2) + power(s.dy, 2) <= 25 and (f.near is null or s.d <= f.near + 0.5))
+select "row", col, arg_min((id % 97 + floor(px) + 16 * floor(py)), d)::double as value, count(*) as layers from open group by all""")
+def shots_on_terrain(spark, sf):
+    """A mosaic of what all shots see of the terrain, hidden cells left out, the nearest camera's picture on top."""
+    t, hills, surface = _shots(spark, sf)
+    cells = hills.selectExpr("row", "col", "cast(col as double) as x", "cast(49 - row as double) as y", "z")
+    open_cells = shots.visible(cells, surface, t, 30.0, 16.0, 16.0, (16, 16), 5.0, 0.5)
+    values = t.select("flight_id", "frame", "id", F.explode(F.sequence(F.lit(0), F.lit(255))).alias("p")).selectExpr("flight_id", "frame", "cast(p div 16 as long) as prow", "cast(p % 16 as long) as pcol", "cast(id % 97 + p % 16 + 16 * (p div 16) as double) as value")
+    return shots.drawn(open_cells, values, t.select("flight_id", "frame", F.col("id").alias("shot"))).select("row", "col", "value", "layers")
 
 
 @query("""select event_id, json_extract_string(props, '$.k')::bigint as k, round(epoch(ts), 3) as epoch from events""")
