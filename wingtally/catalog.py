@@ -33,6 +33,11 @@ def r4(*columns: str):
     return [F.round(F.col(c), 4).alias(c) for c in columns]
 
 
+def even4(*columns: str):
+    """Columns to four places, moved a little first: values between rows end in 5 often, and engines round such ends apart."""
+    return [F.round(F.col(c) + 3.12e-6, 4).alias(c) for c in columns]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -250,24 +255,27 @@ def split_metres(spark, sf):
     return paths.split_by_distance(_cum(spark, sf), 30000.0)
 
 
-_TR = "tr as (select track_id % 20 as flight_id, track_id, frame, row_id, x1, y1, x2, y2, confidence, class_id from (select *, row_number() over (partition by track_id, frame order by row_id) as k from det) where k = 1)"
+_TR = "tr as (select track_id % 20 as flight_id, track_id, frame, row_id, x1, y1, x2, y2, confidence, class_id from det)"
 
 
 def _tracks(spark, sf):
-    d = plans.detections(spark, sf).withColumn("k", F.row_number().over(Window.partitionBy("track_id", "frame").orderBy("row_id"))).where("k = 1")
-    return d.select((F.col("track_id") % 20).alias("flight_id"), "track_id", "frame", "row_id", "x1", "y1", "x2", "y2", "confidence", "class_id")
+    """All boxes, dealt to 20 flights; a track may have several in one frame."""
+    return plans.detections(spark, sf).select((F.col("track_id") % 20).alias("flight_id"), "track_id", "frame", "row_id", "x1", "y1", "x2", "y2", "confidence", "class_id")
 
 
-# Each track's boxes in order, two frames or so apart, so that every gap is short.
-_STEPS = f"{_TR}, st as (select flight_id, track_id, 3 * row_number() over (partition by flight_id, track_id order by frame, row_id) - row_id % 3 as frame, row_id, x1, y1, x2, y2, confidence, class_id from tr)"
+@query(f"""with {_TR}, n as (select *, lead(frame) over w as f2, lead(x1) over w as x12, lead(confidence) over w as c2, lead(class_id) over w as k2 from tr window w as (partition by flight_id, track_id order by frame, row_id))
+select flight_id, track_id, f as frame, round(x1 + (x12 - x1) * ((f - n.frame) / (f2 - n.frame)) + 3.12e-6, 4) as x1, round((confidence + c2) / 2 + 3.12e-6, 4) as confidence, k2 as class_id from n, lateral (select unnest(range(n.frame + 1, f2)) as f)""")
+def interpolated_tracks(spark, sf):
+    """Every frame between a track's rows, however long the gap."""
+    return paths.interpolate_tracks(_tracks(spark, sf)).where("interpolated").select("flight_id", "track_id", "frame", *even4("x1", "confidence"), "class_id")
 
 
-@query(f"""with {_STEPS}, n as (select *, lead(frame) over w as f2, lead(x1) over w as x12, lead(confidence) over w as c2, lead(class_id) over w as k2 from st window w as (partition by flight_id, track_id order by frame, row_id))
-select flight_id, track_id, f as frame, round(x1 + (x12 - x1) * (f - n.frame) / (f2 - n.frame), 4) as x1, round((confidence + c2) / 2, 4) as confidence, k2 as class_id from n, lateral (select unnest(range(n.frame + 1, f2)) as f)""")
-def interpolated_tracks(spark, sf):
-    w = Window.partitionBy("flight_id", "track_id").orderBy("frame", "row_id")
-    t = _tracks(spark, sf).withColumn("frame", 3 * F.row_number().over(w).cast("long") - F.col("row_id") % 3)
-    return paths.interpolate_tracks(t).where("interpolated").select("flight_id", "track_id", "frame", *r4("x1", "confidence"), "class_id")
+@query(f"""with {_TR}, n as (select *, lead(frame) over w as f2, lead(y2) over w as y22, lead(confidence) over w as c2 from tr window w as (partition by flight_id, track_id order by frame, row_id))
+select flight_id, track_id, frame, row_id, round(y2 + 3.12e-6, 4) as y2, round(confidence + 3.12e-6, 4) as confidence, class_id, false as interpolated from tr
+union all select flight_id, track_id, f, null, round(y2 + (y22 - y2) * ((f - n.frame) / (f2 - n.frame)) + 3.12e-6, 4), round(confidence + (c2 - confidence) * ((f - n.frame) / (f2 - n.frame)) + 3.12e-6, 4), class_id, true from n, lateral (select unnest(range(n.frame + 1, f2)) as f) where f2 - n.frame - 1 <= 24""")
+def short_gaps_closed(spark, sf):
+    """Tracks whose gaps of at most 24 frames are filled; longer ones stay open."""
+    return paths.interpolate_tracks(_tracks(spark, sf), "linear", max_gap=24).select("flight_id", "track_id", "frame", "row_id", *even4("y2", "confidence"), "class_id", "interpolated")
 
 
 @query("""with s as (select flight_id, epoch(ts) as t, alt, heading from tele), n as (select *, lead(t) over w as t2, lead(alt) over w as a2, lead(heading) over w as h2 from s window w as (partition by flight_id order by t))
@@ -509,11 +517,11 @@ def simplified_routes(spark, sf):
     return tracking.simplify(plans.routes(spark, sf), 500.0, ("flight_id",))
 
 
-@query(f"""with {_STEPS}, pc as (select flight_id, track_id * 10000 + frame // 30 * 2 + case when frame % 30 >= 24 then 1 else 0 end as track_id, frame, row_id, x1, y1, x2, y2 from st),
+@query(f"""with {_TR}, pc as (select flight_id, track_id * 1000000 + frame // 100 * 2 + case when frame % 100 >= 80 then 1 else 0 end as track_id, frame, row_id, x1, y1, x2, y2 from tr),
   n as (select flight_id, track_id, count(distinct frame) as n, min(frame) as f1, max(frame) as f2 from pc group by all),
   en as (select n.*, arg_min(struct_pack(x1, y1, x2, y2), pc.frame * 1000000000 + row_id) as a, arg_max(struct_pack(x1, y1, x2, y2), pc.frame * 1000000000 + row_id) as z from n join pc using (flight_id, track_id) group by all),
-  j as (select s.flight_id, s.track_id as short, l.track_id as long, l.f1 - s.f2 - 1 as gap, s.z as p, l.a as q from en s join en l on s.flight_id = l.flight_id and s.n < 4 and l.n >= 4 and l.f1 - s.f2 between 1 and 3
-    union all select s.flight_id, s.track_id, l.track_id, s.f1 - l.f2 - 1, l.z, s.a from en s join en l on s.flight_id = l.flight_id and s.n < 4 and l.n >= 4 and s.f1 - l.f2 between 1 and 3),
+  j as (select s.flight_id, s.track_id as short, l.track_id as long, l.f1 - s.f2 - 1 as gap, s.z as p, l.a as q from en s join en l on s.flight_id = l.flight_id and s.n < 4 and l.n >= 4 and l.f1 - s.f2 between 1 and 31
+    union all select s.flight_id, s.track_id, l.track_id, s.f1 - l.f2 - 1, l.z, s.a from en s join en l on s.flight_id = l.flight_id and s.n < 4 and l.n >= 4 and s.f1 - l.f2 between 1 and 31),
   m as (select *, greatest(least(p.x2, q.x2) - greatest(p.x1, q.x1), 0) * greatest(least(p.y2, q.y2) - greatest(p.y1, q.y1), 0) as both_area, (p.x2 - p.x1) * (p.y2 - p.y1) + (q.x2 - q.x1) * (q.y2 - q.y1) as areas,
     sqrt(power((p.x1 + p.x2 - q.x1 - q.x2) / 2, 2) + power((p.y1 + p.y2 - q.y1 - q.y2) / 2, 2)) / greatest(1e-9, (sqrt(power(p.x2 - p.x1, 2) + power(p.y2 - p.y1, 2)) + sqrt(power(q.x2 - q.x1, 2) + power(q.y2 - q.y1, 2))) / 2) as near from j),
   i as (select *, (both_area / (areas - both_area))::float as iou from m),
@@ -521,10 +529,9 @@ def simplified_routes(spark, sf):
   k as (select *, row_number() over (partition by flight_id, short order by round(1 - iou + near, 6), gap, long) as k from o)
 select flight_id, short, long, gap from k where k = 1""")
 def stitched_fragments(spark, sf):
-    w = Window.partitionBy("flight_id", "track_id").orderBy("frame", "row_id")
-    t = _tracks(spark, sf).withColumn("frame", 3 * F.row_number().over(w).cast("long") - F.col("row_id") % 3)
-    piece = F.floor(F.col("frame") / 30) * 2 + (F.col("frame") % 30 >= 24).cast("long")
-    return tracks.fragments(t.withColumn("track_id", F.col("track_id") * 10000 + piece), 4, 2, 0.1, 2.0)
+    """Tracks cut at every 80th and 100th frame, and which of the short pieces join which long ones."""
+    piece = F.floor(F.col("frame") / 100) * 2 + (F.col("frame") % 100 >= 80).cast("long")
+    return tracks.fragments(_tracks(spark, sf).withColumn("track_id", F.col("track_id") * 1000000 + piece), 4, 30, 0.1, 2.0)
 
 
 @query("""select flight_id, transect_id, count(*) as n from (select flight_id, frame // 10 as transect_id from tele) group by all""")
@@ -1020,14 +1027,13 @@ def poses_there_and_back(spark, sf):
     return back.select("id", F.round("east", 2).alias("east"), F.round("north", 2).alias("north"), *r4("up", "tilt", "heading"), F.round("lat", 7).alias("lat"), F.round("lon", 7).alias("lon"), F.round("pitch", 4).alias("pitch"))
 
 
-@query(f"""with {_STEPS}, n as (select *, lead(frame) over w as f2, lead(x1) over w as x12, lead(case when row_id % 5 = 0 then 0 else x1 * 2 end) over w as p2, case when row_id % 5 = 0 then 0 else x1 * 2 end as p1 from st window w as (partition by flight_id, track_id order by frame, row_id))
-select flight_id, track_id, frame, round(x1, 4) as x1, round(p1, 4) as px1, false as interpolated from n
-union all select flight_id, track_id, f, round(x1 + (x12 - x1) * (f - n.frame) / (f2 - n.frame), 4), round(p1 + (p2 - p1) * (f - n.frame) / (f2 - n.frame), 4), true from n, lateral (select unnest(range(n.frame + 1, f2)) as f)""")
+@query(f"""with {_TR}, n as (select *, lead(frame) over w as f2, lead(x1) over w as x12, lead(case when row_id % 5 = 0 then 0 else x1 * 2 end) over w as p2, case when row_id % 5 = 0 then 0 else x1 * 2 end as p1 from tr window w as (partition by flight_id, track_id order by frame, row_id))
+select flight_id, track_id, frame, round(x1 + 3.12e-6, 4) as x1, round(p1 + 3.12e-6, 4) as px1, false as interpolated from n
+union all select flight_id, track_id, f, round(x1 + (x12 - x1) * ((f - n.frame) / (f2 - n.frame)) + 3.12e-6, 4), round(p1 + (p2 - p1) * ((f - n.frame) / (f2 - n.frame)) + 3.12e-6, 4), true from n, lateral (select unnest(range(n.frame + 1, f2)) as f)""")
 def tracks_with_pixels(spark, sf):
-    w = Window.partitionBy("flight_id", "track_id").orderBy("frame", "row_id")
-    t = _tracks(spark, sf).withColumn("frame", 3 * F.row_number().over(w).cast("long") - F.col("row_id") % 3).withColumn("source_id", F.col("row_id") + 1)
+    t = _tracks(spark, sf).withColumn("source_id", F.col("row_id") + 1)
     p = t.where("row_id % 5 > 0").select("flight_id", F.col("row_id").alias("place"), *[(F.col(c) * 2).alias(c) for c in ("x1", "y1", "x2", "y2")])
-    return georeference.tracks_in_both(t, p).select("flight_id", "track_id", "frame", *r4("x1", "px1"), "interpolated")
+    return georeference.tracks_in_both(t, p).select("flight_id", "track_id", "frame", *even4("x1", "px1"), "interpolated")
 
 
 @query("""with t as (select (r * 4 + c)::bigint as tile, c * 300 as x, r * 300 as y, least(428, 1000 - c * 300) as w, least(428, 700 - r * 300) as h from range(0, 3) t(r), range(0, 4) u(c))

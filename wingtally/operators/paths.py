@@ -84,21 +84,23 @@ def centre_line(route: DataFrame, ranges: DataFrame, key: str = FLIGHT) -> DataF
     return inside.groupBy(*ranges.columns).agg(F.transform(points, lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"))).alias("line"))
 
 
-def interpolate_tracks(tracks: DataFrame, confidence: str = "mean", keys: tuple[str, ...] = (FLIGHT, "track_id")) -> DataFrame:
+def interpolate_tracks(tracks: DataFrame, confidence: str = "mean", keys: tuple[str, ...] = (FLIGHT, "track_id"), max_gap: int | None = None, also: tuple[str, ...] = ()) -> DataFrame:
     """tracks with a row for each frame between a track's rows, flagged interpolated.
 
-    'mean': confidence is the mean of both ends, class that of the later; 'linear': confidence between, class of the earlier."""
+    'mean': confidence is the mean of both ends, class that of the later; 'linear': confidence between, class of the earlier.
+    max_gap: the most frames that may be missing between two rows for them to be filled in; None fills every gap, so that the
+    rows that come out follow the frames that tracks span and not the rows that go in. also: further columns that are linear between ends."""
     w = Window.partitionBy(*keys).orderBy("frame", "row_id")
-    names = ["x1", "y1", "x2", "y2", "confidence", "class_id", "frame"]
-    paired = tracks
-    for n in names:
-        paired = paired.withColumn(f"_{n}", F.lead(n).over(w))
-    gaps = paired.where(F.col("_frame") - F.col("frame") > 1).withColumn("_at", F.explode(F.sequence(F.col("frame") + 1, F.col("_frame") - 1)))
+    line = ["x1", "y1", "x2", "y2", *also]
+    paired = tracks.select("*", *[F.lead(n).over(w).alias(f"_{n}") for n in (*line, "confidence", "class_id", "frame")])
+    missing = F.col("_frame") - F.col("frame") - 1
+    gaps = paired.where((missing >= 1) & ((missing <= max_gap) if max_gap is not None else F.lit(True)))
+    gaps = gaps.withColumn("_at", F.explode(F.sequence(F.col("frame") + 1, F.col("_frame") - 1)))
     t = (F.col("_at") - F.col("frame")) / (F.col("_frame") - F.col("frame"))
     lerp = lambda n: F.col(n) + (F.col(f"_{n}") - F.col(n)) * t
     conf = (F.col("confidence") + F.col("_confidence")) / 2 if confidence == "mean" else lerp("confidence")
-    filled = gaps.select(*keys, F.col("_at").alias("frame"), F.lit(None).cast("long").alias("row_id"), *(lerp(n).alias(n) for n in names[:4]), conf.alias("confidence"), F.col("_class_id" if confidence == "mean" else "class_id").alias("class_id"), F.lit(True).alias("interpolated"))
-    own = tracks.select(*keys, "frame", "row_id", *names[:6], F.lit(False).alias("interpolated"))
+    filled = gaps.select(*keys, F.col("_at").alias("frame"), F.lit(None).cast("long").alias("row_id"), *(lerp(n).alias(n) for n in line), conf.alias("confidence"), F.col("_class_id" if confidence == "mean" else "class_id").alias("class_id"), F.lit(True).alias("interpolated"))
+    own = tracks.select(*keys, "frame", "row_id", *line, "confidence", "class_id", F.lit(False).alias("interpolated"))
     return own.unionByName(filled)
 
 
