@@ -887,7 +887,16 @@ select flight_id, round(count(*) / 50.0e0, 4) as area from (select distinct flig
 def footprint_unions(spark, sf):
     """Exact areas; the SQL counts cells of the grid that all corners lie on."""
     d = plans.detections(spark, sf).withColumn("ring", F.slice(boxes.ring(boxes.box()), 1, 4))
-    return rasters.union_area_exact(d, "flight_id", 1.0).select("flight_id", F.round("area", 4).alias("area"))
+    return rasters.union_area_exact(d, "flight_id").select("flight_id", F.round("area", 4).alias("area"))
+
+
+@query("""with d as (select flight_id, x1::bigint * 2 as cx, y1::bigint * 3 + frame % 40 as cy, row_id % 6 + 1 as r from det), k as (select distinct *, unnest(range(cx + cy - r, cx + cy + r)) as u from d), c as (select distinct *, unnest(range(cx - cy - r, cx - cy + r)) as v from k)
+select flight_id, count(*) / 2.0e0 as area from (select distinct flight_id, u, v from c) group by 1""")
+def turned_unions(spark, sf):
+    """Exact areas of squares that stand on a corner; the SQL counts cells of a grid turned as they are, each half a square metre."""
+    d = plans.detections(spark, sf).selectExpr("flight_id", "x1 * 2 as cx", "y1 * 3 + frame % 40 as cy", "cast(row_id % 6 + 1 as double) as r")
+    at = lambda x, y: F.struct((F.col("cx") + x * F.col("r")).alias("x"), (F.col("cy") + y * F.col("r")).alias("y"))
+    return rasters.union_area_exact(d.withColumn("ring", F.array(at(0, -1), at(1, 0), at(0, 1), at(-1, 0))), "flight_id").select("flight_id", F.round("area", 4).alias("area"))
 
 
 @query(f"""with {_UTM} select id, round(east - 425405.337, 2) as east, round(north - 5316784.018, 2) as north, round(alt - 300, 4) as up, round(pitch + 90, 4) as tilt, round(heading, 4) as heading from utm""")

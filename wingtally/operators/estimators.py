@@ -145,13 +145,13 @@ def zinb_nll(p: np.ndarray, y: np.ndarray, x: np.ndarray) -> float:
 
 
 def zinb(transects: DataFrame, key: str = "stratum") -> DataFrame:
-    """Density per 100 ha of zero-inflated negative binomial regression of counts on areas, over many starts, with its standard error by the delta method; error tells why there is none."""
+    """Density per 100 ha of zero-inflated negative binomial regression of counts on areas, over many starts; se is the root of the summed variances of the transects' means, each by the delta method, and low and high are 1.96 of it away; error tells why there is none."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         y, a = pdf["count"].to_numpy(float), pdf["area_ha"].to_numpy(float)
-        cols = [key, "density", "se", "error"]
+        cols = [key, "density", "se", "low", "high", "error"]
         if len(y) < 4 or np.ptp(a) == 0:
-            return pd.DataFrame([(pdf[key].iloc[0], None, None, "too few transects or one area")], columns=cols)
+            return pd.DataFrame([(pdf[key].iloc[0], None, None, None, None, "too few transects or one area")], columns=cols)
         mid, spread = a.mean(), a.std()
         x = (a - mid) / spread
         f = lambda p: zinb_nll(p, y, x)
@@ -159,9 +159,9 @@ def zinb(transects: DataFrame, key: str = "stratum") -> DataFrame:
         best, value = min((simplex(f, [b, s, t, g]) for b in (m, m + 0.7) for s in (0.0, 0.5) for t in (-0.5, 1.0) for g in (-4.0, -1.0, 0.5)), key=lambda r: r[1])
         best, value = simplex(f, best, 0.1)
 
-        def total(p: np.ndarray) -> float:
+        def fitted(p: np.ndarray) -> np.ndarray:
             zero = 1 / (1 + math.exp(-min(max(p[3], -30), 30)))
-            return float(((1 - zero) * np.exp(np.clip(p[0] + p[1] * x, -30, 30))).sum() / a.sum() * 100)
+            return (1 - zero) * np.exp(np.clip(p[0] + p[1] * x, -30, 30))
 
         free = [i for i in range(4) if not (i == 3 and best[3] < -8 or i == 2 and best[2] > 12)]
 
@@ -171,14 +171,17 @@ def zinb(transects: DataFrame, key: str = "stratum") -> DataFrame:
             return p
 
         q = best[free]
-        grad = np.array([(total(at(q + d)) - total(at(q - d))) / 2e-5 for d in np.eye(len(q)) * 1e-5])
+        slope = np.array([(fitted(at(q + d)) - fitted(at(q - d))) / 2e-5 for d in np.eye(len(q)) * 1e-5])
         try:
-            se = math.sqrt(max(0.0, float(grad @ np.linalg.solve(hessian(lambda p: f(at(p)), q), grad))))
+            each = (slope * np.linalg.solve(hessian(lambda p: f(at(p)), q), slope)).sum(0)  # the variance of each transect's mean
+            se = math.sqrt(max(0.0, float(each.sum()))) / a.sum() * 100
         except np.linalg.LinAlgError:
             se = None
-        return pd.DataFrame([(pdf[key].iloc[0], total(best), se, None)], columns=cols)
+        density = float(fitted(best).sum() / a.sum() * 100)
+        low, high = (None, None) if se is None else (density - 1.96 * se, density + 1.96 * se)
+        return pd.DataFrame([(pdf[key].iloc[0], density, se, low, high, None)], columns=cols)
 
-    return transects.groupBy(key).applyInPandas(run, f"{key} {dict(transects.dtypes)[key]}, density double, se double, error string")
+    return transects.groupBy(key).applyInPandas(run, f"{key} {dict(transects.dtypes)[key]}, density double, se double, low double, high double, error string")
 
 
 def population(transects: DataFrame, methods: tuple[str, ...] = ("naive", "bootstrap", "zinb"), study_ha: float = 0.0, n_boot: int = 999, seed: int = 42, key: str = "stratum") -> DataFrame:

@@ -180,61 +180,197 @@ def union_area(rings: DataFrame, key: str, cell: float) -> DataFrame:
     return s.groupBy(key).agg((F.sum("_n") * cell * cell).alias("area"))
 
 
-def _area_between(edges: np.ndarray, owner: np.ndarray, low: float, high: float) -> float:
-    """Area between two heights of the union of rings, given by their edges (x1, y1, x2, y2).
-
-    Between two following heights of corners and crossings no edges cross, so the union's width there is linear and its middle gives the area."""
-    y1, y2 = np.minimum(edges[:, 1], edges[:, 3]), np.maximum(edges[:, 1], edges[:, 3])
-    use = (y2 > low) & (y1 < high) & (y1 < y2)
-    e, owner, y1, y2 = edges[use], owner[use], y1[use], y2[use]
-    if not len(e):
-        return 0.0
-    slope = (e[:, 2] - e[:, 0]) / (e[:, 3] - e[:, 1])
-    at = e[:, 0] - slope * e[:, 1]  # x = at + slope * y
-    heights = [y1, y2, np.array([low, high])]
-    by = np.argsort(y1)
-    for k, i in enumerate(by):  # crossings with edges that begin below this one's end
-        j = by[k + 1 : np.searchsorted(y1[by], y2[i])]
-        d = slope[i] - slope[j]
-        y = np.divide(at[j] - at[i], d, out=np.full(len(j), np.nan), where=np.abs(d) > 1e-15)
-        heights.append(y[(y > np.maximum(y1[i], y1[j])) & (y < np.minimum(y2[i], y2[j]))])
-    cuts = np.unique(np.clip(np.concatenate(heights), low, high))
-    total = 0.0
-    for a, b in zip(cuts, cuts[1:], strict=False):
-        m = (a + b) / 2
-        live = np.flatnonzero((y1 < m) & (y2 > m))
-        if not len(live):
+# A trapezoid lies between two heights: low, high, left and right at low, left and right at high.
+_LOW, _HIGH, _L0, _R0, _L1, _R1 = range(6)
+
+
+def trapezoids(xs: np.ndarray, ys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Simple rings of one number of corners (a row each) cut at the heights of their corners, and each trapezoid's ring."""
+    x2, y2 = np.roll(xs, -1, 1), np.roll(ys, -1, 1)
+    low, high, flat = np.minimum(ys, y2), np.maximum(ys, y2), ys == y2
+    with np.errstate(invalid="ignore", divide="ignore"):
+        rise = np.where(flat, 0.0, (x2 - xs) / np.where(flat, 1.0, y2 - ys))
+    cuts, out, owner = np.sort(ys, 1), [], []
+    for a, b in zip(cuts.T[:-1, :, None], cuts.T[1:, :, None], strict=True):
+        live = (low <= a) & (high >= b) & (a < b)
+        # a side's own corners are taken as they are
+        at = lambda y: np.where(ys == y, xs, np.where(y2 == y, x2, xs + (y - ys) * rise))  # noqa: E731, B023
+        lo, hi = at(a), at(b)
+        order = np.argsort(np.where(live, lo + hi, np.inf), 1, kind="stable")
+        lo, hi, n = np.take_along_axis(lo, order, 1), np.take_along_axis(hi, order, 1), live.sum(1)
+        if (n % 2).any():
+            raise ValueError("a ring's edges do not pair up")
+        for k in range(0, int(n.max(initial=0)), 2):
+            i = np.flatnonzero(n > k)
+            out.append(np.stack([a[i, 0], b[i, 0], lo[i, k], lo[i, k + 1], hi[i, k], hi[i, k + 1]], 1))
+            owner.append(i)
+    return np.concatenate([*out, np.zeros((0, 6))]), np.concatenate([*owner, np.zeros(0, np.int64)])
+
+
+def _between(t: np.ndarray, a: float, b: float) -> np.ndarray:
+    """Trapezoids cut to heights a to b."""
+    t = t[(t[:, _HIGH] > a) & (t[:, _LOW] < b)]
+    if not len(t) or ((t[:, _LOW] >= a).all() and (t[:, _HIGH] <= b).all()):
+        return t
+    lo, hi = np.maximum(t[:, _LOW], a), np.minimum(t[:, _HIGH], b)
+    size = t[:, _HIGH] - t[:, _LOW]
+    p, q = (lo - t[:, _LOW]) / size, (hi - t[:, _LOW]) / size
+    p[lo == t[:, _LOW]], q[hi == t[:, _HIGH]] = 0.0, 1.0
+    at = lambda k0, k1, s: np.where(s == 1.0, t[:, k1], t[:, k0] + s * (t[:, k1] - t[:, k0]))
+    return np.stack([lo, hi, at(_L0, _L1, p), at(_R0, _R1, p), at(_L0, _L1, q), at(_R0, _R1, q)], 1)
+
+
+def _merged(t: np.ndarray) -> np.ndarray:
+    """Trapezoids of one pair of heights, from left to right, without those that others hold; those that make one with their neighbour joined."""
+    t = t[np.lexsort((-t[:, _R0], t[:, _L1], t[:, _L0]))]
+    reach0, reach1 = np.maximum.accumulate(t[:, _R0]), np.maximum.accumulate(t[:, _R1])
+    far = np.maximum.accumulate(np.where(t[:, _R0] == reach0, np.arange(len(t)), 0))  # which reaches farthest so far
+    held = np.r_[False, (t[1:, _L1] >= t[far[:-1], _L1]) & (t[1:, _R0] <= t[far[:-1], _R0]) & (t[1:, _R1] <= t[far[:-1], _R1])]
+    out: list[list[float]] = []
+    for row in t[~held].tolist():
+        if out:
+            last = out[-1]
+            if row[_L1] >= last[_L1] and row[_L0] <= last[_R0] and row[_L1] <= last[_R1] and (row[_R0] - last[_R0]) * (row[_R1] - last[_R1]) >= 0:
+                last[_R0], last[_R1] = max(row[_R0], last[_R0]), max(row[_R1], last[_R1])
+                continue
+        out.append(row)
+    return np.array(out).reshape(-1, 6)
+
+
+def outline(t: np.ndarray) -> np.ndarray:
+    """Disjoint trapezoids of the same union.
+
+    Between two heights, those that span both are merged, and what lies within one of these is dropped with all its corners;
+    where others remain, the stretch is cut at the middle of their corners, and where sides cross, at crossings, each half by itself."""
+    done: list[np.ndarray] = []
+    work = [(t, float(t[:, _LOW].min()), float(t[:, _HIGH].max()))] if len(t) else []
+    while work:
+        t, a, b = work.pop()
+        t = _between(t, a, b)
+        if not len(t):
             continue
-        x, o = at[live] + slope[live] * m, owner[live]
-        order = np.lexsort((x, o))
-        x, o = x[order], o[order]
-        place = np.arange(len(x)) - np.searchsorted(o, o)  # a ring's crossings pair up, from left to right
-        start, end = x[place % 2 == 0], x[place % 2 == 1]
-        if len(start) != len(end):
-            continue
-        order = np.argsort(start)
-        start, reach = start[order], np.maximum.accumulate(end[order])
-        free = np.r_[True, start[1:] > reach[:-1]]
-        last = np.r_[np.flatnonzero(free)[1:] - 1, len(start) - 1]
-        total += float((reach[last] - start[free]).sum()) * (b - a)
-    return total
-
-
-def union_area_exact(rings: DataFrame, key: str, strip: float) -> DataFrame:
-    """Exact area of the union of a key's rings (simple, of any shape; corners that are null are left out). Rings are dealt to strips of y of the given height, whose areas add up, so a key with many rings is many groups."""
+        spans = (t[:, _LOW] <= a) & (t[:, _HIGH] >= b)
+        full, part = t[spans], t[~spans]
+        if len(full):
+            full = _merged(full)
+        if len(part) and len(full):
+            # a part within the merged one that begins last before it
+            lo, hi = (part[:, _LOW] - a) / (b - a), (part[:, _HIGH] - a) / (b - a)
+            k = np.maximum(np.searchsorted(full[:, _L0], part[:, _L0], "right") - 1, 0)
+            side = lambda c0, c1, s: full[k, c0] + s * (full[k, c1] - full[k, c0])  # noqa: E731, B023
+            part = part[~((part[:, _L0] >= side(_L0, _L1, lo)) & (part[:, _L1] >= side(_L0, _L1, hi)) & (part[:, _R0] <= side(_R0, _R1, lo)) & (part[:, _R1] <= side(_R0, _R1, hi)))]
+        if len(part):
+            inner = np.concatenate([part[:, _LOW], part[:, _HIGH]])
+            inner = np.sort(inner[(inner > a) & (inner < b)])
+            cut = float(inner[len(inner) // 2])
+        else:
+            free = (full[1:, _L0] >= full[:-1, _R0]) & (full[1:, _L1] >= full[:-1, _R1])
+            if free.all():
+                done.append(full)
+                continue
+            cut = _crossing(full, a, b)
+            if cut is None:
+                done.append(_by_middle(full, a, b))
+                continue
+        both = np.concatenate([full, part])
+        work += [(both, a, cut), (both, cut, b)]
+    return np.concatenate(done) if done else np.zeros((0, 6))
+
+
+def _crossing(t: np.ndarray, a: float, b: float) -> float | None:
+    """The middle one of the heights within a to b at which sides of neighbours cross; where no neighbours' do, of those of any two."""
+    for near in (True, False):
+        first, second = (np.arange(len(t) - 1), np.arange(1, len(t))) if near else np.triu_indices(len(t), 1)
+        found = []
+        for p, q in (((_L0, _L1), (_L0, _L1)), ((_L0, _L1), (_R0, _R1)), ((_R0, _R1), (_L0, _L1)), ((_R0, _R1), (_R0, _R1))):
+            d0, d1 = t[first, p[0]] - t[second, q[0]], t[first, p[1]] - t[second, q[1]]
+            cross = d0 * d1 < 0
+            found.append(d0[cross] / (d0[cross] - d1[cross]))
+        s = np.concatenate(found)
+        y = np.sort(a + s * (b - a))
+        y = y[(y > a + 1e-12 * (b - a)) & (y < b - 1e-12 * (b - a))]
+        if len(y):
+            return float(y[len(y) // 2])
+    return None
+
+
+def _by_middle(t: np.ndarray, a: float, b: float) -> np.ndarray:
+    """Spans of trapezoids whose sides keep their order between a and b: joined where they overlap in the middle."""
+    l, r = (t[:, _L0] + t[:, _L1]) / 2, (t[:, _R0] + t[:, _R1]) / 2
+    order = np.argsort(l)
+    l, r, t = l[order], r[order], t[order]
+    reach = np.maximum.accumulate(r)
+    begin = np.flatnonzero(np.r_[True, l[1:] > reach[:-1]])
+    far = [int(i + np.argmax(r[i:j])) for i, j in zip(begin, [*begin[1:], len(t)], strict=True)]
+    return np.stack([np.full(len(begin), a), np.full(len(begin), b), t[begin, _L0], t[far, _R0], t[begin, _L1], t[far, _R1]], 1)
+
+
+def _area(t: np.ndarray) -> float:
+    return float(((t[:, _HIGH] - t[:, _LOW]) * (t[:, _R0] - t[:, _L0] + t[:, _R1] - t[:, _L1])).sum() / 2)
+
+
+_CORNERS = ["low", "high", "l0", "r0", "l1", "r1"]
+
+
+def union_area_exact(rings: DataFrame, key: str, strip: float | None = None, crowd: int = 4096) -> DataFrame:
+    """Exact area of the union of a key's rings (simple, of any shape; corners that are null are left out).
+
+    Rings become trapezoids, cut into strips of y whose areas add up: of the given height, or of one by which a strip has some
+    `crowd` rings, but not below their mean height. Each task first unites what it holds of a strip, so that rings
+    which others hold are gone, and only an outline is dealt out, before a strip's outlines meet; so the rows of a strip follow
+    the outline's corners and not the number of rings."""
     ring = F.filter("ring", lambda p: p["x"].isNotNull() & p["y"].isNotNull())
-    e = rings.select(key, F.transform(ring, lambda p: F.struct(p["x"].cast("double").alias("x"), p["y"].cast("double").alias("y"))).alias("ring")).where(F.size("ring") > 2).withColumn("_e", boxes.extent(F.col("ring")))
-    s = e.select(key, "ring", F.explode(F.sequence(F.floor(F.col("_e.y1") / strip).cast("long"), F.floor(F.col("_e.y2") / strip).cast("long"))).alias("_s"))
+    e = rings.select(F.col(key).alias("_key"), F.transform(ring, lambda p: F.struct(p["x"].cast("double").alias("x"), p["y"].cast("double").alias("y"))).alias("ring")).where(F.size("ring") > 2).withColumn("_e", boxes.extent(F.col("ring")))
+    if strip is None:
+        per = e.groupBy("_key").agg(F.count("*").alias("n"), F.avg(F.col("_e.y2") - F.col("_e.y1")).alias("mean"), (F.max("_e.y2") - F.min("_e.y1")).alias("whole"))
+        tall = F.greatest(F.col("mean"), F.col("whole") * crowd / F.col("n"), F.col("whole") * 1e-6)
+        e = e.join(per.select(F.col("_key").alias("_of"), F.when(tall > 0, tall).otherwise(1.0).alias("_tall")), F.col("_key").eqNullSafe(F.col("_of"))).drop("_of")
+    else:
+        e = e.withColumn("_tall", F.lit(float(strip)))
     xs, ys = F.transform("ring", lambda p: p["x"]), F.transform("ring", lambda p: p["y"])
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        parts = [np.stack([x, y, np.roll(x, -1), np.roll(y, -1)], 1) for x, y in zip(map(np.asarray, pdf["xs"]), map(np.asarray, pdf["ys"]), strict=True)]
-        i = int(pdf["_s"].iloc[0])
-        area = _area_between(np.concatenate(parts), np.repeat(np.arange(len(parts)), [len(x) for x in parts]), i * strip, (i + 1) * strip)
-        return pd.DataFrame({key: [pdf[key].iloc[0]], "a": [area]})
-
-    out = s.select(key, "_s", xs.alias("xs"), ys.alias("ys")).groupBy(key, "_s").applyInPandas(run, f"{key} {dict(rings.dtypes)[key]}, a double")
-    return out.groupBy(key).agg(F.sum("a").alias("area"))
+    e = e.select("_key", "_tall", xs.alias("xs"), ys.alias("ys"))
+    kind = dict(rings.dtypes)[key]
+    schema = f"_key {kind}, _strip long, {', '.join(f'{c} double' for c in _CORNERS)}"
+
+    def pieces(batches):
+        for pdf in batches:
+            size, parts, owners = pdf["xs"].map(len).to_numpy(), [np.zeros((0, 6))], [np.zeros(0, np.int64)]
+            for m in np.unique(size):
+                rows = np.flatnonzero(size == m)
+                part, of = trapezoids(np.stack(pdf["xs"].to_numpy()[rows]), np.stack(pdf["ys"].to_numpy()[rows]))
+                parts.append(part)
+                owners.append(rows[of])
+            t, owner = np.concatenate(parts), np.concatenate(owners)
+            tall = pdf["_tall"].to_numpy()[owner]
+            codes, names = pd.factorize(pdf["_key"], use_na_sentinel=False)
+            first, last = np.floor(t[:, _LOW] / tall).astype(np.int64), np.ceil(t[:, _HIGH] / tall).astype(np.int64)
+            again = np.repeat(np.arange(len(t)), last - first)
+            number = first[again] + np.arange(len(again)) - np.repeat(np.cumsum(last - first) - (last - first), last - first)
+            order = np.lexsort((number, codes[owner][again]))
+            again, number = again[order], number[order]
+            code = codes[owner][again]
+            cut = np.flatnonzero(np.r_[True, (np.diff(number) != 0) | (np.diff(code) != 0)]) if len(again) else []
+            found = []
+            for i, j in zip(cut, [*cut[1:], len(again)], strict=True):
+                h, here = tall[again[i]], t[again[i:j]]
+                here = _between(here, number[i] * h, (number[i] + 1) * h)
+                united = outline(here)
+                found.append(united if len(united) < len(here) else here)
+            if found:
+                each = np.repeat(cut, [len(f) for f in found])
+                out = pd.DataFrame(np.concatenate(found), columns=_CORNERS)
+                out.insert(0, "_strip", number[each])
+                out.insert(0, "_key", pd.Series(names[code[each]], dtype=pdf["_key"].dtype))
+                yield out
+
+    def whole(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"_key": [pdf["_key"].iloc[0]], "a": [_area(outline(pdf[_CORNERS].to_numpy(float)))]})
+
+    # small rows, much work: a fixed number of tasks, which adaptive planning doesn't fold into few
+    tasks = int(rings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    united = e.repartition(tasks).mapInPandas(pieces, schema).repartition(tasks, "_key", "_strip")
+    out = united.groupBy("_key", "_strip").applyInPandas(whole, f"_key {kind}, a double")
+    return out.groupBy(F.col("_key").alias(key)).agg(F.sum("a").alias("area"))
 
 
 def tiled_mosaic(cells: DataFrame, placed: DataFrame) -> DataFrame:
