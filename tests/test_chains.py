@@ -338,6 +338,10 @@ def test_picture_tags(spark, tmp_path):
     assert (b.lat, b.lon, b.alt, b.model, b.ts) == (-1.5, 0.0, 0.0, "Cam", None) and (c.lat, c.alt, c.make) == (None, None, None)
     again = pictures.with_tags((tmp_path / "p" / "a.jpg").read_bytes(), 1.0, 2.0, 3.0)
     assert again.count(b"Exif") == 1 and again.endswith(b"rest\xff\xd9") and pictures.picture_tags(again)["lat"] == 1.0
+    extra = b"http://ns.adobe.com/xap/1.0/\0<x/>"
+    plain = b"\xff\xd8\xff\xe1" + (len(extra) + 2).to_bytes(2, "big") + extra + b"\xff\xd9"
+    deep = pictures.with_tags(pictures.with_tags(plain, 1.0, 2.0, 3.0), -1.0, 2.0, -12.25)
+    assert pictures.picture_tags(deep)["alt"] == -12.25 and deep.count(b"Exif") == 1 and extra in deep
     assert pictures.picture_tags(b"\xff\xd8Exif\0\0II\x2a\0\xff\0\0\0")["lat"] is None
 
 

@@ -481,18 +481,21 @@ def matched_tracks(spark, sf):
 
 
 # Two animals that cross nine frames, a third box at the end, and a pair of boxes of two classes.
-_SCENE = "values (1, 0, 1, 0.0, 0.0, 10.0, 10.0, 0), (1, 0, 2, 50.0, 0.0, 60.0, 10.0, 0), (1, 1, 3, 1.0, 0.0, 11.0, 10.0, 0), (1, 1, 4, 51.0, 0.0, 61.0, 10.0, 0), (1, 2, 5, 2.0, 0.0, 12.0, 10.0, 0), (1, 3, 6, 3.0, 0.0, 13.0, 10.0, 0), (1, 3, 7, 52.0, 0.0, 62.0, 10.0, 0), (1, 3, 8, 90.0, 90.0, 99.0, 99.0, 0), (2, 0, 9, 0.0, 0.0, 10.0, 10.0, 0), (2, 1, 10, 0.0, 0.0, 10.0, 10.0, 1), (2, 2, 11, 1.0, 1.0, 11.0, 11.0, 0)"
+# Animals 100 m apart that shake by less than a metre: a tracker can only tell them apart right, so SQL can state its numbers.
+_LANES = """lane as (select track_id % 20 as flight_id, track_id, frame, row_id, class_id from (select *, row_number() over (partition by track_id, frame, class_id order by row_id) as k from det) where k = 1),
+  w as (select *, dense_rank() over (partition by flight_id order by frame) as f from lane), g as (select *, f - row_number() over (partition by track_id, class_id order by f) as run from w)"""
 
 
-def _scene(spark):
-    return spark.sql(f"select cast(flight_id as bigint) flight_id, cast(frame as bigint) frame, cast(row_id as bigint) row_id, cast(x1 as double) x1, cast(y1 as double) y1, cast(x2 as double) x2, cast(y2 as double) y2, cast(class_id as bigint) class_id from {_SCENE} t(flight_id, frame, row_id, x1, y1, x2, y2, class_id)")
-
-
-@query("""select * from (values (1, 1, 1, 1), (2, 2, 2, 2), (3, 1, 1, 1), (4, 2, 2, 2), (5, 1, 1, 1), (6, 1, 1, 1), (7, 2, 3, 2), (8, 3, 4, 3), (9, 1, 1, 1), (10, 2, 2, 1), (11, 1, 3, 1)) t(row_id, forever, at_once, any_class)""")
+@query(f"""with {_LANES}, first as (select *, min((frame, row_id)) over (partition by track_id, class_id) as a, min((frame, row_id)) over (partition by track_id, class_id, run) as b from g)
+select row_id, dense_rank() over (partition by flight_id order by a) as forever, dense_rank() over (partition by flight_id order by b) as at_once from first""")
 def tracker_scene(spark, sf):
-    """Tracks of a small scene whose ids are known: with tracks that stay open, with tracks that close at once where missed, and with classes mixed."""
-    one = lambda name, **how: tracking.track_boxes(_scene(spark), mode="greedy", least=0.3, **how).select("row_id", F.col("track_id").alias(name))
-    return one("forever").join(one("at_once", max_age=0), "row_id").join(one("any_class", class_aware=False), "row_id")
+    """Numbers of tracks that are known: of tracks that stay open, and of tracks that close at once where missed. Boxes of two classes stand on one place and are kept apart."""
+    d = plans.detections(spark, sf)
+    k = F.row_number().over(Window.partitionBy("track_id", "frame", "class_id").orderBy("row_id"))
+    x, y = F.col("track_id") * 100.0 + F.col("row_id") % 7 * 0.1, F.col("row_id") % 5 * 0.1
+    d = d.withColumn("k", k).where("k = 1").select((F.col("track_id") % 20).alias("flight_id"), "frame", "row_id", x.alias("x1"), y.alias("y1"), (x + 10).alias("x2"), (y + 8).alias("y2"), "class_id")
+    one = lambda name, **how: tracking.track_boxes(d, least=0.3, **how).select("row_id", F.col("track_id").alias(name))
+    return one("forever", mode="greedy").join(one("at_once", mode="hungarian", max_age=0), "row_id")
 
 
 @query()
@@ -644,9 +647,20 @@ def cropped_cells(spark, sf):
     return rasters.cropped(_layers(spark, sf).select("row", "col").distinct().where("col > 20 and row > 7"))
 
 
-@query("""select (r * 4 + c)::bigint as tile, (c * 300)::bigint as x, (r * 300)::bigint as y, least(428, 1000 - c * 300)::bigint as w, least(428, 700 - r * 300)::bigint as h from range(0, 3) t(r), range(0, 4) u(c)""")
+_PICTURES = """pic as (select flight_id, count(*) as n, 800 + count(*) % 700 as w, 500 + flight_id * 37 % 400 as h from tele group by 1),
+  c as (select *, unnest(range(ceil(w / 300)::bigint)) as c from pic), t as (select *, unnest(range(ceil(h / 300)::bigint)) as r from c),
+  tile as (select flight_id, n, w as width, h as height, r * ceil(w / 300)::bigint + c as tile, c * 300 as x, r * 300 as y, least(428, w - c * 300) as w, least(428, h - r * 300) as h from t)"""
+
+
+def _picture_tiles(spark, sf):
+    pictures = plans.telemetry(spark, sf).groupBy("flight_id").agg(F.count("*").alias("n")).select("flight_id", "n", (800 + F.col("n") % 700).alias("width"), (500 + F.col("flight_id") * 37 % 400).alias("height"))
+    return rasters.picture_tiles(pictures, 428, 128)
+
+
+@query(f"""with {_PICTURES} select flight_id, tile, x, y, w, h from tile""")
 def overlapping_tiles(spark, sf):
-    return rasters.tiles(spark, 1000, 700, 428, 128)
+    """Tiles of a picture of each flight."""
+    return _picture_tiles(spark, sf).select("flight_id", "tile", "x", "y", "w", "h")
 
 
 _HEIGHTS = "h as (select y1::bigint as \"row\", x1::bigint as col, max((row_id % 50) * 1.0e0) as z from det group by all)"
@@ -1045,8 +1059,8 @@ def tracks_with_pixels(spark, sf):
     return georeference.tracks_in_both(t, p).select("flight_id", "track_id", "frame", *even4("x1", "px1"), "interpolated")
 
 
-@query("""with t as (select (r * 4 + c)::bigint as tile, c * 300 as x, r * 300 as y, least(428, 1000 - c * 300) as w, least(428, 700 - r * 300) as h from range(0, 3) t(r), range(0, 4) u(c))
-select tile, round(100 + x * 0.5e0, 4) as min_x, round(900 - (y + h) * 0.25e0, 4) as min_y, round(100 + (x + w) * 0.5e0, 4) as max_x, round(900 - y * 0.25e0, 4) as max_y from t""")
+@query(f"""with {_PICTURES} select flight_id, tile, round(100 + x * 500.0e0 / width, 4) as min_x, round(900 - (y + h) * (175.0e0 + n) / height, 4) as min_y, round(100 + (x + w) * 500.0e0 / width, 4) as max_x, round(900 - y * (175.0e0 + n) / height, 4) as max_y from tile""")
 def tile_bounds(spark, sf):
-    t = rasters.tile_extents(rasters.tiles(spark, 1000, 700, 428, 128), (100.0, 725.0, 600.0, 900.0), 1000, 700)
-    return t.select("tile", *r4("min_x", "min_y", "max_x", "max_y"))
+    """World bounds of the tiles of each flight's picture."""
+    t = rasters.tile_extents(_picture_tiles(spark, sf), (F.lit(100.0), 725.0 - F.col("n"), F.lit(600.0), F.lit(900.0)), F.col("width"), F.col("height"))
+    return t.select("flight_id", "tile", *r4("min_x", "min_y", "max_x", "max_y"))

@@ -109,8 +109,18 @@ def tiles(spark, width: int, height: int, size: int, overlap: int = 0) -> DataFr
     return t.select((F.col("r") * math.ceil(width / step) + F.col("c")).alias("tile"), (F.col("c") * step).cast("long").alias("x"), (F.col("r") * step).alias("y"), F.least(F.lit(size), width - F.col("c") * step).cast("long").alias("w"), F.least(F.lit(size), height - F.col("r") * step).cast("long").alias("h"))
 
 
-def tile_extents(tiles: DataFrame, bounds: tuple[float, float, float, float], width: int, height: int) -> DataFrame:
-    """tiles (x, y, w, h in pixels from the upper left) with the world bounds of what each shows, of a picture of the given size over the bounds."""
+def picture_tiles(pictures: DataFrame, size: int, overlap: int = 0) -> DataFrame:
+    """pictures (width, height) with a row for each of their tiles, numbered by rows: tile, x, y, w, h."""
+    step = size - overlap
+    many = lambda n: F.ceil(F.col(n) / step)
+    t = pictures.withColumn("_r", F.explode(F.sequence(F.lit(0), many("height") - 1))).withColumn("_c", F.explode(F.sequence(F.lit(0), many("width") - 1)))
+    x, y = F.col("_c") * step, F.col("_r") * step
+    part = lambda n, at: F.least(F.lit(size), F.col(n) - at).cast("long")
+    return t.select(*pictures.columns, (F.col("_r") * many("width") + F.col("_c")).alias("tile"), x.alias("x"), y.alias("y"), part("width", x).alias("w"), part("height", y).alias("h"))
+
+
+def tile_extents(tiles: DataFrame, bounds: tuple, width, height) -> DataFrame:
+    """tiles (x, y, w, h in pixels from the upper left) with the world bounds of what each shows, of a picture of the given size over the bounds; bounds and sizes are numbers or columns."""
     sx, sy = (bounds[2] - bounds[0]) / width, (bounds[3] - bounds[1]) / height
     x, y = F.col("x"), F.col("y")
     return tiles.select("*", (bounds[0] + x * sx).alias("min_x"), (bounds[3] - (y + F.col("h")) * sy).alias("min_y"), (bounds[0] + (x + F.col("w")) * sx).alias("max_x"), (bounds[3] - y * sy).alias("max_y"))

@@ -62,7 +62,8 @@ def picture_tags(content: bytes) -> dict:
             if tag in gps:
                 d, m, s = (*gps[tag], 0, 0, 0)[:3]
                 out[name] = (d + m / 60 + s / 3600) * (-1 if gps.get(tag - 1, "").startswith(against) else 1)
-        out["alt"] = float(gps[6][0]) if gps.get(6) else 0.0
+        below = gps.get(5) == [1]
+        out["alt"] = float(gps[6][0]) * (-1 if below else 1) if gps.get(6) else 0.0
     return out
 
 
@@ -95,7 +96,7 @@ def _parts(degrees: float) -> bytes:
 
 
 def with_tags(content: bytes, lat: float, lon: float, alt: float, make: str = "", model: str = "", ts: str | None = None, comment: str | None = None) -> bytes:
-    """A JPEG with these tags in place of those it has; ts as `yyyy:MM:dd HH:mm:ss`."""
+    """A JPEG with these tags in place of those it has, its other segments as they are; a negative altitude is below the sea; ts as `yyyy:MM:dd HH:mm:ss`."""
     text = lambda tag, s: (tag, 2, len(s.encode()) + 1, s.encode() + b"\0")
     fields = [text(_MAKE, make), text(_MODEL, model)]
     fields += [text(t, ts) for t in (_TIME, _TAKEN, _TAKEN + 1)] if ts else []
@@ -108,9 +109,9 @@ def with_tags(content: bytes, lat: float, lon: float, alt: float, make: str = ""
     data = b"II\x2a\0\x08\0\0\0" + _directory([*fields, (_GPS, 4, 1, struct.pack("<I", 8 + size))], 8) + _directory(gps, 8 + size)
     rest, at = content[2:], 0
     out = b"\xff\xd8\xff\xe1" + struct.pack(">H", len(data) + 8) + b"Exif\0\0" + data
-    while rest[at : at + 1] == b"\xff" and rest[at + 1] not in (0xDA, 0xD9):  # the other segments, without old tags
+    while rest[at : at + 1] == b"\xff" and rest[at + 1] not in (0xDA, 0xD9):  # the other segments, XMP among them, without old tags
         n = 2 + int.from_bytes(rest[at + 2 : at + 4], "big")
-        if rest[at + 1] != 0xE1:
+        if not (rest[at + 1] == 0xE1 and rest[at + 4 : at + 10] == b"Exif\0\0"):
             out += rest[at : at + n]
         at += n
     return out + rest[at:]
