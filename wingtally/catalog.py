@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import plans
-from .functions import boxes, geodesy, optics
+from .functions import boxes, geodesy, optics, projections
 from .operators import clocks, estimators, georeference, joins, paths, rasters, shots, terrain, tracking, tracks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -835,11 +835,11 @@ def footprints_on_terrain(spark, sf):
 _SHOTS = """hills as (select "row", col, z * 0.1e0 as z from h), p as (select flight_id, frame, id, 3 + id * 37 % 9400 / 100.0e0 as ox, 3 + id * 53 % 4400 / 100.0e0 as oy, 15.3e0 + id % 7 as oz, radians(id % 30 + 0.37e0) as t, radians(id * 17 % 360 + 0.21e0) as h, radians(roll + 0.13e0) as w, tan(radians(15)) as k from tele),
   b as (select *, sin(t) * sin(h) as f0, sin(t) * cos(h) as f1, -cos(t) as f2, cos(w) * cos(h) - sin(w) * cos(t) * sin(h) as r0, -cos(w) * sin(h) - sin(w) * cos(t) * cos(h) as r1, -sin(w) * sin(t) as r2,
     sin(w) * cos(h) + cos(w) * cos(t) * sin(h) as u0, -sin(w) * sin(h) + cos(w) * cos(t) * cos(h) as u1, cos(w) * sin(t) as u2 from p),
-  n as (select *, floor(ox)::bigint + i as col, floor(49 - oy)::bigint + j as "row" from b, (select unnest(range(-6, 7)) as i), (select unnest(range(-6, 7)) as j)),
+  n as (select *, floor(ox)::bigint + i as col, floor(49 - oy)::bigint + j as "row" from b, (select unnest(range(-7, 8)) as i), (select unnest(range(-7, 8)) as j)),
   o as (select n.*, hills.z, n.col - ox as dx, 49 - n."row" - oy as dy, hills.z - oz as dz from n join hills on hills."row" = n."row" and hills.col = n.col),
   seen as (select *, dx * f0 + dy * f1 + dz * f2 as d, ((dx * r0 + dy * r1 + dz * r2) / ((dx * f0 + dy * f1 + dz * f2) * k) + 1) * 8 as px, 16 - ((dx * u0 + dy * u1 + dz * u2) / ((dx * f0 + dy * f1 + dz * f2) * k) + 1) * 8 as py from o),
-  q as (select a.id, a."row", a.col, a.px as x0, a.py as y0, a.d as d0, b.px as x1, b.py as y1, b.d as d1, c.px as x2, c.py as y2, c.d as d2, e.px as x3, e.py as y3, e.d as d3 from seen a join seen b on b.id = a.id and b."row" = a."row" and b.col = a.col + 1 join seen c on c.id = a.id and c."row" = a."row" + 1 and c.col = a.col
-    join seen e on e.id = a.id and e."row" = a."row" + 1 and e.col = a.col + 1 where power(a.col + 0.5 - a.ox, 2) + power(48.5 - a."row" - a.oy, 2) <= 25),
+  q as (select n.id, n."row", n.col, a.px as x0, a.py as y0, a.d as d0, b.px as x1, b.py as y1, b.d as d1, c.px as x2, c.py as y2, c.d as d2, e.px as x3, e.py as y3, e.d as d3 from n left join seen a on a.id = n.id and a."row" = n."row" and a.col = n.col left join seen b on b.id = n.id and b."row" = n."row" and b.col = n.col + 1
+    left join seen c on c.id = n.id and c."row" = n."row" + 1 and c.col = n.col left join seen e on e.id = n.id and e."row" = n."row" + 1 and e.col = n.col + 1 where power(n.col + 0.5 - n.ox, 2) + power(48.5 - n."row" - n.oy, 2) <= 25),
   tri as (select id, "row", col, unnest([{'xa': x0 - 0.5, 'ya': y0 - 0.5, 'ad': d0, 'xb': x1 - 0.5, 'yb': y1 - 0.5, 'bd': d1, 'xc': x2 - 0.5, 'yc': y2 - 0.5, 'cd': d2}, {'xa': x3 - 0.5, 'ya': y3 - 0.5, 'ad': d3, 'xb': x2 - 0.5, 'yb': y2 - 0.5, 'bd': d2, 'xc': x1 - 0.5, 'yc': y1 - 0.5, 'cd': d1}]) as s from q),
   g as (select *, (xb - xa) * (yc - ya) - (xc - xa) * (yb - ya) as area from (select id, "row", col, unnest(s) from tri) where ad > 0 and bd > 0 and cd > 0),
   gu as (select *, unnest(range(greatest(ceil(least(xa, xb, xc)), 0)::bigint, least(floor(greatest(xa, xb, xc)), 15)::bigint + 1)) as u from g), gv as (select *, unnest(range(greatest(ceil(least(ya, yb, yc)), 0)::bigint, least(floor(greatest(ya, yb, yc)), 15)::bigint + 1)) as v from gu),
@@ -1064,3 +1064,28 @@ def tile_bounds(spark, sf):
     """World bounds of the tiles of each flight's picture."""
     t = rasters.tile_extents(_picture_tiles(spark, sf), (F.lit(100.0), 725.0 - F.col("n"), F.lit(600.0), F.lit(900.0)), F.col("width"), F.col("height"))
     return t.select("flight_id", "tile", *r4("min_x", "min_y", "max_x", "max_y"))
+
+
+@query("""with c as (select 0.0818191908426215e0 as e, radians(49) as p1, radians(44) as p2, radians(46.5) as p0), m as (select *, cos(p1) / sqrt(1 - power(e * sin(p1), 2)) as m1, cos(p2) / sqrt(1 - power(e * sin(p2), 2)) as m2, atanh(sin(p1)) - e * atanh(e * sin(p1)) as s1, atanh(sin(p2)) - e * atanh(e * sin(p2)) as s2, atanh(sin(p0)) - e * atanh(e * sin(p0)) as s0 from c),
+  n as (select *, ln(m1 / m2) / (s2 - s1) as n from m), k as (select *, 6378137 * m1 * exp(n * s1) / n as k from n), r as (select id, lat, lon, n, k * exp(-n * s0) as r0, k * exp(-n * (atanh(sin(radians(lat))) - e * atanh(e * sin(radians(lat))))) as r from tele, k)
+select id, round(6378137 * radians(lon), 3) as web_x, round(6378137 * ln(tan(pi() / 4 + radians(lat) / 2)), 3) as web_y, round(700000 + r * sin(n * radians(lon - 3)), 3) as cone_x, round(6600000 + r0 - r * cos(n * radians(lon - 3)), 3) as cone_y, round(lat, 9) as lat, round(lon, 9) as lon from r""")
+def projected_positions(spark, sf):
+    """Positions on a web map and on a conformal cone, and back through a chain of three projections."""
+    t = plans.telemetry(spark, sf)
+    web, cone, strip = projections.of(3857), projections.of(2154), projections.TransverseMercator(16 + 1 / 3, 1.0, 0.0, -5_000_000.0)
+    t = t.withColumns(dict(zip(("web_x", "web_y"), web.forward(F.col("lat"), F.col("lon")), strict=True)))
+    t = projections.reprojected(t.withColumns({"cone_x": F.col("web_x"), "cone_y": F.col("web_y")}), "cone_x", "cone_y", web, cone)
+    t = projections.reprojected(t.withColumns({"strip_x": F.col("cone_x"), "strip_y": F.col("cone_y")}), "strip_x", "strip_y", cone, strip)
+    lat, lon = strip.inverse(F.col("strip_x"), F.col("strip_y"))
+    return t.select("id", *[F.round(c, 3).alias(c) for c in ("web_x", "web_y", "cone_x", "cone_y")], F.round(lat, 9).alias("lat"), F.round(lon, 9).alias("lon"))
+
+
+@query(f"""with {_HEIGHTS}, cells as (select r as "row", c as col, degrees(atan(sinh((6106900 - (r + 0.5) * 25) / 6378137))) as lat, degrees((1558250 + (c + 0.5) * 25) / 6378137) as lon from range(0, 90) a(r), range(0, 130) b(c)),
+  {_UTM.replace("from tele)", "from cells)")}, p as (select "row", col, (east - 425000) / 20 - 0.5 as x, (5317500 - north) / 20 - 0.5 as y from utm),
+  q as (select p.*, x - floor(x) as tx, y - floor(y) as ty, a.z as z0, b.z as z1, c.z as z2, d.z as z3 from p join h a on a."row" = floor(y) and a.col = floor(x) join h b on b."row" = floor(y) and b.col = floor(x) + 1 join h c on c."row" = floor(y) + 1 and c.col = floor(x) join h d on d."row" = floor(y) + 1 and d.col = floor(x) + 1)
+select "row", col, round((1 - ty) * ((1 - tx) * z0 + tx * z1) + ty * ((1 - tx) * z2 + tx * z3), 4) as value from q""")
+def warped_heights(spark, sf):
+    """A field of heights on a UTM grid, drawn on the grid of a web map."""
+    h = _heights(spark, sf).withColumnRenamed("z", "value")
+    out = rasters.warped(h, {"min_x": 425000.0, "max_y": 5317500.0, "cell": 20.0}, projections.of(EPSG), {"min_x": 1558250.0, "max_y": 6106900.0, "cell": 25.0, "width": 130, "height": 90}, projections.of(3857))
+    return out.select("row", "col", F.round("value", 4).alias("value"))

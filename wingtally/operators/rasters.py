@@ -389,6 +389,37 @@ def tiled_mosaic(cells: DataFrame, placed: DataFrame) -> DataFrame:
     return at.groupBy((F.col("row") + F.col("y")).alias("row"), (F.col("col") + F.col("x")).alias("col")).agg(F.max_by("value", "tile").alias("value"))
 
 
+def quads(cells: DataFrame, value: str = "z") -> DataFrame:
+    """Squares between four neighbouring cells (row, col, value): row and col of the upper left one, and z0 upper left, z1 upper right, z2 lower left, z3 lower right; null where one is missing."""
+    corners = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(i // 2).alias("r"), F.lit(i % 2).alias("c")) for i in range(4)])
+    q = cells.where(F.col(value).isNotNull()).withColumn("_o", F.explode(corners)).select((F.col("row") - F.col("_o.r")).alias("row"), (F.col("col") - F.col("_o.c")).alias("col"), F.col("_o.i").alias("i"), F.col(value).alias("_z"))
+    return q.groupBy("row", "col").agg(*[F.max(F.when(F.col("i") == i, F.col("_z"))).alias(f"z{i}") for i in range(4)])
+
+
+def warped(cells: DataFrame, grid: dict, source, target_grid: dict, target, nearest: bool = False) -> DataFrame:
+    """A raster (row, col, value) on grid (min_x, max_y, cell) of one projection as the cells (row, col, value) of target_grid (with width and height) of another.
+
+    Each target cell asks for the value at its centre's place: linear between the four cells around it, which meet it by
+    key, so neither raster is held in one task; or (nearest) of the cell that holds it. Where cells that count are missing, or
+    the place has no image, the target has no row."""
+    w = target_grid["width"]
+    t = cells.sparkSession.range(w * target_grid["height"]).select(F.floor(F.col("id") / w).alias("row"), (F.col("id") % w).alias("col"))
+    x, y = target_grid["min_x"] + (F.col("col") + 0.5) * target_grid["cell"], target_grid["max_y"] - (F.col("row") + 0.5) * target_grid["cell"]
+    lat, lon = target.inverse(x, y)
+    t = t.withColumn("_lat", lat).withColumn("_lon", lon)
+    sx, sy = source.forward(F.col("_lat"), F.col("_lon"))
+    t = t.select("row", "col", ((sx - grid["min_x"]) / grid["cell"]).alias("_x"), ((grid["max_y"] - sy) / grid["cell"]).alias("_y"))
+    if nearest:
+        at = t.withColumn("_r", F.floor("_y")).withColumn("_c", F.floor("_x"))
+        return at.join(cells.where("value is not null").select(F.col("row").alias("_r"), F.col("col").alias("_c"), "value"), ["_r", "_c"]).select("row", "col", "value")
+    at = t.withColumn("_r", F.floor(F.col("_y") - 0.5)).withColumn("_c", F.floor(F.col("_x") - 0.5))
+    j = at.join(quads(cells, "value").withColumnsRenamed({"row": "_r", "col": "_c"}), ["_r", "_c"])
+    tx, ty = F.col("_x") - 0.5 - F.col("_c"), F.col("_y") - 0.5 - F.col("_r")
+    part = lambda share, z: F.when(share == 0, 0.0).otherwise(share * F.col(z))
+    value = part((1 - tx) * (1 - ty), "z0") + part(tx * (1 - ty), "z1") + part((1 - tx) * ty, "z2") + part(tx * ty, "z3")
+    return j.select("row", "col", value.alias("value")).where("value is not null")
+
+
 def colour_levels(cells: DataFrame, low: float | None = None, high: float | None = None, key: str = "file") -> DataFrame:
     """cells (key, value) with level, 0 to 255 from the low to the high bound, and shown, false beyond a bound that is given; a bound that is not given is the picture's own extreme."""
     e = cells.groupBy(key).agg(F.min("value").alias("_lo"), F.max("value").alias("_hi"))
