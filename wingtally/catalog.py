@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from . import plans
 from .functions import boxes, geodesy, optics, projections
-from .operators import clocks, estimators, georeference, joins, paths, rasters, shots, terrain, tracking, tracks
+from .operators import clocks, estimators, georeference, joins, paths, rasters, shots, simplification, terrain, tracking, tracks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -508,18 +508,27 @@ def tracker_hungarian(spark, sf):
     return tracking.track_boxes(_tracks(spark, sf), mode="hungarian_center", least=0.1, max_age=3)
 
 
-@query("""with rec(flight_id, a, b, xa, ya, xb, yb) as (
+_SIMPLE = """with rec(flight_id, a, b, xa, ya, xb, yb) as (
   select m.flight_id, a, b, p.x, p.y, q.x, q.y from (select flight_id, min(frame) as a, max(frame) as b from route group by 1) m join route p on p.flight_id = m.flight_id and p.frame = a join route q on q.flight_id = m.flight_id and q.frame = b
   union all
   select n.flight_id, case when side = 0 then n.a else n.k end, case when side = 0 then n.k else n.b end, case when side = 0 then n.xa else p.x end, case when side = 0 then n.ya else p.y end, case when side = 0 then p.x else n.xb end, case when side = 0 then p.y else n.yb end
   from (select rec.*, (select arg_max(r.frame, case when xa = xb and ya = yb then sqrt(power(r.x - xa, 2) + power(r.y - ya, 2)) else abs((xb - xa) * (r.y - ya) - (yb - ya) * (r.x - xa)) / sqrt(power(xb - xa, 2) + power(yb - ya, 2)) end) from route r where r.flight_id = rec.flight_id and r.frame > rec.a and r.frame < rec.b) as k,
     (select max(case when xa = xb and ya = yb then sqrt(power(r.x - xa, 2) + power(r.y - ya, 2)) else abs((xb - xa) * (r.y - ya) - (yb - ya) * (r.x - xa)) / sqrt(power(xb - xa, 2) + power(yb - ya, 2)) end) from route r where r.flight_id = rec.flight_id and r.frame > rec.a and r.frame < rec.b) as d from rec where rec.b > rec.a + 1) n
   join route p on p.flight_id = n.flight_id and p.frame = n.k, (values (0), (1)) t(side) where n.d > 500)
-select distinct r.flight_id, r.frame, r.x, r.y from route r join rec on r.flight_id = rec.flight_id and r.frame in (rec.a, rec.b)""")
+select distinct r.flight_id, r.frame, r.x, r.y from route r join rec on r.flight_id = rec.flight_id and r.frame in (rec.a, rec.b)"""
+
+
+@query(_SIMPLE)
 def simplified_routes(spark, sf):
     return tracking.simplify(plans.routes(spark, sf), 500.0, ("flight_id",))
 
 
+@query(_SIMPLE)
+def simplified_long_routes(spark, sf):
+    """The same routes, level by level: no task holds more than 100 points of a stretch."""
+    return simplification.simplify_long(plans.routes(spark, sf), 500.0, ("flight_id",), small=100)
+
+
 @query(f"""with {_TR}, pc as (select flight_id, track_id * 1000000 + frame // 100 * 2 + case when frame % 100 >= 80 then 1 else 0 end as track_id, frame, row_id, x1, y1, x2, y2 from tr),
   n as (select flight_id, track_id, count(distinct frame) as n, min(frame) as f1, max(frame) as f2 from pc group by all),
   en as (select n.*, arg_min(struct_pack(x1, y1, x2, y2), pc.frame * 1000000000 + row_id) as a, arg_max(struct_pack(x1, y1, x2, y2), pc.frame * 1000000000 + row_id) as z from n join pc using (flight_id, track_id) group by all),
