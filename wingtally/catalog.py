@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from . import plans
 from .functions import boxes, geodesy, optics, projections
-from .operators import clocks, estimators, georeference, joins, paths, rasters, shots, simplification, terrain, tracking, tracks
+from .operators import clocks, estimators, georeference, joins, motion, paths, rasters, shots, simplification, terrain, tracking, tracks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -503,6 +503,12 @@ def tracker_greedy(spark, sf):
     return tracking.track_boxes(_tracks(spark, sf), mode="greedy", least=0.1, max_age=3)
 
 
+@query()
+def tracker_motion(spark, sf):
+    """A motion model and two rounds of matching; null for boxes of no track."""
+    return motion.track_by_motion(plans.detections(spark, sf).withColumn("flight_id", F.col("track_id") % 20), sure=0.8, new=0.8, patience=40)
+
+
 @query()
 def tracker_hungarian(spark, sf):
     return tracking.track_boxes(_tracks(spark, sf), mode="hungarian_center", least=0.1, max_age=3)
