@@ -13,8 +13,11 @@ where its rows are read. Only scores and keys are shuffled, never texts.
 Defined cases: a null text counts as empty; null hosts and paths are sites of
 their own. Labels that are null, or of documents that are not there, are left
 out; a document labelled twice counts by the mean. Without any label the text's
-evidence is 0.5. Repeated rows get the same answer each. An empty table gives an
-empty result. Other columns are not returned.
+evidence is 0.5. Repeated rows get the same answer each. Texts are read whole,
+however long. Ties: a posterior of just `least` is kept, and of labelled texts
+with one hash in the sample the least text stays. Columns of the input other than
+the named ones are not read or returned, so their names cannot clash. An empty
+table gives an empty result.
 """
 
 from __future__ import annotations
