@@ -3,6 +3,9 @@
 Rows whose language is rejected go; of a group of linked documents one stays;
 documents that hold a benchmark item go; secrets are struck out of the texts;
 what is left is mixed to target weights.
+
+All stages read whole texts, however long, keep columns of any other name as they
+are (but for the last, which returns the mix), and give no rows for an empty table.
 """
 
 from __future__ import annotations
@@ -21,7 +24,9 @@ def _free(docs: DataFrame, name: str) -> str:
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without those whose language the calibrated model rejects."""
+    """Documents without those whose language the calibrated model rejects.
+
+    Null, empty and letterless texts have no language and go, as all do where no row has a label to learn from. Repeated rows get the same answer each; a score at the threshold stays."""
     model = language.train(language.sample(docs, ~language.held_out(), language.PER_LABEL))
     names = tuple(_free(docs, n) for n in ("language", "score", "rejected"))
     return language.identify(docs, model, names=names).where(~F.col(names[2])).select(docs.columns)
@@ -40,17 +45,23 @@ def join_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item.
+
+    Null and empty texts hold none and stay; so does every document where the benchmark is empty. Repeated rows go or stay together; a distance of just the budget counts as held."""
     return decontamination.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def strike_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, secrets in their texts replaced by a mark."""
+    """All documents, secrets in their texts replaced by a mark.
+
+    Null and empty texts stay as they are. Spans that overlap are struck out as one. Repeated rows are changed alike, and none is dropped."""
     return secrets.redact(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Per document: doc_id, source, size, source_size, target and the words that the mix takes."""
+    """Per document: doc_id, source, size, source_size, target and the words that the mix takes.
+
+    Null and empty texts have size 0 and are never taken; a null source is one of its own, a null doc_id is mixed like any other. Repeated rows are mixed each, in the order of a hash."""
     return mixing.mix(docs)
 
 
