@@ -279,10 +279,10 @@ def short_gaps_closed(spark, sf):
 
 
 @query("""with s as (select flight_id, epoch(ts) as t, alt, heading from tele), n as (select *, lead(t) over w as t2, lead(alt) over w as a2, lead(heading) over w as h2 from s window w as (partition by flight_id order by t))
-select flight_id, k as tick, round(alt + (a2 - alt) * (k * 21600.0 - t) / (t2 - t), 3) as alt, round(sin(radians(heading + (case when h2 - heading >= 180 then h2 - heading - 360 when h2 - heading < -180 then h2 - heading + 360 else h2 - heading end) * (k * 21600.0 - t) / (t2 - t))), 4) as heading_sin from n, lateral (select unnest(range(ceil(t / 21600.0)::bigint, ceil(t2 / 21600.0)::bigint)) as k) where t2 > t""")
+select flight_id, k as tick, round(alt + (a2 - alt) * (k * 21600.0 - t) / (t2 - t), 3) as alt, round(sin(radians(heading + (case when h2 - heading >= 180 then h2 - heading - 360 when h2 - heading < -180 then h2 - heading + 360 else h2 - heading end) * (k * 21600.0 - t) / (t2 - t))), 4) as heading_sin, round(cos(radians(heading + (case when h2 - heading >= 180 then h2 - heading - 360 when h2 - heading < -180 then h2 - heading + 360 else h2 - heading end) * (k * 21600.0 - t) / (t2 - t))), 4) as heading_cos from n, lateral (select unnest(range(ceil(t / 21600.0)::bigint, ceil(t2 / 21600.0)::bigint)) as k) where t2 > t""")
 def resampled(spark, sf):
     t = plans.telemetry(spark, sf).withColumn("t", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6)
-    return paths.resample(t, 21600.0, ["alt"], ("heading",)).select("flight_id", "tick", F.round("alt", 3).alias("alt"), F.round(F.sin(F.radians("heading")), 4).alias("heading_sin"))
+    return paths.resample(t, 21600.0, ["alt"], ("heading",)).select("flight_id", "tick", F.round("alt", 3).alias("alt"), F.round(F.sin(F.radians("heading")), 4).alias("heading_sin"), F.round(F.cos(F.radians("heading")), 4).alias("heading_cos"))
 
 
 @query("""select id, round((row_number() over (partition by flight_id, d order by id) - 1) * 1.0 / count(*) over (partition by flight_id, d), 6) as share from (select *, date_trunc('day', ts) as d from tele)""")
@@ -932,7 +932,7 @@ def turned_unions(spark, sf):
 def log_poses(spark, sf):
     lat, lon = geodesy.from_utm(F.lit(425405.337), F.lit(5316784.018), EPSG)
     lat, lon = spark.range(1).select(lat, lon).first()
-    t = plans.telemetry(spark, sf).withColumn("gimbal_pitch", F.col("pitch")).withColumn("gimbal_heading", F.col("heading")).withColumn("compass_heading", F.lit(0.0))
+    t = plans.telemetry(spark, sf).withColumn("gimbal_pitch", F.col("pitch")).withColumn("gimbal_heading", F.col("heading")).withColumn("compass_heading", F.col("heading") + 30)
     p = georeference.pose_rows(t, {"lat": lat, "lon": lon, "alt": 300.0}, EPSG, 50.0)
     return p.select("id", F.round("east", 2).alias("east"), F.round("north", 2).alias("north"), *r4("up", "tilt", "heading"))
 
