@@ -1,7 +1,8 @@
 """Georeferenced rasters: TIFF files as tables of cells (row 0 is north) and back, with their world files.
 
-A file is one task's: its strips or tiles are decoded one after the other and leave as rows at once. Plain, LZW and
-deflate compression are read, with or without differences along rows; plain deflate is written."""
+A file is one task's: its strips or tiles are decoded one after the other and leave as rows at once. Classic and 64-bit
+files are read, plain or with LZW, deflate or PackBits compression, with or without differences along rows, of whole numbers
+or of the bytes of floating ones; plain deflate is written."""
 
 from __future__ import annotations
 
@@ -17,27 +18,55 @@ from pyspark.sql import functions as F
 from ..functions import geodesy
 
 # TIFF field types as (code, bytes) and sample kinds by (format, bits).
-_FIELDS = {1: ("B", 1), 2: ("s", 1), 3: ("H", 2), 4: ("I", 4), 5: ("II", 8), 6: ("b", 1), 7: ("B", 1), 8: ("h", 2), 9: ("i", 4), 11: ("f", 4), 12: ("d", 8)}
+_FIELDS = {1: ("B", 1), 2: ("s", 1), 3: ("H", 2), 4: ("I", 4), 5: ("II", 8), 6: ("b", 1), 7: ("B", 1), 8: ("h", 2), 9: ("i", 4), 11: ("f", 4), 12: ("d", 8), 16: ("Q", 8), 17: ("q", 8), 18: ("Q", 8)}
 _KINDS = {(1, 8): "u1", (1, 16): "u2", (1, 32): "u4", (2, 8): "i1", (2, 16): "i2", (2, 32): "i4", (3, 32): "f4", (3, 64): "f8"}
 
 
 def tags(content: bytes) -> tuple[str, dict[int, tuple]]:
     """The byte order and the fields of the first picture of a TIFF file."""
     order = {b"II": "<", b"MM": ">"}.get(content[:2])
-    if not order or struct.unpack_from(order + "H", content, 2)[0] != 42:
-        raise ValueError("no classic TIFF file")
-    at = struct.unpack_from(order + "I", content, 4)[0]
+    magic = struct.unpack_from(order + "H", content, 2)[0] if order else 0
+    if magic not in (42, 43) or magic == 43 and struct.unpack_from(order + "HH", content, 4) != (8, 0):
+        raise ValueError("no TIFF file")
+    # 64-bit files have wider counts, fields and offsets
+    wide, entry, many, head = (("Q", 20, "Q", 8) if magic == 43 else ("I", 12, "H", 4))
+    room = struct.calcsize(order + wide)
+    at = struct.unpack_from(order + wide, content, head)[0]
+    first = at + struct.calcsize(order + many)
     out = {}
-    for i in range(struct.unpack_from(order + "H", content, at)[0]):
-        tag, kind, n = struct.unpack_from(order + "HHI", content, at + 2 + 12 * i)
+    for i in range(struct.unpack_from(order + many, content, at)[0]):
+        tag, kind, n = struct.unpack_from(order + "HH" + wide, content, first + entry * i)
         if kind not in _FIELDS:
             continue
         code, size = _FIELDS[kind]
-        place = at + 10 + 12 * i if size * n <= 4 else struct.unpack_from(order + "I", content, at + 10 + 12 * i)[0]
+        place = first + entry * (i + 1) - room
+        if size * n > room:
+            place = struct.unpack_from(order + wide, content, place)[0]
         out[tag] = (content[place : place + n].rstrip(b"\0").decode("latin-1"),) if code == "s" else struct.unpack_from(f"{order}{n * len(code)}{code[0]}", content, place)
     return order, out
 
 
+def unpacked(data: bytes) -> bytes:
+    """PackBits: runs of bytes as they are, and repeated ones."""
+    out, i = bytearray(), 0
+    while i < len(data):
+        n, i = data[i], i + 1
+        if n < 128:
+            out += data[i : i + n + 1]
+            i += n + 1
+        elif n > 128:
+            out += data[i : i + 1] * (257 - n)
+            i += 1
+    return bytes(out)
+
+
+def unfolded(raw: bytes, kind: np.dtype, rows: int, width: int, each: int) -> np.ndarray:
+    """Floating numbers whose rows hold first all highest bytes, then all next ones, each as a difference from the sample before."""
+    planes = np.frombuffer(raw, np.uint8, rows * width * each * kind.itemsize).reshape(rows, -1, each)
+    planes = np.cumsum(planes, axis=1, dtype=np.uint8).reshape(rows, kind.itemsize, width * each)
+    return np.ascontiguousarray(planes.transpose(0, 2, 1)).view(kind.newbyteorder(">")).reshape(rows, width, each).astype(kind.newbyteorder("="))
+
+
 def unlzw(data: bytes) -> bytes:
     """LZW as TIFF has it: codes of 9 to 12 bits, high bits first, 256 clears and 257 ends."""
     out, table, width, bits, held, last = bytearray(), [], 9, 0, 0, b""
@@ -97,11 +126,16 @@ def parts(content: bytes) -> Iterator[tuple[int, int, int, np.ndarray]]:
             raw = unlzw(raw)
         elif packing in (8, 32946):
             raw = zlib.decompress(raw)
+        elif packing == 32773:
+            raw = unpacked(raw)
         elif packing != 1:
             raise ValueError(f"compression {packing} is not read")
         band, place = divmod(k, across * down)
         row, col = place // across * ph, place % across * pw
         rows = ph if tiled else min(ph, h - row)
+        if step == 3 and kind.kind == "f":
+            yield band, row, col, unfolded(raw, kind, rows, pw, each)[: h - row, : w - col]
+            continue
         v = np.frombuffer(raw, kind, rows * pw * each).reshape(rows, pw, each)
         if step == 2:
             v = np.cumsum(v, axis=1, dtype=v.dtype.newbyteorder("="))
