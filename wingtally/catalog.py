@@ -798,7 +798,7 @@ _RAYS = """(select row_id, x1 + 0.3 as ox, 49 - (y1 + 0.05 + (row_id % 9) * 0.1)
   x as (select *, unnest(range(floor(least(ox + s0 * dx, ox + s1 * dx))::bigint, floor(greatest(ox + s0 * dx, ox + s1 * dx))::bigint + 1)) as col from e),
   y as (select *, unnest(range(floor(least(49 - oy - s0 * dy, 49 - oy - s1 * dy))::bigint, floor(greatest(49 - oy - s0 * dy, 49 - oy - s1 * dy))::bigint + 1)) as "row" from x),
   q as (select y.*, unnest([{{'x': y.col, 'y': 49 - y."row", 'z': p0.z, 'e': 1, 'ez': p1.z - p0.z, 'f': -1, 'fz': p2.z - p0.z}}, {{'x': y.col + 1, 'y': 48 - y."row", 'z': p3.z, 'e': -1, 'ez': p2.z - p3.z, 'f': 1, 'fz': p1.z - p3.z}}]) as v
-    from y join h p0 on p0."row" = y."row" and p0.col = y.col join h p1 on p1."row" = y."row" and p1.col = y.col + 1 join h p2 on p2."row" = y."row" + 1 and p2.col = y.col join h p3 on p3."row" = y."row" + 1 and p3.col = y.col + 1),
+    from y left join h p0 on p0."row" = y."row" and p0.col = y.col left join h p1 on p1."row" = y."row" and p1.col = y.col + 1 left join h p2 on p2."row" = y."row" + 1 and p2.col = y.col left join h p3 on p3."row" = y."row" + 1 and p3.col = y.col + 1),
   m as (select row_id, ox, oy, oz, dx, dy, dz, v.e as ex, v.ez as ez, v.f as fy, v.fz as fz, dy * v.fz - dz * v.f as p1, -dx * v.fz as p2, dx * v.f as p3, ox - v.x as tx, oy - v.y as ty, oz - v.z as tz from q),
   k as (select *, ex * p1 + ez * p3 as det, tx * p1 + ty * p2 + tz * p3 as u, ty * ez as q1, tz * ex - tx * ez as q2, -ty * ex as q3 from m),
   i as (select row_id, ox, oy, oz, dx, dy, dz, u / det as u, (dx * q1 + dy * q2 + dz * q3) / det as v, (fy * q2 + fz * q3) / det as s from k where det <> 0),
