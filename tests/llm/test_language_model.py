@@ -82,3 +82,33 @@ def test_empty_tables(spark, odd):
     assert lm.language_scores(odd.limit(0), ~lm.held_out()).count() == 0
     none = lm.language_scores(odd, F.lit(False)).collect()
     assert len(none) == odd.count() and {r.n_known for r in none} == {0} and {r.train_tokens for r in none} == {0}
+
+
+def test_mixed_probabilities_add_up(network):
+    net = network[0]
+    counted = np.random.RandomState(4).rand(30)
+    counted /= counted.sum()
+    h = np.random.RandomState(2).randn(1, 5).astype(np.float32)
+    logs = np.array([net.logs(h, np.array([w]))[0] for w in range(30)], float)
+    assert np.exp(lm.mixed(logs, counted, 0.3)).sum() == pytest.approx(1, abs=1e-4)
+    assert np.allclose(lm.mixed(logs, counted, 0.0), np.log(counted))
+
+
+@pytest.mark.parametrize("parts", [1, 4, 96])
+def test_mixture_beats_counts_on_a_small_corpus(spark, parts):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").repartition(parts)
+    out = lm.language_scores(docs, ~lm.held_out()).where(lm.held_out())
+    base, score, better = out.agg(F.sum("base_score"), F.sum("score"), F.avg((F.col("score") > F.col("base_score")).cast("double"))).first()
+    assert score > base and better > 0.75
+
+
+def test_weight_is_the_best_of_the_texts_set_aside(spark, network):
+    net = network[0]
+    head = lm.Head(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), 29, 3)
+    docs = spark.createDataFrame([(i, "a b c " * (i + 1)) for i in range(6)], "doc_id long, text string").repartition(3)
+    sent, sent_head = (spark.sparkContext.broadcast(x) for x in (net, head))
+    likely, unlikely = np.full(30, 1e-4), np.full(30, 1 / 28)
+    likely[[3, 29]], unlikely[[3, 29]] = 0.4986, 1e-9
+    assert lm.best_weight(docs, sent, sent_head, likely) == lm.WEIGHTS[0]
+    assert lm.best_weight(docs, sent, sent_head, unlikely) == lm.WEIGHTS[-1]
+    assert lm.best_weight(docs.limit(0), sent, sent_head, likely) == 0.5

@@ -14,9 +14,16 @@ backpropagation in numpy: in each round every task starts from the same weights,
 runs through its own training texts, and the weights are averaged by words read.
 Scoring carries the state from window to window until a text ends.
 
+Mixture. The network's probability of each word is mixed with that of the counts,
+which counts more where little was learned. The network does not learn from every
+ASIDE-th training text (by a hash of its key and words); the weight is the one of
+WEIGHTS under which these texts are most probable. Their sums grow with the
+corpus, one row a task comes back.
+
 Defined cases: a null text is empty, that is, one end token. Repeated rows get
 the same answer each. Rows without a doc_id are held out of training. With no
-training texts, all words are unknown and the network has its first weights. An
+training texts, all words are unknown and the network has its first weights; with
+none set aside, the network and the counts weigh the same. An
 empty table gives an empty result. Whole texts are read, however long; other
 columns are not returned.
 """
@@ -40,6 +47,8 @@ LANES, WINDOW = 128, 32
 #: Words that are dealt to the lanes at once in training.
 AT_ONCE = 4_000_000
 END = np.uint64(0xE17D_0000_0000_0001)
+#: Of so many training texts one is set aside, for the choice among these weights of the network beside the counts.
+ASIDE, WEIGHTS = 20, np.r_[0.02, 0.05, np.arange(0.1, 1, 0.1), 0.95, 0.98]
 _HELD = 4_000_000
 
 
@@ -354,8 +363,8 @@ def laid_out(number: np.ndarray, off: np.ndarray, many: int, end: int):
     return x, fresh, y, use, where
 
 
-def score(net: Network, number: np.ndarray, off: np.ndarray, end: int, many: int = 512, window: int = 64) -> np.ndarray:
-    """Natural log probability of each row."""
+def word_logs(net: Network, number: np.ndarray, off: np.ndarray, end: int, many: int = 512, window: int = 64) -> np.ndarray:
+    """Natural log probability of each word after those before it in its row."""
     x, fresh, y, use, where = laid_out(number, off, many, end)
     out, h = np.zeros(len(number)), np.zeros((x.shape[1], net.state), np.float32)
     for t in range(0, len(x), window):
@@ -364,7 +373,21 @@ def score(net: Network, number: np.ndarray, off: np.ndarray, end: int, many: int
         states, h, _ = net.forward(x[a], fresh[a], h[:live])
         flat = use[a].ravel()
         out[where[a].ravel()[flat]] = net.logs(states.reshape(-1, net.state)[flat], y[a].ravel()[flat])
-    return np.add.reduceat(out, off[:-1])
+    return out
+
+
+def mixed(logs: np.ndarray, counted: np.ndarray, weight: float) -> np.ndarray:
+    """Natural log of the network's probabilities, of that weight, and the counted ones together."""
+    p = np.exp(logs)
+    p *= weight
+    p += (1 - weight) * counted
+    return np.log(p, out=p)
+
+
+def score(net: Network, number: np.ndarray, off: np.ndarray, end: int, counted: np.ndarray | None = None, weight: float = 1.0, **how) -> np.ndarray:
+    """Natural log probability of each row, mixed with the counted probability of each number if there is one."""
+    out = word_logs(net, number, off, end, **how)
+    return np.add.reduceat(out if counted is None else mixed(out, counted[number], weight), off[:-1])
 
 
 class Trainer:
@@ -437,6 +460,34 @@ def _train(sent, head):
     return run
 
 
+def set_aside(key: str = "doc_id") -> Column:
+    """Whether the network leaves a training text to the choice of its weight."""
+    return F.pmod(F.xxhash64(F.col(key).cast("string"), "text", F.lit("aside")), F.lit(ASIDE)) == 0
+
+
+def _weighed(sent, head, counted: np.ndarray):
+    """Sums over the task's texts of their log probabilities under each of WEIGHTS."""
+
+    def run(batches):
+        sums = np.zeros(len(WEIGHTS))
+        for batch in batches:
+            for part in shared.pieces(batch, 8 << 20):
+                h, off = tokens(part)
+                number = head.value.find(h)[1]
+                logs = word_logs(sent.value, number, off, head.value.end)
+                sums += [mixed(logs, counted[number], w).sum() for w in WEIGHTS]
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(sums))), pa.array(sums)], names=["at", "total"])
+
+    return run
+
+
+def best_weight(docs: DataFrame, sent, sent_head, counted: np.ndarray) -> float:
+    """The weight of the network under which docs are most probable, the least of equals; 0.5 without docs."""
+    totals = docs.select("text").mapInArrow(_weighed(sent, sent_head, counted), "at long, total double").groupBy("at").agg(F.sum("total").alias("total")).collect()
+    best = max(totals, key=lambda r: (r.total, -r["at"]), default=None)
+    return 0.5 if best is None or best.total == 0 else float(WEIGHTS[best["at"]])
+
+
 def train(docs: DataFrame, head: Head, net: Network, rounds: int = ROUNDS, key: str = "doc_id") -> Network:
     """The network after rounds of local training and averaging; each text is read once. Weights are summed a page (4,096 numbers) at a time on the executors."""
     spark = docs.sparkSession
@@ -455,7 +506,7 @@ def train(docs: DataFrame, head: Head, net: Network, rounds: int = ROUNDS, key:
     return net
 
 
-def _scored(sent, head, buckets: int):
+def _scored(sent, head, buckets: int, counted: np.ndarray, weight: float):
     """A row for each text, and rows (bucket, tokens, counts, contents) of its words that are not frequent."""
 
     def run(batches):
@@ -464,7 +515,7 @@ def _scored(sent, head, buckets: int):
             for part in shared.pieces(batch, 16 << 20):
                 (h, off), content = tokens(part), part.column(2).to_numpy(zero_copy_only=False)
                 count, number = top.find(h)
-                logs = score(sent.value, number, off, top.end)
+                logs = score(sent.value, number, off, top.end, counted, weight)
                 rare = (count == 0) & (h != END)
                 unknown = (number == top.unknown) & (h != END)
                 known = np.log10(count + 1.0)
@@ -542,15 +593,19 @@ def language_scores(docs: DataFrame, training: Column, key: str = "doc_id", text
     of[in_net] = number[:-2]
     by = np.argsort(token)
     head = Head(token[by], count[by], of[by], int(number[-1]), int(number[-2]))
-    net = train(learn, head, Network(frequency[order], classes, state), rounds, "doc_id")
+    net = train(learn.where(~set_aside()), head, Network(frequency[order], classes, state), rounds, "doc_id")
     sent, sent_head = spark.sparkContext.broadcast(net), spark.sparkContext.broadcast(head)
-    rows = shared.written(d.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("content")).mapInArrow(_scored(sent, sent_head, buckets), f"doc_id {kind}, {_SCHEMA}"), "scored")
+    beyond = rest + (v - len(in_net) - (ends > 0)) + 1  # what the counts give to the words beyond the network
+    counted = np.r_[frequency[:-2] + 1, ends + 1, beyond][order]
+    counted /= counted.sum()
+    weight = best_weight(learn.where(set_aside()), sent, sent_head, counted)
+    rows = shared.written(d.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("content")).mapInArrow(_scored(sent, sent_head, buckets, counted, weight), f"doc_id {kind}, {_SCHEMA}"), "scored")
     ask = rows.where("bucket is not null").select("bucket", "tokens", "counts", F.lit(1).alias("kind"), "contents")
     have = counts.select("bucket", "tokens", "counts", F.lit(0).alias("kind"), F.lit(None).cast("binary").alias("contents"))
     rare = ask.unionByName(have).repartition(n_tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(_found, "content long, rare_known long, rare_log double")
     rare = rare.groupBy(F.col("content").alias("text_key")).agg(F.sum("rare_known").alias("rare_known"), F.sum("rare_log").alias("rare_log"))
     out = rows.where("n_tokens is not null").join(rare, F.col("content") == F.col("text_key"), "left").na.fill(0, ["rare_known", "rare_log"])
-    unseen = float(np.log10(rest + (v - len(in_net) - (ends > 0)) + 1))  # of the words beyond the network
+    unseen = float(np.log10(beyond))
     return out.select(
         "doc_id", "n_tokens", (F.col("top_known") + F.col("rare_known")).alias("n_known"), F.lit(int(n)).cast("long").alias("train_tokens"),
         (F.col("top_log") + F.col("rare_log") - F.col("n_tokens") * float(np.log10(n + v + 1))).alias("base_score"),
