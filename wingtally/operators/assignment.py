@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 
 
@@ -38,6 +40,66 @@ def optimal(cost: np.ndarray) -> list[tuple[int, int]]:
     return sorted((int(owner[j]) - 1, j - 1) for j in range(1, m + 1) if owner[j])
 
 
+def optimal_edges(row: np.ndarray, column: np.ndarray, cost: np.ndarray) -> np.ndarray:
+    """Which edges make up the one-to-one assignment of most pairs and, among those, of least total cost (costs of 0 or more).
+
+    Rows come in one after the other; each takes the cheapest alternating path, under potentials, to a free column or to a
+    row that goes without. What is held follows the edges, not rows times columns. Edges that an earlier one repeats at its cost or less are not taken."""
+    edges: dict[int, list[tuple[int, float, int]]] = {}
+    seen: dict[tuple[int, int], float] = {}
+    for k, (r, c, d) in enumerate(zip(row.tolist(), column.tolist(), cost.tolist(), strict=True)):
+        if d < seen.get((r, c), np.inf):
+            seen[r, c] = d
+            edges.setdefault(r, []).append((c, d, k))
+    # going without costs more than all that a further pair could add
+    without = 1.0 + 2.0 * (len(edges) + 1) * float(cost.max()) if len(cost) else 1.0
+    price: dict[int, float] = {}
+    owner: dict[int, tuple[int, int]] = {}  # of a column: its row and edge
+    taken: dict[int, float] = {}  # what a row's own edge costs
+    for start in sorted(edges):
+        best, via, done = {}, {}, {}
+        heap, r, base = [], start, 0.0
+        out, least_out = start, without  # the row that would go without, and the length of the path to it
+        while True:
+            own = taken[r] - price.get(via[r], 0.0) if r != start else 0.0
+            if base - own + without < least_out:
+                out, least_out = r, base - own + without
+            for c, d, k in edges[r]:
+                length = base - own + d - price.get(c, 0.0)
+                if c not in done and length < best.get(c, (np.inf,))[0]:
+                    best[c] = (length, r, k, d)
+                    heapq.heappush(heap, (length, c))
+            while heap and (heap[0][1] in done or heap[0][0] > best[heap[0][1]][0]):
+                heapq.heappop(heap)
+            if not heap or heap[0][0] >= least_out:
+                end, total = None, least_out
+                break
+            base, c = heapq.heappop(heap)
+            done[c] = base
+            if c not in owner:
+                end, total = c, base
+                break
+            r = owner[c][0]
+            via[r] = c
+        for c, length in done.items():
+            price[c] = price.get(c, 0.0) + length - total
+        if end is None:  # that row gives its column up, if it is not the new one
+            if out == start:
+                continue
+            end = via[out]
+            taken.pop(out)
+        while True:
+            _, r, k, d = best[end]
+            before = via.get(r)
+            owner[end], taken[r] = (r, k), d
+            if r == start:
+                break
+            end = before
+    chosen = np.zeros(len(cost), bool)
+    chosen[[k for _, k in owner.values()]] = True
+    return chosen
+
+
 def greedy(score: np.ndarray, valid: np.ndarray, largest: bool = True) -> list[tuple[int, int]]:
     """Best pair first, each row and column once; ties by row, then column."""
     rows, cols = np.nonzero(valid)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from . import tracks
 from ..plans import cut
-from .assignment import Nearest, Tracker, optimal
+from .assignment import Nearest, Tracker, optimal_edges
 
 _BOX = ["x1", "y1", "x2", "y2"]
 
@@ -77,12 +77,7 @@ def assign(cands: DataFrame, key: str = "flight_id") -> DataFrame:
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["median_dist", "track_t", "track_w"]).reset_index(drop=True)
-        t, w = np.unique(pdf["track_t"]), np.unique(pdf["track_w"])
-        i, j = np.searchsorted(t, pdf["track_t"]), np.searchsorted(w, pdf["track_w"])
-        cost = np.full((len(t), len(w)), 1e6)
-        cost[i, j] = pdf["median_dist"]
-        chosen = set(optimal(cost))
-        pdf["accepted"] = [(a, b) in chosen for a, b in zip(i.tolist(), j.tolist(), strict=True)]
+        pdf["accepted"] = optimal_edges(pdf["track_t"].to_numpy(), pdf["track_w"].to_numpy(), pdf["median_dist"].to_numpy(float))
         return pdf
 
     ok = cands.where("rejected is null").drop("rejected")
