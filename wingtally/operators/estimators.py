@@ -94,14 +94,15 @@ def _strip(g, w: float) -> float:
     return float(((y[1:] + y[:-1]) / 2 * np.diff(x)).sum())
 
 
-def fit_detection(x: np.ndarray, w: float, model: str = "half-normal") -> dict:
-    """Parameters, effective strip width with its cv, and AIC of a detection function within truncation w."""
-    start = [math.log(max(float(np.sqrt(np.mean(x**2))), 1e-3))] + [0.0] * (model == "hazard-rate")
+def fit_detection(x: np.ndarray, w: float, model: str = "half-normal", n: np.ndarray | None = None) -> dict:
+    """Parameters, effective strip width with its cv, and AIC of a detection function within truncation w; n: how often each distance was seen."""
+    n = np.ones(len(x)) if n is None else n
+    start = [math.log(max(float(np.sqrt(np.average(x**2, weights=n))), 1e-3))] + [0.0] * (model == "hazard-rate")
 
     def nll(theta: np.ndarray) -> float:
         g = _g(model, theta)
         s = _strip(g, w)
-        return math.inf if s <= 0 else float(-np.log(np.maximum(g(x), 1e-300)).sum() + len(x) * math.log(s))
+        return math.inf if s <= 0 else float(-(n * np.log(np.maximum(g(x), 1e-300))).sum() + n.sum() * math.log(s))
 
     theta, value = simplex(nll, start)
     esw = _strip(_g(model, theta), w)
@@ -116,18 +117,21 @@ def fit_detection(x: np.ndarray, w: float, model: str = "half-normal") -> dict:
 def distance_density(distances: DataFrame, truncation: float | None = None, models: tuple[str, ...] = ("half-normal", "hazard-rate"), key: str = "stratum") -> DataFrame:
     """Density per square kilometre of each stratum from distances (key, distance, effort_m), by the model of least AIC.
 
-    Without a truncation, the 95th percentile of the stratum's distances is it; it is found in Spark, and distances beyond it do not travel."""
+    Without a truncation, the 95th percentile of the stratum's distances is it; it is found in Spark, and distances beyond it do not travel.
+    Equal distances weigh together, so a fit holds the distinct distances of its stratum."""
     ok = distances.where(F.col("distance").isNotNull() & ~F.isnan("distance") & (F.col("distance") >= 0))
     cut = ok.groupBy(key).agg((F.percentile("distance", F.lit(0.95)) if truncation is None else F.lit(float(truncation))).alias("w"), F.max("effort_m").alias("effort"))
-    ok = ok.join(cut, key).where("distance <= w").select(key, "distance", "w", "effort")
+    ok = ok.join(cut, key).where("distance <= w").groupBy(key, "distance", "w", "effort").agg(F.count("*").alias("n"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, w, effort = pdf["distance"].to_numpy(float), float(pdf["w"].iloc[0]), float(pdf["effort"].iloc[0])
-        best = min((fit_detection(x, w, m) for m in models), key=lambda r: r["aic"])
-        d = len(x) / (2 * best["esw"] * effort) * 1e6
-        cv = math.sqrt(1 / len(x) + best["cv_esw"] ** 2)
+        pdf = pdf.sort_values("distance")
+        x, n, w, effort = pdf["distance"].to_numpy(float), pdf["n"].to_numpy(float), float(pdf["w"].iloc[0]), float(pdf["effort"].iloc[0])
+        best = min((fit_detection(x, w, m, n) for m in models), key=lambda r: r["aic"])
+        seen = int(n.sum())
+        d = seen / (2 * best["esw"] * effort) * 1e6
+        cv = math.sqrt(1 / seen + best["cv_esw"] ** 2)
         c = math.exp(1.96 * math.sqrt(math.log(1 + cv * cv)))
-        return pd.DataFrame([(pdf[key].iloc[0], len(x), w, best["model"], best["sigma"], best["esw"], best["aic"], d, cv, d / c, d * c)], columns=[key, "n", "truncation", "model", "sigma", "esw", "aic", "density", "cv", "low", "high"])
+        return pd.DataFrame([(pdf[key].iloc[0], seen, w, best["model"], best["sigma"], best["esw"], best["aic"], d, cv, d / c, d * c)], columns=[key, "n", "truncation", "model", "sigma", "esw", "aic", "density", "cv", "low", "high"])
 
     return ok.groupBy(key).applyInPandas(run, f"{key} {dict(distances.dtypes)[key]}, n long, truncation double, model string, sigma double, esw double, aic double, density double, cv double, low double, high double")
 
