@@ -28,3 +28,25 @@ def test_distances_are_fitted_by_distinct_values(spark):
     assert got.n == len(x) and got.model == want["model"]
     assert (got.esw, got.aic) == pytest.approx((want["esw"], want["aic"]), rel=1e-6)
     assert got.density == pytest.approx(len(x) / (2 * want["esw"] * 1000) * 1e6, rel=1e-6)
+
+
+def test_resamples_are_drawn_a_few_at_a_time(spark, monkeypatch):
+    t = transects(spark, 4000).coalesce(1)
+    monkeypatch.setattr(estimators, "PICKS", 10**9)
+    at_once = sorted(estimators.bootstrap(t).collect())
+    monkeypatch.setattr(estimators, "PICKS", 5000)
+    assert sorted(estimators.bootstrap(t).collect()) == at_once
+
+
+def test_a_task_holds_few_resamples():
+    class Group:
+        dtypes = [("stratum", "bigint")]
+        orderBy = groupBy = lambda self, *keys: self
+        applyInPandas = lambda self, run, schema: run
+
+    pdf = pd.DataFrame({"stratum": 0, "count": np.arange(20_000) % 7, "area_ha": 10.0})
+    tracemalloc.start()
+    estimators.bootstrap(Group())(pdf)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 100e6  # all at once: 480 MB

@@ -11,6 +11,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Numbers of resampled transects that a task holds at once.
+PICKS = 1_000_000
+
 
 def naive(transects: DataFrame, key: str = "stratum") -> DataFrame:
     """Animals per 100 ha of each stratum: sum of counts over sum of areas."""
@@ -24,12 +27,17 @@ def counts(assigned: DataFrame, transects: DataFrame, key: str = "flight_id") ->
 
 
 def bootstrap(transects: DataFrame, n_boot: int = 999, seed: int = 42, key: str = "stratum") -> DataFrame:
-    """Mean, deviation and 95 % interval of the density over resampled transects; a stratum's transects are one group."""
+    """Mean, deviation and 95 % interval of the density over resampled transects; a stratum's transects are one group.
+
+    Resamples are drawn a few at a time, so a task holds its stratum's transects and about PICKS of their numbers; they are the same as if drawn at once."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         c, a = pdf["count"].to_numpy(float), pdf["area_ha"].to_numpy(float)
-        pick = np.random.default_rng(seed).integers(0, len(c), (n_boot, len(c)))
-        d = c[pick].sum(1) / a[pick].sum(1) * 100
+        draw, rows = np.random.default_rng(seed), max(1, PICKS // len(c))
+        d = np.empty(n_boot)
+        for i in range(0, n_boot, rows):
+            pick = draw.integers(0, len(c), (min(rows, n_boot - i), len(c)))
+            d[i : i + rows] = c[pick].sum(1) / a[pick].sum(1) * 100
         low, high = np.percentile(d, [2.5, 97.5])
         return pd.DataFrame([(pdf[key].iloc[0], d.mean(), d.std(ddof=1) if n_boot > 1 else 0.0, low, high)], columns=[key, "density", "se", "low", "high"])
 
