@@ -43,7 +43,7 @@ def track_each(detections: DataFrame, key: str = "flight_id", **how) -> DataFram
 
 
 def kept_points(p: np.ndarray, tolerance: float) -> np.ndarray:
-    """Which points of a line Ramer, Douglas and Peucker keep."""
+    """Which points of a line Ramer, Douglas and Peucker keep; the last of points equally far."""
     keep = np.zeros(len(p), bool)
     keep[[0, -1]] = True
     work = [(0, len(p) - 1)]
@@ -52,9 +52,9 @@ def kept_points(p: np.ndarray, tolerance: float) -> np.ndarray:
         if b - a < 2:
             continue
         d, q = p[b] - p[a], p[a + 1 : b] - p[a]
-        length = float(np.hypot(*d))
-        away = np.abs(d[0] * q[:, 1] - d[1] * q[:, 0]) / length if length > 0 else np.hypot(q[:, 0], q[:, 1])
-        k = int(away.argmax())
+        length = float(np.sqrt(d[0] * d[0] + d[1] * d[1]))  # no hypot: points equally far must stay so
+        away = np.abs(d[0] * q[:, 1] - d[1] * q[:, 0]) / length if length > 0 else np.sqrt(q[:, 0] * q[:, 0] + q[:, 1] * q[:, 1])
+        k = len(away) - 1 - int(away[::-1].argmax())
         if away[k] > tolerance:
             keep[a + 1 + k] = True
             work += [(a, a + 1 + k), (a + 1 + k, b)]
