@@ -46,3 +46,11 @@ def test_repeated_frames_and_missing_places(spark):
     keep = tracking.kept_points(np.array([p[1:] for p in line]), 3.0)
     got = sorted((r.frame, r.x, r.y) for r in simplification.simplify_long(d, 3.0, small=20).collect())
     assert got == [p for p, k in zip(line, keep) if k]
+
+
+def test_of_points_equally_far_the_last_is_kept(spark):
+    line = np.array([(0, 0), (1, 3), (4, 3), (10, 0)], float)
+    assert np.flatnonzero(tracking.kept_points(line, 2.0)).tolist() == [0, 2, 3]
+    d = spark.createDataFrame(table({1: (line[:, 0], line[:, 1])}))
+    for small in (1, 50):
+        assert sorted(r.frame for r in simplification.simplify_long(d, 2.0, small=small).select("frame").collect()) == [0, 2, 3]

@@ -30,15 +30,15 @@ def simplify_long(points: DataFrame, tolerance: float, keys: tuple[str, ...] = (
     open_ = cut(rows.join(ends, names).where("at > a.at and at < b.at"))
     dx, dy = F.col("b.x") - F.col("a.x"), F.col("b.y") - F.col("a.y")
     qx, qy = F.col("x") - F.col("a.x"), F.col("y") - F.col("a.y")
-    length = F.hypot(dx, dy)
-    away = F.when(length > 0, F.abs(dx * qy - dy * qx) / length).otherwise(F.hypot(qx, qy))
+    length = F.sqrt(dx * dx + dy * dy)  # as kept_points
+    away = F.when(length > 0, F.abs(dx * qy - dy * qx) / length).otherwise(F.sqrt(qx * qx + qy * qy))
     short = []
     while True:
         short.append(open_.where(F.col("n") <= small))
         open_ = open_.where(F.col("n") > small)
         if open_.isEmpty():
             break
-        far = open_.groupBy(*names, F.col("a.at").alias("_a")).agg(F.max(F.struct(away.alias("d"), (-F.col("at")).alias("later"), "at", "x", "y", "frame")).alias("k")).where(F.col("k.d") > tolerance)
+        far = open_.groupBy(*names, F.col("a.at").alias("_a")).agg(F.max(F.struct(away.alias("d"), "at", "x", "y", "frame")).alias("k")).where(F.col("k.d") > tolerance)
         far = cut(far.withColumn("k", F.struct("k.at", "k.x", "k.y", "k.frame")))
         kept.append(as_row(far, "k"))
         halves = open_.drop("n").withColumn("_a", F.col("a.at")).join(far, [*names, "_a"]).where("at <> k.at")
