@@ -18,6 +18,15 @@ def transects(spark, n=60):
     return spark.range(n).select((F.col("id") % 2).alias("stratum"), (F.col("id") * 7 % 5 * (F.col("id") % 3)).alias("count"), (10 + F.col("id") % 6 * 1.5).alias("area_ha"))
 
 
+def test_counts_are_fitted_by_distinct_pairs(spark):
+    t = transects(spark)
+    many = t.crossJoin(spark.range(40).select())
+    once, often = ({r.stratum: r for r in estimators.zinb(d).collect()} for d in (t, many))
+    for k, r in once.items():
+        assert often[k].density == pytest.approx(r.density, rel=1e-4) and often[k].se == pytest.approx(r.se / 40, rel=1e-2)
+    assert "HashAggregate" in plan_of(estimators.zinb(many))
+
+
 def test_distances_are_fitted_by_distinct_values(spark):
     x = np.abs(np.round(np.random.RandomState(5).normal(0, 20, 3000)))
     d = spark.createDataFrame(pd.DataFrame({"stratum": 0, "distance": x, "effort_m": 1000.0}))

@@ -147,27 +147,31 @@ def distance_density(distances: DataFrame, truncation: float | None = None, mode
 _lgamma = np.vectorize(math.lgamma, otypes=[float])
 
 
-def zinb_nll(p: np.ndarray, y: np.ndarray, x: np.ndarray) -> float:
-    """Negative log likelihood of zero-inflated negative binomial counts: log mean b0 + b1 x, log size, logit of the extra zeros."""
+def zinb_nll(p: np.ndarray, y: np.ndarray, x: np.ndarray, n: np.ndarray | float = 1.0) -> float:
+    """Negative log likelihood of zero-inflated negative binomial counts, each seen n times: log mean b0 + b1 x, log size, logit of the extra zeros."""
     b0, b1, log_size, gamma = p
     mu, size = np.exp(np.clip(b0 + b1 * x, -30, 30)), math.exp(min(max(log_size, -20), 20))
     zero = 1 / (1 + math.exp(-min(max(gamma, -30), 30)))
-    count = _lgamma(y + size) - math.lgamma(size) - _lgamma(y + 1) + size * np.log(size / (size + mu)) + y * np.log(mu / (size + mu))
-    return float(-np.where(y == 0, np.log(zero + (1 - zero) * np.exp(count) + 1e-300), math.log(1 - zero + 1e-300) + count).sum())
+    u, at = np.unique(y, return_inverse=True)
+    count = (_lgamma(u + size) - math.lgamma(size) - _lgamma(u + 1))[at] + size * np.log(size / (size + mu)) + y * np.log(mu / (size + mu))
+    return float(-(n * np.where(y == 0, np.log(zero + (1 - zero) * np.exp(count) + 1e-300), math.log(1 - zero + 1e-300) + count)).sum())
 
 
 def zinb(transects: DataFrame, key: str = "stratum") -> DataFrame:
-    """Density per 100 ha of zero-inflated negative binomial regression of counts on areas, over many starts; se is the root of the summed variances of the transects' means, each by the delta method, and low and high are 1.96 of it away; error tells why there is none."""
+    """Density per 100 ha of zero-inflated negative binomial regression of counts on areas, over many starts; se is the root of the summed variances of the transects' means, each by the delta method, and low and high are 1.96 of it away; error tells why there is none.
+
+    Transects of one count and one area weigh together, so a fit holds the distinct pairs of its stratum and not its transects."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        y, a = pdf["count"].to_numpy(float), pdf["area_ha"].to_numpy(float)
+        pdf = pdf.sort_values(["area_ha", "count"])
+        y, a, n = pdf["count"].to_numpy(float), pdf["area_ha"].to_numpy(float), pdf["n"].to_numpy(float)
         cols = [key, "density", "se", "low", "high", "error"]
-        if len(y) < 4 or np.ptp(a) == 0:
+        if n.sum() < 4 or np.ptp(a) == 0:
             return pd.DataFrame([(pdf[key].iloc[0], None, None, None, None, "too few transects or one area")], columns=cols)
-        mid, spread = a.mean(), a.std()
-        x = (a - mid) / spread
-        f = lambda p: zinb_nll(p, y, x)
-        m = math.log(max(y.mean(), 1e-3))
+        mid = np.average(a, weights=n)
+        x = (a - mid) / math.sqrt(np.average((a - mid) ** 2, weights=n))
+        f = lambda p: zinb_nll(p, y, x, n)
+        m = math.log(max(np.average(y, weights=n), 1e-3))
         best, value = min((simplex(f, [b, s, t, g]) for b in (m, m + 0.7) for s in (0.0, 0.5) for t in (-0.5, 1.0) for g in (-4.0, -1.0, 0.5)), key=lambda r: r[1])
         best, value = simplex(f, best, 0.1)
 
@@ -183,17 +187,20 @@ def zinb(transects: DataFrame, key: str = "stratum") -> DataFrame:
             return p
 
         q = best[free]
+        total = float((n * a).sum())
         slope = np.array([(fitted(at(q + d)) - fitted(at(q - d))) / 2e-5 for d in np.eye(len(q)) * 1e-5])
         try:
             each = (slope * np.linalg.solve(hessian(lambda p: f(at(p)), q), slope)).sum(0)  # the variance of each transect's mean
-            se = math.sqrt(max(0.0, float(each.sum()))) / a.sum() * 100
+            se = math.sqrt(max(0.0, float((n * each).sum()))) / total * 100
         except np.linalg.LinAlgError:
             se = None
-        density = float(fitted(best).sum() / a.sum() * 100)
+        density = float((n * fitted(best)).sum() / total * 100)
         low, high = (None, None) if se is None else (density - 1.96 * se, density + 1.96 * se)
         return pd.DataFrame([(pdf[key].iloc[0], density, se, low, high, None)], columns=cols)
 
-    return transects.groupBy(key).applyInPandas(run, f"{key} {dict(transects.dtypes)[key]}, density double, se double, low double, high double, error string")
+    pairs = transects.groupBy(key, "count", "area_ha").agg(F.count("*").alias("n"))
+    pairs = pairs.repartition(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)  # few rows, much work: not to be put together
+    return pairs.groupBy(key).applyInPandas(run, f"{key} {dict(transects.dtypes)[key]}, density double, se double, low double, high double, error string")
 
 
 def population(transects: DataFrame, methods: tuple[str, ...] = ("naive", "bootstrap", "zinb"), study_ha: float = 0.0, n_boot: int = 999, seed: int = 42, key: str = "stratum") -> DataFrame:
