@@ -3,10 +3,11 @@
 import contextlib
 import io
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from wingtally.functions import boxes, optics
-from wingtally.operators import georeference, tracks
+from wingtally.operators import assignment, georeference, tracking, tracks
 
 
 def plan(df):
@@ -39,3 +40,31 @@ def test_ends_of_short_tracks_are_not_unfolded(spark):
     got = tracks.fragments(t, 3, 2, 0.5, 0.5)
     assert sorted(map(tuple, got.collect())) == [(1, 1, 2, 1), (1, 4, 2, 2)]
     assert "sequence(" not in plan(got)
+
+
+def test_trackers_look_at_boxes_nearby(monkeypatch):
+    looks = []
+    one = assignment.overlap
+    monkeypatch.setattr(assignment, "overlap", lambda a, b: looks.append(1) or one(a, b))
+    boxes_at = lambda x: np.stack([x, 0 * x, x + 10, 0 * x + 8], 1)
+    t, far = assignment.Tracker(mode="greedy"), np.arange(500) * 100.0
+    assert t.frame(boxes_at(far), np.zeros(500, int)).tolist() == list(range(1, 501)) and not looks
+    assert t.frame(boxes_at(far[::-1] + 1), np.zeros(500, int)).tolist() == list(range(500, 0, -1)) and len(looks) == 500
+    n = assignment.Nearest(least=0.5)
+    looks.clear()
+    for f in range(300):  # tracks that have closed are not looked at
+        assert n.take(10 * f, np.array([0.0, 0.0, 4.0, 4.0])) == f + 1
+        n.forget(10 * f)
+    assert not looks and len(n.at) == 1
+
+
+def test_flights_are_read_in_batches(spark):
+    d = spark.range(400).selectExpr("id % 3 as flight_id", "id div 10 as frame", "id as row_id", "id * 7 % 40 * 1.0D as x1", "0.0D as y1", "id * 7 % 40 + 9.0D as x2", "8.0D as y2", "id % 2 as class_id")
+    for track in (tracking.track_boxes, tracking.track_each):
+        assert "flatmapgroups" not in plan(track(d, least=0.1))
+        whole = {(r.flight_id, r.row_id): r.track_id for r in track(d, least=0.1).collect()}
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+        try:
+            assert {(r.flight_id, r.row_id): r.track_id for r in track(d, least=0.1).coalesce(1).collect()} == whole and len(whole) == 400
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")

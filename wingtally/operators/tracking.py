@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -14,32 +17,65 @@ from .assignment import Nearest, Tracker, optimal_edges
 _BOX = ["x1", "y1", "x2", "y2"]
 
 
+def in_order(rows: DataFrame, key: str, step: Callable[[], Callable[[pd.DataFrame, np.ndarray], np.ndarray]]) -> DataFrame:
+    """rows (key, frame, row_id, ..) with the track_id that a flight's step gives, frame by frame: step() begins a flight, and takes whole frames and where each begins.
+
+    A flight is one sorted stream in one task, which holds a batch of it and its state, and no flight whole."""
+    kind = dict(rows.dtypes)
+
+    def run(batches):
+        held, now, of = None, None, None
+        for pdf in itertools.chain(batches, [None]):
+            rest = held if pdf is None else pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+            if rest is None or rest.empty:
+                continue
+            keys = pd.factorize(rest[key], use_na_sentinel=False)[0]
+            frames = rest["frame"].to_numpy()
+            fresh = np.r_[True, (frames[1:] != frames[:-1]) | (keys[1:] != keys[:-1])]
+            end = len(rest) if pdf is None else int(np.flatnonzero(fresh)[-1])  # the last frame may go on
+            for a, b in itertools.pairwise([0, *(np.flatnonzero(np.diff(keys[:end])) + 1).tolist(), end] if end else []):
+                flight = rest[key].iloc[a]
+                if now is None or not (flight == of or (pd.isna(flight) and pd.isna(of))):
+                    now, of = step(), flight
+                part = rest.iloc[a:b]
+                yield part[[key, "frame", "row_id"]].assign(track_id=now(part, np.flatnonzero(fresh[a:b])))
+            held = rest.iloc[end:]
+
+    dealt = rows.repartition(key).sortWithinPartitions(key, F.col("frame").asc_nulls_last(), F.col("row_id").asc_nulls_last())
+    return dealt.mapInPandas(run, f"{key} {kind[key]}, frame {kind['frame']}, row_id {kind['row_id']}, track_id long")
+
+
 def track_boxes(detections: DataFrame, key: str = "flight_id", **how) -> DataFrame:
     """detections (key, frame, row_id, box, class_id) with the track_id that an online tracker gives each; see Tracker for the settings. A flight is read in order of frames in one task."""
-    kind = dict(detections.dtypes)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["frame", "row_id"]).reset_index(drop=True)
-        tracker, ids = Tracker(**how), np.zeros(len(pdf), int)
-        boxes, classes, frames = pdf[_BOX].to_numpy(float), pdf["class_id"].to_numpy(int), pdf["frame"].to_numpy()
-        cut = np.flatnonzero(np.r_[True, frames[1:] != frames[:-1]])
-        for a, b in zip(cut, np.r_[cut[1:], len(pdf)], strict=True):
-            ids[a:b] = tracker.frame(boxes[a:b], classes[a:b])
-        return pdf[[key, "frame", "row_id"]].assign(track_id=ids)
+    def step():
+        tracker = Tracker(**how)
+
+        def run(pdf: pd.DataFrame, starts: np.ndarray) -> np.ndarray:
+            boxes, classes = pdf[_BOX].to_numpy(float), pdf["class_id"].to_numpy(int)
+            return np.concatenate([tracker.frame(boxes[a:b], classes[a:b]) for a, b in itertools.pairwise([*starts.tolist(), len(pdf)])])
+
+        return run
 
-    return detections.select(key, "frame", "row_id", *_BOX, "class_id").groupBy(key).applyInPandas(run, f"{key} {kind[key]}, frame {kind['frame']}, row_id {kind['row_id']}, track_id long")
+    return in_order(detections.select(key, "frame", "row_id", *_BOX, "class_id"), key, step)
 
 
 def track_each(detections: DataFrame, key: str = "flight_id", **how) -> DataFrame:
     """detections (key, frame, row_id, box) with the track_id that each box by itself gets; see Nearest for the settings. A flight is read in order in one task."""
-    kind = dict(detections.dtypes)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["frame", "row_id"]).reset_index(drop=True)
+    def step():
         t = Nearest(**how)
-        return pdf[[key, "frame", "row_id"]].assign(track_id=[t.take(int(f), b) for f, b in zip(pdf["frame"], pdf[_BOX].to_numpy(float), strict=True)])
 
-    return detections.select(key, "frame", "row_id", *_BOX).groupBy(key).applyInPandas(run, f"{key} {kind[key]}, frame {kind['frame']}, row_id {kind['row_id']}, track_id long")
+        def run(pdf: pd.DataFrame, starts: np.ndarray) -> np.ndarray:
+            out, boxes, frames = [], pdf[_BOX].to_numpy(float), pdf["frame"].tolist()
+            for a, b in itertools.pairwise([*starts.tolist(), len(pdf)]):
+                t.forget(int(frames[a]))
+                out += [t.take(int(frames[a]), box) for box in boxes[a:b]]
+            return np.array(out)
+
+        return run
+
+    return in_order(detections.select(key, "frame", "row_id", *_BOX), key, step)
 
 
 def kept_points(p: np.ndarray, tolerance: float) -> np.ndarray:
