@@ -7,7 +7,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from wingtally.functions import boxes, optics
-from wingtally.operators import assignment, georeference, tracking, tracks
+from wingtally.operators import assignment, georeference, joins, tracking, tracks
 
 
 def plan(df):
@@ -68,3 +68,14 @@ def test_flights_are_read_in_batches(spark):
             assert {(r.flight_id, r.row_id): r.track_id for r in track(d, least=0.1).coalesce(1).collect()} == whole and len(whole) == 400
         finally:
             spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_points_of_short_routes_are_not_unfolded(spark, monkeypatch):
+    route = spark.range(120).selectExpr("id % 2 as flight_id", "id as frame", "id * 37 % 101 * 1.0D as x", "id * 53 % 89 * 1.0D as y")
+    points = spark.range(90).selectExpr("id % 3 as flight_id", "id as point_id", "id * 29 % 97 * 1.0D as px", "id * 31 % 83 * 1.0D as py")
+    segs = joins.segments(route)
+    find = lambda: sorted(map(tuple, joins.nearest_on_route(points, segs).where("seg is not null").collect()))
+    assert joins.near_segments(points, segs, "flight_id", "px", "py", "point_id").count() == 60 * 59  # all of the flight, once
+    near = find()
+    monkeypatch.setattr(joins, "SHORT", 0)
+    assert find() == near and len(near) == 60

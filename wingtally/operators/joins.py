@@ -77,12 +77,24 @@ def _projected(px: Column, py: Column) -> tuple[Column, Column, Column]:
     return t, c, F.sqrt(ex * ex + ey * ey)
 
 
+#: Segments of a flight that all its points may meet.
+SHORT = 256
+
+
 def near_segments(points: DataFrame, segs: DataFrame, key: str, px: str, py: str, point: str) -> DataFrame:
     """Pairs of points and segments of their key, among them each point's nearest segment and all that tie with it, by cells of a grid.
 
     Segments are dealt to the cells that they cross, at a cell size of their flight and at 4, 16, .. times that, until one cell holds
     the flight. A point looks at the finest of these grids on which a cell next to it is crossed: the farthest corner of such a cell bounds
-    the distance, and the point meets the segments of the cells within that bound. A point outside the flight's extent looks from the extent's edge."""
+    the distance, and the point meets the segments of the cells within that bound. A point outside the flight's extent looks from the extent's edge.
+    Flights of at most SHORT segments have no grid: their points meet all of them, so that nothing but points and segments travels."""
+    segs = segs.withColumn("_n", F.count("*").over(Window.partitionBy(key)))
+    few = points.select(key, point, px, py).join(segs.where(F.col("_n") <= SHORT).drop("_n"), key)
+    return few.unionByName(_by_cells(points, segs.where(F.col("_n") > SHORT).drop("_n"), key, px, py, point))
+
+
+def _by_cells(points: DataFrame, segs: DataFrame, key: str, px: str, py: str, point: str) -> DataFrame:
+    """near_segments of flights of any length."""
     lo_x, lo_y = F.least(F.col("ax"), F.col("ax") + F.col("dx")), F.least(F.col("ay"), F.col("ay") + F.col("dy"))
     hi_x, hi_y = F.greatest(F.col("ax"), F.col("ax") + F.col("dx")), F.greatest(F.col("ay"), F.col("ay") + F.col("dy"))
     g = segs.groupBy(key).agg(F.min(lo_x).alias("_x0"), F.min(lo_y).alias("_y0"), F.max(hi_x).alias("_x1"), F.max(hi_y).alias("_y1"), F.count("*").alias("_n"), F.avg(F.greatest(F.abs("dx"), F.abs("dy"))).alias("_m"))
