@@ -7,7 +7,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from wingtally.functions import boxes, optics
-from wingtally.operators import assignment, georeference, joins, tracking, tracks
+from wingtally.operators import assignment, georeference, joins, terrain, tracking, tracks
 
 
 def plan(df):
@@ -79,3 +79,19 @@ def test_points_of_short_routes_are_not_unfolded(spark, monkeypatch):
     near = find()
     monkeypatch.setattr(joins, "SHORT", 0)
     assert find() == near and len(near) == 60
+
+
+def test_rays_over_small_fields_are_not_dealt_by_cell(spark, monkeypatch):
+    heights = spark.range(400).selectExpr("id div 20 as row", "id % 20 as col", "cast(id % 3 as double) as z")
+    rays = spark.range(60).selectExpr("id as row_id", "cast(id * 37 % 512 as double) as px", "cast(id * 53 % 512 as double) as py", "id % 23 - 1.3D as east", "id % 17 + 0.7D as north", "9.0D as up", "cast(id % 60 as double) as tilt", "id * 40 % 360 + 0.1D as heading")
+    found = lambda: terrain.pixels_to_heights(rays, heights, 20, 1.0, 50.0, 512.0, 512.0)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        once, rows = plan(found()), sorted(map(tuple, found().collect()), key=lambda r: r[0])
+        monkeypatch.setattr(terrain, "SMALL", 0)
+        dealt, same = plan(found()), sorted(map(tuple, found().collect()), key=lambda r: r[0])
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert once.count("hashpartitioning(_r#") == 1 and dealt.count("hashpartitioning(_r#") == 2  # the field's own
+    assert rows == same and 0 < sum(r[-1] is None for r in rows) < len(rows) == 60
