@@ -7,7 +7,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from wingtally.functions import boxes, optics
-from wingtally.operators import assignment, georeference, joins, terrain, tracking, tracks
+from wingtally.operators import assignment, clocks, estimators, georeference, joins, terrain, tracking, tracks
 
 
 def plan(df):
@@ -95,3 +95,20 @@ def test_rays_over_small_fields_are_not_dealt_by_cell(spark, monkeypatch):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert once.count("hashpartitioning(_r#") == 1 and dealt.count("hashpartitioning(_r#") == 2  # the field's own
     assert rows == same and 0 < sum(r[-1] is None for r in rows) < len(rows) == 60
+
+
+def test_clocks_are_searched_on_plain_numbers(spark):
+    looked = []
+    for start in (-5.0, 0.0, 5.0):
+        for f in (lambda p: abs(p - 0.3) + np.sin(9 * p), lambda p: round(p, 2) ** 2, lambda p: float("nan") if p < 1 else (p - 2) ** 2, lambda p: 7.0):
+            place, value = clocks.line_search(lambda p, f=f: looked.append(p) or f(p), start, 1.0)
+            old, least = estimators.simplex(lambda p, f=f: f(float(p[0])), [start], 1.0)
+            assert (place, value) == (float(old[0]), least) or np.isnan(value)
+            assert len(looked) == len(set(looked))
+            looked.clear()
+    rows = [(k, float(i), 48 + (i * 7 + (k or 5)) % 31 / 1e4, 14 + (i * 5) % 23 / 1e4) for k in (1, 2, None) for i in range(40)] + [(3, 0.0, 1.0, 1.0)]
+    t = spark.createDataFrame(rows, "flight_id long, t double, lat double, lon double")
+    out = clocks.clock_offset(t.where("flight_id is null or flight_id < 3").withColumn("t", F.col("t") - 0.3), t)
+    assert "flatmapgroups" not in plan(out)
+    got = {r.flight_id: r.offset for r in out.collect()}
+    assert set(got) == {1, 2, 3, None} and got.pop(3) is None and all(abs(x - 0.3) < 1e-6 for x in got.values())

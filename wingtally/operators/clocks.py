@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import itertools
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .estimators import simplex
 from .joins import asof_nearest
 
 
@@ -51,26 +53,79 @@ def index_ranges(rows: DataFrame, ranges: DataFrame, key: str = "flight_id", wid
     return inner.unionByName(ends).groupBy(key, "range_id").agg(F.min("a").alias("start_frame"), F.max("z").alias("end_frame"))
 
 
-def clock_offset(a: DataFrame, b: DataFrame, key: str = "flight_id") -> DataFrame:
-    """The offset in seconds by which a's clock (key, t, lat, lon) is moved to fit b's positions best, and the mean squared error."""
-    both = a.select(key, "t", "lat", "lon", F.lit(0).alias("side")).unionByName(b.select(key, "t", "lat", "lon", F.lit(1).alias("side")))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        import numpy as np
+def line_search(f, start: float, step: float, rounds: int = 4000, tol: float = 1e-10) -> tuple[float, float]:
+    """simplex of one number, step for step, on plain numbers; no place is looked at twice."""
+    known: dict[float, float] = {}
+
+    def at(p: float) -> float:
+        if p not in known:
+            known[p] = f(p)
+        return known[p]
+
+    x, y = start, start + (step if start == 0 else step * max(abs(start), 0.1))
+    vx, vy = at(x), at(y)
+    for _ in range(rounds):
+        if vy < vx or (vx != vx and vy == vy):
+            x, y, vx, vy = y, x, vy, vx
+        if abs(vy - vx) < tol and abs(y - x) < 1e-8:
+            break
+        r = x + (x - y)
+        vr = at(r)
+        if vr < vx:
+            e = x + 2.0 * (x - y)
+            ve = at(e)
+            y, vy = (e, ve) if ve < vr else (r, vr)
+            continue
+        c = x + (0.5 if vr < vy else -0.5) * (x - y)
+        vc = at(c)
+        if vc < min(vr, vy):
+            y, vy = c, vc
+        else:
+            y = x + 0.5 * (y - x)
+            vy = at(y)
+    return [(x, vx), (y, vy)][int(np.argmin([vx, vy]))]
 
-        x, y = (pdf[pdf["side"] == s].sort_values("t") for s in (0, 1))
-        if x.empty or y.empty:
-            return pd.DataFrame([(pdf[key].iloc[0], None, None)], columns=[key, "offset", "error"])
-        t, u = x["t"].to_numpy(), y["t"].to_numpy()
 
-        def error(p) -> float:
-            lat, lon = (np.interp(t + p[0], u, y[c].to_numpy()) for c in ("lat", "lon"))
-            return float(((lat - x["lat"].to_numpy()) ** 2 + (lon - x["lon"].to_numpy()) ** 2).mean() * 1e10)
+def clock_offset(a: DataFrame, b: DataFrame, key: str = "flight_id") -> DataFrame:
+    """The offset in seconds by which a's clock (key, t, lat, lon) is moved to fit b's positions best, and the mean squared error.
 
-        best, value = min((simplex(error, [s], 1.0) for s in (-5.0, 0.0, 5.0)), key=lambda r: r[1])
-        return pd.DataFrame([(pdf[key].iloc[0], float(best[0]), value / 1e10)], columns=[key, "offset", "error"])
+    Flights come as one stream sorted by key and time, and a task holds one flight at a time."""
+    both = a.select(key, "t", "lat", "lon", F.lit(0).alias("side")).unionByName(b.select(key, "t", "lat", "lon", F.lit(1).alias("side")))
 
-    return both.groupBy(key).applyInPandas(run, f"{key} {dict(a.dtypes)[key]}, offset double, error double")
+    def flights(batches):
+        of, parts = None, []
+        for pdf in batches:
+            names, codes = pdf[key].tolist(), pd.factorize(pdf[key], use_na_sentinel=False)[0]
+            rows = pdf[["t", "lat", "lon", "side"]].to_numpy(float)
+            for i, j in itertools.pairwise([0, *(np.flatnonzero(np.diff(codes)) + 1).tolist(), len(rows)] if len(rows) else []):
+                if parts and not (names[i] == of or (pd.isna(names[i]) and pd.isna(of))):
+                    yield of, np.concatenate(parts)
+                    parts = []
+                of = names[i]
+                parts.append(rows[i:j])
+        if parts:
+            yield of, np.concatenate(parts)
+
+    def fitted(rows: np.ndarray) -> tuple[float | None, float | None]:
+        (t, lat, lon), (u, to_lat, to_lon) = (np.ascontiguousarray(rows[rows[:, 3] == s, :3].T) for s in (0, 1))
+        if not len(t) or not len(u):
+            return None, None
+
+        def error(p: float) -> float:
+            at = t + p
+            return float(((np.interp(at, u, to_lat) - lat) ** 2 + (np.interp(at, u, to_lon) - lon) ** 2).mean() * 1e10)
+
+        best, value = min((line_search(error, s, 1.0) for s in (-5.0, 0.0, 5.0)), key=lambda r: r[1])
+        return best, value / 1e10
+
+    def run(batches):
+        for some in iter(lambda found=flights(batches): list(itertools.islice(found, 1000)), []):
+            yield pd.DataFrame([(of, *fitted(rows)) for of, rows in some], columns=[key, "offset", "error"])
+
+    # small rows, much work: a fixed number of tasks, which adaptive planning doesn't fold into few
+    tasks = int(a.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = both.repartition(tasks, key).sortWithinPartitions(key, F.col("t").asc_nulls_last())
+    return dealt.mapInPandas(run, f"{key} {dict(a.dtypes)[key]}, offset double, error double")
 
 
 def at_times(telemetry: DataFrame, times: DataFrame, column: str, key: str = "flight_id") -> DataFrame:
