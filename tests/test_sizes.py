@@ -7,7 +7,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from wingtally.functions import boxes, optics
-from wingtally.operators import assignment, clocks, estimators, georeference, joins, terrain, tracking, tracks
+from wingtally.operators import assignment, clocks, estimators, georeference, joins, motion, terrain, tracking, tracks
 
 
 def plan(df):
@@ -112,3 +112,19 @@ def test_clocks_are_searched_on_plain_numbers(spark):
     assert "flatmapgroups" not in plan(out)
     got = {r.flight_id: r.offset for r in out.collect()}
     assert set(got) == {1, 2, 3, None} and got.pop(3) is None and all(abs(x - 0.3) < 1e-6 for x in got.values())
+
+
+def test_motion_reads_flights_in_batches(spark):
+    rows = [(k, f, 100 * f + i, 20.0 * i + f % 9, 3.0 * k, 20.0 * i + f % 9 + 9, 3.0 * k + 8, 0.9 if f % 5 else 0.3) for k in (1, 2) for f in range(60) for i in range(3) if f % 7 or not i]
+    rows += [(1, f, 7000 + f, None, 0.0, 1.0, 1.0, 0.9) for f in range(55, 70)]
+    d = spark.createDataFrame(rows, "flight_id long, frame long, row_id long, x1 double, y1 double, x2 double, y2 double, confidence double")
+    found = lambda: sorted(map(tuple, motion.track_by_motion(d).collect()), key=lambda r: r[:3])
+    assert "flatmapgroups" not in plan(motion.track_by_motion(d))
+    whole, before = found(), spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for size in ("1", "2", "5"):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+            assert found() == whole
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert len(whole) == len(rows) and {r[3] for r in whole} >= {1, 2, 3, None}

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
 from .assignment import iou_matrix, optimal
+from .tracking import ordered, streamed
 
 # The published noise of positions and speeds, as shares of a box's height, and of its aspect.
 _PLACE, _SPEED, _ASPECT, _ASPECT_SPEED, _ASPECT_SEEN = 1 / 20, 1 / 160, 1e-2, 1e-5, 1e-1
@@ -135,21 +138,46 @@ class TwoRounds:
 def track_by_motion(detections: DataFrame, key: str = "flight_id", **how) -> DataFrame:
     """detections (key, frame, row_id, box, confidence) with the track_id that TwoRounds gives each, null for boxes that belong to no track; a flight is read in order of frames in one task.
 
-    The box that opens a track gets its number too. Boxes without height or width, or with missing values, belong to none."""
+    The box that opens a track gets its number too, so a frame waits for the next one that has boxes; a task holds a batch of a flight and what waits, and no flight whole.
+    Boxes without height or width, or with missing values, belong to none."""
     kind = dict(detections.dtypes)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["frame", "row_id"]).reset_index(drop=True)
-        boxes, confidence, frames = pdf[_BOX].to_numpy(float), pdf["confidence"].to_numpy(float), pdf["frame"].to_numpy()
-        good = np.isfinite(boxes).all(1) & np.isfinite(confidence) & (boxes[:, 2] > boxes[:, 0]) & (boxes[:, 3] > boxes[:, 1])
-        tracker, ids, before = TwoRounds(**how), np.zeros(len(pdf), int), np.zeros(0, int)
-        every = np.flatnonzero(good)
-        for here in np.split(every, np.flatnonzero(np.diff(frames[every])) + 1) if len(every) else []:
-            f = frames[here[0]]
-            ids[here], came = tracker.frame(int(f), boxes[here], confidence[here])
-            for place, number in came:  # opened in the frame before
-                ids[before[place]] = number
-            before = here
-        return pdf[[key, "frame", "row_id"]].assign(track_id=pd.array(ids, "Int64")).replace({"track_id": {0: pd.NA}})
-
-    return detections.select(key, "frame", "row_id", *_BOX, "confidence").groupBy(key).applyInPandas(run, f"{key} {kind[key]}, frame {kind['frame']}, row_id {kind['row_id']}, track_id long")
+    columns = [key, "frame", "row_id"]
+
+    def flight():
+        tracker, before = TwoRounds(**how), None
+        open_ids: np.ndarray = np.zeros(0, int)
+
+        def run(pdf: pd.DataFrame, starts: np.ndarray) -> list[tuple[pd.DataFrame, np.ndarray]]:
+            """Rows whose numbers are settled by these whole frames, and their numbers; the last frame that has boxes waits, with what follows it."""
+            nonlocal before, open_ids
+            boxes, confidence, frames = pdf[_BOX].to_numpy(float), pdf["confidence"].to_numpy(float), pdf["frame"].to_numpy()
+            good = np.isfinite(boxes).all(1) & np.isfinite(confidence) & (boxes[:, 2] > boxes[:, 0]) & (boxes[:, 3] > boxes[:, 1])
+            ids, done, held = np.zeros(len(pdf), int), [], 0
+            last: np.ndarray | None = None
+            for a, b in itertools.pairwise([*starts.tolist(), len(pdf)]):
+                here = a + np.flatnonzero(good[a:b])
+                if not len(here):
+                    continue
+                ids[here], came = tracker.frame(int(frames[a]), boxes[here], confidence[here])
+                for place, number in came:  # opened in the frame before
+                    if last is not None:
+                        ids[last[place]] = number
+                    else:
+                        open_ids[before[1][place]] = number
+                last, held = here, a
+            if last is None:  # no boxes: what waits goes on waiting
+                return [(pdf[columns], ids)]
+            if before is not None:
+                done.append((before[0], open_ids))
+            done.append((pdf[columns].iloc[:held], ids[:held]))
+            before, open_ids = (pdf[columns].iloc[held:], last - held), ids[held:].copy()
+            return done
+
+        return run, lambda: [(before[0], open_ids)] if before is not None else []
+
+    def run(batches):
+        for rows, ids in streamed(batches, key, flight):
+            if len(rows):
+                yield rows.assign(track_id=pd.array(ids, "Int64")).replace({"track_id": {0: pd.NA}})
+
+    return ordered(detections.select(*columns, *_BOX, "confidence"), key).mapInPandas(run, f"{key} {kind[key]}, frame {kind['frame']}, row_id {kind['row_id']}, track_id long")

@@ -17,32 +17,45 @@ from .assignment import Nearest, Tracker, optimal_edges
 _BOX = ["x1", "y1", "x2", "y2"]
 
 
+def ordered(rows: DataFrame, key: str) -> DataFrame:
+    """rows (key, frame, row_id, ..) with each flight in one task, as one sorted stream."""
+    return rows.repartition(key).sortWithinPartitions(key, F.col("frame").asc_nulls_last(), F.col("row_id").asc_nulls_last())
+
+
+def streamed(batches, key: str, begin: Callable):
+    """What a flight's step gives for whole frames of ordered rows, batch by batch: begin() gives the step, which takes rows and where each frame begins, and an end, called after the flight's last rows."""
+    held, step, end_of, of = None, None, None, None
+    for pdf in itertools.chain(batches, [None]):
+        rest = held if pdf is None else pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+        if rest is None or rest.empty:
+            continue
+        keys = pd.factorize(rest[key], use_na_sentinel=False)[0]
+        frames = rest["frame"].to_numpy()
+        fresh = np.r_[True, (frames[1:] != frames[:-1]) | (keys[1:] != keys[:-1])]
+        end = len(rest) if pdf is None else int(np.flatnonzero(fresh)[-1])  # the last frame may go on
+        for a, b in itertools.pairwise([0, *(np.flatnonzero(np.diff(keys[:end])) + 1).tolist(), end] if end else []):
+            flight = rest[key].iloc[a]
+            if step is None or not (flight == of or (pd.isna(flight) and pd.isna(of))):
+                if end_of is not None:
+                    yield from end_of()
+                (step, end_of), of = begin(), flight
+            yield from step(rest.iloc[a:b], np.flatnonzero(fresh[a:b]))
+        held = rest.iloc[end:]
+    if end_of is not None:
+        yield from end_of()
+
+
 def in_order(rows: DataFrame, key: str, step: Callable[[], Callable[[pd.DataFrame, np.ndarray], np.ndarray]]) -> DataFrame:
     """rows (key, frame, row_id, ..) with the track_id that a flight's step gives, frame by frame: step() begins a flight, and takes whole frames and where each begins.
 
     A flight is one sorted stream in one task, which holds a batch of it and its state, and no flight whole."""
     kind = dict(rows.dtypes)
 
-    def run(batches):
-        held, now, of = None, None, None
-        for pdf in itertools.chain(batches, [None]):
-            rest = held if pdf is None else pdf if held is None else pd.concat([held, pdf], ignore_index=True)
-            if rest is None or rest.empty:
-                continue
-            keys = pd.factorize(rest[key], use_na_sentinel=False)[0]
-            frames = rest["frame"].to_numpy()
-            fresh = np.r_[True, (frames[1:] != frames[:-1]) | (keys[1:] != keys[:-1])]
-            end = len(rest) if pdf is None else int(np.flatnonzero(fresh)[-1])  # the last frame may go on
-            for a, b in itertools.pairwise([0, *(np.flatnonzero(np.diff(keys[:end])) + 1).tolist(), end] if end else []):
-                flight = rest[key].iloc[a]
-                if now is None or not (flight == of or (pd.isna(flight) and pd.isna(of))):
-                    now, of = step(), flight
-                part = rest.iloc[a:b]
-                yield part[[key, "frame", "row_id"]].assign(track_id=now(part, np.flatnonzero(fresh[a:b])))
-            held = rest.iloc[end:]
-
-    dealt = rows.repartition(key).sortWithinPartitions(key, F.col("frame").asc_nulls_last(), F.col("row_id").asc_nulls_last())
-    return dealt.mapInPandas(run, f"{key} {kind[key]}, frame {kind['frame']}, row_id {kind['row_id']}, track_id long")
+    def begin():
+        now = step()
+        return lambda part, starts: [part[[key, "frame", "row_id"]].assign(track_id=now(part, starts))], lambda: []
+
+    return ordered(rows, key).mapInPandas(lambda batches: streamed(batches, key, begin), f"{key} {kind[key]}, frame {kind['frame']}, row_id {kind['row_id']}, track_id long")
 
 
 def track_boxes(detections: DataFrame, key: str = "flight_id", **how) -> DataFrame:
