@@ -7,7 +7,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from wingtally.functions import boxes, optics
-from wingtally.operators import assignment, clocks, estimators, georeference, joins, motion, terrain, tracking, tracks
+from wingtally.operators import assignment, clocks, estimators, georeference, joins, motion, rasters, terrain, tracking, tracks
 
 
 def plan(df):
@@ -128,3 +128,16 @@ def test_motion_reads_flights_in_batches(spark):
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
     assert len(whole) == len(rows) and {r[3] for r in whole} >= {1, 2, 3, None}
+
+
+def test_equal_rings_are_laid_out_once(spark, monkeypatch):
+    d = spark.range(600).selectExpr("id % 2 as k", "cast(id % 5 as double) as x", "cast(id % 3 as double) as y")
+    at = lambda x, y: F.struct((F.col("x") + x).alias("x"), (F.col("y") + y).alias("y"))
+    rings = d.select("k", F.array(at(0.0, 0.0), at(2.0, 0.0), at(2.0, 1.0), at(0.0, 1.0)).alias("ring"))
+    spans, seen = rasters._row_spans, []
+    monkeypatch.setattr(rasters, "_row_spans", lambda r, *how: seen.append(r.count()) or spans(r, *how))
+    cover = {(r.row, r.col): r.n for r in rasters.coverage(rings).collect()}
+    assert seen == [15] and sum(cover.values()) == 1200 and cover[0, 0] == 40 and cover[0, 1] == 80
+    assert {r.k: r.area for r in rasters.union_area(rings, "k", 0.5).collect()} == {0: 18.0, 1: 18.0} and seen == [15, 30]
+    out = rasters.union_area_exact(rings, "k")
+    assert {r.k: round(r.area, 9) for r in out.collect()} == {0: 18.0, 1: 18.0} and "keys=[_key#" in plan(out).split("mapinpandas")[-1]

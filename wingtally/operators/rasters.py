@@ -82,12 +82,13 @@ def _row_spans(rings: DataFrame, x0: float, y0: float, cell: float, down: bool)
 
 
 def coverage(footprints: DataFrame, cell: float = 1.0) -> DataFrame:
-    """How many rings (ring: array of points) hold each cell's centre."""
+    """How many rings (ring: array of points) hold each cell's centre. Equal rings are laid on the grid once, with their number."""
     b = footprints.select(boxes.extent(F.col("ring")).alias("_e")).agg(F.min("_e.x1"), F.max("_e.y2")).first()
     if b[0] is None:
         return footprints.sparkSession.createDataFrame([], "row long, col long, n long")
-    cells = _row_spans(footprints, b[0], b[1], cell, True).select("row", F.explode(F.sequence("lo", "hi")).alias("col"))
-    return cells.groupBy("row", "col").agg(F.count("*").alias("n"))
+    each = footprints.groupBy("ring").agg(F.count("*").alias("_n"))
+    cells = _row_spans(each, b[0], b[1], cell, True).select("row", F.explode(F.sequence("lo", "hi")).alias("col"), "_n")
+    return cells.groupBy("row", "col").agg(F.sum("_n").alias("n"))
 
 
 def render_size(width_m: float, height_m: float, resolution: float | None = None, fixed: int | None = None, most: int | None = None) -> tuple[int, int]:
@@ -183,8 +184,8 @@ def vertex_normals(vertices: DataFrame, faces: DataFrame) -> DataFrame:
 
 
 def union_area(rings: DataFrame, key: str, cell: float) -> DataFrame:
-    """Area of the union of a key's rings, by cells whose centre is inside: exact up to the cells that borders cut. Stretches of a row that overlap are joined, so no cell is a row by itself."""
-    s = _row_spans(rings, 0.0, 0.0, cell, False)
+    """Area of the union of a key's rings, by cells whose centre is inside: exact up to the cells that borders cut. Equal rings are laid on the grid once; stretches of a row that overlap are joined, so no cell is a row by itself, and of those that begin at one cell the longest is dealt out."""
+    s = _row_spans(rings.select(key, "ring").distinct(), 0.0, 0.0, cell, False).groupBy(key, "row", "lo").agg(F.max("hi").alias("hi"))
     before = F.max("hi").over(Window.partitionBy(key, "row").orderBy("lo", "hi").rowsBetween(Window.unboundedPreceding, -1))
     s = s.withColumn("_n", F.greatest(F.lit(0), F.col("hi") - F.greatest(F.col("lo"), F.coalesce(before + 1, F.col("lo"))) + 1))
     return s.groupBy(key).agg((F.sum("_n") * cell * cell).alias("area"))
@@ -325,12 +326,12 @@ _CORNERS = ["low", "high", "l0", "r0", "l1", "r1"]
 def union_area_exact(rings: DataFrame, key: str, strip: float | None = None, crowd: int = 4096) -> DataFrame:
     """Exact area of the union of a key's rings (simple, of any shape; corners that are null are left out).
 
-    Rings become trapezoids, cut into strips of y whose areas add up: of the given height, or of one by which a strip has some
+    Equal rings are taken once. Rings become trapezoids, cut into strips of y whose areas add up: of the given height, or of one by which a strip has some
     `crowd` rings, but not below their mean height. Each task first unites what it holds of a strip, so that rings
     which others hold are gone, and only an outline is dealt out, before a strip's outlines meet; so the rows of a strip follow
     the outline's corners and not the number of rings."""
     ring = F.filter("ring", lambda p: p["x"].isNotNull() & p["y"].isNotNull())
-    e = rings.select(F.col(key).alias("_key"), F.transform(ring, lambda p: F.struct(p["x"].cast("double").alias("x"), p["y"].cast("double").alias("y"))).alias("ring")).where(F.size("ring") > 2).withColumn("_e", boxes.extent(F.col("ring")))
+    e = rings.select(F.col(key).alias("_key"), F.transform(ring, lambda p: F.struct(p["x"].cast("double").alias("x"), p["y"].cast("double").alias("y"))).alias("ring")).where(F.size("ring") > 2).distinct().withColumn("_e", boxes.extent(F.col("ring")))
     if strip is None:
         per = e.groupBy("_key").agg(F.count("*").alias("n"), F.avg(F.col("_e.y2") - F.col("_e.y1")).alias("mean"), (F.max("_e.y2") - F.min("_e.y1")).alias("whole"))
         tall = F.greatest(F.col("mean"), F.col("whole") * crowd / F.col("n"), F.col("whole") * 1e-6)
