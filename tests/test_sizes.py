@@ -141,3 +141,18 @@ def test_equal_rings_are_laid_out_once(spark, monkeypatch):
     assert {r.k: r.area for r in rasters.union_area(rings, "k", 0.5).collect()} == {0: 18.0, 1: 18.0} and seen == [15, 30]
     out = rasters.union_area_exact(rings, "k")
     assert {r.k: round(r.area, 9) for r in out.collect()} == {0: 18.0, 1: 18.0} and "keys=[_key#" in plan(out).split("mapinpandas")[-1]
+
+
+def test_rounds_of_refinement_deal_pairs_once(spark, monkeypatch):
+    rows = [(f, t, 7.0 * t + f % 5, 11.0 * (t % 3)) for f in range(30) for t in range(4)]
+    a = spark.createDataFrame(rows, "frame long, track_id long, cx double, cy double").withColumn("confidence", F.lit(0.9))
+    b = a.withColumn("cx", F.col("cx") * 1.01 + 2).withColumn("cy", F.col("cy") + 1)
+    pairs = spark.range(30).select(F.col("id").alias("frame_a"), F.col("id").alias("frame_b"))
+    fit, seen = tracks.fit_affine, []
+    monkeypatch.setattr(tracks, "fit_affine", lambda chosen: seen.append(plan(chosen)) or fit(chosen))
+    best, error = tracking.refined_affine(a, b, pairs, (1.0, 0.0, 0.0, 1.0, 0.0, 0.0))
+    assert len(seen) > 1 and all(p.count("exchange") == 1 for p in seen)
+    assert error < 1e-6 and abs(best[0] - 1.01) < 1e-6 and abs(best[4] - 2) < 1e-6
+    got = {(r.track_t, r.track_w): (r.shared, r.median_dist) for r in tracks.candidates(a, b, pairs, best).collect()}
+    assert got[1, 1][0] == 30 and got[1, 1][1] < 1e-6 and len(got) == 16
+    assert "percentile(_d" in plan(tracks.candidates(a, b, pairs))

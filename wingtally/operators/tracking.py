@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import tracks
@@ -154,15 +154,16 @@ def refined_affine(a: DataFrame, b: DataFrame, pairs: DataFrame, start: tuple[fl
     Partners are found and summed in Spark; a map of six numbers comes back each round."""
     l = a.select(F.col("frame").alias("frame_a"), F.col("track_id").alias("t"), F.col("cx").alias("ax"), F.col("cy").alias("ay"))
     r = b.select(F.col("frame").alias("frame_b"), F.col("track_id").alias("w"), F.col("cx").alias("bx"), F.col("cy").alias("by"))
-    both = l.join(pairs, "frame_a").join(r, "frame_b")
+    both = cut(l.join(pairs, "frame_a").join(r, "frame_b"))
+    of_a, of_b = (Window.partitionBy("frame_a", "frame_b", c) for c in "tw")
     best, error = start, float("inf")
     for _ in range(rounds):
         m, c, d, e, tx, ty = best
         dx, dy = F.col("ax") * m + F.col("ay") * c + tx - F.col("bx"), F.col("ax") * d + F.col("ay") * e + ty - F.col("by")
-        near = both.withColumn("_d", F.sqrt(dx * dx + dy * dy)).where(F.col("_d") <= reach)
-        of_a = near.groupBy("frame_a", "frame_b", "t").agg(F.min(F.struct("_d", "w")).alias("v")).select("frame_a", "frame_b", "t", F.col("v.w").alias("w"))
-        of_b = near.groupBy("frame_a", "frame_b", "w").agg(F.min(F.struct("_d", "t")).alias("v")).select("frame_a", "frame_b", F.col("v.t").alias("t"), "w")
-        chosen = near.join(of_a.join(of_b, ["frame_a", "frame_b", "t", "w"]), ["frame_a", "frame_b", "t", "w"])
+        # a pair of frames lies in one task: the nearest of either side are found there, and nothing is dealt out again
+        near = both.withColumn("_d", F.sqrt(dx * dx + dy * dy)).where(F.col("_d") <= reach).repartition("frame_a", "frame_b")
+        near = near.withColumn("_w", F.min(F.struct("_d", "w")).over(of_a)["w"]).withColumn("_t", F.min(F.struct("_d", "t")).over(of_b)["t"])
+        chosen = near.where("t = _t and w = _w")
         now = chosen.agg(F.sqrt(F.avg(F.col("_d") * F.col("_d")))).first()[0]
         new = tracks.fit_affine(chosen)
         if new is None or now is None or now >= error - 1e-9:
