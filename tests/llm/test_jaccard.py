@@ -1,6 +1,8 @@
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from wingtally.llm import jaccard
@@ -80,3 +82,31 @@ def test_components(spark):
         root[y] = x
     got = {r.node: r.root for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {n: find(n) for n in root if any(n in e and e[0] != e[1] for e in links)}
+
+
+def numbers(seed):
+    rng = random.Random(seed)
+    return lambda n: [rng.getrandbits(63) for _ in range(n)]
+
+
+def test_only_sets_outside_the_largest_component_ask(monkeypatch):
+    new = numbers(6)
+    base = new(100)
+    sets = [np.unique(np.array(base[k:] + new(k), np.uint64)) for k in [2] * 90 + [16] * 10]
+    asked, near = [], jaccard.Trie.near
+    monkeypatch.setattr(jaccard.Trie, "near", lambda *a: asked.append(1) or near(*a))
+    none = np.zeros(0, np.int64)
+    links = jaccard.joined(sets, None, 75, jaccard.Order(none.view(np.uint64), none, none))
+    linked = {frozenset((i, j)) for i in range(100) for j in range(i) if 100 * len(np.intersect1d(sets[i], sets[j])) >= 75 * len(np.union1d(sets[i], sets[j]))}
+    assert {frozenset(x) for x in links} <= linked and len(links) == 89 and len(asked) <= 15
+
+
+def test_sets_of_one_label_fall_into_clusters():
+    new = numbers(7)
+    a, b = new(200), new(200)
+    sets = {9: a, 4: a[5:] + new(5), 3: b, 8: b[5:] + new(5), 1: new(200), 7: a[5:] + new(5), 2: a + new(100)}
+    bits = {7: 2}  # came by another shingle than all others
+    rows = [(1, k, bits.get(k, 1), len(s), jaccard._sketch(np.array(sorted(s), np.uint64))) for k, s in sets.items()]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=["label", "k", "bits", "n", "sketch"])
+    got = pa.Table.from_batches(jaccard._possible(75)([batch])).to_pylist()
+    assert sorted((r["label"], r["k"]) for r in got) == [(3, 3), (3, 8), (4, 4), (4, 9)]

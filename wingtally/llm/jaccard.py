@@ -16,17 +16,23 @@ distinct sets, known by a 64-bit key, and never on pairs of copies.
    least one label's group; near copies mostly have one label, so a set goes to
    few groups. Postings are shuffled packed, a binary a bucket. Labels of the
    frequent shingles come with the list, so no bucket fills up with one of them.
+   Sets of a shingle that is not frequent get a label for each run of sizes
+   without a gap of a third, as sets of other sizes never link.
    Sketches of the sets (a count for each of n / 2 cells) bound the overlaps in
-   a group; a set that cannot reach the threshold with any other there goes no
-   further, so whole sets travel for likely links alone.
+   a group, of pairs whose sizes agree and that came by one shingle (64 bits tell
+   by which ones a set came). What may link so falls into clusters, of which the
+   least set is the new label; a set alone goes no further. So whole sets travel
+   for likely links alone, and sets that merely share shingles with one large
+   set are not met with each other.
 3. A group's sets are stored in a trie, each in the global order read from its
    end, frequent shingles first, so that sets share beginnings. Each set walks it
    with the overlap so far; a branch ends where the rest of either set cannot
    bring the overlap that any size below it needs, or where all below is already
    connected to it. Only links that join two components are reported.
-4. Groups over CHUNK sets are split by hash into chunks; the label's own set is
-   in each, so that a big group of near copies falls into one component at once.
-   Sets of the group outside that component then meet every chunk, in blocks.
+4. Clusters over CHUNK sets are split by hash into chunks; the cluster's least
+   set is in each, so that a big one of near copies falls into one component at
+   once. Sets outside the cluster's largest component then meet every chunk, in
+   blocks. Labels of over SKETCHED sets go to chunks without sketches.
 5. Links become components (see components.py).
 
 Shingles and keys are 64-bit hashes, taken as the shingles themselves: over
@@ -52,6 +58,8 @@ from . import shared
 from .components import components
 
 SIZE, CHUNK = 5, 1024
+#: Sets of one label that one task sketches together.
+SKETCHED = 1 << 15
 #: Frequent shingles sent to every task, and how often one must occur in a task and in all to be on the list.
 FREQUENT, IN_TASK, IN_ALL = 200_000, 4, 32
 _HELD = 4_000_000
@@ -114,52 +122,79 @@ def _sketch(x: np.ndarray) -> bytes | None:
     return count.astype(np.uint8).tobytes() if count.max() < 256 else None
 
 
-def _folded(s: np.ndarray, cells: int) -> np.ndarray:
-    return s.reshape(-1, cells).sum(0)
+class _Sketches:
+    """Sketches of sets in order of size; wider ones are folded to the width of the one that they are held against."""
+
+    def __init__(self, sketches: list[bytes]):
+        self.raw = [np.frombuffer(x, np.uint8) for x in sketches]
+        self.cells = np.array([len(x) for x in self.raw])
+        self.width = self.low = self.high = 0
+
+    def overlaps(self, i: int, near: np.ndarray) -> np.ndarray:
+        """The most that set i can share with each of near, which come after it and so have as many cells or more."""
+        width, last = int(self.cells[i]), int(near[-1]) + 1
+        most = max(1, _HELD // width)
+        if last - i - 1 <= most and (width != self.width or last > self.high):
+            self.width, self.low = width, i + 1
+            self.high = max(last, min(i + 1 + most, int(np.searchsorted(self.cells, 2 * width, "right"))))
+            self.rows = np.stack([self._folded(j, width) for j in range(self.low, self.high)])
+        own, out = self._folded(i, width), []
+        for a in range(0, len(near), step := max(1, (1 << 20) // width)):
+            part = near[a : a + step]
+            held = width == self.width and last <= self.high
+            table = self.rows[part - self.low] if held else np.stack([self._folded(j, width) for j in part.tolist()])
+            out.append(np.minimum(own, table).sum(1, dtype=np.int64))
+        return np.concatenate(out)
+
+    def _folded(self, j: int, width: int) -> np.ndarray:
+        return self.raw[j].reshape(-1, width).sum(0, dtype=np.uint16)
 
 
 def _possible(similar: int):
-    """(k, label) of the sets that by sketch may be similar to another of their group.
+    """(k, label) of the sets that may link to another of their label, the label now the least set that they may reach
+    by such links.
 
-    Sets share at most the sum over cells of the smaller count, so no linked set is left out."""
+    Sets share at most the sum over cells of the smaller count, and linked sets of one label came by one shingle at
+    least, so no linked pair is parted."""
 
     def kept(rows: list) -> list:
-        if len(rows) < 2 or rows[0][2] > 1 or any(r[4] is None for r in rows):
-            return rows if len(rows) > 1 else []
-        n = np.array([r[3] for r in rows])
-        table, held = {}, 0
-        may = np.zeros(len(rows), bool)
-        order = np.argsort(n, kind="stable")
-        for place, i in enumerate(order):
-            near = order[place + 1 : np.searchsorted(n[order], n[i] * 100 // similar, "right")]
-            if may[i]:
-                near = near[~may[near]]
-            if not len(near):
-                continue
-            own = np.frombuffer(rows[i][4], np.uint8).astype(np.int32)
-            c = len(own)  # as the nearer set is no smaller, its sketch has as many cells or more
-            for j in near:
-                if (j, c) not in table:
-                    held += c
-                    if held > _HELD:  # of long texts, few sketches at a time
-                        table, held = {}, c
-                    table[j, c] = _folded(np.frombuffer(rows[j][4], np.uint8).astype(np.int32), c)
-                if (100 + similar) * int(np.minimum(own, table[j, c]).sum()) >= similar * (n[i] + n[j]):
-                    may[i] = may[j] = True
-        return [r for r, ok in zip(rows, may, strict=True) if ok]
+        if len(rows) < 2:
+            return []
+        if any(r[4] is None for r in rows):
+            lead = min(r[0] for r in rows)
+            return [(r[0], lead) for r in rows]
+        rows = sorted(rows, key=lambda r: (r[3], r[0]))
+        n, by = np.array([r[3] for r in rows]), np.array([r[2] for r in rows], np.int64)
+        ends = np.searchsorted(n, n * 100 // similar, "right")
+        group, sketches = np.arange(len(rows)), _Sketches([r[4] for r in rows])
+        for i, end in enumerate(ends.tolist()):
+            near = i + 1 + np.flatnonzero((by[i + 1 : end] & by[i] != 0) & (group[i + 1 : end] != group[i]))
+            if len(near):
+                near = near[(100 + similar) * sketches.overlaps(i, near) >= similar * (n[i] + n[near])]
+            if len(near) > 1:
+                group[np.isin(group, group[near])] = group[i]
+            elif len(near):
+                group[group == group[near[0]]] = group[i]
+        k = np.array([r[0] for r in rows], np.int64)
+        _, at, m = np.unique(group, return_inverse=True, return_counts=True)
+        lead = np.full(len(m), np.iinfo(np.int64).max)
+        np.minimum.at(lead, at, k)
+        return list(zip(k[m[at] > 1].tolist(), lead[at][m[at] > 1].tolist(), strict=True))
+
+    def batch(out: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in list(zip(*out, strict=True)) or [()] * 2], names=["k", "label"])
 
     def run(batches):
         at, rows = None, []
-        for batch in batches:
+        for b in batches:
             out = []
-            for label, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for label, *row in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if label != at:
                     out += kept(rows)
                     at, rows = label, []
                 rows.append((row[0], label, *row[1:]))
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int64())], names=["k", "label"])
-        out = kept(rows)
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int64())], names=["k", "label"])
+            yield batch(out)
+        yield batch(kept(rows))
 
     return run
 
@@ -216,8 +251,33 @@ class Order:
         return np.where(self.token[at] == x, self.count[at], 0), at
 
 
+_POSTING = ["tokens", "keys", "sizes", "labels", "owners", "bits"]
+#: Steps of size between two sets that just link.
+_STEPS = 8
+
+
+def _step(n: np.ndarray, similar: int) -> np.ndarray:
+    """The size of a set in steps, _STEPS of them to the ratio of sizes that may link; of sets that link they differ by _STEPS + 1 at most."""
+    return (np.log(n) * (_STEPS / -np.log(min(similar, 99) / 100))).astype(np.uint16)
+
+
+def _bit(token: np.ndarray) -> np.ndarray:
+    """One of 64 bits for each shingle."""
+    return (np.uint64(1) << (token >> np.uint64(58))).view(np.int64)
+
+
+def _united(k: np.ndarray, label: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each (k, label) once, with the bits of all its rows."""
+    if not len(k):
+        return k, label, bits
+    order = np.lexsort((label, k))
+    k, label, bits = k[order], label[order], bits[order]
+    at = np.flatnonzero(np.r_[True, (k[1:] != k[:-1]) | (label[1:] != label[:-1])])
+    return k[at], label[at], np.bitwise_or.reduceat(bits, at)
+
+
 def _postings(order, size: int, similar: int, buckets: int):
-    """Rows (bucket, tokens, keys, labels, owners): the prefixes' shingles, packed."""
+    """Rows (bucket, tokens, keys, sizes, labels, owners, bits): the prefixes' shingles, packed."""
 
     def run(batches):
         o = order.value
@@ -234,21 +294,18 @@ def _postings(order, size: int, similar: int, buckets: int):
                 in_doc = np.arange(len(x)) - off[doc]
                 prefix = n - -(-similar * n // 100) + 1
                 by = by[(in_doc < prefix[doc]) & new[doc]]
-                tok, key, rare = x[by], k[doc[by]], count[by] == 0
+                tok, key, rare, step = x[by], k[doc[by]], count[by] == 0, _step(n[doc[by]], similar)
                 label = o.label[place[by][~rare]] if len(o.token) else np.zeros(0, np.int64)
-                owner = key[~rare]
-                if len(label):
-                    pair = np.unique(np.stack([label, owner], 1), axis=0)
-                    label, owner = pair[:, 0], pair[:, 1]
-                tok, key = tok[rare], key[rare]
+                owner, label, bits = _united(key[~rare], label, _bit(tok[~rare]))
+                tok, key, step = tok[rare], key[rare], step[rare]
                 for b, i in _dealt((tok % np.uint64(buckets)).astype(np.int64)):
-                    rows.setdefault(b, [[], [], [], []])[0].append(tok[i])
-                    rows[b][1].append(key[i])
+                    for held, c in zip(rows.setdefault(b, [[] for _ in _POSTING]), (tok, key, step), strict=False):
+                        held.append(c[i])
                 for b, i in _dealt(label % buckets):
-                    rows.setdefault(b, [[], [], [], []])[2].append(label[i])
-                    rows[b][3].append(owner[i])
-            packed = [[b"".join(a.tobytes() for a in rows[b][j]) for b in rows] for j in range(4)]
-            yield pa.RecordBatch.from_arrays([pa.array(list(rows), pa.int64()), *(pa.array(c, pa.binary()) for c in packed)], names=["bucket", "tokens", "keys", "labels", "owners"])
+                    for held, c in zip(rows.setdefault(b, [[] for _ in _POSTING])[3:], (label, owner, bits), strict=True):
+                        held.append(c[i])
+            packed = [[b"".join(a.tobytes() for a in rows[b][j]) for b in rows] for j in range(len(_POSTING))]
+            yield pa.RecordBatch.from_arrays([pa.array(list(rows), pa.int64()), *(pa.array(c, pa.binary()) for c in packed)], names=["bucket", *_POSTING])
 
     return run
 
@@ -264,27 +321,26 @@ def _dealt(bucket: np.ndarray):
 
 
 def _routes(batches):
-    """(k, label) once for each set and label in a bucket; the rows of a bucket come together."""
+    """(k, label, bits) once for each set and label in a bucket; the rows of a bucket come together."""
 
-    def pairs(tok, key, label, owner):
-        t, k = np.frombuffer(b"".join(tok), np.uint64), np.frombuffer(b"".join(key), np.int64)
-        order = np.argsort(t)
-        t, k = t[order], k[order]
-        out = [np.stack([np.frombuffer(b"".join(owner), np.int64), np.frombuffer(b"".join(label), np.int64)], 1)]
+    def pairs(*held):
+        kinds = [np.uint64, np.int64, np.uint16, np.int64, np.int64, np.int64]
+        t, k, step, label, owner, bits = (np.frombuffer(b"".join(h), kind) for h, kind in zip(held, kinds, strict=True))
         if len(t):
-            at = np.flatnonzero(np.r_[True, t[1:] != t[:-1]])
+            order = np.lexsort((step, t))
+            t, k, step = t[order], k[order], step[order].astype(np.int64)
+            at = np.flatnonzero(np.r_[True, (t[1:] != t[:-1]) | (step[1:] - step[:-1] > _STEPS + 1)])
             low, high, n = np.minimum.reduceat(k, at), np.maximum.reduceat(k, at), np.diff(np.r_[at, len(t)])
             low, ok = np.repeat(low, n), np.repeat(low != high, n)
-            out.append(np.stack([k[ok], low[ok]], 1))
-        p = np.unique(np.concatenate(out), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1])], names=["k", "label"])
+            owner, label, bits = np.r_[owner, k[ok]], np.r_[label, low[ok]], np.r_[bits, _bit(t[ok])]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in _united(owner, label, bits)], names=["k", "label", "bits"])
 
-    bucket, held = None, [[], [], [], []]
+    bucket, held = None, [[] for _ in _POSTING]
     for batch in batches:
         for b, *blobs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if b != bucket and bucket is not None:
                 yield pairs(*held)
-                held = [[], [], [], []]
+                held = [[] for _ in _POSTING]
             bucket = b
             for h, x in zip(held, blobs, strict=True):
                 h.append(x)
@@ -310,7 +366,15 @@ class Trie:
             differ = np.flatnonzero(a[:n] != b[:n])
             shared_len[i] = int(differ[0]) if len(differ) else n
         #: (depth from, depth to, low, high, children)
-        self.root = self._node(0, m, 0, shared_len)
+        nodes = [self._node(0, m, 0, shared_len)]
+        for node in nodes:  # level by level, so that a node's children follow each other
+            nodes += node[4]
+        self.start, self.end, self.low, self.high = (np.array([n[i] for n in nodes]) for i in range(4))
+        self.children = np.array([len(n[4]) for n in nodes])
+        self.first = 1 + np.cumsum(self.children) - self.children
+        self.least, self.most = (np.array([f(self.size[n[2] : n[3]]) for n in nodes]) for f in (np.min, np.max))
+        self.numbers = np.concatenate([self.sets[n[2]][n[0] : n[1]] for n in nodes]).astype(np.int32)
+        self.to = np.cumsum(self.end - self.start)
 
     def _node(self, low: int, high: int, depth: int, common: list[int]):
         root = [depth, depth, low, high, []]
@@ -329,30 +393,29 @@ class Trie:
                 start = i
         return root
 
-    def near(self, q: np.ndarray, mask: np.ndarray, similar: int, skip) -> Iterator[int]:
-        """Rows whose set is similar to q; mask marks q's numbers. skip(low, high) leaves out a branch."""
-        nq = len(q)
-        work = [(self.root, 0)]
-        while work:
-            (a, b, low, high, children), overlap = work.pop()
-            if skip(low, high):
-                continue
-            sizes = self.size[low:high]
-            least, most = (int(sizes.min()), int(sizes.max())) if high - low > 1 else (int(sizes[0]),) * 2
-            need = -(-similar * (nq + least) // (100 + similar))
-            if min(nq, most) < need:
-                continue
-            rest = nq - overlap
-            if b > a:
-                seg = self.sets[low][a:b]
-                overlap += int(np.count_nonzero(mask[seg]))
-                rest = nq - int(np.searchsorted(q, seg[-1], "right"))
-            if overlap + min(rest, most - b) < need:
-                continue
-            if children:
-                work += [(c, overlap) for c in reversed(children)]
-            elif 100 * overlap >= similar * (nq + least - overlap):
-                yield from range(low, high)
+    def near(self, q: np.ndarray, mask: np.ndarray, similar: int, known: np.ndarray) -> np.ndarray:
+        """Rows whose set is similar to q, a level of branches at a time; mask marks q's numbers, known the rows whose branches are left out."""
+        nq, rows, hits = len(q), np.r_[0, np.cumsum(known)], np.r_[0, np.cumsum(mask[self.numbers], dtype=np.int32)]
+        node, overlap, found = np.zeros(1, np.int64), np.zeros(1, np.int64), []
+        while len(node):
+            need = -(-similar * (nq + self.least[node]) // (100 + similar))
+            ok = (rows[self.high[node]] - rows[self.low[node]] < self.high[node] - self.low[node]) & (np.minimum(nq, self.most[node]) >= need)
+            node, overlap, need = node[ok], overlap[ok], need[ok]
+            to, size = self.to[node], self.end[node] - self.start[node]
+            overlap = overlap + hits[to] - hits[to - size]
+            rest = np.where(size > 0, nq - np.searchsorted(q, self.numbers[to - 1], "right"), nq - overlap)
+            ok = overlap + np.minimum(rest, self.most[node] - self.end[node]) >= need
+            node, overlap = node[ok], overlap[ok]
+            children = self.children[node]
+            ends = (children == 0) & (100 * overlap >= similar * (nq + self.least[node] - overlap))
+            found.append(self.low[node[ends]])
+            node, overlap = _ranges(self.first[node], children), np.repeat(overlap, children)
+        return np.concatenate(found)
+
+
+def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers from each start on, size of them, one range after the other."""
+    return np.arange(size.sum()) + np.repeat(start - np.cumsum(size) + size, size)
 
 
 def joined(sets: list[np.ndarray], asks: list[int] | None, similar: int, order: Order) -> list[tuple[int, int]]:
@@ -366,19 +429,24 @@ def joined(sets: list[np.ndarray], asks: list[int] | None, similar: int, order:
     place = np.empty(len(sets), np.int64)
     place[trie.rows] = np.arange(len(sets))
     group = np.arange(len(sets))  # component of each row of the trie
-    links = []
-    for i in trie.rows if asks is None else asks:
+    links, asked = [], np.zeros(len(sets), bool)
+    left = list(reversed(trie.rows if asks is None else asks))
+    later, largest = [], 0
+    while left:
+        i = left.pop()
         q, own = sets[i], int(place[i])
+        if asks is None and group[own] == group[largest] and own != largest:
+            later.append(i)  # rows of the largest component need not ask if all others do
+            continue
         mask[q] = True
-
-        def skip(low, high, own=own):
-            return bool((group[low:high] == group[own]).all())
-
-        for j in trie.near(q, mask, similar, skip):
+        for j in trie.near(q, mask, similar, asked | (group == group[own])).tolist():
             if group[j] != group[own]:
                 links.append((i, trie.rows[j]))
                 group[group == group[j]] = group[own]
         mask[q] = False
+        asked[own] = True
+        if np.count_nonzero(group == group[own]) > np.count_nonzero(group == group[largest]):
+            left, later, largest = later[::-1] + left, [], own
     return links
 
 
@@ -437,24 +505,24 @@ def similar_sets(docs: DataFrame, key: str = "doc_id", text: str = "text", size:
     sets = both.where("n is not null").select("doc_id", "text_hash", "n", "k", "sketch")
     often = both.where("token is not null").groupBy("token").agg(F.sum("cnt").alias("c"), F.min("low").alias("low")).where(F.col("c") >= IN_ALL).orderBy(F.desc("c"), "token").limit(FREQUENT).toPandas()
     order = spark.sparkContext.broadcast(Order(often["token"].to_numpy(np.int64).view(np.uint64), often["c"].to_numpy(np.int64), often["low"].to_numpy(np.int64)))
-    packed = d.select("text").mapInArrow(_postings(order, size, similar, 4 * n_tasks), "bucket long, tokens binary, keys binary, labels binary, owners binary")
-    routes = packed.repartition(n_tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(_routes, "k long, label long").distinct()
+    packed = d.select("text").mapInArrow(_postings(order, size, similar, 4 * n_tasks), f"bucket long, {', '.join(f'{c} binary' for c in _POSTING)}")
+    routes = packed.repartition(n_tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(_routes, "k long, label long, bits long").groupBy("k", "label").agg(F.bit_or("bits").alias("bits"))
     routes = shared.written(routes, "routes")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id").alias("doc"), F.col("text_hash").alias("doc_text")))
     first = sets.where("k is not null").groupBy("k").agg(least.alias("least"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     first = shared.written(first.select("k", "least.doc", "least.doc_text", "n", "sketch"), "first")
 
-    def grouped(routes: DataFrame) -> DataFrame:
-        """Routes to labels of two sets or more, and in how many chunks each label's sets are."""
-        groups = routes.groupBy("label").agg(F.count("*").alias("m")).where("m > 1").select(F.col("label").alias("g"), F.ceil(F.col("m") / chunk).alias("chunks"))
-        return routes.join(groups, routes["label"] == groups["g"]).withColumn("chunk", F.pmod(F.xxhash64("k"), F.col("chunks"))).select("k", "label", "chunk", "chunks")
-
-    sketched = grouped(routes)
-    small = sketched.where("chunks = 1").join(first, "k").select("label", "k", "chunks", "n", "sketch")
+    m = routes.groupBy("label").agg(F.count("*").alias("m")).where("m > 1").withColumnRenamed("label", "g")
+    grouped = routes.join(m, routes["label"] == m["g"]).select("k", "label", "bits", "m")
+    small = grouped.where(F.col("m") <= SKETCHED).join(first, "k").select("label", "k", "bits", "n", "sketch")
     small = small.repartition(n_tasks, "label").sortWithinPartitions("label").mapInArrow(_possible(similar), "k long, label long")
-    small = small.withColumn("chunk", F.lit(0).cast("long")).withColumn("chunks", F.lit(1).cast("long"))
-    members = shared.written(small.unionByName(sketched.where("chunks > 1")), "members")
+    members = small.unionByName(grouped.where(F.col("m") > SKETCHED).select("k", "label")).distinct()
+    members = shared.written(members, "near")
+    groups = members.groupBy("label").agg(F.ceil(F.count("*") / chunk).alias("chunks")).withColumnRenamed("label", "g")
+    members = members.join(groups, members["label"] == groups["g"]).withColumn("chunk", F.pmod(F.xxhash64("k"), F.col("chunks")))
+    members = shared.written(members.select("k", "label", "chunk", "chunks"), "members")
     pivots = members.where((F.col("chunks") > 1) & (F.col("k") == F.col("label"))).withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
+
     def meet(targets: DataFrame) -> DataFrame:
         """Links found when each set goes to its targets (k, label, chunk, block, asks)."""
         to = targets.groupBy("k").agg(F.collect_set(F.struct("label", "chunk", "block", "asks")).alias("targets"))
@@ -470,8 +538,8 @@ def similar_sets(docs: DataFrame, key: str = "doc_id", text: str = "text", size:
     if not big.isEmpty():
         own = roots.select(F.col("node").alias("k"), F.col("root").alias("r"))
         big = big.join(own, "k", "left").withColumn("r", F.coalesce("r", "k"))
-        main = roots.select(F.col("node").alias("label"), F.col("root").alias("main"))
-        big = shared.written(big.join(main, "label", "left").withColumn("main", F.coalesce("main", "label")), "big")
+        main = big.groupBy("label", "r").agg(F.count("*").alias("c")).groupBy("label").agg(F.max(F.struct("c", "r")).getField("r").alias("main"))
+        big = shared.written(big.join(main, "label"), "big")
         out = big.where(F.col("r") != F.col("main"))
         blocks = out.groupBy("label").agg(F.ceil(F.count("*") / chunk).alias("blocks"))
         upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
