@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import pyarrow as pa
 import pytest
 
 from wingtally.llm import suffixes
@@ -47,3 +48,12 @@ def test_odd_rows(spark, odd):
     got = suffixes.repeated_passages(odd).collect()
     assert len(got) == odd.count() and sorted(r.n_removed == r.n_bytes for r in got if r.doc_id == 7) == [True]
     assert suffixes.repeated_passages(odd.limit(0)).count() == 0
+
+
+def test_bytes_of_ranks_do_not_grow_with_the_buckets():
+    rng = random.Random(9)
+    text = ["".join(rng.choice("abcdefgh ") for _ in range(2000)) for _ in range(40)]
+    batch = pa.RecordBatch.from_arrays([pa.array(text), pa.array(range(40)), pa.array(range(100, 140))], names=["text", "id", "content"])
+    out = [pa.Table.from_batches(suffixes._first_round(50, 24, buckets)([batch])) for buckets in (4, 4000)]
+    few, many = (sum(len(x or b"") for c in t.column_names[2:] for x in t[c].to_pylist()) for t in out)
+    assert many == few and many < 40 * 16 + 8 * 40 * 2000 / 10

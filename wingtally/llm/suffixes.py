@@ -15,8 +15,8 @@ ranked at LENGTH, the threshold, and the least document of each rank is found.
 Strings whose least document is smaller mark their bytes, once their bytes have
 been compared with that document's.
 
-Copies of a text are one text from the start, of the least doc_id; in a task,
-equal surroundings travel once, so a passage that a third of all documents share
+Copies of a text are one text from the start, of the least doc_id, and ranks travel
+with its number in its batch alone: what they take does not grow with the buckets. In a task, equal surroundings travel once, so a passage that a third of all documents share
 is at most one row a task. Pairs travel packed, surroundings compressed;
 texts are dealt out once, by doc_id and hash, and used twice.
 
@@ -97,34 +97,39 @@ def _dealt(key: np.ndarray, buckets: int):
             yield int(b[a]), order[a:z]
 
 
+_RANKS = ["bucket", "source", "ranks", "numbers", "texts"]
+
+
 def _first_round(length: int, gram: int, buckets: int):
-    """(bucket, ranks, owner numbers, owners): each text's picked ranks, once each."""
+    """(bucket, source, ranks, numbers): the picked ranks of each text, once each, with its number in the batch, the
+    source; and once for each source its texts, as id and content."""
 
     def run(batches):
+        seen: set[tuple] = set()
         for batch in batches:
             out: dict[int, list] = {}
-            owners, seen = [], set()
+            texts: list[tuple] = []
             for part in shared.pieces(batch):
-                p, content = Picked(part.column(0), length, gram), part.column(1).to_pylist()
-                new = np.array([not (c in seen or seen.add(c)) for c in content], bool)
+                p, names = Picked(part.column(0), length, gram), list(zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True))
+                new = np.array([not (x in seen or seen.add(x)) for x in names], bool)
                 use = new[p.row]
                 rank, row = p.rank[use], p.row[use]
                 order = np.lexsort((rank, row))
                 rank, row = rank[order], row[order]
                 once = np.r_[True, (rank[1:] != rank[:-1]) | (row[1:] != row[:-1])][: len(rank)]
-                rank, row = rank[once], row[once] + len(owners)
-                owners += content
+                rank, row = rank[once], row[once] + len(texts)
+                texts += names
                 for b, i in _dealt(rank, buckets):
                     x = out.setdefault(b, [[], []])
                     x[0].append(rank[i])
                     x[1].append(row[i].astype(np.uint32))
-            rows = []
-            for b, (rank, row) in out.items():
-                used, number = np.unique(np.concatenate(row), return_inverse=True)
-                small = np.uint16 if len(used) <= 1 << 16 else np.uint32
-                rows.append((b, _packed(np.concatenate(rank)), number.astype(small).tobytes(), np.array(owners, np.int64)[used].tobytes()))
-            cols = list(zip(*rows, strict=True)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), *(pa.array(c, pa.binary()) for c in cols[1:])], names=["bucket", "ranks", "numbers", "owners"])
+            named = np.array(texts, np.int64).tobytes()
+            source = xxhash.xxh3_64_intdigest(named) >> 1
+            small = np.uint16 if len(texts) <= 1 << 16 else np.uint32
+            rows = [(b, source, _packed(np.concatenate(rank)), np.concatenate(row).astype(small).tobytes(), None) for b, (rank, row) in out.items()]
+            rows += [(source % buckets, source, None, None, named)] * bool(out)
+            cols = list(zip(*rows, strict=True)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if n < 2 else pa.binary()) for n, c in enumerate(cols)], names=_RANKS)
 
     return run
 
@@ -142,24 +147,42 @@ def _buckets(batches):
         yield held
 
 
+def _numbers(numbers: bytes, ranks: bytes) -> np.ndarray:
+    return np.frombuffer(numbers, np.uint16 if len(numbers) * 5 == len(ranks) * 2 else np.uint32)
+
+
 def _not_unique(batches):
-    """(owner, ranks): the ranks of each text that another text has too."""
+    """(source, ranks, numbers, texts): the rows of the first round with the ranks that another text has too."""
+    for rows in _buckets(batches):
+        out = [r for r in rows if r[3] is not None]
+        rows = [r for r in rows if r[3] is None]
+        rank = _unpacked(b"".join(r[1] for r in rows))
+        number = [_numbers(r[2], r[1]) for r in rows]
+        at_row = np.repeat(np.arange(len(rows)), [len(n) for n in number])
+        _, inverse, n = np.unique(rank, return_inverse=True, return_counts=True)
+        ok = n[inverse] > 1  # a source has a rank of a text once, and a text has one source
+        cut = np.searchsorted(at_row[ok], np.arange(len(rows) + 1))
+        rank = rank[ok]
+        for r, x, own, a, z in zip(rows, np.split(ok, np.cumsum([len(x) for x in number])[:-1]), number, cut[:-1], cut[1:], strict=True) if rows else ():
+            if z > a:
+                out.append((r[0], _packed(rank[a:z]), own[x].tobytes(), None))
+        cols = list(zip(*out, strict=True)) or [()] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if n else pa.int64()) for n, c in enumerate(cols)], names=_RANKS[1:])
+
+
+def _resolved(batches):
+    """(doc, of, ranks): the ranks of each text that has some, from the rows of its source, which come together."""
     for rows in _buckets(batches):
-        rank = _unpacked(b"".join(r[0] for r in rows))
-        owner = np.concatenate([np.frombuffer(r[2], np.int64)[np.frombuffer(r[1], np.uint16 if len(r[1]) * 5 == len(r[0]) * 2 else np.uint32)] for r in rows])
-        order = np.argsort(rank)
-        rank, owner = rank[order], owner[order]
-        at = np.flatnonzero(np.r_[True, rank[1:] != rank[:-1]]) if len(rank) else np.zeros(0, np.int64)
-        if not len(at):
+        held = [r for r in rows if r[2] is None]
+        if not held:
             continue
-        n = np.diff(np.r_[at, len(rank)])
-        ok = np.repeat(np.minimum.reduceat(owner, at) != np.maximum.reduceat(owner, at), n)
-        rank, owner = rank[ok], owner[ok]
-        order = np.argsort(owner, kind="stable")
-        rank, owner = rank[order], owner[order]
-        cut = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]]) if len(owner) else np.zeros(0, np.int64)
-        ends = np.r_[cut[1:], len(owner)][: len(cut)]
-        yield pa.RecordBatch.from_arrays([pa.array(owner[cut]), pa.array([_packed(rank[a:z]) for a, z in zip(cut, ends, strict=True)], pa.binary())], names=["owner", "ranks"])
+        texts = np.frombuffer(next((r[2] for r in rows if r[2] is not None), b""), np.int64).reshape(-1, 2)
+        number = np.concatenate([_numbers(r[1], r[0]) for r in held]).astype(np.int64)
+        order = np.argsort(number, kind="stable")
+        rank, number = _unpacked(b"".join(r[0] for r in held))[order], number[order]
+        cut = np.flatnonzero(np.r_[True, number[1:] != number[:-1]])
+        packed = [_packed(rank[a:z]) for a, z in zip(cut, np.r_[cut[1:], len(number)], strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(texts[number[cut], 0]), pa.array(texts[number[cut], 1]), pa.array(packed, pa.binary())], names=["doc", "of", "ranks"])
 
 
 _PART = ["bucket", "ids", "contents", "starts", "sizes", "bytes", "done_ids", "done_contents", "done_starts", "done_sizes"]
@@ -177,7 +200,7 @@ def _second_round(length: int, gram: int, buckets: int):
                 p = Picked(part.column(1), length, gram)
                 row_at = np.searchsorted(p.row, np.arange(len(ids) + 1))
                 top = p.rank & _TOP
-                keep = np.concatenate([a + np.flatnonzero(np.isin(top[a:z], _unpacked(b"".join(r)))) for a, z, r in zip(row_at[:-1], row_at[1:], ranks, strict=True)])
+                keep = np.concatenate([a + np.flatnonzero(np.isin(top[a:z], _unpacked(r))) for a, z, r in zip(row_at[:-1], row_at[1:], ranks, strict=True)])
                 low, high, row = p.low[keep], p.high[keep] + length, p.row[keep]
                 doc, content = ids[row], contents[row]
                 whole = p.data.tobytes()
@@ -302,15 +325,18 @@ def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text",
     d = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(_LAST)).alias("id"), F.col(text).alias("text"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("content"))
     known = shared.written(d.select("id", "content", F.coalesce(F.octet_length("text"), F.lit(0)).alias("size")).distinct(), "texts")
     firsts = shared.written(known.groupBy("content", "size").agg(F.min("id").alias("first")), "firsts")
-    ranks = d.select("text", "content").mapInArrow(_first_round(length, gram, buckets), "bucket long, ranks binary, numbers binary, owners binary")
-    ranks = ranks.repartition(n_tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(_not_unique, "owner long, ranks binary")
-    ranks = ranks.join(firsts, F.col("owner") == F.col("content")).groupBy(F.col("first").alias("doc"), F.col("owner").alias("of")).agg(F.collect_list("ranks").alias("ranks"))
-    dealt = d.repartition(n_tasks, "id", "content")  # used twice: one exchange
+    info = known.join(firsts, ["content", "size"]).groupBy(F.col("id").alias("doc"), "content").agg(F.min("first").alias("first"))
+    info = shared.written(info, "info")
+    dealt = d.repartition(n_tasks, "id", "content")  # used three times: one exchange
+    own = info.where(F.col("first") == F.col("doc")).select("doc", F.col("content").alias("of"))
+    ranks = dealt.join(own.hint("shuffle_hash"), (dealt["id"] == own["doc"]) & (dealt["content"] == own["of"])).select("text", "id", "content").sortWithinPartitions("id", "content")
+    ranks = ranks.mapInArrow(_first_round(length, gram, buckets), "bucket long, source long, ranks binary, numbers binary, texts binary")
+    ranks = ranks.repartition(n_tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(_not_unique, "source long, ranks binary, numbers binary, texts binary")
+    ranks = ranks.repartition(n_tasks, "source").sortWithinPartitions("source").mapInArrow(_resolved, "doc long, of long, ranks binary")
     near = dealt.join(ranks.hint("shuffle_hash"), (dealt["id"] == ranks["doc"]) & (dealt["content"] == ranks["of"])).select("id", "text", "content", "ranks").sortWithinPartitions("id")
     parts = near.mapInArrow(_second_round(length, gram, buckets), ", ".join(f"{c} {'long' if c == 'bucket' else 'binary'}" for c in _PART))
     spans = parts.repartition(n_tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(_marked(length), "id long, content long, starts binary, ends binary")
     spans = spans.groupBy(F.col("id").alias("marked"), F.col("content").alias("of")).agg(F.collect_list("starts").alias("starts"), F.collect_list("ends").alias("ends"))
-    info = known.join(firsts, ["content", "size"]).groupBy(F.col("id").alias("doc"), "content").agg(F.min("first").alias("first"))
     info = info.join(spans, (info["doc"] == spans["marked"]) & (info["content"] == spans["of"]), "left").drop("marked", "of")
     out = dealt.join(info.hint("shuffle_hash"), (dealt["id"] == info["doc"]) & (dealt["content"] == info["content"])).select("id", "text", "first", "starts", "ends")
     return out.mapInArrow(_cut_out(length), "doc_id long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept_sha256 string")
