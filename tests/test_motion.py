@@ -119,3 +119,21 @@ def test_doubtful_boxes_hold_a_track_and_odd_rows_belong_to_none(spark):
     got = {r.row_id: r.track_id for r in motion.track_by_motion(d).collect()}
     assert len(got) == len(rows) and all(got[f] == 1 for f in range(12)) and all(got[k] is None for k in (50, 51, 52, 60))
     assert motion.track_by_motion(d.where("false")).count() == 0
+
+
+def test_a_box_by_itself_needs_no_matrix_and_frames_without_boxes_no_steps(monkeypatch):
+    """Most frames hold one box; the frames between are added up at once, to the same numbers as one by one."""
+    monkeypatch.setattr(motion, "optimal", lambda cost: (_ for _ in ()).throw(AssertionError("a matrix")))
+    tracker = motion.TwoRounds()
+    first, _ = tracker.frame(0, np.array([[0.0, 0, 10, 10], [40, 0, 50, 10], [80, 0, 90, 10]]), np.array([0.9, 0.9, 0.9]))
+    assert first.tolist() == [1, 2, 3]
+    assert [tracker.frame(f, np.array([[x, 0.0, x + 10, 10]]), np.array([0.9]))[0].tolist() for f, x in ((2, 41.0), (3, 1.0), (9, 82.0))] == [[2], [1], [3]]
+    at_once, one_by_one = motion.Motion(), motion.Motion()
+    for m in (at_once, one_by_one):
+        m.begin([[0.0, 1.0, 3.0, 8.0], [5.0, 5.0, 7.5, 6.1]])
+        m.step(1)
+        m.see([1], np.array([[5.4, 5.0, 8.0, 6.3]]))
+    at_once.step(37)
+    for _ in range(37):
+        one_by_one.step(1)
+    assert np.array_equal(at_once.all, one_by_one.all)

@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from .assignment import iou_matrix, optimal
+from .assignment import optimal, overlap
 from .tracking import ordered, streamed
 
 # The published noise of positions and speeds, as shares of a box's height, and of its aspect.
@@ -16,54 +16,66 @@ _PLACE, _SPEED, _ASPECT, _ASPECT_SPEED, _ASPECT_SEEN = 1 / 20, 1 / 160, 1e-2, 1e
 _BOX = ["x1", "y1", "x2", "y2"]
 
 
+def _noise(height: np.ndarray, share: float, aspect: float) -> np.ndarray:
+    out = np.repeat((share * height)[..., None], 4, -1)
+    out[..., 2] = aspect
+    return out * out
+
+
 class Motion:
-    """Centres, aspects and heights of boxes at constant speed. The four do not disturb each other, so each is a filter of two numbers, all tracks and all four at once."""
+    """Centres, aspects and heights of boxes at constant speed. The four do not disturb each other, so each is a filter of two numbers, all tracks and all four at once.
+
+    `all` holds, by track: what they are, their speeds, the variances of these, what varies together, and the variances of the speeds."""
 
     def __init__(self):
-        self.at, self.speed = np.zeros((0, 4)), np.zeros((0, 4))
-        self.var, self.both, self.speed_var = np.zeros((0, 4)), np.zeros((0, 4)), np.zeros((0, 4))
+        self.all = np.zeros((5, 0, 4))
 
     @staticmethod
     def measured(boxes: np.ndarray) -> np.ndarray:
         w, h = boxes[:, 2] - boxes[:, 0], boxes[:, 3] - boxes[:, 1]
         return np.stack([boxes[:, 0] + w / 2, boxes[:, 1] + h / 2, w / h, h], 1)
 
-    def boxes(self) -> np.ndarray:
-        w, h = self.at[:, 2] * self.at[:, 3], self.at[:, 3]
-        return np.stack([self.at[:, 0] - w / 2, self.at[:, 1] - h / 2, self.at[:, 0] + w / 2, self.at[:, 1] + h / 2], 1)
-
-    def _noise(self, height: np.ndarray, share: float, aspect: float) -> np.ndarray:
-        out = np.repeat((share * height)[:, None], 4, 1)
-        out[:, 2] = aspect
-        return out**2
-
-    def begin(self, boxes: np.ndarray) -> None:
-        z = self.measured(boxes)
-        self.at, self.speed = np.r_[self.at, z], np.r_[self.speed, np.zeros_like(z)]
-        self.var = np.r_[self.var, self._noise(z[:, 3], 2 * _PLACE, _ASPECT)]
-        self.both = np.r_[self.both, np.zeros_like(z)]
-        self.speed_var = np.r_[self.speed_var, self._noise(z[:, 3], 10 * _SPEED, _ASPECT_SPEED)]
-
-    def step(self) -> None:
-        h = self.at[:, 3].copy()
-        self.at = self.at + self.speed
-        self.var = self.var + 2 * self.both + self.speed_var + self._noise(h, _PLACE, _ASPECT)
-        self.both = self.both + self.speed_var
-        self.speed_var = self.speed_var + self._noise(h, _SPEED, _ASPECT_SPEED)
-
-    def see(self, which: np.ndarray, boxes: np.ndarray) -> None:
-        gone = self.measured(boxes) - self.at[which]
-        total = self.var[which] + self._noise(self.at[which, 3], _PLACE, _ASPECT_SEEN)
-        gain, speed_gain = self.var[which] / total, self.both[which] / total
-        self.at[which] += gain * gone
-        self.speed[which] += speed_gain * gone
-        self.speed_var[which] -= speed_gain * self.both[which]
-        self.both[which] *= 1 - gain
-        self.var[which] *= 1 - gain
-
-    def keep(self, which: np.ndarray) -> None:
-        for name in ("at", "speed", "var", "both", "speed_var"):
-            setattr(self, name, getattr(self, name)[which])
+    def boxes(self) -> list[tuple[float, float, float, float]]:
+        return [(x - a * h / 2, y - h / 2, x + a * h / 2, y + h / 2) for x, y, a, h in self.all[0].tolist()]
+
+    def begin(self, boxes: list[list[float]]) -> None:
+        new = []
+        for x1, y1, x2, y2 in boxes:
+            w, h = x2 - x1, y2 - y1
+            place, speed = 2 * _PLACE * h, 10 * _SPEED * h
+            place, speed = place * place, speed * speed
+            new.append([[x1 + w / 2, y1 + h / 2, w / h, h], [0.0] * 4, [place, place, _ASPECT * _ASPECT, place], [0.0] * 4, [speed, speed, _ASPECT_SPEED * _ASPECT_SPEED, speed]])
+        self.all = np.concatenate([self.all, np.array(new).transpose(1, 0, 2)], 1)
+
+    def step(self, times: int) -> None:
+        """So many frames further. Each number is a sum that grows from frame to frame, and all frames of it are added up at once, in order."""
+        if times < 1 or not self.all.shape[1]:
+            return
+        at, speed, var, both, speed_var = self.all
+        rows = lambda n: np.empty((n + 1, *at.shape))
+        a, s, b, v = rows(times), rows(times), rows(times), rows(3 * times)
+        a[0], a[1:] = at, speed
+        a = np.add.accumulate(a, 0)
+        h = a[:-1, :, 3:]
+        s[0], s[1:] = speed_var, np.square(_SPEED * h)
+        s[1:, :, 2] = _ASPECT_SPEED**2
+        s = np.add.accumulate(s, 0)
+        b[0], b[1:] = both, s[:-1]
+        b = np.add.accumulate(b, 0)
+        v[0], v[1::3], v[2::3], v[3::3] = var, 2 * b[:-1], s[:-1], np.square(_PLACE * h)
+        v[3::3, :, 2] = _ASPECT**2
+        v = np.add.accumulate(v, 0)
+        self.all = np.array([a[-1], speed, v[-1], b[-1], s[-1]])
+
+    def see(self, which: list[int], boxes: np.ndarray) -> None:
+        at, speed, var, both, speed_var = self.all[:, which]
+        gone = self.measured(boxes) - at
+        total = var + _noise(at[:, 3], _PLACE, _ASPECT_SEEN)
+        gain, speed_gain = var / total, both / total
+        self.all[:, which] = np.stack([at + gain * gone, speed + speed_gain * gone, var * (1 - gain), both * (1 - gain), speed_var - speed_gain * both])
+
+    def keep(self, which: list[int]) -> None:
+        self.all = self.all[:, which]
 
 
 _NEW, _SEEN, _LOST = range(3)
@@ -74,65 +86,89 @@ class TwoRounds:
     1 - overlap, up to `first`; doubtful ones (`doubtful` or more) to seen tracks that are left, up to `second`; sure ones that are left to new tracks, up to `again`.
 
     A sure box that is left and has a confidence of `new` begins a track, which counts when the next frame that has boxes confirms it (in a
-    flight's first frame at once). A track without a box is lost, and gone after `patience` frames. Numbers are given as tracks come to count."""
+    flight's first frame at once). A track without a box is lost, and gone after `patience` frames. Numbers are given as tracks come to count.
+    Frames of few boxes are the many, so what is decided box by box is in plain numbers."""
 
     def __init__(self, sure: float = 0.5, doubtful: float = 0.1, new: float = 0.6, first: float = 0.8, second: float = 0.5, again: float = 0.7, patience: int = 30):
         self.sure, self.doubtful, self.new, self.limits, self.patience = sure, doubtful, new, (first, second, again), patience
-        self.motion, self.state, self.seen, self.ids, self.opened = Motion(), np.zeros(0, int), np.zeros(0, int), np.zeros(0, int), np.zeros(0, int)
+        self.motion = Motion()
+        self.state: list[int] = []
+        self.seen: list[int] = []
+        self.ids: list[int] = []
+        self.opened: list[int] = []
         self.count, self.last = 0, None
 
-    def _matched(self, boxes: np.ndarray, found: np.ndarray, tracks: np.ndarray, limit: float) -> list[tuple[int, int]]:
-        if not len(found) or not len(tracks):
+    @staticmethod
+    def _matched(boxes: list, found: list[int], of_tracks: list, tracks: list[int], limit: float) -> list[tuple[int, int]]:
+        cost = [[1.0 - overlap(boxes[d], of_tracks[t]) for t in tracks] for d in found]
+        if not any(c <= limit for row in cost for c in row):
             return []
-        cost = 1.0 - iou_matrix(boxes[found], self.motion.boxes()[tracks]).astype(float)
-        ok = cost <= limit
-        return [(int(found[r]), int(tracks[c])) for r, c in optimal(np.where(ok, cost, 1e6)) if ok[r, c]]
+        if len(found) == 1:
+            return [(found[0], tracks[cost[0].index(min(cost[0]))])]
+        if len(tracks) == 1:
+            column = [row[0] for row in cost]
+            return [(found[column.index(min(column))], tracks[0])]
+        return [(found[r], tracks[c]) for r, c in optimal(np.array([[c if c <= limit else 1e6 for c in row] for row in cost])) if cost[r][c] <= limit]
 
     def frame(self, frame: int, boxes: np.ndarray, confidence: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int]]]:
         """Track numbers of one frame's boxes (0: none), and (place of the box that opened it, number) of tracks that came to count; places are `opened`'s."""
         begin = self.last is None
-        self.motion.speed[self.state == _LOST, 3] = 0.0
-        for _ in range(0 if begin else min(frame - self.last, self.patience + 1)):
-            self.motion.step()
+        self._keep([frame - seen <= self.patience for seen in self.seen])
+        lost = [t for t, state in enumerate(self.state) if state == _LOST]
+        if lost:
+            self.motion.all[1, lost, 3] = 0.0
+        if not begin:
+            self.motion.step(min(frame - self.last, self.patience + 1))
         self.last = frame
-        keep = frame - self.seen <= self.patience
-        self._keep(keep)
         out, came = np.zeros(len(boxes), int), []
-        sure = np.flatnonzero(confidence >= self.sure)
-        doubtful = np.flatnonzero((confidence < self.sure) & (confidence >= self.doubtful))
-        rounds = ((sure, self.state != _NEW, self.limits[0]), (doubtful, self.state == _SEEN, self.limits[1]), (sure, self.state == _NEW, self.limits[2]))
-        taken_box, taken = np.zeros(len(boxes), bool), np.zeros(len(self.ids), bool)
+        sizes = confidence.tolist()
+        sure = [d for d, c in enumerate(sizes) if c >= self.sure]
+        doubtful = [d for d, c in enumerate(sizes) if self.doubtful <= c < self.sure]
+        rounds = ((sure, (_SEEN, _LOST), self.limits[0]), (doubtful, (_SEEN,), self.limits[1]), (sure, (_NEW,), self.limits[2]))
+        places, of_tracks = boxes.tolist(), self.motion.boxes()
+        taken_box: set[int] = set()
+        taken: set[int] = set()
         pairs: list[tuple[int, int]] = []
-        for found, allowed, limit in rounds:
-            now = self._matched(boxes, found[~taken_box[found]], np.flatnonzero(allowed & ~taken), limit)
-            for d, t in now:
-                taken_box[d] = taken[t] = True
-            pairs += now
+        for found, states, limit in rounds:
+            left = [d for d in found if d not in taken_box]
+            tracks = [t for t, state in enumerate(self.state) if state in states and t not in taken] if left else []
+            if tracks:
+                now = self._matched(places, left, of_tracks, tracks, limit)
+                taken_box.update(d for d, _ in now)
+                taken.update(t for _, t in now)
+                pairs += now
         for d, t in sorted(pairs):
             if self.state[t] == _NEW:
                 self.count += 1
                 self.ids[t] = self.count
-                came.append((int(self.opened[t]), self.count))
+                came.append((self.opened[t], self.count))
             out[d] = self.ids[t]
         if pairs:
-            d, t = np.array(pairs).T
-            self.motion.see(t, boxes[d])
-            self.state[t], self.seen[t] = _SEEN, frame
-        self.state[~taken & (self.state == _SEEN)] = _LOST
-        self._keep(taken | (self.state == _LOST))
-        fresh = sure[~taken_box[sure] & (confidence[sure] >= self.new)]
-        self.motion.begin(boxes[fresh])
-        n = len(fresh)
-        if begin:
-            out[fresh] = np.arange(self.count + 1, self.count + 1 + n)
-            self.count += n
-        self.state, self.seen = np.r_[self.state, np.full(n, _SEEN if begin else _NEW)], np.r_[self.seen, np.full(n, frame)]
-        self.ids, self.opened = np.r_[self.ids, out[fresh]], np.r_[self.opened, fresh]
+            self.motion.see([t for _, t in pairs], boxes[[d for d, _ in pairs]])
+            for _, t in pairs:
+                self.state[t], self.seen[t] = _SEEN, frame
+        for t, state in enumerate(self.state):
+            if state == _SEEN and t not in taken:
+                self.state[t] = _LOST
+        self._keep([t in taken or state == _LOST for t, state in enumerate(self.state)])
+        fresh = [d for d in sure if d not in taken_box and sizes[d] >= self.new]
+        if fresh:
+            self.motion.begin([places[d] for d in fresh])
+            if begin:
+                out[fresh] = np.arange(self.count + 1, self.count + 1 + len(fresh))
+                self.count += len(fresh)
+            self.state += [_SEEN if begin else _NEW] * len(fresh)
+            self.seen += [frame] * len(fresh)
+            self.ids += out[fresh].tolist()
+            self.opened += fresh
         return out, came
 
-    def _keep(self, which: np.ndarray) -> None:
-        self.motion.keep(which)
-        self.state, self.seen, self.ids, self.opened = self.state[which], self.seen[which], self.ids[which], self.opened[which]
+    def _keep(self, which: list[bool]) -> None:
+        if all(which):
+            return
+        left = [t for t, stays in enumerate(which) if stays]
+        self.motion.keep(left)
+        self.state, self.seen, self.ids, self.opened = ([held[t] for t in left] for held in (self.state, self.seen, self.ids, self.opened))
 
 
 def track_by_motion(detections: DataFrame, key: str = "flight_id", **how) -> DataFrame:
