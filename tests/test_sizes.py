@@ -156,3 +156,12 @@ def test_rounds_of_refinement_deal_pairs_once(spark, monkeypatch):
     got = {(r.track_t, r.track_w): (r.shared, r.median_dist) for r in tracks.candidates(a, b, pairs, best).collect()}
     assert got[1, 1][0] == 30 and got[1, 1][1] < 1e-6 and len(got) == 16
     assert "percentile(_d" in plan(tracks.candidates(a, b, pairs))
+
+
+def test_boxes_of_tracks_are_dealt_once_for_their_ends(spark):
+    rows = [(1, t, t * 10 + f, t * 100 + f, 0.0, 0.0, 4.0, 4.0) for t in range(20) for f in range(3 if t % 2 else 9)] + [(1, 0, 0, 9000, 1.0, 1.0, 5.0, 5.0), (1, 21, None, 9001, 0.0, 0.0, 4.0, 4.0)]
+    d = spark.createDataFrame(rows, "flight_id long, track_id long, frame long, row_id long, x1 double, y1 double, x2 double, y2 double")
+    out = tracks.fragments(d, 4, 3, 0.1, 2.0)
+    moves = [line for line in out._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning(flight_id" in line]
+    assert moves and not any("track_id" in line and "frame" in line for line in moves)  # frames of a track stay where its boxes are
+    assert sorted(tuple(r) for r in out.collect()) == [(1, t, t - 1, 1) for t in range(1, 20, 2)]
