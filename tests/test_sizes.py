@@ -165,3 +165,13 @@ def test_boxes_of_tracks_are_dealt_once_for_their_ends(spark):
     moves = [line for line in out._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning(flight_id" in line]
     assert moves and not any("track_id" in line and "frame" in line for line in moves)  # frames of a track stay where its boxes are
     assert sorted(tuple(r) for r in out.collect()) == [(1, t, t - 1, 1) for t in range(1, 20, 2)]
+
+
+def test_a_round_of_refinement_reads_its_pairs_once(spark, monkeypatch):
+    fit, seen = tracks.fit_affine, []
+    monkeypatch.setattr(tracks, "fit_affine", lambda chosen: seen.append(plan(chosen)) or fit(chosen))
+    a = spark.range(60).selectExpr("id as frame", "id % 5 as track_id", "cast(id * 7 % 50 as double) as cx", "cast(id * 3 % 40 as double) as cy")
+    b = a.withColumn("cx", F.col("cx") + 2).withColumn("cy", F.col("cy") - 3)
+    best, error = tracking.refined_affine(a, b, a.selectExpr("frame as frame_a", "frame as frame_b"), (1.0, 0.0, 0.0, 1.0, 0.0, 0.0))
+    assert seen and all("collectmetrics" in p for p in seen)  # the error comes with the map
+    assert np.allclose(best, (1, 0, 0, 1, 2, -3), atol=1e-6) and error < 1e-6

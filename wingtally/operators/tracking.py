@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from . import tracks
@@ -163,9 +164,11 @@ def refined_affine(a: DataFrame, b: DataFrame, pairs: DataFrame, start: tuple[fl
         # a pair of frames lies in one task: the nearest of either side are found there, and nothing is dealt out again
         near = both.withColumn("_d", F.sqrt(dx * dx + dy * dy)).where(F.col("_d") <= reach).repartition("frame_a", "frame_b")
         near = near.withColumn("_w", F.min(F.struct("_d", "w")).over(of_a)["w"]).withColumn("_t", F.min(F.struct("_d", "t")).over(of_b)["t"])
-        chosen = near.where("t = _t and w = _w")
-        now = chosen.agg(F.sqrt(F.avg(F.col("_d") * F.col("_d")))).first()[0]
-        new = tracks.fit_affine(chosen)
+        passed = Observation()
+        chosen = near.where("t = _t and w = _w").observe(passed, F.avg(F.col("_d") * F.col("_d")).alias("square"))
+        new = tracks.fit_affine(chosen)  # the error is noted on the way, so that a round deals its pairs once
+        square = passed.get["square"]
+        now = None if square is None else math.sqrt(square)
         if new is None or now is None or now >= error - 1e-9:
             break
         best, error = new, now
